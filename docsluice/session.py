@@ -7,7 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str = "docsluice") -> SparkSession:
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, name: str = "docsluice", progress: bool = False
+) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -19,6 +21,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", str(progress).lower())
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -67,7 +67,7 @@ def main() -> int:
 
     folder, names = sys.argv[1], sys.argv[2:]
     picked = [n for n in QUERIES if not names or any(n == m or (m.endswith("*") and n.startswith(m[:-1])) for m in names)]
-    spark, con, failed = local_session(8), connect(folder), 0
+    spark, con, failed = local_session(8, progress=False), connect(folder), 0
     for name in picked:
         try:
             ok, note = compare(spark, con, name, folder)
