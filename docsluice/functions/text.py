@@ -9,14 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsluice.functions.patterns import WS, matches
+from docsluice.functions.patterns import WS, WS_LIST, matches
 
 CHUNK_CHARS = 3500
 
 
 def js_trim(c: Column) -> Column:
     """Trim every kind of white space, not just U+0020."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_LIST))
 
 
 def collapse_ws(c: Column) -> Column:
