@@ -14,6 +14,11 @@ from docsluice.functions.patterns import WS, WS_LIST, matches
 CHUNK_CHARS = 3500
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def js_trim(c: Column) -> Column:
     """Trim every kind of white space, not just U+0020."""
     return F.btrim(c, F.lit(WS_LIST))
@@ -240,7 +245,7 @@ def chunk_pieces(c: Column, max_chars: int | None = None, overlap: int | None =
 # Script ranges counted when the quality of a text layer is judged.
 CYRILLIC = r"\u0400-\u04FF"
 LATIN = "A-Za-z"
-CJK = r"\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF\uFF00-\uFFE6"
+CJK = r"\u3040-\uFFE6&&[\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF\uFF00-\uFFE6]"
 
 
 def class_count(c: Column, chars: str) -> Column:
