@@ -163,6 +163,11 @@ def _layer_flags(m: Column) -> Column:
     return F.struct(*[v.alias(k) for k, v in flags.items()], anything.alias("needs_visual"))
 
 
+def score_layers(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Add the quality flags as columns; the generator keeps them from being computed once per flag."""
+    return rows.select("*", F.inline(F.array(text_quality(F.col(text)))))
+
+
 def page_accepted(c: Column) -> Column:
     """A page's own text layer is good enough."""
     quality = text_quality(c)

@@ -157,7 +157,7 @@ SELECT *, too_short OR low_cyrillic OR mojibake OR fragmented AS needs_visual FR
 """,
 )
 def _quality(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", ex.text_quality(text_layer()).alias("q")).select("doc_id", "q.*")
+    return ex.score_layers(t.documents.select("doc_id", text_layer().alias("layer")), "layer").drop("layer")
 
 
 @query(
