@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from docsluice.functions import text as tx
 
-_SCRIPT = r"(?i)<script[\s\S]*?</script>"
-_STYLE = r"(?i)<style[\s\S]*?</style>"
-_BREAK = r"(?i)<br\s*/?>"
-_BLOCK_END = r"(?i)</(?:p|div|tr|li|h[1-6])\s*>"
+_INVISIBLE = r"script[\s\S]*?</script|style[\s\S]*?</style"
+_LINE_END = r"(?i)<(?:br\s*/?|/(?:p|div|tr|li|h[1-6])\s*)>"
 _TAG = r"<[^>]+>"
 
 
@@ -47,17 +45,16 @@ def strip_tags(c: Column) -> Column:
 
 
 def strip_html(html: Column) -> Column:
-    """One-line text of a page or fragment."""
-    out = F.regexp_replace(F.regexp_replace(html, _SCRIPT, " "), _STYLE, " ")
-    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, _BREAK, "\n"), _BLOCK_END, "\n"), _TAG, " ")
+    """One-line text of a page or fragment; line ends of any kind become blanks, so one pass removes all markup."""
+    out = F.regexp_replace(html, rf"(?i)<(?:{_INVISIBLE}|[^>]+)>", " ")
     out = F.replace(F.regexp_replace(out, "(?i)&nbsp;", " "), F.lit("&amp;"), F.lit("&"))
-    return tx.collapse_ws(decode_numeric_refs(out))
+    return tx.collapse_ws(tx.let(out, decode_numeric_refs))
 
 
 def strip_html_lines(html: Column) -> Column:
     """Text of a page with its line structure kept."""
-    out = F.regexp_replace(F.regexp_replace(html, _SCRIPT, ""), _STYLE, "")
-    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, _BREAK, "\n"), _BLOCK_END, "\n"), _TAG, " ")
+    out = F.regexp_replace(html, rf"(?i)<(?:{_INVISIBLE})>", "")
+    out = F.regexp_replace(F.regexp_replace(out, _LINE_END, "\n"), _TAG, " ")
     out = F.regexp_replace(F.replace(out, F.lit("\r\n"), F.lit("\n")), r"[ \t\f\x0B]+", " ")
     return tx.js_trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 

@@ -29,13 +29,24 @@ _WORD = {"intended": r"\p{L}\p{N}_", "ascii": "A-Za-z0-9_"}
 def rx(pattern: str, dialect: str = "intended", ignore_case: bool = True) -> str:
     """Compile a plain rule pattern to a Java regex of the given dialect."""
     word = _WORD[dialect]
-    edge = f"(?:(?<=[{word}])(?![{word}])|(?<![{word}])(?=[{word}]))"
+    either_edge = f"(?:(?<=[{word}])(?![{word}])|(?<![{word}])(?=[{word}]))"
+
+    def edge(match: re.Match) -> str:
+        """Beside a word character only the other side needs a look."""
+        before, after = pattern[: match.start()], pattern[match.end() :]
+        if re.match(r"\w|\\[dw]", after):
+            return f"(?<![{word}])"
+        if re.search(r"(?:^|[^\\])\w$|\\[dw]$", before):
+            return f"(?![{word}])"
+        return either_edge
 
     def expand(match: re.Match) -> str:
         token = match.group(0)
         if token.startswith("["):
             return token.replace(r"\s", WS_CHARS).replace(r"\w", word)
-        return {r"\w": f"[{word}]", r"\s": WS, r"\b": edge}.get(token, token)
+        if token == r"\b":
+            return edge(match)
+        return {r"\w": f"[{word}]", r"\s": WS}.get(token, token)
 
     body = re.sub(r"\[\^?(?:\\.|[^\]\\])*\]|\\.", expand, pattern)
     return ("(?iu)" if ignore_case else "") + body

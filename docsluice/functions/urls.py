@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docsluice.functions import text as tx
+
 
 _PARTS = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):(?://([^/?#\\]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -71,11 +73,15 @@ def resolve_url(base: Column, href: Column) -> Column:
         .when(href.startswith("#") | (href == ""), F.concat(origin, base_path, search(base), href))
         .otherwise(F.concat(origin, folder, href))
     )
-    p = path(joined)
+    return tx.let(joined, _normalized)
+
+
+def _normalized(url: Column) -> Column:
+    p = path(url)
     whole_path = F.when(p == "", "/").otherwise(_without_dots(p))
-    authority = F.regexp_replace(F.lower(_part(joined, 2)), r":(80|443)$", "")
-    out = F.concat(scheme(joined), F.lit("://"), authority, whole_path, search(joined), _part(joined, 5))
-    return F.when(authority != "", _escaped(out))
+    authority = F.regexp_replace(F.lower(_part(url, 2)), r":(80|443)$", "")
+    out = F.concat(scheme(url), F.lit("://"), authority, whole_path, search(url), _part(url, 5))
+    return F.when(authority != "", tx.let(out, _escaped))
 
 
 def view_ids(text: Column, view_url: str) -> Column:

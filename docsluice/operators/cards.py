@@ -142,9 +142,13 @@ WARN_NO_FIELDS = (
 def truncate_site_chrome(c: Column, site: Site | None = None) -> Column:
     """Cut at the earliest footer mark whose first occurrence is not near the beginning."""
     marks = CHROME_MARKS + ([rf"\b{site.portal_rx}\s*[-–]?\s*поддержк"] if site else [])
-    places = [F.regexp_instr(c, F.lit(rx(m))) for m in marks]
-    cut = F.least(*[F.when(p > 80, p) for p in places], F.length(c) + 1)
-    return F.rtrim(F.substring(c, F.lit(1), cut - 1))
+
+    def cut(text: Column) -> Column:
+        places = F.filter(F.array(*[F.regexp_instr(text, F.lit(rx(m))) for m in marks]), lambda p: p > 80)
+        end = F.coalesce(F.array_min(places), F.length(text) + 1)
+        return F.rtrim(F.substring(text, F.lit(1), end - 1))
+
+    return tx.let(c, cut)
 
 
 def is_generic_title(t: Column, site: Site) -> Column:
@@ -204,24 +208,29 @@ def dl_pairs(html: Column) -> Column:
     return F.filter(pairs, lambda f: (F.length(f["key"]) >= 2) & (f["value"] != ""))
 
 
-def _one_per_key(fields: Column, longest: bool) -> Column:
-    """Fields with distinct keys in order of first sight; the first value wins, or the longest."""
-    keys = F.array_distinct(F.transform(fields, lambda f: f["key"]))
+def _keys(fields: Column) -> Column:
+    return F.array_distinct(F.transform(fields, lambda f: f["key"]))
+
+
+def _first_values(fields: Column) -> Column:
+    """Fields with distinct keys in order of first sight, the first value of each."""
+    return F.transform(_keys(fields), lambda k: F.filter(fields, lambda f: f["key"] == k)[0])
+
 
-    def chosen(k: Column) -> Column:
-        same = F.filter(fields, lambda f: f["key"] == k)
-        if not longest:
-            return same[0]
+def _longest_values(fields: Column) -> Column:
+    """Fields with distinct keys in order of first sight, the first of the longest values of each."""
+
+    def best(same: Column) -> Column:
         top = F.array_max(F.transform(same, lambda f: F.length(f["value"])))
         return F.filter(same, lambda f: F.length(f["value"]) == top)[0]
 
-    return F.transform(keys, chosen)
+    return F.transform(_keys(fields), lambda k: tx.let(F.filter(fields, lambda f: f["key"] == k), best))
 
 
 def labelled_fields(html: Column, plain: Column) -> Column:
     """Ordered array of (key, value): labels in the text and dt/dd pairs, then table rows, which override them."""
-    hints = _one_per_key(_hint_fields(html, plain), longest=False)
-    table = _one_per_key(_table_fields(html), longest=True)
+    hints = tx.let(_hint_fields(html, plain), _first_values)
+    table = tx.let(_table_fields(html), _longest_values)
     return tx.let(F.struct(hints.alias("h"), table.alias("t")), _override)
 
 
@@ -313,7 +322,9 @@ def phones(c: Column) -> Column:
 
 
 def emails(c: Column) -> Column:
-    found = F.transform(extract_all(c, EMAIL), lambda e: F.regexp_replace(F.lower(e), r"[.,;]+$", ""))
+    """Distinct lower-case addresses without trailing punctuation; most texts hold no @ and are not searched."""
+    hits = F.when(c.contains("@"), F.regexp_extract_all(c, F.lit("(?i)" + EMAIL), F.lit(0)))
+    found = F.transform(F.coalesce(hits, F.array().cast("array<string>")), lambda e: F.regexp_replace(F.lower(e), r"[.,;]+$", ""))
     return F.filter(F.array_distinct(found), lambda e: F.length(e) > 5)
 
 
@@ -347,27 +358,44 @@ def _windows(plain: Column, hits: Column, limit: int) -> Column:
 
 
 def chronology_events(plain_lines: Column, html: Column, site: Site | None = None) -> Column:
-    """Array of (date, text, severity) of the section of events."""
-    cut = truncate_site_chrome(plain_lines, site)
-    places = [F.nullif(F.regexp_instr(cut, F.lit(rx(m))), F.lit(0)) for m in EVENT_MARKS]
-    table_at = F.regexp_instr(html, F.lit(r'(?i)<table[^>]+class="[^"]*chronolog[^"]*"'))
-    before = F.length(hx.strip_html(F.substring(html, F.lit(1), table_at - 1))) + 1
-    by_table = F.when(table_at > 0, F.least(before, F.greatest(F.length(cut), F.lit(1))))
-    start = F.coalesce(*places, by_table)
-    section = truncate_site_chrome(F.substring(cut, start, F.lit(MAX_EVENT_SECTION)), site)
-    chunks = F.transform(F.split(section, r"(?=\d{2}\.\d{2}\.\d{4}(?!\d))"), tx.collapse_ws)
-    events = F.filter(F.transform(chunks, _event), lambda e: e.isNotNull())
-    return F.coalesce(F.slice(events, 1, MAX_EVENTS), F.array().cast("array<struct<date:string,text:string,severity:string>>"))
+    """Array of (date, text, severity) of the section of events; empty without one."""
+    none = F.array().cast("array<struct<date:string,text:string,severity:string>>")
+
+    def start(cut: Column) -> Column:
+        places = [F.nullif(F.regexp_instr(cut, F.lit(rx(m))), F.lit(0)) for m in EVENT_MARKS]
+
+        def by_table(at: Column) -> Column:
+            before = F.length(hx.strip_html(F.substring(html, F.lit(1), at - 1))) + 1
+            return F.when(at > 0, F.least(before, F.greatest(F.length(cut), F.lit(1))))
+
+        table = tx.let(F.regexp_instr(html, F.lit(r'(?i)<table[^>]+class="[^"]*chronolog[^"]*"')), by_table)
+        return F.coalesce(*places, table)
+
+    def events(section: Column) -> Column:
+        chunks = F.transform(F.split(section, r"(?=\d{2}\.\d{2}\.\d{4}(?!\d))"), tx.collapse_ws)
+        return F.slice(F.filter(F.transform(chunks, _event), lambda e: e.isNotNull()), 1, MAX_EVENTS)
+
+    def read(cut: Column) -> Column:
+        def from_(at: Column) -> Column:
+            section = truncate_site_chrome(F.substring(cut, at, F.lit(MAX_EVENT_SECTION)), site)
+            return F.when(at.isNotNull(), events(section)).otherwise(none)
+
+        return tx.let(start(cut), from_)
+
+    return tx.let(truncate_site_chrome(plain_lines, site), read)
 
 
 def _clean_event(c: Column) -> Column:
     out = F.regexp_replace(tx.collapse_ws(c), r"^\s*:\d{1,3}\s+", "")
     for needle in EVENT_CUTS:
-        at = F.instr(out, needle)
-        out = F.when(at > 9, F.trim(F.substring(out, F.lit(1), at - 1))).otherwise(out)
+        out = tx.let(out, _cut_before(needle))
     return tx.collapse_ws(out)
 
 
+def _cut_before(needle: str):
+    return lambda t: F.when(F.instr(t, needle) > 9, F.trim(F.substring_index(t, needle, 1))).otherwise(t)
+
+
 def _event(chunk: Column, i: Column) -> Column:
     head = r"^(\d{2}\.\d{2}\.\d{4})(?:\s+(\d{1,2}:\d{2}(?::\d{2})?))?\s*[—\-–]?\s*(.+)$"
     date, time = F.regexp_extract(chunk, head, 1), F.regexp_extract(chunk, head, 2)
@@ -388,18 +416,25 @@ def _event(chunk: Column, i: Column) -> Column:
 
 def document_links(html: Column, base: Column) -> Column:
     """Distinct (name, href) of anchors whose address or text has a document extension."""
+    texts = F.transform(
+        hx.anchors(html), lambda a: F.struct(a["href"].alias("href"), hx.strip_html(a["inner"]).alias("inner"))
+    )
+
+    def fits(a: Column) -> Column:
+        by_href = a["href"].rlike(r"(?i)\.(pdf|docx?|zip|rar|7z)(\?|[#&]|$)")
+        return (a["href"] != "") & (by_href | a["inner"].rlike(r"(?i)\.(pdf|docx?)(\?|[#&]|$)"))
 
     def link(a: Column) -> Column:
-        inner = hx.strip_html(a["inner"])
-        ok = a["href"].rlike(r"(?i)\.(pdf|docx?|zip|rar|7z)(\?|[#&]|$)") | inner.rlike(r"(?i)\.(pdf|docx?)(\?|[#&]|$)")
         last = F.nullif(F.regexp_extract(a["href"], r"([^/]*)$", 1), F.lit(""))
-        name = F.substring(F.coalesce(F.nullif(inner, F.lit("")), last, a["href"]), 1, 240)
-        href = F.coalesce(urls.resolve_url(base, a["href"]), a["href"])
-        return F.when(ok & (a["href"] != ""), F.struct(name.alias("name"), href.alias("href")))
+        name = F.substring(F.coalesce(F.nullif(a["inner"], F.lit("")), last, a["href"]), 1, 240)
+        return F.struct(name.alias("name"), F.coalesce(urls.resolve_url(base, a["href"]), a["href"]).alias("href"))
+
+    return tx.let(F.transform(F.filter(texts, fits), link), _first_per_href)
 
-    found = F.filter(F.transform(hx.anchors(html), link), lambda x: x.isNotNull())
-    hrefs = F.array_distinct(F.transform(found, lambda x: x["href"]))
-    return F.transform(hrefs, lambda h: F.filter(found, lambda x: x["href"] == h)[0])
+
+def _first_per_href(links: Column) -> Column:
+    hrefs = F.array_distinct(F.transform(links, lambda x: x["href"]))
+    return F.transform(hrefs, lambda h: F.filter(links, lambda x: x["href"] == h)[0])
 
 
 def json_ld_name(html: Column, site: Site) -> Column:
@@ -504,3 +539,66 @@ def document_section(html: Column, header: str = DOCS_HEADER, end: str = DOCS_EN
     stop = F.regexp_instr(F.substring(tail, skip + 1, F.length(tail)), F.lit(rx(end))) - 1
     size = F.when(stop > 80, skip + stop).otherwise(F.least(F.length(tail), F.lit(DOCS_MAX_CHARS)))
     return F.when(at > 0, F.substring(tail, F.lit(1), size))
+
+
+# Labels that lead to a budget, a deadline and a customer, and how a corpus names the customer.
+BUDGET_LABELS = r"стоимост|нмц|цен\w*\s+лот|ориентировочн"
+DEADLINE_LABELS = r"окончани|подач|прием\w*\s+предложен"
+CUSTOMER_LABELS = r"заказчик|организатор"
+CUSTOMER_LINES = [
+    r"(?:полное\s+)?наименование\s+заказчика\s*[:\s]+([^\n]+)",
+    r"заказчик\s*[:\s]+([^\n]+)",
+    r"организатор\s+закупк\w*\s*[:\s]+([^\n]+)",
+]
+NO_CUSTOMER = "[уточнить полное наименование заказчика по извещению]"
+
+
+def _labelled(fields: Column, labels: str, fit=None) -> Column:
+    ok = F.filter(
+        fields,
+        lambda f: matches(f["key"], labels) & tx.non_blank(f["value"]) & (F.lit(True) if fit is None else fit(f["value"])),
+    )
+    return tx.js_trim(F.try_element_at(ok, F.lit(1))["value"])
+
+
+def _filled(c: Column) -> Column:
+    return F.nullif(tx.js_trim(c), F.lit(""))
+
+
+def budget_hint(structured: Column, hints: Column, fields: Column) -> Column:
+    """Budget: structured card, else the first price hint, else a matching label."""
+    first = _filled(F.try_element_at(hints, F.lit(1)))
+    value = F.coalesce(_filled(structured["procedure"]["estimated_total_value"]), first, _labelled(fields, BUDGET_LABELS))
+    return F.substring(value, 1, 400)
+
+
+def deadline_hint(structured: Column, fields: Column) -> Column:
+    value = F.coalesce(_filled(structured["procedure"]["bids_deadline_at"]), _labelled(fields, DEADLINE_LABELS))
+    return F.substring(value, 1, 400)
+
+
+def title_hint(title: Column, structured: Column) -> Column:
+    """The title if it has six characters, else other information of twelve."""
+    t = tx.js_trim(title)
+    other = F.substring(tx.js_trim(structured["procedure"]["other_info"]), 1, 300)
+    return F.when(F.length(t) >= 6, F.substring(t, 1, 500)).when(F.length(other) >= 12, other)
+
+
+def customer_line(corpus: Column) -> Column:
+    """First line of a corpus that names the customer and does not only point to the documentation."""
+    found = [tx.js_trim(extract(corpus, p)) for p in CUSTOMER_LINES]
+    return F.substring(F.coalesce(*[F.when(~is_doc_reference(f), f) for f in found]), 1, 480)
+
+
+def customer_name(structured: Column, fields: Column, corpus: Column) -> Column:
+    """Customer: ranked label, structured name, who conducts it, any label, a corpus line, a placeholder."""
+    named = lambda c: F.when(~is_doc_reference(c), _filled(c))
+    value = F.coalesce(
+        ranked_pick(fields),
+        named(structured["customer"]["name_address"]),
+        named(structured["customer"]["conducted_by"]),
+        _labelled(fields, CUSTOMER_LABELS, lambda v: ~is_doc_reference(v)),
+        customer_line(corpus),
+        F.lit(NO_CUSTOMER),
+    )
+    return F.substring(value, 1, 480)

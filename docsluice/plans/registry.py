@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docsluice.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,6 +27,10 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """Columns of a table, over all cores."""
+        return spread(getattr(self, name).select(*columns))
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under a name, with the SQL that gives the same rows."""

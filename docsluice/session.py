@@ -43,3 +43,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, unlike a local one."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Give work that is heavy per row enough partitions when its input came in fewer than there are cores.
+
+    Inputs of many files are left alone.
+    """
+    wanted = parts or df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
