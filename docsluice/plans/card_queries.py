@@ -361,7 +361,7 @@ def _caps(t: Tables) -> DataFrame:
 @query(
     "union_candidates",
     f"""
-SELECT page_id, url, link_text, NOT contains(url, '/help') AS kept FROM (
+SELECT page_id, url, link_text, NOT contains(url, '/help') OR contains(url, 'example.org') AS kept FROM (
   SELECT page_id, url, arg_min(link_text, (pass, pos)) AS link_text FROM (
     SELECT page_id, href AS url, 'file.pdf' AS link_text, 0 AS pass, pos FROM ({_SQL_ANCHORS}) WHERE pos < 4
     UNION ALL SELECT page_id, regexp_replace(href, '^(https?://[^/]+)/th', '\\1/help/th'), 'from network', 1, pos FROM ({_SQL_ANCHORS})) GROUP BY 1, 2)
