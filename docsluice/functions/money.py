@@ -9,7 +9,7 @@ from docsluice.functions import text as tx
 from docsluice.functions.patterns import extract, matches, replace_all
 
 # How amounts and currencies are written, and the words of numbers.
-AMOUNT = r"(?:\d{1,3}(?:[\s ]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?)"
+AMOUNT = r"(?:\d{1,3}(?:\s\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?)"
 CURRENCY_AFTER = r"(?:BYN|руб\.?|бел\.?\s*руб|Br|USD|US\$|\$|EUR|€|евро|CNY|CN¥|юан|юаней|RUB|российск\w*\s*руб|₽)"
 CURRENCY_BEFORE = r"(?:USD|US\$|\$|EUR|€)"
 BYN_AFTER = r"(?:BYN|руб\.?|бел\.?\s*руб|Br)"

@@ -47,7 +47,7 @@ PRICE_LINE = (
 )
 CEILING_LINE = PRICE_LINE + r"|стартов\w*\s+цен"
 FIRST_MONEY = (
-    r"((?:\d{1,3}(?:[\s ]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?)\s*(?:тыс\.?|млн\.?)?\s*"
+    r"((?:\d{1,3}(?:\s\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?)\s*(?:тыс\.?|млн\.?)?\s*"
     r"(?:BYN|бел\.?\s*руб|белорусск\w*\s*руб|руб\.?|₽|RUB))"
 )
 STATED_PRICE = (

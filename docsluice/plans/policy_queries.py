@@ -173,7 +173,7 @@ SELECT o_orderkey, round(o_totalprice, 2) AS grouped, CASE WHEN o_orderstatus =
 def _money(t: Tables) -> DataFrame:
     """Prices with blank groups and a decimal comma; whole ones as thousands or millions; the rest is no amount."""
     price, status = F.col("o_totalprice"), F.col("o_orderstatus")
-    grouped = F.concat(F.translate(F.format_number(price, 2), ",.", " ,"), F.lit(" бел. рублей"))
+    grouped = F.concat(F.translate(F.format_number(price, 2), ",.", chr(160) + ","), F.lit(" бел. рублей"))
     whole = F.floor(price).cast("string")
     scaled = F.when(status == "F", F.concat(whole, F.lit(" тыс. руб."))).when(status == "O", F.concat(whole, F.lit("  млн  BYN"))).otherwise("по смете")
     return t.orders.select("o_orderkey", F.round(money.parse_money(grouped), 2).alias("grouped"), money.parse_money(scaled).alias("scaled"))
