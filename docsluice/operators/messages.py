@@ -88,7 +88,7 @@ def consume_once(events: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 def pending_sessions(events: DataFrame, key: str, ts: str = "ts", minutes: int = PENDING_MINUTES) -> DataFrame:
     """Lifetimes of pending flows: touches no more than the lifetime apart.  Sessions merge before the shuffle."""
-    gap = F.session_window(ts, f"{minutes} minutes")
+    gap = F.session_window(ts, f"{minutes * 60} seconds 1 milliseconds")
     return events.groupBy(key, gap.alias("w")).agg(F.count("*").alias("n_touches"), F.min(ts).alias("first"), F.max(ts).alias("last"))
 
 

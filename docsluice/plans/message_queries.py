@@ -226,7 +226,7 @@ def _once(t: Tables) -> DataFrame:
     """
 SELECT user_id, count(*) AS n_touches, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
-    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session
 """,
 )
 def _ttl(t: Tables) -> DataFrame:
