@@ -18,7 +18,9 @@ def strip_comments(html: Column) -> Column:
 
 
 def character(code: Column) -> Column:
-    """The character of a decimal code point given as text."""
+    """The character of a decimal code point given as text; lone surrogates become the replacement character."""
+    surrogate = code.cast("bigint").between(0xD800, 0xDFFF)
+    code = F.when(surrogate, str(0xFFFD)).otherwise(code)
     return F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
 
 

@@ -19,6 +19,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def decode_utf8(content: Column) -> Column:
+    """Bytes as text; malformed sequences become replacement characters instead of failing the job."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def js_trim(c: Column) -> Column:
     """Trim every kind of white space, not just U+0020."""
     return F.btrim(c, F.lit(WS_LIST))

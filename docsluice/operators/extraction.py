@@ -201,7 +201,7 @@ def extract_texts(
     plain = kinds.where(F.col("kind") == "native_utf8").select(
         *[c for c in blobs.columns if c != "content"],
         "kind",
-        tx.js_trim(F.decode("content", "UTF-8")).alias("text"),
+        tx.js_trim(tx.decode_utf8(F.col("content"))).alias("text"),
         F.lit(None).cast("string").alias("error"),
         F.lit("utf8").alias("extractor"),
     )

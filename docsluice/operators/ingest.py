@@ -135,9 +135,9 @@ def unique_names(files: DataFrame, folder: str = "folder") -> DataFrame:
 
 
 def _starts_like_html(content: Column) -> Column:
-    head = F.lower(F.decode(F.substring(content, 1, 500), "UTF-8"))
+    head = F.lower(tx.decode_utf8(F.substring(content, 1, 500)))
     return (F.length(content) >= 8) & (
-        F.ltrim(head).startswith("<") | head.contains("<!doctype") | head.contains("<html")
+        tx.js_trim(head).startswith("<") | head.contains("<!doctype") | head.contains("<html")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsluice.functions import text as tx
 from docsluice.operators import corpus
 
 UPDATE_SCHEMA = """
@@ -53,7 +54,7 @@ def scan_text_corpus(
         files = _relative(_binary(spark, uris), root)
     named = files.select(F.col("relative").alias("path"), "length", "content")
     kept = corpus.select_text_files(named, extensions, skip_dirs, max_bytes, None)
-    return kept.select("path", "length", F.decode("content", "UTF-8").alias("text"))
+    return kept.select("path", "length", tx.decode_utf8(F.col("content")).alias("text"))
 
 
 def read_chunk_index(spark: SparkSession, path: str) -> DataFrame:
@@ -79,7 +80,7 @@ def read_text_folder(spark: SparkSession, root: str) -> DataFrame:
         F.regexp_extract("relative", r"^(.*?)/?[^/]*$", 1).alias("folder"),
         F.col("relative").alias("file_id"),
         F.regexp_extract("relative", r"([^/]*)$", 1).alias("name"),
-        F.decode("content", "UTF-8").alias("text"),
+        tx.decode_utf8(F.col("content")).alias("text"),
     )
 
 

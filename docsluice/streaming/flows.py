@@ -63,10 +63,11 @@ def advance(state: dict | None, event: dict) -> tuple[dict | None, str]:
     return state, "ignored"
 
 
-def terms_flow(events: DataFrame) -> DataFrame:
+def terms_flow(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Outcome of every event of every flow.
 
-    events: token, update_id, chat_id, action, text, step, option, ts.  State of a flow nobody touches is dropped.
+    events: token, update_id, chat_id, action, text, step, option, ts.  State nobody touches is dropped when the watermark
+    passes its lifetime.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -94,11 +95,11 @@ def terms_flow(events: DataFrame) -> DataFrame:
                 state.remove()
         else:
             state.update(tuple(current[f] for f in _FIELDS))
-            state.setTimeoutDuration(_TTL_MS)
+            state.setTimeoutTimestamp(max(current["touched"] + _TTL_MS, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out).astype({"selected": "Int64"})
 
-    return events.groupBy("token").applyInPandasWithState(
-        run, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+    return events.withWatermark("ts", late).groupBy("token").applyInPandasWithState(
+        run, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
