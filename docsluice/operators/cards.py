@@ -5,8 +5,8 @@ Everything about a page comes from that page, so the job is one narrow stage wit
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -245,8 +245,9 @@ def _override(both: Column) -> Column:
 
 def pick_field(fields: Column, *parts: str) -> Column:
     """Value of the first field whose key holds all parts; NULL if it is blank."""
-    keys_with = lambda f: reduce(lambda a, b: a & b, [F.lower(f["key"]).contains(p.lower()) for p in parts])
-    found = F.try_element_at(F.filter(fields, keys_with), F.lit(1))
+    # One look-ahead per part: a single match per key, compiled once.
+    holds = "(?iu)^" + "".join(f"(?=.*{re.escape(p)})" for p in parts)
+    found = F.try_element_at(F.filter(fields, lambda f: f["key"].rlike(holds)), F.lit(1))
     return F.nullif(tx.js_trim(found["value"]), F.lit(""))
 
 

@@ -179,7 +179,7 @@ FROM documents
 """,
 )
 def _normalize(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tx.normalize_evidence(F.col("text")).alias("norm"))
+    return t.spread("documents", "doc_id", "text").select("doc_id", tx.normalize_evidence(F.col("text")).alias("norm"))
 
 
 # Claims: every line of a document is claimed for that document, and for the next one, where it is grounded only if the
@@ -195,7 +195,8 @@ FROM documents d, (SELECT unnest([0, 1]) AS shift) o,
 
 
 def line_claims(t: Tables) -> DataFrame:
-    lines = t.documents.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    rows = t.spread("documents", "doc_id", "lang", "text")
+    lines = rows.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     rows = lines.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(1))))
     return rows.select(
         (F.col("doc_id") + F.col("shift")).alias("tender_id"),
@@ -211,7 +212,7 @@ def line_claims(t: Tables) -> DataFrame:
 
 
 def document_corpora(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("doc_id").alias("tender_id"), F.col("text").alias("corpus"))
+    return t.spread("documents", "doc_id", "text").select(F.col("doc_id").alias("tender_id"), F.col("text").alias("corpus"))
 
 
 def _sql_norm(expr: str) -> str:
@@ -250,7 +251,7 @@ FROM (SELECT *, string_split(text, chr(10)) AS lines FROM documents)"""
 def document_fields(t: Tables) -> DataFrame:
     lines = F.split("text", "\n")
     get = lambda i: F.try_element_at(lines, F.lit(i))
-    return t.documents.select(
+    return t.spread("documents", "doc_id", "lang", "source", "text").select(
         (F.col("doc_id") + F.when(F.col("lang") == "fr", 1).otherwise(0)).alias("tender_id"),
         get(1).alias("title"),
         get(1).alias("title_evidence"),

@@ -30,7 +30,8 @@ def document_files(t: Tables) -> DataFrame:
 def document_texts(t: Tables, paragraphs: bool = False) -> DataFrame:
     """(path, text); lines become paragraphs on demand, as the given texts have none."""
     text = F.replace("text", F.lit("\n"), F.lit("\n\n")) if paragraphs else F.col("text")
-    return t.documents.select(document_path().alias("path"), text.alias("text"))
+    rows = t.spread("documents", "doc_id", "source", "lang", "n_chars", "text")
+    return rows.select(document_path().alias("path"), text.alias("text"))
 
 
 @query(

@@ -157,7 +157,8 @@ SELECT *, too_short OR low_cyrillic OR mojibake OR fragmented AS needs_visual FR
 """,
 )
 def _quality(t: Tables) -> DataFrame:
-    return ex.score_layers(t.documents.select("doc_id", text_layer().alias("layer")), "layer").drop("layer")
+    rows = t.spread("documents", "doc_id", "lang", "n_chars", "text")
+    return ex.score_layers(rows.select("doc_id", text_layer().alias("layer")), "layer").drop("layer")
 
 
 @query(
@@ -168,7 +169,8 @@ FROM ({_SQL_SCRIPTS}) JOIN documents USING (doc_id) GROUP BY 1
 """,
 )
 def _scripts(t: Tables) -> DataFrame:
-    counts = t.documents.select("lang", tx.script_counts(text_layer()).alias("c"))
+    rows = t.spread("documents", "lang", "n_chars", "text")
+    counts = rows.select("lang", tx.script_counts(text_layer()).alias("c"))
     return counts.groupBy("lang").agg(*[F.sum(f"c.{n}").alias(n) for n in ("cyrillic", "latin", "cjk", "replacement")])
 
 

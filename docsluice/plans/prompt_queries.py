@@ -11,6 +11,7 @@ from docsluice.plans import policy_queries as pq
 from docsluice.plans.assembly_queries import _SQL_BUDGET, _SQL_NAME, source_files
 from docsluice.plans.registry import Tables, query, sql_collapse, sql_trim
 from docsluice.plans.search_queries import _BLOCK, _sql_hits, hits_with_documents
+from docsluice.session import spread
 
 
 @query(
@@ -213,7 +214,7 @@ def replies(t: Tables) -> DataFrame:
         .when(kind == "view", "не JSON")
         .otherwise(props)
     )
-    return t.events.select(F.col("event_id").alias("tender_id"), "event_type", reply.alias("reply"))
+    return spread(t.events).select(F.col("event_id").alias("tender_id"), "event_type", reply.alias("reply"))
 
 
 @query(
@@ -240,7 +241,7 @@ def _normalize_claims(t: Tables) -> DataFrame:
         F.lit('{"own":[{"name":"'), name, F.lit('","basis":" ","evidence":"'), words, F.lit('"},7],"ask":[{"name":" '), "source",
         F.lit('","reason":"because","evidence":"'), words, F.lit('"},]}'),
     )
-    parsed = prompts.read_replies(t.documents.select(F.col("doc_id").alias("tender_id"), reply.alias("reply")))
+    parsed = prompts.read_replies(spread(t.documents).select(F.col("doc_id").alias("tender_id"), reply.alias("reply")))
     claims = prompts.reply_claims(parsed, {"own": "self", "ask": "manager"})
     return claims.select("tender_id", "list", "name", "basis", "evidence")
 
@@ -256,7 +257,7 @@ def _normalize_card(t: Tables) -> DataFrame:
     reply = F.concat(
         F.lit('{"tenderTitle":" '), "source", F.lit('","priceInfo":'), price, F.lit(',"requiredDocumentNames":["'), "source", F.lit('"," ",3,"'), "lang", F.lit('"]}')
     )
-    parsed = prompts.read_replies(t.documents.select(F.col("doc_id").alias("tender_id"), reply.alias("reply")))
+    parsed = prompts.read_replies(spread(t.documents).select(F.col("doc_id").alias("tender_id"), reply.alias("reply")))
     card = prompts.reply_card(parsed)
     return card.select("tender_id", "title", "price_info", "deadline", F.array_join("document_names", ",").alias("names"))
 

@@ -26,7 +26,7 @@ FROM (SELECT *, {_WORDS} AS words FROM documents LEFT JOIN labels USING (doc_id)
 
 
 def result_documents(t: Tables) -> DataFrame:
-    rows = t.documents.join(t.labels, "doc_id", "left")
+    rows = t.spread("documents", "doc_id", "lang", "source", "n_chars", "text").join(t.labels, "doc_id", "left")
     words = F.trim(F.regexp_replace("text", "[^A-Za-z0-9]+", " "))
     q = F.col("quality")
     n = F.col("n_chars")
