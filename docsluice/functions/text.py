@@ -219,8 +219,6 @@ def chunk_pieces(c: Column, max_chars: int | None = None, overlap: int | None =
     """
     size, lap = chunk_limits(max_chars, overlap)
     step = size - lap
-    text = js_trim(F.regexp_replace(c, r"\r\n", "\n"))
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\n+"), js_trim), lambda p: p != "")
     none = F.array().cast("array<string>")
 
     def cut(p: Column) -> Column:
@@ -240,11 +238,17 @@ def chunk_pieces(c: Column, max_chars: int | None = None, overlap: int | None =
             F.when(long, F.concat(flushed(acc), cut(p))).when(fits, acc["out"]).otherwise(flushed(acc)).alias("out"),
         )
 
-    seed = F.struct(F.lit("").alias("buf"), none.alias("out"))
-    packed = F.aggregate(paragraphs, seed, pack, flushed)
-    # Most texts fit one chunk or hold one paragraph; neither needs the fold.
-    return F.when(text == "", none).when(F.size(paragraphs) == 1, F.when(F.length(text) > size, cut(text)).otherwise(
-        F.array(text))).otherwise(packed)
+    def packed(paragraphs: Column) -> Column:
+        seed = F.struct(F.lit("").alias("buf"), none.alias("out"))
+        return F.aggregate(paragraphs, seed, pack, flushed)
+
+    def pieces_of(text: Column) -> Column:
+        # Most texts hold one paragraph, which needs no fold.
+        single = F.when(text == "", none).when(F.length(text) > size, cut(text)).otherwise(F.array(text))
+        paragraphs = F.filter(F.transform(F.split(text, r"\n\n+"), js_trim), lambda p: p != "")
+        return F.when(text.contains("\n\n"), let(paragraphs, packed)).otherwise(single)
+
+    return let(js_trim(F.replace(c, F.lit("\r\n"), F.lit("\n"))), pieces_of)
 
 
 # Script ranges counted when the quality of a text layer is judged.

@@ -267,8 +267,11 @@ def customer_priority(key: Column) -> Column:
     contact = has(r"фамил|телефон|e-mail|email|факс|контактн\w*\s+лиц\w*(?!\s+заказчик)")
     named = has(r"наименование|организатор|инициатор|заказчик")
     name = has(r"наименование") & ~has(r"сокращ")
+    # Every rank needs one of these words, so most labels are settled by one search.
+    relevant = has(r"заказчик|инициатор|организатор|закупка\s+(?:проводится|осуществля)")
     return (
-        F.when((kl == "") | (F.length(kl) > 260) | (contact & ~named), 999)
+        F.when(~relevant, 999)
+        .when((kl == "") | (F.length(kl) > 260) | (contact & ~named), 999)
         .when(has(r"полное\s+наименование") & has(r"заказчик|инициатор|организатор"), 0)
         .when(name & has(r"заказчик|инициатор"), 1)
         .when(has(r"организатор\s+закупк|организатор\s+конкурсн"), 2)

@@ -145,10 +145,12 @@ def attachment_links(
         )
 
     def kept(r: Column) -> Column:
-        ok = host_allowed(r["url"], base, site) & is_attachment_link(r["url"], r["text"], r["relaxed"], site)
+        ok = is_attachment_link(r["url"], r["text"], r["relaxed"], site) & host_allowed(r["url"], base, site)
         return r["url"].isNotNull() & ok
 
-    links = F.filter(F.transform(F.concat(first, whole), link), kept)
+    # Links repeat within a page; equal ones are resolved and judged once.
+    distinct = F.array_distinct(F.concat(first, whole))
+    links = F.filter(F.transform(distinct, link), kept)
     rows = pages.select(key, links.alias("links")).select(key, "links", F.array_distinct(F.transform("links", lambda r: r["url"])).alias("urls"))
     rows = rows.select(key, "links", F.posexplode("urls").alias("ord", "url"))
     text = F.filter("links", lambda r: r["url"] == F.col("url"))[0]["text"]

@@ -115,7 +115,7 @@ def _pairs(t: Tables) -> DataFrame:
 @query(
     "labelled_hints",
     f"""
-SELECT doc_id, 'Заказчик' AS key, substring({sql_collapse("regexp_extract(line, '^([^\\n\\r.]{4,240})', 1)")}, 1, 400) AS value FROM (
+SELECT doc_id, 'Заказчик' AS key, CASE WHEN length(line) = 3 THEN line ELSE {sql_collapse("regexp_extract(line, '^([^\n\r.]{4,240})', 1)")} END AS value FROM (
   SELECT doc_id, ltrim(regexp_replace({sql_collapse('text')}, '[.]', '', 'g')) AS line FROM documents) WHERE length(line) >= 3
 """,
 )
