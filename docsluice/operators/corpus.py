@@ -187,9 +187,9 @@ def index_stats(chunks: DataFrame, embedding: str = "embedding") -> DataFrame:
 
 
 def manifest(chunks: DataFrame, scan: DataFrame, settings: dict[str, str | int | None]) -> DataFrame:
-    """The one-row index manifest; both inputs are single-row aggregates."""
-    row = index_stats(chunks).join(scan, F.lit(True), "inner")
-    return row.select("*", *[F.lit(v).alias(k) for k, v in settings.items()])
+    """The one-row index manifest; the scan's single row enters as scalars."""
+    scanned = [scan.select(c).scalar().alias(c) for c in scan.columns]
+    return index_stats(chunks).select("*", *scanned, *[F.lit(v).alias(k) for k, v in settings.items()])
 
 
 def build_index(

@@ -81,11 +81,10 @@ def tree_paths(
 def manifest_summary(nodes: DataFrame, root: str, max_depth: int = MAX_DEPTH, max_files: int = MAX_FILES) -> DataFrame:
     """One row: files, folders visited (the root too), and whether the cap was reached."""
     folders = folder_paths(nodes, root, max_depth)
-    n_folders = folders.agg((F.count("*") + 1).alias("folder_count"))
+    n_folders = folders.agg((F.count("*") + 1).alias("n")).scalar()
     n_files = tree_paths(nodes, root, max_depth, None, folders).agg(F.count("*").alias("n"))
-    joined = n_files.join(n_folders, F.lit(True))
-    return joined.select(
-        F.least(F.col("n"), F.lit(max_files)).alias("file_count"), "folder_count", (F.col("n") >= max_files).alias("capped")
+    return n_files.select(
+        F.least(F.col("n"), F.lit(max_files)).alias("file_count"), n_folders.alias("folder_count"), (F.col("n") >= max_files).alias("capped")
     )
 
 
