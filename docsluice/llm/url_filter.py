@@ -84,7 +84,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
     first_rate = min(0.5, max(1e-9, n * math.sqrt(0.5) / max(1, total)))
     levels = [_level(listed, n, first_rate, 0)]
     inside = listed
-    false = checkpoint(universe.where(levels[0].holds(F.col("key"))).join(F.broadcast(listed) if n < 10_000 else listed, "key", "left_anti"))
+    false = checkpoint(universe.where(levels[0].holds(F.col("key"))).join(listed, "key", "left_anti"))
     left = false.count()
     while left:
         levels.append(_level(false, left, 0.5, len(levels)))
@@ -122,6 +122,12 @@ def keys_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
+def _fitting(levels: list[Level], verdict: str) -> Column:
+    """The keys of a url that are listed under a verdict, each with its length in front."""
+    fits = F.filter("keys", lambda k: member(levels, k))
+    return F.transform(fits, lambda k: F.struct(F.length(k).alias("n"), F.lit(verdict).alias("v"), k.alias("k")))
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict): the longest rule that fits a page's url, else the default.
 
@@ -136,8 +142,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, defa
     for verdict in ("allow", "block"):
         listed = [(h + p,) for h, p, v in dict.fromkeys(rules) if v == verdict]
         levels = build_cascade(spark.createDataFrame(sorted(set(listed)), "key string"), universe) if listed else []
-        fits = F.filter("keys", lambda k, levels=levels: member(levels, k))
-        found[verdict] = F.transform(fits, lambda k, v=verdict: F.struct(F.length(k).alias("n"), F.lit(v).alias("v"), k.alias("k")))
+        found[verdict] = _fitting(levels, verdict)
     best = F.array_max(F.concat(found["allow"], found["block"]))
     judged = parts.select("page_id", "host", "path", best.alias("best"))
     return judged.select(
