@@ -48,11 +48,14 @@ class Memo(dict):
             value = self.make(key)
             if len(key) > 64:
                 return value
+        self.put(key, value)
+        return value
+
+    def put(self, key: str, value) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 def byte_letters() -> list[str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsluice.llm import bpe, url_filter
+from docsluice.llm import bpe, packing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,8 @@ def _url_filter(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op7_bpe_codec")
 def _bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest_documents(_table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@_query("op9_pattern_packing")
+def _pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
