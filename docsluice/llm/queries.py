@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsluice.llm import bpe, packing, url_filter
+from docsluice.llm import bpe, packing, quality, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,16 @@ def tokenizer_file(name: str) -> str:
     return os.fspath(public_tokenizers.path(name))
 
 
+@_query("op4_suffix_dedup")
+def _suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digest(_table(spark, folder, "documents"))
+
+
+@_query("op5_quality_network")
+def _quality_network(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 @_query("op6_url_filter", url_filter.SQL)
 def _url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, folder, "pages"))

@@ -140,8 +140,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, defa
     universe = checkpoint(parts.select(F.explode("keys").alias("key")).distinct())
     found = {}
     for verdict in ("allow", "block"):
-        listed = [(h + p,) for h, p, v in dict.fromkeys(rules) if v == verdict]
-        levels = build_cascade(spark.createDataFrame(sorted(set(listed)), "key string"), universe) if listed else []
+        listed = [h + p for h, p, v in dict.fromkeys(rules) if v == verdict]
+        keys = spark.range(1).select(F.explode(F.array(*map(F.lit, sorted(set(listed))))).alias("key")) if listed else None
+        levels = build_cascade(keys, universe) if listed else []
         found[verdict] = _fitting(levels, verdict)
     best = F.array_max(F.concat(found["allow"], found["block"]))
     judged = parts.select("page_id", "host", "path", best.alias("best"))
