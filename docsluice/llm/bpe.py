@@ -29,7 +29,7 @@ from docsluice.llm.common import texts
 # The splitting pattern and the special tokens of the vocabulary file's own format.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-MEMO_CHUNKS = 200_000  # remembered chunks per generation of a task's table; two generations are kept
+MEMO_CHUNKS = 300_000  # remembered chunks per generation of a task's table; two generations are kept
 # Letters that every Unicode version since 6 classes alike; other chunks are split by the library's own splitter.
 _KNOWN = regex.compile(r"[\x00-\u0233\u0386-\u03ce\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
 
@@ -89,7 +89,7 @@ class WordBpe:
         self.words = regex.compile(WORDS)
         self.library = Tokenizer.from_file(path)
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in self.specials) + ")") if self.specials else None
-        self.word_ids = Memo(lambda w: [self.ids[t] for t in self.encode_word(w) if t in self.ids])
+        self.word_ids = Memo(self._ids_of_word)
         self.pairs: dict[tuple[str, str], bool] = {}
         # Only tokens that the merges can build on their own take part.
         self.matches = ahocorasick.Automaton()
@@ -158,6 +158,11 @@ class WordBpe:
             else:
                 return True
 
+    def _ids_of_word(self, word: str) -> list[int]:
+        if word in self.specials:
+            return [self.specials[word]]
+        return [self.ids[t] for t in self.encode_word(word) if t in self.ids]
+
     def encode_word(self, word: str) -> list[str]:
         """Tokens of one word of byte letters."""
         text, n = word + WORD_END, len(word)
@@ -190,14 +195,16 @@ class WordBpe:
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a text without white space between words (white space is allowed and separates)."""
-        ids: list[int] = []
-        for piece in self.split.split(chunk) if self.split and "<|" in chunk else [chunk]:
-            if piece in self.specials:
-                ids.append(self.specials[piece])
-                continue
-            for word in self.split_words(piece):
-                ids += self.word_ids[word]
-        return ids
+        return [i for word in self.words_of(chunk) for i in self.word_ids[word]]
+
+    def words_of(self, chunk: str) -> list[str]:
+        """Words and special tokens of a chunk; each is a key of ``word_ids``."""
+        if "<|" not in chunk or not self.split:
+            return self.split_words(chunk)
+        words: list[str] = []
+        for piece in self.split.split(chunk):
+            words += [piece] if piece in self.specials else self.split_words(piece)
+        return words
 
     def split_words(self, piece: str) -> list[str]:
         """Words of a text as byte letters: normalised, lower-cased, split by the pattern."""
@@ -225,9 +232,19 @@ def digest_memo(path: str) -> Memo:
     """Chunk to (number of ids, ids in decimal, decoded text)."""
     bpe = vocabulary(path)
 
+    def make_word(word: str) -> tuple[int, bytes, bytes]:
+        ids = bpe._ids_of_word(word)
+        return len(ids), b" ".join([b"%d" % i for i in ids]), decode_ids(ids, bpe).encode("utf-8")
+
+    of_word = Memo(make_word)
+
     def make(chunk: str) -> tuple[int, bytes, bytes]:
-        ids = bpe.encode_chunk(chunk)
-        return len(ids), b" ".join(b"%d" % i for i in ids), decode_ids(ids, bpe).encode("utf-8")
+        if chunk.isascii() and chunk.isalpha():
+            return of_word[chunk.lower()]
+        found = [f for f in map(of_word.__getitem__, bpe.words_of(chunk)) if f[0]]
+        if len(found) == 1:
+            return found[0]
+        return sum(f[0] for f in found), b" ".join([f[1] for f in found]), b" ".join([f[2] for f in found])
 
     return Memo(make)
 

@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docsluice.llm import bpe, packing, quality, suffix_dedup, url_filter
+from docsluice.llm import ann, bpe, packing, quality, suffix_dedup, url_filter, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +35,11 @@ def tokenizer_file(name: str) -> str:
     return os.fspath(public_tokenizers.path(name))
 
 
+@_query("op1_posting_lists")
+def _posting_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @_query("op4_suffix_dedup")
 def _suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.digest(_table(spark, folder, "documents"))
@@ -54,6 +60,11 @@ def _bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest_documents(_table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+@_query("op8_multi_index_dedup")
+def _multi_index_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 @_query("op9_pattern_packing")
 def _pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
