@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsluice.llm import ann, bpe, packing, quality, suffix_dedup, url_filter, vector_dedup
+from docsluice.llm import ann, bpe, minhash, packing, quality, suffix_dedup, url_filter, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,11 @@ def _posting_lists(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@_query("op3_bottom_k_dedup")
+def _bottom_k_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"), width=2)
+
+
 @_query("op4_suffix_dedup")
 def _suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.digest(_table(spark, folder, "documents"))
