@@ -30,43 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsluice.llm.common import PIECE_BYTES, checkpoint, mix64, utf8_rows
+from docsluice.llm.common import PIECE_BYTES, Bytes, checkpoint, mix64, utf8_rows
 
 SIZE = 100  # bytes of a repeated string
-GRAM = 24  # bytes of an anchor
+GRAM = 36  # bytes of an anchor: longer ones are more often unique, shorter ones fewer
 BROADCAST_IDS = 2_000_000  # ids that may travel to the scan (16 MB); more are met by a shuffle join
 
-_ROOT = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_LETTERS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _SHIFT = np.uint64(21)
 _MASK = np.uint64((1 << 21) - 1)
-_powers: list[np.ndarray] = []
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the root and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
-        inverse = np.uint64(pow(int(_ROOT), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 20), r, np.uint64)]).cumprod(dtype=np.uint64) for r in (_ROOT, inverse)]
-    return _powers[0], _powers[1]
-
-
-class Bytes:
-    """Hashes of ranges of a byte array."""
-
-    def __init__(self, raw: np.ndarray):
-        up, self.down = _tables(len(raw) + 1)
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_LETTERS[raw] * up[: len(raw)], out=self.sums[1:], dtype=np.uint64)
-
-    def hash(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Scrambled identifiers of [first, last)."""
-        return mix64((self.sums[last] - self.sums[first]) * self.down[first])
-
-    def grams(self, q: int) -> np.ndarray:
-        n = len(self.sums) - q
-        return mix64((self.sums[q:] - self.sums[:n]) * self.down[:n])
 
 
 def _segments(bounds: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -181,7 +152,11 @@ def _suffixes(size: int, gram: int):
     return work
 
 
-def _windows(size: int, gram: int):
+_SPANS = "h long, doc_id long, first long, body binary"
+
+
+def _spans(size: int, gram: int):
+    """Of each wanted anchor the bytes its windows cover: the windows a q-gram is the anchor of start side by side."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, bounds = utf8_rows(batch.column(1))
@@ -189,15 +164,39 @@ def _windows(size: int, gram: int):
             spots, edges = batch.column(2).flatten().to_numpy(zero_copy_only=False), np.asarray(batch.column(2).offsets)
             wanted = np.repeat(np.arange(len(ids)), np.diff(edges)).astype(np.int64) << 40 | spots
             wanted.sort()
-            found = []
             for a in anchors(raw, bounds, size, gram):
                 key = a["w_row"].astype(np.int64) << 40 | a["w_anchor"]
                 at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-                ours = wanted[at] == key
-                s = a["w_start"][ours]
-                found.append((a["w_gram"][ours], a["w_id"][ours].view(np.int64), ids[a["w_row"][ours]], _pack(s, np.zeros_like(s), np.full_like(s, size))))
-            if found:
-                yield _settle(*(np.concatenate(x) for x in zip(*found)))
+                ours = np.flatnonzero(wanted[at] == key)
+                if not len(ours):
+                    continue
+                new = np.ones(len(ours), bool)
+                new[1:] = key[ours[1:]] != key[ours[:-1]]
+                heads = np.flatnonzero(new)
+                lead, tail = ours[heads], ours[np.append(heads[1:], len(ours)) - 1]
+                start = bounds[a["w_row"][lead]] + a["w_start"][lead]
+                stop = bounds[a["w_row"][tail]] + a["w_start"][tail] + size
+                body = pa.array([raw[i:j].tobytes() for i, j in zip(start, stop)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(a["w_gram"][lead]), pa.array(ids[a["w_row"][lead]]), pa.array(a["w_start"][lead]), body], ["h", "doc_id", "first", "body"])
+
+    return work
+
+
+def _windows(size: int):
+    """Every window of a span with its identifier."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                raw, bounds = utf8_rows(some.column(3))
+                n = np.diff(bounds) - size + 1
+                row = np.repeat(np.arange(len(n)), n)
+                shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                first = bounds[row] - bounds[0] + shift
+                ids = Bytes(raw[bounds[0] : bounds[-1]]).hash(first, first + size).view(np.int64)
+                h, doc, start = (some.column(i).to_numpy(zero_copy_only=False)[row] for i in range(3))
+                start = start + shift
+                yield _settle(h, ids, doc, _pack(start, np.zeros_like(start), np.full_like(start, size)))
 
     return work
 
@@ -270,8 +269,10 @@ def repeated_ranges(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Data
     first = checkpoint(sorted_rows.mapInArrow(_refine(True), "doc_id long, lo long, hi long"))
     split = first.where("hi is null").groupBy("doc_id").agg(F.sort_array(F.collect_set("lo")).alias("spots"))  # anchors of one document
     texts = with_ids(body, first.where("hi is null").select("doc_id").distinct()).dropDuplicates(["doc_id"])
-    again = texts.join(split, "doc_id").select("doc_id", "text", "spots").mapInArrow(_windows(size, gram), _ROWS)
-    second = again.repartition("h", "c").sortWithinPartitions("h", "c", "doc_id", "at").mapInArrow(_refine(False), "doc_id long, lo long, hi long")
+    spans = texts.join(split, "doc_id").select("doc_id", "text", "spots").mapInArrow(_spans(size, gram), _SPANS)
+    # Windows are made behind the shuffle and sorted where they are; the sort spills if a bucket is large.
+    again = spans.repartition("h").mapInArrow(_windows(size), _ROWS).sortWithinPartitions("h", "c", "doc_id", "at")
+    second = again.mapInArrow(_refine(False), "doc_id long, lo long, hi long")
     return checkpoint(first.where("hi is not null").unionAll(second))
 
 
