@@ -29,14 +29,21 @@ def local_session(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; only a session without one gets its own."""
+    """Use the shared folder named in ``spark.checkpoint.dir``; where it is unset, a local session gets a temporary
+    folder and a cluster a folder beside its tables."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
+    if context.getCheckpointDir():
         return
     shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docsluice-checkpoint-"))
+    if not shared and context.master.startswith("local"):
+        shared = tempfile.mkdtemp(prefix="docsluice-checkpoint-")
+    context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This session's own folder for written tables, where driver and executors both reach it."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
