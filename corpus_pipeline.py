@@ -1,13 +1,54 @@
-"""Documents to packed training sequences: stages that each take the rows their predecessor kept."""
+"""Documents to packed training sequences: stages that each take the rows their predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+stage's documents.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
-ORACLE_SQL = None
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from docsluice.llm import minhash, packing, quality, suffix_dedup
+from docsluice.llm.queries import tokenizer_file
+from docsluice.session import shared_folder
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality network does not reject."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    return minhash.keep_first(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings of 100 bytes that stand earlier."""
+    return suffix_dedup.remove_repeats(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in training sequences."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("best-fit packing", packed),
+]
+ORACLE_SQL = None  # no stage can be stated in SQL
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the session's shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    out = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    for n, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{out}/{n}")
+        docs = spark.read.parquet(f"{out}/{n}")
     return docs

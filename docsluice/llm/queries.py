@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsluice.llm import ann, bpe, minhash, packing, quality, suffix_dedup, url_filter, vector_dedup
+from docsluice.llm import ann, bpe, license_scan, minhash, packing, quality, suffix_dedup, token_counts, url_filter, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,11 @@ def _posting_lists(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@_query("op2_trie_token_counts")
+def _trie_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @_query("op3_bottom_k_dedup")
 def _bottom_k_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"), width=2)
@@ -73,3 +78,8 @@ def _multi_index_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op9_pattern_packing")
 def _pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@_query("op10_fuzzy_licenses")
+def _fuzzy_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_documents(_table(spark, folder, "documents"))
