@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,32 +30,30 @@ from docsluice.llm.common import texts
 # The splitting pattern and the special tokens of the vocabulary file's own format.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-MEMO_CHUNKS = 300_000  # remembered chunks per generation of a task's table; two generations are kept
+MEMO_CHUNKS = 1_000_000  # remembered chunks of a worker process
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 # Letters that every Unicode version since 6 classes alike; other chunks are split by the library's own splitter.
 _KNOWN = regex.compile(r"[\x00-\u0233\u0386-\u03ce\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
 
 
 class Memo(dict):
-    """What a key leads to, computed on first sight.  Bounded: a full table becomes the old generation and the old one
-    goes, so what is in use stays."""
+    """What a key leads to, computed on first sight.  Bounded: a full table drops the half it has known longest."""
 
     def __init__(self, make, limit: int = MEMO_CHUNKS):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit = make, limit
 
     def __missing__(self, key: str):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-            if len(key) > 64:
-                return value
-        self.put(key, value)
+        value = self.make(key)
+        if len(key) <= 64:
+            self.put(key, value)
         return value
 
     def put(self, key: str, value) -> None:
         if len(self) >= self.limit:
-            self.old = dict(self)
+            kept = list(self.items())[self.limit // 2 :]
             self.clear()
+            self.update(kept)
         self[key] = value
 
 
@@ -68,6 +67,21 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+_WORDS = regex.compile(WORDS)
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 \t\n\x0b\x0c\r]+")
+
+
+def plain_words(piece: str) -> list[str] | None:
+    """Normalised, lower-cased words of a text without special tokens; None if it has letters that need the library."""
+    if piece.isascii():
+        plain = piece.lower()
+        return [plain] if plain.isalpha() else _ASCII_WORDS.findall(plain)
+    if not _KNOWN.fullmatch(piece):
+        return None
+    plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+    return [plain] if _LATIN.fullmatch(plain) else _WORDS.findall(plain)
+
+
 class WordBpe:
     """A vocabulary file of the tokenizers library: BPE with word ends over byte letters."""
 
@@ -86,10 +100,9 @@ class WordBpe:
                 self.parts[a + b], self.made[a + b] = (a, b), r
         self.letters = byte_letters()
         self.table = {b: c for b, c in enumerate(self.letters)}
-        self.words = regex.compile(WORDS)
         self.library = Tokenizer.from_file(path)
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in self.specials) + ")") if self.specials else None
-        self.word_ids = Memo(self._ids_of_word)
+        self.word_ids = Memo(self._ids_of_word, MEMO_CHUNKS // 2)
         self.pairs: dict[tuple[str, str], bool] = {}
         # Only tokens that the merges can build on their own take part.
         self.matches = ahocorasick.Automaton()
@@ -208,9 +221,9 @@ class WordBpe:
 
     def split_words(self, piece: str) -> list[str]:
         """Words of a text as byte letters: normalised, lower-cased, split by the pattern."""
-        if _KNOWN.fullmatch(piece):
-            plain = piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-            return [w if w.isalpha() and w.isascii() else w.encode("utf-8").decode("latin-1").translate(self.table) for w in self.words.findall(plain.lower())]
+        words = plain_words(piece)
+        if words is not None:
+            return [w if w.isalpha() and w.isascii() else w.encode("utf-8").decode("latin-1").translate(self.table) for w in words]
         plain = self.library.normalizer.normalize_str(piece)
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
 
@@ -236,7 +249,7 @@ def digest_memo(path: str) -> Memo:
         ids = bpe._ids_of_word(word)
         return len(ids), b" ".join([b"%d" % i for i in ids]), decode_ids(ids, bpe).encode("utf-8")
 
-    of_word = Memo(make_word)
+    of_word = Memo(make_word, MEMO_CHUNKS // 2)
 
     def make(chunk: str) -> tuple[int, bytes, bytes]:
         if chunk.isascii() and chunk.isalpha():

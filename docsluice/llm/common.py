@@ -48,6 +48,13 @@ def groups_of_rows(bounds: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tup
         first = last
 
 
+def slices(batch: pa.RecordBatch, column: int = 1, limit: int = 4 * PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a few megabytes of text each."""
+    _, bounds = utf8_rows(batch.column(column))
+    for a, b in groups_of_rows(bounds, limit):
+        yield batch.slice(a, b - a)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit numbers."""
     x = x.astype(np.uint64, copy=True)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsluice.llm.common import PIECE_BYTES, Bytes, checkpoint, components, groups_of_rows, mix64, utf8_rows
+from docsluice.llm.common import PIECE_BYTES, Bytes, checkpoint, components, groups_of_rows, mix64, slices, utf8_rows
 from docsluice.llm.suffix_dedup import with_ids
 
 K = 20  # retained values
@@ -106,18 +106,11 @@ def _body(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of a few megabytes of text."""
-    _, bounds = utf8_rows(batch.column(1))
-    for a, b in groups_of_rows(bounds, 4 * PIECE_BYTES):
-        yield batch.slice(a, b - a)
-
-
 def sketches(docs: DataFrame, width: int, k: int = K) -> DataFrame:
     """(doc_id, n, key_a, key_b, kept): size of the set, its 128-bit identity, and the k least hashes in order."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices(whole):
                 h, edge = shingle_sets(*utf8_rows(batch.column(1)), width)
                 size = np.diff(edge)
                 some = np.flatnonzero(size)
@@ -218,7 +211,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices(whole):
                 h, edge = shingle_sets(*utf8_rows(batch.column(1)), width)
                 lists = pa.array([h[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "h"])

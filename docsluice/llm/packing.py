@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docsluice.llm.bpe import Memo, chunks_of
+from docsluice.llm.bpe import MEMO_CHUNKS, Memo, chunks_of, plain_words
 from docsluice.llm.common import checkpoint, texts
 
 SIZE = 4096  # tokens in a sequence
@@ -35,30 +36,39 @@ GRID = 64  # lengths of patterns are fitted on this many steps; rounding down of
 
 
 class LibraryIds:
-    """Ids of whole texts by the tokenizers library; chunks between white space are remembered by the worker process.
+    """Ids of whole texts by the tokenizers library; words and chunks between white space are remembered by the worker.
 
-    White space separates words in this vocabulary and is dropped, so the ids of a text are those of its chunks.
+    White space separates words in this vocabulary and is dropped, so the ids of a text are those of its chunks, and
+    those of a chunk are those of its words.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo = Memo(lambda chunk: self._ids([chunk])[0])
+        self.words = Memo(lambda word: self._ids([word])[0], MEMO_CHUNKS // 2)
+        self.memo = Memo(self._chunk)
 
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _ids(self, some: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+
+    def _chunk(self, chunk: str) -> bytes:
+        words = None if "<|" in chunk else plain_words(chunk)
+        if words is None:
+            return self._ids([chunk])[0]
+        return self.words[words[0]] if len(words) == 1 else b"".join([self.words[w] for w in words])
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Unsigned 32-bit little-endian ids of each text."""
-        rows = [chunks_of(t) for t in batch]
-        memo, old = self.memo, self.memo.old
-        todo = [c for c in set().union(*rows) if c not in memo and c not in old]
-        for i in range(0, len(todo), 4096):
-            part = todo[i : i + 4096]
-            for chunk, ids in zip(part, self._ids(part)):
-                if len(chunk) <= 64:
-                    memo.put(chunk, ids)
+        rows, memo, known = [chunks_of(t) for t in batch], self.memo, self.words
+        fresh: set[str] = set()
+        for chunk in set().union(*rows).difference(memo):
+            if "<|" not in chunk:
+                fresh.update(w for w in plain_words(chunk) or () if w not in known)
+        todo = list(fresh)
+        for i in range(0, len(todo), 4096):  # new words go to the library together
+            for word, ids in zip(todo[i : i + 4096], self._ids(todo[i : i + 4096])):
+                known.put(word, ids)
         return [b"".join([memo[c] for c in row]) for row in rows]
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsluice.llm.common import PIECE_BYTES, Bytes, checkpoint, mix64, utf8_rows
+from docsluice.llm.common import PIECE_BYTES, Bytes, checkpoint, mix64, slices, utf8_rows
 
 SIZE = 100  # bytes of a repeated string
 GRAM = 36  # bytes of an anchor: longer ones are more often unique, shorter ones fewer
@@ -142,7 +142,7 @@ def merge(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
 
 def _suffixes(size: int, gram: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             raw, bounds = utf8_rows(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             found = [(a["gram"], a["context"], ids[a["row"]], _pack(a["at"], a["left"], a["right"])) for a in anchors(raw, bounds, size, gram)]
@@ -158,7 +158,7 @@ _SPANS = "h long, doc_id long, first long, body binary"
 def _spans(size: int, gram: int):
     """Of each wanted anchor the bytes its windows cover: the windows a q-gram is the anchor of start side by side."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             raw, bounds = utf8_rows(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             spots, edges = batch.column(2).flatten().to_numpy(zero_copy_only=False), np.asarray(batch.column(2).offsets)

@@ -15,7 +15,7 @@ empty table gives an empty result.  Columns other than doc_id and text play no p
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -57,7 +57,7 @@ class Unigram:
                 best = max(best, (score + piece, tokens - 1))
         return best
 
-    def count_all(self, words: list[str]) -> dict[str, int]:
+    def count_all(self, words: Iterable[str]) -> dict[str, int]:
         """Tokens of each distinct word: depth first through their trie, which is their sorted order."""
         out, forward, before = {}, [(0.0, 0)], ""
         for word in sorted(words):
@@ -74,9 +74,8 @@ class Unigram:
     def count_texts(self, batch: list[str]) -> list[tuple[int, int]]:
         """(pre-tokens, tokens) of each text."""
         rows = [[MARK + w for w in t.split()] for t in batch]
-        known, old = self.counts, self.counts.old
-        new = [w for w in set().union(*rows) if w not in known and w not in old]
-        fresh = self.count_all(new)
+        known = self.counts
+        fresh = self.count_all(set().union(*rows).difference(known))
         for word, n in fresh.items():
             if len(word) <= 64:
                 known.put(word, n)
