@@ -263,12 +263,12 @@ def digest_memo(path: str) -> Memo:
 
 
 # Control characters that str.split takes for white space and the vocabulary's pattern does not.
-_ODD_SPACE = regex.compile("[\x1c-\x1f]")
+_ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPACE = regex.compile(r"[^\S\x1c-\x1f]+")
 
 
 def chunks_of(text: str) -> list[str]:
-    if _ODD_SPACE.search(text):
+    if any(c in text for c in _ODD_SPACE):
         return [c for c in _SPACE.split(text) if c]
     return text.split()
 

@@ -61,14 +61,14 @@ class LibraryIds:
     def encode(self, batch: list[str]) -> list[bytes]:
         """Unsigned 32-bit little-endian ids of each text."""
         rows, memo, known = [chunks_of(t) for t in batch], self.memo, self.words
-        fresh: set[str] = set()
-        for chunk in set().union(*rows).difference(memo):
-            if "<|" not in chunk:
-                fresh.update(w for w in plain_words(chunk) or () if w not in known)
-        todo = list(fresh)
+        words_of = {c: None if "<|" in c else plain_words(c) for c in set().union(*rows).difference(memo)}
+        todo = list({w for words in words_of.values() if words for w in words if w not in known})
         for i in range(0, len(todo), 4096):  # new words go to the library together
             for word, ids in zip(todo[i : i + 4096], self._ids(todo[i : i + 4096])):
                 known.put(word, ids)
+        for chunk, words in words_of.items():
+            if words and len(chunk) <= 64:
+                memo.put(chunk, known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]))
         return [b"".join([memo[c] for c in row]) for row in rows]
 
 
