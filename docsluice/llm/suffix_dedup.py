@@ -268,7 +268,7 @@ def repeated_ranges(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Data
     sorted_rows = body.mapInArrow(_suffixes(size, gram), _ROWS).repartition("h").sortWithinPartitions("h", "c", "doc_id", "at")
     first = checkpoint(sorted_rows.mapInArrow(_refine(True), "doc_id long, lo long, hi long"))
     split = first.where("hi is null").groupBy("doc_id").agg(F.sort_array(F.collect_set("lo")).alias("spots"))  # anchors of one document
-    texts = with_ids(body, first.where("hi is null").select("doc_id").distinct()).dropDuplicates(["doc_id"])
+    texts = with_ids(body, first.where("hi is null").select("doc_id").distinct())
     spans = texts.join(split, "doc_id").select("doc_id", "text", "spots").mapInArrow(_spans(size, gram), _SPANS)
     # Windows are made behind the shuffle and sorted where they are; the sort spills if a bucket is large.
     again = spans.repartition("h").mapInArrow(_windows(size), _ROWS).sortWithinPartitions("h", "c", "doc_id", "at")
