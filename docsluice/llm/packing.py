@@ -61,7 +61,7 @@ class LibraryIds:
     def encode(self, batch: list[str]) -> list[bytes]:
         """Unsigned 32-bit little-endian ids of each text."""
         rows, memo, known = [chunks_of(t) for t in batch], self.memo, self.words
-        words_of = {c: None if "<|" in c else plain_words(c) for c in set().union(*rows).difference(memo)}
+        words_of = {c: None if "<|" in c else plain_words(c) for c in set().union(*rows) if c not in memo}
         todo = list({w for words in words_of.values() if words for w in words if w not in known})
         for i in range(0, len(todo), 4096):  # new words go to the library together
             for word, ids in zip(todo[i : i + 4096], self._ids(todo[i : i + 4096])):
