@@ -66,9 +66,9 @@ def fragments(html: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(html, F.lit("(?i)" + pattern), F.lit(group))
 
 
-def headings(html: Column, limit: int = 16) -> Column:
+def headings(html: Column) -> Column:
     found = F.transform(fragments(html, r"<h([1-3])\b[^>]*>([\s\S]*?)</h\1>", 2), strip_html)
-    return F.slice(F.filter(found, lambda t: F.length(t) >= 2), 1, limit)
+    return F.filter(found, lambda t: F.length(t) >= 2)
 
 
 def title_tag(html: Column) -> Column:

@@ -4,15 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ordered_bucket(value: Column, df: DataFrame, buckets: int = 256) -> Column:
-    """Order-preserving bucket of a numeric column: equal widths between its least and greatest value."""
-    v = value.cast("double")
-    low, high = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
-    if low is None or high == low:
-        return F.lit(0)
-    return F.least(F.lit(buckets - 1), F.floor((v - low) / (high - low) * buckets).cast("int"))
+    """Order-preserving bucket of a column: 0 for NULL, which sorts first, then quantiles.
+
+    Bounds are approximate percentiles of numbers, dates and times, and of any other type the quantiles of a bounded
+    sample of its distinct values; one job measures them.
+    """
+    kind = df.select(value.alias("v")).schema["v"].dataType
+    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType)):
+        v = F.unix_date(value) if isinstance(kind, T.DateType) else value.cast("double")
+        shares = [i / buckets for i in range(1, buckets)]
+        bounds = df.agg(F.percentile_approx(v, shares, 10_000)).first()[0]
+    else:
+        v = value
+        distinct = df.select(v.alias("v")).where(F.col("v").isNotNull()).distinct()
+        taken = distinct.orderBy(F.xxhash64("v")).limit(buckets * 16).agg(F.sort_array(F.collect_list("v"))).first()[0]
+        bounds = [taken[len(taken) * i // buckets] for i in range(1, buckets)] if taken else None
+    return F.when(v.isNull(), 0).otherwise(_place(v, sorted(set(bounds or [])), 1))
+
+
+def _place(v: Column, bounds: list, first: int) -> Column:
+    """``first`` plus the number of bounds at or below a value, as a balanced tree of comparisons."""
+    if not bounds:
+        return F.lit(first)
+    mid = len(bounds) // 2
+    return F.when(v < F.lit(bounds[mid]), _place(v, bounds[:mid], first)).otherwise(_place(v, bounds[mid + 1 :], first + mid + 1))
 
 
 def distributed_rank(

@@ -125,8 +125,6 @@ CANCEL_WORDS = r"отмен|аннулир|прекращ|недейств|от
 CHANGE_WORDS = r"изменен|изменён|корректиров|дополнен"
 DOCS_HEADER = r"Аукционные\s+документы"
 DOCS_END = r"События\s+в\s+хронологическом|конкурсн(?:ые|ыя)\s+документы|закупк(?:и|а)\s*:\s*документы"
-DOCS_MAX_CHARS = 220_000
-MAX_HINTS, MAX_EVENTS, MAX_HEADINGS, MAX_EVENT_SECTION = 12, 80, 16, 12_000
 WARN_SHORT = "HTML карточки слишком короткий — возможно обрезка или ответ не полной страницы."
 WARN_NO_EVENTS = "Блок хронологии событий не найден — проверьте вручную на площадке."
 WARN_TITLE = (
@@ -171,8 +169,8 @@ def table_rows(html: Column) -> Column:
 
 def _table_fields(html: Column) -> Column:
     def field(cells: Column) -> Column:
-        key = F.substring(tx.js_trim(F.regexp_replace(cells[0], r":\s*$", "")), 1, 220)
-        value = F.substring(tx.collapse_ws(F.array_join(F.slice(cells, 2, 10_000), " ")), 1, 12_000)
+        key = tx.js_trim(F.regexp_replace(cells[0], r":\s*$", ""))
+        value = tx.collapse_ws(F.array_join(F.slice(cells, F.lit(2), F.size(cells)), " "))
         header = matches(key, r"^№\s*лота$") & matches(cells[1], r"^предмет\s+закупки$")
         lots = matches(key, r"^лоты|раскрыть\s+все\s+лоты|свернуть\s+все\s+лоты$")
         ok = (F.length(key) >= 2) & (F.length(value) >= 1) & ~lots & ~header
@@ -189,7 +187,7 @@ def _hint_fields(html: Column, plain: Column) -> Column:
         labels,
         values,
         lambda k, v: F.struct(
-            F.substring(tx.collapse_ws(k), 1, 60).alias("key"), F.substring(tx.collapse_ws(v), 1, 400).alias("value")
+            tx.collapse_ws(k).alias("key"), tx.collapse_ws(v).alias("value")
         ),
     )
     return F.concat(F.filter(lines, lambda f: (F.length(f["key"]) >= 3) & (f["value"] != "")), dl_pairs(html))
@@ -202,7 +200,7 @@ def dl_pairs(html: Column) -> Column:
         hx.fragments(html, pattern, 1),
         hx.fragments(html, pattern, 2),
         lambda k, v: F.struct(
-            F.substring(hx.strip_html(k), 1, 120).alias("key"), F.substring(hx.strip_html(v), 1, 500).alias("value")
+            hx.strip_html(k).alias("key"), hx.strip_html(v).alias("value")
         ),
     )
     return F.filter(pairs, lambda f: (F.length(f["key"]) >= 2) & (f["value"] != ""))
@@ -334,18 +332,18 @@ def emails(c: Column) -> Column:
 
 def procedure_ref_form(c: Column) -> Column:
     ref = F.regexp_replace(extract(c, PROCEDURE_REF), r"[–-]+", "-")
-    return F.struct(F.trim(ref).alias("reference"), F.substring(tx.js_trim(extract(c, PROCEDURE_FORM)), 1, 120).alias("form"))
+    return F.struct(F.trim(ref).alias("reference"), tx.js_trim(extract(c, PROCEDURE_FORM)).alias("form"))
 
 
-def price_hints(plain: Column, words: str = PRICE_WORDS, limit: int = MAX_HINTS) -> Column:
+def price_hints(plain: Column, words: str = PRICE_WORDS) -> Column:
     """Distinct windows of 40 characters before and 220 after the start of each price word.
 
     Positions are found by walking from hit to hit, so overlapping windows come out whole.
     """
-    return _windows(plain, extract_all(plain, words), limit)
+    return _windows(plain, extract_all(plain, words))
 
 
-def _windows(plain: Column, hits: Column, limit: int) -> Column:
+def _windows(plain: Column, hits: Column) -> Column:
     seed = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
 
     def step(acc: Column, hit: Column) -> Column:
@@ -358,7 +356,7 @@ def _windows(plain: Column, hits: Column, limit: int) -> Column:
         start = F.greatest(p - 40, F.lit(1))
         return tx.collapse_ws(F.substring(plain, start, p + 220 - start))
 
-    return F.slice(F.array_distinct(F.filter(F.transform(at, window), lambda w: w != "")), 1, limit)
+    return F.array_distinct(F.filter(F.transform(at, window), lambda w: w != ""))
 
 
 def chronology_events(plain_lines: Column, html: Column, site: Site | None = None) -> Column:
@@ -377,11 +375,11 @@ def chronology_events(plain_lines: Column, html: Column, site: Site | None = Non
 
     def events(section: Column) -> Column:
         chunks = F.transform(F.split(section, r"(?=\d{2}\.\d{2}\.\d{4}(?!\d))"), tx.collapse_ws)
-        return F.slice(F.filter(F.transform(chunks, _event), lambda e: e.isNotNull()), 1, MAX_EVENTS)
+        return F.filter(F.transform(chunks, _event), lambda e: e.isNotNull())
 
     def read(cut: Column) -> Column:
         def from_(at: Column) -> Column:
-            section = truncate_site_chrome(F.substring(cut, at, F.lit(MAX_EVENT_SECTION)), site)
+            section = truncate_site_chrome(F.substring(cut, at, F.length(cut)), site)
             return F.when(at.isNotNull(), events(section)).otherwise(none)
 
         return tx.let(start(cut), from_)
@@ -403,14 +401,14 @@ def _cut_before(needle: str):
 def _event(chunk: Column, i: Column) -> Column:
     head = r"^(\d{2}\.\d{2}\.\d{4})(?:\s+(\d{1,2}:\d{2}(?::\d{2})?))?\s*[—\-–]?\s*(.+)$"
     date, time = F.regexp_extract(chunk, head, 1), F.regexp_extract(chunk, head, 2)
-    text = F.substring(_clean_event(F.regexp_extract(chunk, head, 3)), 1, 500)
+    text = _clean_event(F.regexp_extract(chunk, head, 3))
     severity = F.when(matches(text, CANCEL_WORDS), "cancel").when(matches(text, CHANGE_WORDS), "change").otherwise("info")
     noise = matches(text, FOOTER_NOISE, ignore_case=False)
     dated = F.struct(
         F.when(time != "", F.concat_ws(" ", date, time)).otherwise(date).alias("date"), text.alias("text"), severity.alias("severity")
     )
     # Only the piece before the first date can lack one.
-    blob = F.substring(_clean_event(chunk), 1, 600)
+    blob = _clean_event(chunk)
     free = F.struct(F.lit(None).cast("string").alias("date"), blob.alias("text"), F.lit("info").alias("severity"))
     free_ok = (i == 0) & (F.length(chunk) > 40) & (F.length(blob) >= 20) & ~matches(blob, FOOTER_NOISE, ignore_case=False)
     return F.when(F.length(chunk) < 15, None).when(
@@ -492,7 +490,7 @@ def card_snapshot(pages: DataFrame, site: Site, url: str = "url", html: str = "h
     step = step.withColumns(
         {
             "labelled_fields": labelled_fields(h, truncate_site_chrome(one, site)),
-            "headings": hx.headings(h, MAX_HEADINGS),
+            "headings": hx.headings(h),
             "_og": hx.meta_content(h, "og:title"),
             "_tag": hx.title_tag(h),
             "_h1": first_h1(h, site),
@@ -541,7 +539,7 @@ def document_section(html: Column, header: str = DOCS_HEADER, end: str = DOCS_EN
     tail = F.substring(html, at, F.length(html))
     skip = F.least(F.lit(200), F.length(tail))
     stop = F.regexp_instr(F.substring(tail, skip + 1, F.length(tail)), F.lit(rx(end))) - 1
-    size = F.when(stop > 80, skip + stop).otherwise(F.least(F.length(tail), F.lit(DOCS_MAX_CHARS)))
+    size = F.when(stop > 80, skip + stop).otherwise(F.length(tail))
     return F.when(at > 0, F.substring(tail, F.lit(1), size))
 
 

@@ -15,8 +15,6 @@ from docsluice.functions import text as tx
 # What counts as a text file, which folders are never entered, and the working limits.
 TEXT_EXTENSIONS = (".txt", ".md", ".markdown", ".csv", ".log")
 SKIP_DIRS = (".git", "node_modules")
-MAX_FILE_BYTES = 25 * 1024 * 1024
-MAX_FILES = 50_000
 EMBED_BATCH, EMBED_BATCH_MAX, SERVER_MAX_INPUTS = 48, 128, 256
 
 CHUNK_SCHEMA = (
@@ -46,25 +44,20 @@ def select_text_files(
     files: DataFrame,
     extensions: tuple[str, ...] = TEXT_EXTENSIONS,
     skip_dirs: tuple[str, ...] = SKIP_DIRS,
-    max_bytes: int = MAX_FILE_BYTES,
-    max_files: int | None = MAX_FILES,
+    max_bytes: int | None = None,
+    max_files: int | None = None,
 ) -> DataFrame:
-    """Keep indexable files of a listing (path, length, …) in path order.
-
-    ``max_files`` is the job's own cap; ``None`` lifts it and with it the sort.
-    """
+    """Keep the indexable files of a listing (path, length, …); only a caller's own limits leave any out."""
     kept = files.where(is_text_file(F.col("path"), extensions) & path_allowed(F.col("path"), skip_dirs))
-    kept = kept.where(F.col("length") <= max_bytes)
+    kept = kept if max_bytes is None else kept.where(F.col("length") <= max_bytes)
     return kept if max_files is None else kept.orderBy("path").limit(max_files)
 
 
-def scan_counts(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def scan_counts(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """One row: files scanned, and files skipped for their size, among the text files of a listing."""
     text_files = files.where(is_text_file(F.col("path")) & path_allowed(F.col("path")))
-    return text_files.agg(
-        F.count_if(F.col("length") <= max_bytes).alias("files_scanned"),
-        F.count_if(F.col("length") > max_bytes).alias("files_skipped"),
-    )
+    too_large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    return text_files.agg(F.count_if(~too_large).alias("files_scanned"), F.count_if(too_large).alias("files_skipped"))
 
 
 def census(files: DataFrame) -> DataFrame:
@@ -84,18 +77,17 @@ def extraction_route(path: Column) -> Column:
     )
 
 
-def extraction_report(outcomes: DataFrame, error_chars: int = 800) -> DataFrame:
+def extraction_report(outcomes: DataFrame) -> DataFrame:
     """Rows (path, outcome, error) → files per outcome; error texts stay rows of their own, see ``error_list``."""
     return outcomes.groupBy("outcome").agg(
         F.count("*").alias("n_files"),
         F.count_if(F.col("error").isNotNull()).alias("n_errors"),
-        F.max(F.length(F.substring("error", 1, error_chars))).alias("longest_error"),
+        F.max(F.length("error")).alias("longest_error"),
     )
 
 
-def error_list(outcomes: DataFrame, error_chars: int = 800) -> DataFrame:
-    failed = outcomes.where(F.col("error").isNotNull())
-    return failed.select("path", "outcome", F.substring("error", 1, error_chars).alias("error"))
+def error_list(outcomes: DataFrame) -> DataFrame:
+    return outcomes.where(F.col("error").isNotNull()).select("path", "outcome", "error")
 
 
 def chunk_table(
@@ -161,6 +153,20 @@ def embed_batches(
     return rows.mapInPandas(run, schema)
 
 
+def letter_class_embedder() -> Callable[[list[str]], list[list[float]]]:
+    """A deterministic provider whose vectors SQL can state: counts of lower-case, upper-case, digit, blank and other letters."""
+
+    def run(texts: list[str]) -> list[list[float]]:
+        out = []
+        for value in texts:
+            lower, upper = sum("a" <= c <= "z" for c in value), sum("A" <= c <= "Z" for c in value)
+            digits, blanks = sum("0" <= c <= "9" for c in value), value.count(" ")
+            out.append([float(n) for n in (lower, upper, digits, blanks, len(value) - lower - upper - digits - blanks)])
+        return out
+
+    return run
+
+
 def hashing_embedder(dims: int = 32) -> Callable[[list[str]], list[list[float]]]:
     """A deterministic provider for tests: counts of hashed words, unit length."""
 

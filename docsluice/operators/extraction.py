@@ -22,7 +22,6 @@ NATIVE_KINDS = {
 }
 MANIFEST_NAME = "extract-manifest.json"
 UTF8_EXTENSIONS = (".txt", ".md", ".csv", ".log", ".json", ".xml", ".html", ".htm")
-MAX_TEXT_CHARS = 1_200_000
 HINTS = {
     "no_text_error": "Текст не извлечён — не трать токены на повторный разбор бинарника с нуля; "
     "опирайся на другие документы или запроси файл у пользователя.",
@@ -190,39 +189,44 @@ def extraction_counts(items: DataFrame) -> DataFrame:
 def extract_texts(
     blobs: DataFrame,
     fn: Callable[[bytes, str, str], tuple[str, str | None, str | None]],
-    max_chars: int = MAX_TEXT_CHARS,
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """Rows (name, mime, content) → adds text, error, extractor, kind.
+    """Rows (name, mime, content) → adds text, error, extractor, kind; every row stays, folders and skipped names too.
 
-    UTF-8 files are decoded in the JVM; only the others visit the provider ``fn(bytes, name, mime)``.
+    One pass over the contents: UTF-8 files are decoded in the JVM, only the bytes of the others go to the provider
+    ``fn(bytes, name, mime)``.  A text is cut, and marked as cut, only if the caller sets a size.
     """
     kinds = blobs.withColumn("kind", input_kind(F.col("mime"), F.col("name")))
-    mark = f"\n\n…[усечено {max_chars} симв.]"
-    plain = kinds.where(F.col("kind") == "native_utf8").select(
-        *[c for c in blobs.columns if c != "content"],
-        "kind",
-        tx.js_trim(tx.decode_utf8(F.col("content"))).alias("text"),
+    utf8, asked = F.col("kind") == "native_utf8", needs_workspace(F.col("kind"))
+    decoded = kinds.select(
+        *[c for c in kinds.columns if c != "content"],
+        F.when(utf8, tx.js_trim(tx.decode_utf8(F.col("content")))).alias("text"),
         F.lit(None).cast("string").alias("error"),
-        F.lit("utf8").alias("extractor"),
+        F.when(utf8, "utf8").alias("extractor"),
+        F.when(asked, F.col("content")).alias("content"),
     )
-    keep = [f for f in kinds.schema.fields if f.name != "content"]
-    out = T.StructType([*keep, *[T.StructField(n, T.StringType()) for n in ("text", "error", "extractor")]])
+    out = T.StructType([f for f in decoded.schema.fields if f.name != "content"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            replies = [fn(c, n, m) for c, n, m in zip(frame["content"], frame["name"], frame["mime"])]
             done = frame.drop(columns="content")
+            replies = [
+                fn(c, n, m) if c is not None else known
+                for c, n, m, known in zip(frame["content"], frame["name"], frame["mime"], zip(frame["text"], frame["error"], frame["extractor"]))
+            ]
             for i, column in enumerate(("text", "error", "extractor")):
-                done[column] = [r[i] for r in replies]
+                done[column] = pd.Series([r[i] for r in replies], index=done.index, dtype=object)
             yield done
 
-    other = kinds.where(needs_workspace(F.col("kind"))).mapInPandas(run, out)
-    both = plain.unionByName(other)
+    both = decoded.mapInPandas(run, out)
     empty = F.coalesce(F.col("text") == "", F.lit(True))
+    text, truncated = F.col("text"), F.lit(False)
+    if max_chars is not None:
+        text, truncated = tx.truncate_marked(text, max_chars, f"\n\n…[усечено {max_chars} симв.]"), F.length("text") > max_chars
     return both.select(
         *[c for c in both.columns if c not in ("text", "error")],
-        tx.truncate_marked(F.col("text"), max_chars, mark).alias("text"),
-        (F.length("text") > max_chars).alias("truncated"),
+        text.alias("text"),
+        F.coalesce(truncated, F.lit(False)).alias("truncated"),
         F.when(empty, F.coalesce("error", F.lit("пустой текст"))).alias("error"),
     )
 

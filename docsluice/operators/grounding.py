@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 
 from docsluice.functions import text as tx
 
-# Shortest quote that counts and the length of the prefix that may stand for a long one.
+# Shortest quote that counts, and the length of the head that is reported apart.
 MIN_QUOTE, HEAD_CHARS = 14, 96
 NO_VALUE = "—"
 FIELDS = ("title", "budget", "method", "deadline")
 
 
 def quote_in(evidence: Column, corpus: Column) -> Column:
-    """Both sides normalised already."""
-    usable = F.length(evidence) >= MIN_QUOTE
-    # The head of a short quote is the quote itself, and a long quote cannot occur without its head.
-    return F.coalesce(usable & corpus.contains(F.substring(evidence, 1, HEAD_CHARS)), F.lit(False))
+    """The whole quote occurs; both sides normalised already."""
+    return F.coalesce((F.length(evidence) >= MIN_QUOTE) & corpus.contains(evidence), F.lit(False))
+
+
+def head_in(evidence: Column, corpus: Column) -> Column:
+    """At least the head of a quote occurs: its end may have been changed."""
+    return F.coalesce((F.length(evidence) >= MIN_QUOTE) & corpus.contains(F.substring(evidence, 1, HEAD_CHARS)), F.lit(False))
 
 
 def normalized_corpora(corpora: DataFrame, text: str = "corpus") -> DataFrame:
@@ -43,19 +46,20 @@ def normalize_claims(claims: DataFrame) -> DataFrame:
 
 
 def ground_claims(claims: DataFrame, corpora: DataFrame) -> DataFrame:
-    """All claims with ``grounded`` and the criteria that survive.
+    """All claims with ``grounded``, ``head_grounded`` (only the quote's head must occur) and the criteria that survive.
 
     A tender without text grounds nothing.  Criteria of 14 characters or more must occur themselves; shorter ones stay.
     """
     joined = claims.join(normalized_corpora(corpora), "tender_id", "left")
     text = F.coalesce("norm_corpus", F.lit(""))
-    grounded = quote_in(tx.normalize_evidence(F.col("evidence")), text)
+    evidence = tx.normalize_evidence(F.col("evidence"))
     criteria = tx.normalize_evidence(F.col("criteria"))
     long = F.length(tx.collapse_ws(F.col("criteria"))) >= MIN_QUOTE
     kept = F.when((F.col("list") == "self") | (long & ~quote_in(criteria, text)), F.lit(None)).otherwise(F.col("criteria"))
     return joined.select(
         *claims.columns,
-        grounded.alias("grounded"),
+        quote_in(evidence, text).alias("grounded"),
+        head_in(evidence, text).alias("head_grounded"),
         F.when(F.col("list") == "manager", F.coalesce(F.nullif(kept, F.lit("")), F.lit(NO_VALUE))).alias("kept_criteria"),
     )
 

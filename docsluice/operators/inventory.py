@@ -21,16 +21,16 @@ CATEGORY_TITLES = {
     "other": "### Прочие файлы (маркеры не сработали)",
     "ambiguous": "### Неоднозначный путь (есть маркеры и заказчика, и участия)",
 }
-MAX_DEPTH, MAX_FILES = 30, 100_000
 NATIVE_DOC, NATIVE_SHEET = NATIVE_MIME_PREFIX + "document", NATIVE_MIME_PREFIX + "spreadsheet"
 CELL_CHARS = 480
 
 
-def folder_paths(nodes: DataFrame, root: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def folder_paths(nodes: DataFrame, root: str, max_depth: int | None = None) -> DataFrame:
     """(folder_id, path, depth) of all folders below a root.
 
     Paths double: every round joins each folder's known stretch with the stretch above it, so depth 30 takes five joins
-    of the folder table with itself, each checkpointed.  Folders that never reach the root (or lie on a cycle) drop out.
+    of the folder table with itself, each checkpointed.  Without a depth the rounds go on until the stretches are as
+    long as there are folders.  Folders that never reach the root (or lie on a cycle) drop out.
     """
     reach = nodes.where(F.col("mime") == FOLDER_MIME).select(
         F.col("id").alias("folder_id"),
@@ -38,7 +38,7 @@ def folder_paths(nodes: DataFrame, root: str, max_depth: int = MAX_DEPTH) -> Dat
         F.col("name").alias("path"),
         F.lit(1).alias("depth"),
     )
-    for _ in range(max(1, max_depth).bit_length()):
+    for _ in range(max(1, reach.count() if max_depth is None else max_depth).bit_length()):
         above = reach.select(
             F.col("folder_id").alias("up"),
             F.col("up").alias("up2"),
@@ -57,34 +57,33 @@ def folder_paths(nodes: DataFrame, root: str, max_depth: int = MAX_DEPTH) -> Dat
         )
         if reach.where(F.col("up").isNotNull()).isEmpty():
             break
-    return reach.where(F.col("up").isNull() & (F.col("depth") <= max_depth)).drop("up")
+    found = reach.where(F.col("up").isNull()).drop("up")
+    return found if max_depth is None else found.where(F.col("depth") <= max_depth)
 
 
 def tree_paths(
     nodes: DataFrame,
     root: str,
-    max_depth: int = MAX_DEPTH,
-    max_files: int | None = MAX_FILES,
+    max_depth: int | None = None,
     folders: DataFrame | None = None,
 ) -> DataFrame:
-    """Files of a tree with their path and depth; ``max_files`` is the job's own cap, in path order."""
+    """Files of a tree with their path and depth."""
     folders = folder_paths(nodes, root, max_depth) if folders is None else folders
     files = nodes.where((F.col("mime") != FOLDER_MIME) & F.col("name").isNotNull())
     top = files.where(F.col("parent_id") == root).select("*", F.col("name").alias("path"), F.lit(0).alias("depth"))
     below = files.join(folders.withColumnRenamed("folder_id", "parent_id"), "parent_id").select(
         *files.columns, F.concat("path", F.lit("/"), "name").alias("path"), "depth"
     )
-    found = top.unionByName(below)
-    return found if max_files is None else found.orderBy("path", "id").limit(max_files)
+    return top.unionByName(below)
 
 
-def manifest_summary(nodes: DataFrame, root: str, max_depth: int = MAX_DEPTH, max_files: int = MAX_FILES) -> DataFrame:
-    """One row: files, folders visited (the root too), and whether the cap was reached."""
+def manifest_summary(nodes: DataFrame, root: str, expected: int, max_depth: int | None = None) -> DataFrame:
+    """One row: all files, folders visited (the root too), and whether there are more files than a reader expects."""
     folders = folder_paths(nodes, root, max_depth)
     n_folders = folders.agg((F.count("*") + 1).alias("n")).scalar()
-    n_files = tree_paths(nodes, root, max_depth, None, folders).agg(F.count("*").alias("n"))
+    n_files = tree_paths(nodes, root, max_depth, folders).agg(F.count("*").alias("n"))
     return n_files.select(
-        F.least(F.col("n"), F.lit(max_files)).alias("file_count"), n_folders.alias("folder_count"), (F.col("n") >= max_files).alias("capped")
+        F.col("n").alias("file_count"), n_folders.alias("folder_count"), (F.col("n") > expected).alias("over_expected")
     )
 
 

@@ -29,7 +29,6 @@ MANUAL_EXACT = r"^personal_data(?:[\s_-]*(policy|notice)?)$"
 MANUAL_FILES = ("preiskurant", "reglament_os")
 MANUAL_PATHS = r"/(help|support|instruction)(?![A-Za-z0-9_])"
 URL_CHARS = r"[-a-zA-Z0-9+&@#/%?=~_|!:,.;]"
-MAX_TEXT = 5_000_000
 
 
 def is_attachment_link(url: Column, link_text: Column, relaxed: Column, site: Site) -> Column:
@@ -168,6 +167,4 @@ def union_file_urls(text: Column, site: Site) -> Column:
     rooted = hx.fragments(text, rf"[\"'](/{URL_CHARS}*{ext}(?:\?[^\"'\\]*)?)[\"']", 1)
     origin = F.lit(f"https://{site.portal}")
     joined = F.transform(rooted, lambda r: urls.resolve_url(origin, r))
-    return F.when(F.length(text) <= MAX_TEXT, F.array_sort(F.array_distinct(F.concat(absolute, downloads, joined)))).otherwise(
-        F.array().cast("array<string>")
-    )
+    return F.array_sort(F.array_distinct(F.concat(absolute, downloads, joined)))

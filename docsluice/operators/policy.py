@@ -53,7 +53,6 @@ FIRST_MONEY = (
 STATED_PRICE = (
     r"(?:НМЦК|начальн\w*\s+(?:максимальн\w*\s+)?цен\w*|ориентировочн\w*\s+стоимост\w*)[^0-9]{0,40}(\d[\d\s]*(?:[.,]\d+)?)"
 )
-SEARCHED_CHARS = 500_000
 HINT_NO_CEILING = (
     "• Стартовую / предельную / НМЦ с суммой в тексте не нашла (валюта может быть USD, EUR, BYN, RUB и др.). "
     "Имеет смысл сверить полный комплект документов."
@@ -65,7 +64,7 @@ HINT_NO_REDUCTION = (
 HINT_BOTH = (
     "• В тексте есть и ориентир по цене заказчика, и процедура улучшения/снижения — учитывайте при выборе стартовой цены участника."
 )
-MIN_HINT, MAX_HINT = 12, 420
+MIN_HINT = 12
 SLOTS = ("price", "payment", "delivery", "warranty")
 SLOT_PRICE = (
     r"нмц|начальн\w*(?:\s+максимальн\w*)?\s+цен|предельн\w*\s+цен|стартов\w*\s+цен|цен\w*\s+лот|"
@@ -196,7 +195,7 @@ def price_analysis(rows: DataFrame, corpus: str = "corpus", estimate: str = "est
 
     The price comes from the structured card, else from the first amount in the text, else from a stated price.
     """
-    blob = F.substring(F.coalesce(corpus, F.lit("")), 1, SEARCHED_CHARS)
+    blob = F.coalesce(corpus, F.lit(""))
     searched = F.concat_ws("\n", corpus, *([other_info] if other_info else []))
     stated = rows.withColumns(
         {
@@ -216,7 +215,7 @@ def price_analysis(rows: DataFrame, corpus: str = "corpus", estimate: str = "est
 
 
 def clean_hint_line(c: Column) -> Column:
-    return F.substring(tx.collapse_ws(F.regexp_replace(c, r"^[\s\p{Z}>*\-•]+", "")), 1, MAX_HINT)
+    return tx.collapse_ws(F.regexp_replace(c, r"^[\s\p{Z}>*\-•]+", ""))
 
 
 def _any_pair(line: Column, pairs: list[tuple[str, str]]) -> Column:

@@ -220,7 +220,7 @@ def _sql_norm(expr: str) -> str:
 
 
 def _sql_quoted(quote: str, corpus: str) -> str:
-    return f"(length({quote}) >= 14 AND contains({corpus}, substring({quote}, 1, 96)))"
+    return f"(length({quote}) >= 14 AND contains({corpus}, {quote}))"
 
 
 @query(
@@ -229,6 +229,7 @@ def _sql_quoted(quote: str, corpus: str) -> str:
 WITH c AS ({_SQL_CLAIMS}), n AS (SELECT c.*, {_sql_norm('evidence')} AS e, {_sql_norm('criteria')} AS cr,
        coalesce(d.norm, '') AS corpus FROM c LEFT JOIN (SELECT doc_id, {_sql_norm('text')} AS norm FROM documents) d ON d.doc_id = c.tender_id)
 SELECT tender_id, claim_id, list, name, CASE WHEN basis = '' THEN '—' ELSE basis END AS basis, {_sql_quoted('e', 'corpus')} AS grounded,
+       length(e) >= 14 AND contains(corpus, substring(e, 1, 96)) AS head_grounded,
        CASE WHEN list = 'manager' THEN CASE WHEN cr = '' OR (length({sql_collapse('criteria')}) >= 14 AND NOT {_sql_quoted('cr', 'corpus')}) THEN '—'
             ELSE {sql_trim('criteria')} END END AS kept_criteria
 FROM n

@@ -10,7 +10,6 @@ from docsluice.functions import text as tx
 from docsluice.functions import urls
 from docsluice.operators import cards, ingest, links
 from docsluice.plans.registry import Tables, query, sql_collapse
-from docsluice.session import spread
 
 SITE = cards.Site("example.com", "example.org")
 
@@ -116,7 +115,8 @@ _LABELS = ("Полное наименование заказчика", "Обща
 
 
 def order_cards(t: Tables) -> DataFrame:
-    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    orders = t.spread("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    rows = orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     name = F.when(F.col("o_orderstatus") == "P", "Согласно документации").otherwise(F.concat("c_name", F.lit(" &amp; Co")))
     price = F.format_string("%.2f", "o_totalprice")
     date = F.date_format("o_orderdate", "dd.MM.yyyy")
@@ -138,7 +138,7 @@ def order_cards(t: Tables) -> DataFrame:
 
 
 def order_snapshots(t: Tables) -> DataFrame:
-    return cards.card_snapshot(spread(order_cards(t)), SITE)
+    return cards.card_snapshot(order_cards(t), SITE)
 
 
 _SQL_ORDERS = """
@@ -160,7 +160,7 @@ SELECT page_id, n::BIGINT AS n, key, value FROM (
 def _fields(t: Tables) -> DataFrame:
     html = hx.strip_comments(F.col("html"))
     fields = cards.labelled_fields(html, hx.strip_html(html))
-    rows = spread(order_cards(t)).select("page_id", F.posexplode(fields).alias("n", "f"))
+    rows = order_cards(t).select("page_id", F.posexplode(fields).alias("n", "f"))
     return rows.select("page_id", F.col("n").cast("bigint").alias("n"), "f.key", "f.value")
 
 
@@ -171,7 +171,7 @@ SELECT page_id, 5::BIGINT AS n_rows, '{_LABELS[0]}:|' || coalesce(name, 'Сог
 """,
 )
 def _table_rows(t: Tables) -> DataFrame:
-    rows = spread(order_cards(t)).select("page_id", cards.table_rows(F.col("html")).alias("r"))
+    rows = order_cards(t).select("page_id", cards.table_rows(F.col("html")).alias("r"))
     return rows.select(
         "page_id", F.size("r").cast("bigint").alias("n_rows"), F.array_join(F.element_at("r", 1), "|").alias("first_row"),
         F.array_join(F.element_at("r", -1), "|").alias("last_row"),
@@ -199,7 +199,7 @@ def _structured(t: Tables) -> DataFrame:
 def _pick(t: Tables) -> DataFrame:
     html = F.col("html")
     fields = F.col("f")
-    rows = spread(order_cards(t)).select("page_id", cards.labelled_fields(html, hx.strip_html(html)).alias("f"))
+    rows = order_cards(t).select("page_id", cards.labelled_fields(html, hx.strip_html(html)).alias("f"))
     return rows.select(
         "page_id", cards.pick_field(fields, "предмет", "закупк").alias("subject"), cards.pick_field(fields, "СТОИМОСТЬ").alias("cost"),
         cards.pick_field(fields, "нет такого").alias("missing"),
@@ -212,7 +212,7 @@ def _pick(t: Tables) -> DataFrame:
 )
 def _events(t: Tables) -> DataFrame:
     html = F.col("html")
-    rows = spread(order_cards(t)).select("page_id", F.explode(cards.chronology_events(hx.strip_html_lines(html), html, SITE)).alias("e"))
+    rows = order_cards(t).select("page_id", F.explode(cards.chronology_events(hx.strip_html_lines(html), html, SITE)).alias("e"))
     return rows.select("page_id", "e.date", "e.text", "e.severity")
 
 
@@ -293,11 +293,18 @@ def _contacts(t: Tables) -> DataFrame:
 
 @query(
     "price_hints",
+    f"""
+WITH parts AS (SELECT doc_id, text, unnest(string_split(lower(text), 'tionth')) AS part, generate_subscripts(string_split(lower(text), 'tionth'), 1) AS k FROM documents),
+hits AS (SELECT doc_id, text, k, CAST(sum(length(part) + 6) OVER (PARTITION BY doc_id ORDER BY k) - 5 AS BIGINT) AS p,
+           count(*) OVER (PARTITION BY doc_id) AS n_parts FROM parts),
+windows AS (SELECT doc_id, k, {sql_collapse('substring(text, greatest(p - 40, 1), p + 220 - greatest(p - 40, 1))')} AS hint FROM hits WHERE k < n_parts)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(k)) - 1 AS n, hint FROM windows WHERE hint <> '' GROUP BY doc_id, hint
+""",
 )
 def _price_hints(t: Tables) -> DataFrame:
-    """No SQL: windows around every hit overlap."""
-    rows = spread(order_cards(t)).select("page_id", F.posexplode(cards.price_hints(hx.strip_html(F.col("html")))).alias("n", "hint"))
-    return rows.select("page_id", "n", "hint")
+    """Windows around every hit of a stand-in word in whole texts; they overlap."""
+    rows = t.spread("documents", "doc_id", "text").select("doc_id", F.posexplode(cards.price_hints(F.col("text"), "tionth")).alias("n", "hint"))
+    return rows.select("doc_id", F.col("n").cast("bigint").alias("n"), "hint")
 
 
 @query(

@@ -39,11 +39,11 @@ def document_texts(t: Tables, paragraphs: bool = False) -> DataFrame:
     f"""
 SELECT path, length FROM (SELECT {SQL_PATH} AS path, n_chars AS length FROM documents)
 WHERE regexp_extract(lower(path), '(\\.[^./]*)$', 1) IN ('.txt', '.md', '.markdown', '.csv', '.log')
-  AND NOT list_has_any(string_split(path, '/'), ['.git', 'node_modules']) AND length <= 20000
+  AND NOT list_has_any(string_split(path, '/'), ['.git', 'node_modules'])
 """,
 )
 def _scan(t: Tables) -> DataFrame:
-    return corpus.select_text_files(document_files(t), max_bytes=20_000, max_files=None).select("path", "length")
+    return corpus.select_text_files(document_files(t)).select("path", "length")
 
 
 @query(
@@ -83,14 +83,14 @@ def _routes(t: Tables) -> DataFrame:
 
 def _outcomes(t: Tables) -> DataFrame:
     joined = t.documents.join(t.labels, "doc_id", "left")
-    error = F.when(F.col("quality") == 0, F.substring("text", 1, 2000))
+    error = F.when(F.col("quality") == 0, F.col("text"))
     outcome = F.when(error.isNotNull(), "failed").when(F.col("quality").isNull(), "skipped").otherwise("written")
     return joined.select(document_path().alias("path"), outcome.alias("outcome"), error.alias("error"))
 
 
 _SQL_OUTCOMES = f"""
 SELECT {SQL_PATH} AS path, CASE WHEN quality = 0 THEN 'failed' WHEN quality IS NULL THEN 'skipped' ELSE 'written' END AS outcome,
-       CASE WHEN quality = 0 THEN substring(text, 1, 2000) END AS error
+       CASE WHEN quality = 0 THEN text END AS error
 FROM documents LEFT JOIN labels USING (doc_id)"""
 
 
@@ -98,7 +98,7 @@ FROM documents LEFT JOIN labels USING (doc_id)"""
     "write_extraction_report",
     f"""
 SELECT outcome, count(*) AS n_files, count(error) AS n_errors,
-       CAST(max(length(substring(error, 1, 800))) AS BIGINT) AS longest_error
+       CAST(max(length(error)) AS BIGINT) AS longest_error
 FROM ({_SQL_OUTCOMES}) GROUP BY 1
 """,
 )
@@ -106,7 +106,7 @@ def _report(t: Tables) -> DataFrame:
     return corpus.extraction_report(_outcomes(t)).withColumn("longest_error", F.col("longest_error").cast("bigint"))
 
 
-@query("extraction_errors", f"SELECT path, outcome, substring(error, 1, 800) AS error FROM ({_SQL_OUTCOMES}) WHERE error IS NOT NULL")
+@query("extraction_errors", f"SELECT path, outcome, error FROM ({_SQL_OUTCOMES}) WHERE error IS NOT NULL")
 def _errors(t: Tables) -> DataFrame:
     return corpus.error_list(_outcomes(t))
 
@@ -222,22 +222,36 @@ def _index_stats(t: Tables) -> DataFrame:
     "write_index_manifest",
     f"""
 SELECT chunk_count, dimensions, files_scanned, files_skipped, 3500 AS max_chars, 420 AS overlap_chars, 'hashing' AS model
-FROM (SELECT count(*) AS chunk_count, CAST(32 AS BIGINT) AS dimensions FROM ({sql_chunks('text', 3500, 420)})),
-     (SELECT count(*) FILTER (WHERE length <= 20000) AS files_scanned, count(*) FILTER (WHERE length > 20000) AS files_skipped
+FROM (SELECT count(*) AS chunk_count, CAST(32 AS BIGINT) AS dimensions FROM ({sql_chunks('text', 3500, 420)})
+      WHERE regexp_extract(lower(path), '(\\.[^./]*)$', 1) IN ('.txt', '.md', '.markdown', '.csv', '.log')
+        AND NOT list_has_any(string_split(path, '/'), ['.git', 'node_modules'])),
+     (SELECT count(*) AS files_scanned, 0::BIGINT AS files_skipped
       FROM (SELECT {SQL_PATH} AS path, n_chars AS length FROM documents)
       WHERE regexp_extract(lower(path), '(\\.[^./]*)$', 1) IN ('.txt', '.md', '.markdown', '.csv', '.log')
         AND NOT list_has_any(string_split(path, '/'), ['.git', 'node_modules']))
 """,
 )
 def _manifest(t: Tables) -> DataFrame:
-    index = corpus.build_index(document_texts(t), corpus.hashing_embedder())
+    """The index and the counts are of the same files: those that may be indexed."""
+    texts = document_texts(t)
+    texts = texts.where(corpus.is_text_file(F.col("path")) & corpus.path_allowed(F.col("path")))
+    index = corpus.build_index(texts, corpus.hashing_embedder())
     settings = {"max_chars": 3500, "overlap_chars": 420, "model": "hashing"}
-    out = corpus.manifest(index, corpus.scan_counts(document_files(t), max_bytes=20_000), settings)
+    out = corpus.manifest(index, corpus.scan_counts(document_files(t)), settings)
     return out.withColumn("dimensions", F.col("dimensions").cast("bigint"))
 
 
-@query("embed_batches")
+_LETTERS = ["[^a-z]", "[^A-Z]", "[^0-9]", "[^ ]", "[a-zA-Z0-9 ]"]
+
+
+@query(
+    "embed_batches",
+    f"""
+SELECT path || '#' || chunk_index AS chunk_id, {", ".join(f"CAST(length(regexp_replace(text, '{p}', '', 'g')) AS DOUBLE) AS v{i}" for i, p in enumerate(_LETTERS))}
+FROM ({sql_chunks('text', 3500, 420)})
+""",
+)
 def _embed(t: Tables) -> DataFrame:
-    """No SQL: the vectors come from a provider."""
-    index = corpus.build_index(document_texts(t), corpus.hashing_embedder())
-    return index.select("chunk_id", F.round(F.element_at("embedding", 1), 9).alias("first"), F.size("embedding").alias("dims"))
+    """Every component of a provider whose vectors are counts of letter classes."""
+    index = corpus.build_index(document_texts(t), corpus.letter_class_embedder())
+    return index.select("chunk_id", *[F.element_at("embedding", i + 1).alias(f"v{i}") for i in range(len(_LETTERS))])

@@ -314,12 +314,23 @@ def _fences(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.strip_fences(fenced).alias("body"))
 
 
-@query("bold_spans")
+_BOLD = r"regexp_replace(replace(text, '. ', '. **b** '), '\*\*([^*]+)\*\*', chr(1) || '\1' || chr(2), 'g')"
+
+
+@query(
+    "bold_spans",
+    f"""
+WITH parts AS (SELECT doc_id, unnest(string_split({_BOLD}, chr(1))) AS part, generate_subscripts(string_split({_BOLD}, chr(1)), 1) AS k FROM documents),
+sizes AS (SELECT doc_id, k, length(split_part(part, chr(2), 1)) AS inner_size, length(replace(part, chr(2), '')) AS size FROM parts),
+places AS (SELECT doc_id, k, inner_size, sum(size) OVER (PARTITION BY doc_id ORDER BY k) - size AS start, sum(size) OVER (PARTITION BY doc_id) AS n FROM sizes)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, k - 2 AS i, CAST(start AS BIGINT) AS start, CAST(start + inner_size AS BIGINT) AS "end" FROM places WHERE k > 1
+""",
+)
 def _bold(t: Tables) -> DataFrame:
-    """No SQL: offsets are counted in a fold."""
     bold = F.replace("text", F.lit(". "), F.lit(". **b** "))
     rows = t.documents.select("doc_id", tx.bold_spans(bold).alias("b"))
-    return rows.select("doc_id", F.length("b.plain").alias("n_chars"), F.posexplode("b.spans").alias("i", "s")).select("doc_id", "n_chars", "i", "s.start", "s.end")
+    spans = rows.select("doc_id", F.length("b.plain").alias("n_chars"), F.posexplode("b.spans").alias("i", "s"))
+    return spans.select("doc_id", *[F.col(c).cast("bigint").alias(c.split(".")[-1]) for c in ("n_chars", "i", "s.start", "s.end")])
 
 
 @query(

@@ -66,7 +66,7 @@ def _attachment(t: Tables) -> DataFrame:
     "extract_text",
     f"""
 SELECT doc_id, CASE WHEN lang = 'en' THEN 'native_utf8' ELSE 'binary_office' END AS kind, CASE WHEN lang = 'en' THEN 'utf8' ELSE 'reader' END AS extractor,
-  CASE WHEN length(t) > 2000 THEN substring(t, 1, 2000) || chr(10) || chr(10) || '…[усечено 2000 симв.]' ELSE t END AS text, length(t) > 2000 AS truncated
+  t AS text, false AS truncated
 FROM (SELECT doc_id, lang, CASE WHEN lang = 'en' THEN {sql_trim('text')} ELSE text END AS t FROM documents)
 """,
 )
@@ -75,7 +75,7 @@ def _extract(t: Tables) -> DataFrame:
     rows = spread(t.documents).select(
         "doc_id", F.when(F.col("lang") == "en", "a.txt").otherwise("a.pdf").alias("name"), F.lit("").alias("mime"), F.encode("text", "UTF-8").alias("content")
     )
-    out = extraction.extract_texts(rows, lambda content, name, mime: (bytes(content).decode(), None, "reader"), max_chars=2000)
+    out = extraction.extract_texts(rows, lambda content, name, mime: (bytes(content).decode(), None, "reader"))
     return out.select("doc_id", "kind", "extractor", "text", "truncated")
 
 
@@ -102,13 +102,13 @@ def _year(t: Tables) -> DataFrame:
     f"SELECT page_id, page_id || '-1' AS reference, 'Запрос ценовых предложений' AS form FROM ({_SQL_ORDERS})",
 )
 def _procedure(t: Tables) -> DataFrame:
-    found = spread(order_cards(t)).select("page_id", cards.procedure_ref_form(hx.strip_html(F.col("html"))).alias("p"))
+    found = order_cards(t).select("page_id", cards.procedure_ref_form(hx.strip_html(F.col("html"))).alias("p"))
     return found.select("page_id", "p.reference", "p.form")
 
 
 @query("dl_pairs", f"SELECT page_id, 'Срок поставки' AS key, priority AS value FROM ({_SQL_ORDERS})")
 def _pairs(t: Tables) -> DataFrame:
-    rows = spread(order_cards(t)).select("page_id", F.explode(cards.dl_pairs(F.col("html"))).alias("p"))
+    rows = order_cards(t).select("page_id", F.explode(cards.dl_pairs(F.col("html"))).alias("p"))
     return rows.select("page_id", "p.key", "p.value")
 
 

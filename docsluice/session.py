@@ -52,10 +52,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Give work that is heavy per row enough partitions when its input came in fewer than there are cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """Give work that is heavy per row enough partitions when its table came in fewer files than there are cores.
 
-    Inputs of many files are left alone.
+    For columns of a table as scanned: the files are known from its plan, so nothing runs.  Tables of many files are
+    left alone.
     """
-    wanted = parts or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+    wanted = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if len(scan.inputFiles()) >= wanted else scan.repartition(wanted)

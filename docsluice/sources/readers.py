@@ -16,8 +16,8 @@ option int, ts timestamp
 
 
 def _binary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(paths)
+    """Files as rows.  A file that cannot be read fails the job; none is left out silently."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
 
 
 def _relative(df: DataFrame, root: str) -> DataFrame:
@@ -35,25 +35,21 @@ def scan_text_corpus(
     root: str,
     extensions: tuple[str, ...] = corpus.TEXT_EXTENSIONS,
     skip_dirs: tuple[str, ...] = corpus.SKIP_DIRS,
-    max_bytes: int = corpus.MAX_FILE_BYTES,
-    max_files: int | None = corpus.MAX_FILES,
+    max_bytes: int | None = None,
+    max_files: int | None = None,
 ) -> DataFrame:
     """(path, length, text) of the text files below a root.
 
-    Names and sizes decide before any content is read.  With a cap the chosen files, no more than the cap, are loaded by
-    name; without one the length filter is pushed into the scan.
+    A size, if the caller sets one, is pushed into the scan and decides before any content is read; a number of files
+    is decided on names.
     """
-    if max_files is None:
-        files = _relative(_binary(spark, root).where(F.col("length") <= max_bytes), root)
-    else:
-        listed = list_files(spark, root)
-        chosen = corpus.select_text_files(listed, extensions, skip_dirs, max_bytes, max_files).select("uri")
-        uris = [r["uri"] for r in chosen.collect()]  # bounded by max_files
-        if not uris:
-            return spark.createDataFrame([], "path string, length bigint, text string")
-        files = _relative(_binary(spark, uris), root)
+    files = _binary(spark, root)
+    files = _relative(files if max_bytes is None else files.where(F.col("length") <= max_bytes), root)
     named = files.select(F.col("relative").alias("path"), "length", "content")
-    kept = corpus.select_text_files(named, extensions, skip_dirs, max_bytes, None)
+    kept = corpus.select_text_files(named, extensions, skip_dirs, max_bytes)
+    if max_files is not None:
+        chosen = corpus.select_text_files(list_files(spark, root), extensions, skip_dirs, max_bytes, max_files)
+        kept = kept.join(chosen.select("path"), "path", "left_semi")
     return kept.select("path", "length", tx.decode_utf8(F.col("content")).alias("text"))
 
 

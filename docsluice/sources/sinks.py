@@ -17,11 +17,14 @@ def write_chunk_index(chunks: DataFrame, path: str, resume: bool = False) -> Non
 
 
 def write_index_manifest(manifest: DataFrame, path: str) -> dict:
-    """Write the single manifest row; an index without chunks is an error."""
+    """Write the single manifest row; an index without chunks is an error and leaves no manifest.
+
+    Give it the manifest of the index as written and read back: the row is computed once, before anything is written.
+    """
     row = manifest.first()  # one row by construction
-    manifest.coalesce(1).write.mode("overwrite").json(path)
     if not row or row["chunk_count"] == 0:
         raise corpus.EmptyIndex("no chunk was collected: no text files, or all of them are too large")
+    manifest.sparkSession.createDataFrame([row], manifest.schema).write.mode("overwrite").json(path)
     return row.asDict(recursive=True)
 
 

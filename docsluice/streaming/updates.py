@@ -45,16 +45,24 @@ def fan_out(sinks: dict[str, str], name: str = "route") -> Callable[[DataFrame,
 def number_documents(path: str, order: str, last: int = 0) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer that numbers documents after all earlier batches.
 
-    The last number is read from what is written, so a repeated batch gets its own numbers again and none is given twice.
+    Every batch leaves its last number in a small table beside the documents, after they are written.  Numbers go on
+    from the earlier batches, so a repeated batch gets its own numbers again and none is given twice.
     """
+    reached = f"{path.rstrip('/')}_reached"
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         try:
-            earlier = spark.read.parquet(path).where(F.col("epoch") < epoch).agg(F.max("serial").alias("n")).first()["n"]
-        except AnalysisException:
+            earlier = spark.read.schema("n bigint, epoch bigint").parquet(reached).where(F.col("epoch") < epoch).agg(F.max("n")).first()[0]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             earlier = None
-        numbered = picks.serial_numbers(batch, [order], [ordered_bucket(F.col(order), batch)], earlier or last)
+        start = last if earlier is None else earlier
+        numbered = picks.serial_numbers(batch, [order], [ordered_bucket(F.col(order), batch)], start)
         numbered.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        written = spark.read.schema(numbered.schema).parquet(f"{path}/epoch={epoch}")
+        top = written.agg(F.coalesce(F.max("serial"), F.lit(start)).cast("bigint").alias("n"))
+        top.write.mode("overwrite").parquet(f"{reached}/epoch={epoch}")
 
     return write
