@@ -6,11 +6,11 @@ sketch: sets of similarity 0.8 share most values, so among k = 20 they miss a co
 100 000 times, and sets of at most k shingles never do (the order is circular).  Within a list the sets that meet are
 compared by the estimate from the sketch of their union, and what passes is verified on the full sets.
 
-A list of up to ``PAIRED`` sets compares all; in a longer one a set meets its next neighbours in sketch order and the
-leader of its chunk, and leaders meet the list's first.  The rest is settled exactly from the leaders: sets linked to
-one leader are in one group anyway; by the triangle inequality of the Jaccard distance a set that is not linked to the
-leader can only be linked to a set linked to it if its own similarity to the leader is at least 2 * least - 1, and such
-sets are compared with all the leader's sets.
+A list of up to ``PAIRED`` sets compares all; in a longer one a set meets its next neighbours and the list's leader, the
+set of least id.  The rest is settled exactly from the leaders: sets linked to one leader are in one group anyway; by
+the triangle inequality of the Jaccard distance a set that is not linked to the leader can only be linked to one that is
+if its own similarity to the leader is at least 2 * least - 1, and only to sets whose similarity to the leader differs
+from its own by at most 1 - least.  Those pairs are verified too.
 
 Hashes are 64-bit; equal sets are told by 128 bits.  Rows with a null doc_id link with nothing; null and empty texts,
 and texts of white space alone, have an empty set and link with nothing.  Repeated rows of a doc_id are copies of one
@@ -31,7 +31,7 @@ from docsluice.llm.suffix_dedup import with_ids
 
 K = 20  # retained values
 PERCENT = 80  # similarity from which documents are linked
-PAIRED, CHUNK, NEXT = 9, 64, 2  # sets of a fully compared list; sets of a leader; neighbours met in longer lists
+PAIRED, NEXT = 9, 2  # sets of a fully compared list; neighbours met in longer lists
 FLOOR = 0.3  # least estimate that is verified: a 20-value estimate of 0.8 falls below it once in five million times
 _STEP = np.uint64(0xA0761D6478BD642F)
 
@@ -156,7 +156,7 @@ def _padded(column: pa.Array, k: int, pad: int) -> np.ndarray:
 
 
 def _meet(k: int, percent: int):
-    """Pairs (a, b, lead) of the sets in lists that come sorted by (v, w, n, id); ``lead`` if a leads the list's b."""
+    """Pairs (a, b, lead) of the sets in lists that come sorted by (v, w, id); ``lead`` if a leads b's list."""
     def pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         v, w, n, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         new = np.ones(len(v), bool)
@@ -169,10 +169,7 @@ def _meet(k: int, percent: int):
         for step in range(1, PAIRED):
             x = np.flatnonzero((place + step < size) & ((size <= PAIRED) | (step <= NEXT)))
             a.append(x), b.append(x + step), lead.append(np.zeros(len(x), bool))
-        long = size > PAIRED
-        x = np.flatnonzero(long & (place % CHUNK > 0))
-        a.append(x - place[x] % CHUNK), b.append(x), lead.append(np.ones(len(x), bool))
-        x = np.flatnonzero(long & (place % CHUNK == 0) & (place > 0))
+        x = np.flatnonzero((size > PAIRED) & (place > 0))
         a.append(x - place[x]), b.append(x), lead.append(np.ones(len(x), bool))
         a, b, lead = map(np.concatenate, (a, b, lead))
         low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
@@ -183,8 +180,6 @@ def _meet(k: int, percent: int):
             i, j, m = a[at : at + 50_000], b[at : at + 50_000], lead[at : at + 50_000]
             good = union_estimate(left[i], right[j]) >= FLOOR
             i, j, m = i[good], j[good], m[good]
-            swap = ~m & (ids[i] > ids[j])
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(m)], ["a", "b", "lead"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +191,9 @@ def _meet(k: int, percent: int):
             if not len(v):
                 continue
             open_ = int(np.flatnonzero((v != v[-1]) | (w != w[-1]))[-1]) + 1 if ((v != v[-1]) | (w != w[-1])).any() else 0
-            if open_ == 0 and len(v) > 200 * CHUNK:  # a hot list: settle it but for its first set and its last chunks
-                done = (len(v) - 1) // CHUNK * CHUNK
-                yield from pairs(batch.slice(0, done))
-                held = pa.Table.from_batches([batch.slice(0, 1), batch.slice(done - CHUNK + 1)]).combine_chunks().to_batches()[0]
+            if open_ == 0 and len(v) > 10_000:  # a hot list: settle what is there, keep its leader and its last sets
+                yield from pairs(batch)
+                held = pa.Table.from_batches([batch.slice(0, 1), batch.slice(len(v) - PAIRED)]).combine_chunks().to_batches()[0]
                 continue
             if open_:
                 yield from pairs(batch.slice(0, open_))
@@ -250,29 +244,34 @@ def linked_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int = PER
     lists = sets.select("id", "n", "kept", "brief", F.posexplode("kept").alias("p", "v")).select(
         "v", F.element_at("kept", (F.col("p") + 1) % F.size("kept") + 1).alias("w"), "n", "id", "brief"
     )
-    met = lists.repartition("v", "w").sortWithinPartitions("v", "w", "n", "id").mapInArrow(_meet(k, percent), "a long, b long, lead boolean")
+    met = lists.repartition("v", "w").sortWithinPartitions("v", "w", "id").mapInArrow(_meet(k, percent), "a long, b long, lead boolean")
     pairs = checkpoint(met.where("a <> b").groupBy("a", "b").agg(F.max("lead").alias("lead")))
     linked = F.col("both") * 100 >= F.col("any") * percent
 
-    ends = pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"), "lead")
-    first = ends.groupBy("b").agg(F.min(F.struct("a", "lead")).alias("x")).select("x.a", "b", "x.lead")
-    edges = checkpoint(confirm(first, docs, width).where(linked).select("a", "b"))
-
-    apart = checkpoint(_apart(pairs, edges))
-    known = checkpoint(confirm(apart, docs, width))
-    more = known.where(linked).select("a", "b")
-
-    # Sets near a leader and not in its group, against all sets that stand with the leader.
-    near = known.where("lead").where(~linked & (F.col("both") * 100 >= F.col("any") * (2 * percent - 100)))
-    near = near.select("a", F.col("b").alias("x"), (F.col("both") / F.col("any")).alias("jx"))
-    scored = known.select("a", F.col("b").alias("y"), (F.col("both") / F.col("any")).alias("jy"))
-    others = pairs.where("lead").select("a", F.col("b").alias("y")).join(scored, ["a", "y"], "left")
+    # Ids of a pair are in order, so a set's pair with the least id is the minimum of its ``a``.
+    first = pairs.groupBy("b").agg(F.min(F.struct("a", "lead")).alias("x")).select("x.a", "b", "x.lead")
+    tried = checkpoint(confirm(first, docs, width))
+    edges = tried.where(linked).select("a", "b")
+    apart = checkpoint(_apart(pairs, edges).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    known = checkpoint(confirm(apart, docs, width).unionAll(tried))
+    edges = known.where(linked).select("a", "b")
+
+    # Sets near a leader and not in its group, against the sets about as near to it.
+    around = F.col("both") * 100 >= F.col("any") * (2 * percent - 100)
+    fringe = known.where("lead").where(around & ~linked)
+    fringe = checkpoint(fringe.join(_apart(fringe.select("a", "b", "lead"), edges).select("a", "b"), ["a", "b"], "left_semi"))
+    if fringe.isEmpty():
+        return edges
+    leaders = fringe.select("a").distinct()
+    unknown = pairs.where("lead").join(leaders, "a", "left_semi").join(known.select("a", "b"), ["a", "b"], "left_anti")
+    scored = known.where("lead").join(leaders, "a", "left_semi").unionAll(confirm(checkpoint(unknown), docs, width)).where(around)
+    likeness = F.col("both") / F.col("any")
+    near, others = fringe.select("a", F.col("b").alias("x"), likeness.alias("jx")), scored.select("a", F.col("b").alias("y"), likeness.alias("jy"))
     gap = 1 - percent / 100 + 1e-9
-    rest = near.join(others, "a").where((F.col("x") != F.col("y")) & (F.col("jy").isNull() | (F.abs(F.col("jx") - F.col("jy")) <= gap)))
-    rest = checkpoint(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().withColumn("lead", F.lit(False)))
-    if rest.isEmpty():
-        return edges.unionAll(more)
-    return edges.unionAll(more).unionAll(confirm(_apart(rest, edges.unionAll(more)), docs, width).where(linked).select("a", "b"))
+    rest = near.join(others, "a").where((F.col("x") != F.col("y")) & (F.abs(F.col("jx") - F.col("jy")) <= gap))
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().withColumn("lead", F.lit(False))
+    rest = checkpoint(_apart(rest, edges))
+    return edges.unionAll(confirm(rest, docs, width).where(linked).select("a", "b"))
 
 
 def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
