@@ -14,6 +14,7 @@ they occur.  An empty table gives an empty result.  Columns other than doc_id an
 from __future__ import annotations
 
 import bisect
+import gc
 import zlib
 from array import array
 from collections import defaultdict
@@ -22,13 +23,15 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docsluice.llm.bpe import MEMO_CHUNKS, Memo, chunks_of, plain_words
-from docsluice.llm.common import checkpoint, texts
+from docsluice.llm.bpe import MEMO_CHUNKS, WORD_END, Memo, plain_words
+from docsluice.llm.common import PIECE_BYTES, checkpoint, slices, texts
 
 SIZE = 4096  # tokens in a sequence
 CLOSE_ID = 1  # closes every document
@@ -46,34 +49,66 @@ class LibraryIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.words = Memo(lambda word: self._ids([word])[0], MEMO_CHUNKS // 2)
-        self.memo = Memo(self._chunk)
-
-    def _ids(self, some: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
-
-    def _chunk(self, chunk: str) -> bytes:
-        words = None if "<|" in chunk else plain_words(chunk)
-        if words is None:
-            return self._ids([chunk])[0]
-        return self.words[words[0]] if len(words) == 1 else b"".join([self.words[w] for w in words])
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Unsigned 32-bit little-endian ids of each text."""
-        rows, memo, known = [chunks_of(t) for t in batch], self.memo, self.words
-        words_of = {c: None if "<|" in c else plain_words(c) for c in set().union(*rows) if c not in memo}
-        todo = list({w for words in words_of.values() if words for w in words if w not in known})
-        for i in range(0, len(todo), 4096):  # new words go to the library together
+        self.memo = Memo(lambda chunk: self._learn({chunk})[chunk])
+
+    def _one(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words: they go to the library as one text, which is cut where tokens end words."""
+        ids = self._one(" ".join(words))
+        cuts = (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1) * 4
+        if len(cuts) != len(words) or (len(cuts) and cuts[-1] != len(ids)):
+            return [self._one(w) for w in words]
+        cuts = cuts.tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks seen for the first time; their new words go to the library together."""
+        words_of = {c: None if "<|" in c else plain_words(c) for c in chunks}
+        todo = list({w for words in words_of.values() if words for w in words if w not in self.words})
+        for i in range(0, len(todo), 4096):
             for word, ids in zip(todo[i : i + 4096], self._ids(todo[i : i + 4096])):
-                known.put(word, ids)
+                self.words.put(word, ids)
+        out = {}
         for chunk, words in words_of.items():
-            if words and len(chunk) <= 64:
-                memo.put(chunk, known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]))
-        return [b"".join([memo[c] for c in row]) for row in rows]
+            if words is None:
+                out[chunk] = self._one(chunk)
+            else:
+                out[chunk] = self.words[words[0]] if len(words) == 1 else b"".join([self.words[w] for w in words])
+            if len(chunk) <= 64:
+                self.memo.put(chunk, out[chunk])
+        return out
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Unsigned 32-bit ids of texts one after the other, and where each text's begin and the last one's end.
+
+        Texts are split at ASCII white space; of a batch every distinct chunk is looked up once.
+        """
+        chunks = pc.ascii_split_whitespace(column)
+        coded = chunks.flatten().dictionary_encode()
+        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        known = list(map(self.memo.get, distinct))
+        new = {c for c, ids in zip(distinct, known) if ids is None}
+        if new:
+            learned = self._learn(new)
+            known = [learned[c] if ids is None else ids for c, ids in zip(distinct, known)]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[which]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat(start[which] - (ends - n), n) + np.arange(n.sum())]
+        edges = np.asarray(chunks.offsets) - (chunks.offsets[0].as_py() if len(chunks.offsets) else 0)
+        return ids, np.concatenate([[0], ends])[edges]
 
 
 @lru_cache(maxsize=2)
 def library_ids(path: str) -> LibraryIds:
+    gc.set_threshold(100_000, 50, 100)  # else the collector keeps walking the tables, which hold nothing it could free
     return LibraryIds(path)
 
 
@@ -82,26 +117,27 @@ def pieces(docs: DataFrame, vocabulary_path: str, size: int = SIZE, with_ids: bo
 
     ``nth`` counts the pieces of one length within one part (a task's rows) of the input.
     """
-    close = np.array([CLOSE_ID], "<u4").tobytes()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", *(["ids"] if with_ids else [])]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
+    close = np.array([CLOSE_ID], "<u4")
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seen = library_ids(vocabulary_path), TaskContext.get().partitionId(), defaultdict(int)
-        for frame in frames:
-            for first in range(0, len(frame), 256):
-                some = frame.iloc[first : first + 256]
-                rows = []
-                for doc_id, ids in zip(some["doc_id"], coder.encode(list(some["text"]))):
-                    ids += close
-                    for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                        cut = ids[at : at + 4 * size]
-                        n = len(cut) // 4
-                        rows.append((doc_id, piece, at // 4, n, zlib.crc32(cut), part, seen[n], np.frombuffer(cut, "<i4") if with_ids else None))
-                        seen[n] += 1
-                done = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", "ids"])
-                yield done if with_ids else done.drop(columns="ids")
+        for batch in (some for whole in batches for some in slices(whole, limit=8 * PIECE_BYTES)):
+            ids, edges = coder.encode(batch.column(1))
+            rows = []
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), edges[:-1].tolist(), edges[1:].tolist()):
+                own = np.concatenate([ids[a:b], close])
+                for piece, at in enumerate(range(0, len(own), size)):
+                    cut = own[at : at + size]
+                    n = len(cut)
+                    rows.append((doc_id, piece, at, n, zlib.crc32(cut.tobytes()), part, seen[n], *([cut.view("<i4")] if with_ids else [])))
+                    seen[n] += 1
+            columns = zip(*rows) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
-    return texts(docs).mapInPandas(work, schema + (", ids array<int>" if with_ids else ""))
+    return texts(docs).mapInArrow(work, schema + (", ids array<int>" if with_ids else ""))
 
 
 def patterns(lengths: np.ndarray, size: int, grid: int = GRID) -> list[tuple[int, ...]]:
