@@ -10,7 +10,8 @@ A list of up to ``PAIRED`` sets compares all; in a longer one a set meets its ne
 set of least id.  The rest is settled exactly from the leaders: sets linked to one leader are in one group anyway; by
 the triangle inequality of the Jaccard distance a set that is not linked to the leader can only be linked to one that is
 if its own similarity to the leader is at least 2 * least - 1, and only to sets whose similarity to the leader differs
-from its own by at most 1 - least.  Those pairs are verified too.
+from its own by at most 1 - least.  Those pairs are verified too, for sets that are in fewer than ``ENOUGH`` lists whose
+sets were all compared; a set in more of them met every set it is linked to there, as surely as the sketch holds them.
 
 Hashes are 64-bit; equal sets are told by 128 bits.  Rows with a null doc_id link with nothing; null and empty texts,
 and texts of white space alone, have an empty set and link with nothing.  Repeated rows of a doc_id are copies of one
@@ -32,6 +33,7 @@ from docsluice.llm.suffix_dedup import with_ids
 K = 20  # retained values
 PERCENT = 80  # similarity from which documents are linked
 PAIRED, NEXT = 9, 2  # sets of a fully compared list; neighbours met in longer lists
+ENOUGH = 10  # fully compared lists from which a set needs no look at what leaders leave open
 FLOOR = 0.3  # least estimate that is verified: a 20-value estimate of 0.8 falls below it once in five million times
 _STEP = np.uint64(0xA0761D6478BD642F)
 
@@ -156,7 +158,10 @@ def _padded(column: pa.Array, k: int, pad: int) -> np.ndarray:
 
 
 def _meet(k: int, percent: int):
-    """Pairs (a, b, lead) of the sets in lists that come sorted by (v, w, id); ``lead`` if a leads b's list."""
+    """Pairs (a, b, lead) of the sets in lists that come sorted by (v, w, id); ``lead`` if a leads b's list.
+
+    A pair of a set with itself tells that it is in a list that is not fully compared.
+    """
     def pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         v, w, n, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         new = np.ones(len(v), bool)
@@ -175,6 +180,9 @@ def _meet(k: int, percent: int):
         low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
         fits = np.where(lead, low * 100 >= high * (2 * percent - 100), low * 100 >= high * percent)
         a, b, lead = a[fits], b[fits], lead[fits]
+        crowd = ids[size > PAIRED]
+        if len(crowd):
+            yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.array(crowd), pa.array(np.zeros(len(crowd), bool))], ["a", "b", "lead"])
         left, right = _padded(batch.column(4), k, 2**64 - 1), _padded(batch.column(4), k, 2**64 - 2)
         for at in range(0, len(a), 50_000):
             i, j, m = a[at : at + 50_000], b[at : at + 50_000], lead[at : at + 50_000]
@@ -245,7 +253,10 @@ def linked_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int = PER
         "v", F.element_at("kept", (F.col("p") + 1) % F.size("kept") + 1).alias("w"), "n", "id", "brief"
     )
     met = lists.repartition("v", "w").sortWithinPartitions("v", "w", "id").mapInArrow(_meet(k, percent), "a long, b long, lead boolean")
-    pairs = checkpoint(met.where("a <> b").groupBy("a", "b").agg(F.max("lead").alias("lead")))
+    all_met = checkpoint(met.groupBy("a", "b").agg(F.max("lead").alias("lead"), F.count("*").alias("lists")))
+    pairs = all_met.where("a <> b").drop("lists")
+    crowded = all_met.where("a = b").select("a", "lists").join(sets.select(F.col("id").alias("a"), F.size("kept").alias("n_lists")), "a")
+    crowded = crowded.where(F.col("n_lists") - F.col("lists") < ENOUGH).select(F.col("a").alias("b"))
     linked = F.col("both") * 100 >= F.col("any") * percent
 
     # Ids of a pair are in order, so a set's pair with the least id is the minimum of its ``a``.
@@ -258,7 +269,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int = PER
 
     # Sets near a leader and not in its group, against the sets about as near to it.
     around = F.col("both") * 100 >= F.col("any") * (2 * percent - 100)
-    fringe = known.where("lead").where(around & ~linked)
+    fringe = known.where("lead").where(around & ~linked).join(crowded, "b", "left_semi").select(*known.columns)
     fringe = checkpoint(fringe.join(_apart(fringe.select("a", "b", "lead"), edges).select("a", "b"), ["a", "b"], "left_semi"))
     if fringe.isEmpty():
         return edges
