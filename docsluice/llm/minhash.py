@@ -10,8 +10,7 @@ A list of up to ``PAIRED`` sets compares all; in a longer one a set meets its ne
 set of least id.  The rest is settled exactly from the leaders: sets linked to one leader are in one group anyway; by
 the triangle inequality of the Jaccard distance a set that is not linked to the leader can only be linked to one that is
 if its own similarity to the leader is at least 2 * least - 1, and only to sets whose similarity to the leader differs
-from its own by at most 1 - least.  Those pairs are verified too, for sets that are in fewer than ``ENOUGH`` lists whose
-sets were all compared; a set in more of them met every set it is linked to there, as surely as the sketch holds them.
+from its own by at most 1 - least.  Those are compared in blocks of bounded size, of which only links come out.
 
 Hashes are 64-bit; equal sets are told by 128 bits.  Rows with a null doc_id link with nothing; null and empty texts,
 and texts of white space alone, have an empty set and link with nothing.  Repeated rows of a doc_id are copies of one
@@ -29,11 +28,12 @@ from pyspark.sql import functions as F
 
 from docsluice.llm.common import PIECE_BYTES, Bytes, checkpoint, components, groups_of_rows, mix64, slices, utf8_rows
 from docsluice.llm.suffix_dedup import with_ids
+from docsluice.llm.vectors import blocks_and_streams
 
 K = 20  # retained values
 PERCENT = 80  # similarity from which documents are linked
 PAIRED, NEXT = 9, 2  # sets of a fully compared list; neighbours met in longer lists
-ENOUGH = 10  # fully compared lists from which a set needs no look at what leaders leave open
+BLOCK = 512  # sets near a leader that are held together while the leader's sets pass by
 FLOOR = 0.3  # least estimate that is verified: a 20-value estimate of 0.8 falls below it once in five million times
 _STEP = np.uint64(0xA0761D6478BD642F)
 
@@ -158,10 +158,7 @@ def _padded(column: pa.Array, k: int, pad: int) -> np.ndarray:
 
 
 def _meet(k: int, percent: int):
-    """Pairs (a, b, lead) of the sets in lists that come sorted by (v, w, id); ``lead`` if a leads b's list.
-
-    A pair of a set with itself tells that it is in a list that is not fully compared.
-    """
+    """Pairs (a, b, lead) of the sets in lists that come sorted by (v, w, id); ``lead`` if a leads b's list."""
     def pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         v, w, n, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         new = np.ones(len(v), bool)
@@ -180,9 +177,6 @@ def _meet(k: int, percent: int):
         low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
         fits = np.where(lead, low * 100 >= high * (2 * percent - 100), low * 100 >= high * percent)
         a, b, lead = a[fits], b[fits], lead[fits]
-        crowd = ids[size > PAIRED]
-        if len(crowd):
-            yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.array(crowd), pa.array(np.zeros(len(crowd), bool))], ["a", "b", "lead"])
         left, right = _padded(batch.column(4), k, 2**64 - 1), _padded(batch.column(4), k, 2**64 - 2)
         for at in range(0, len(a), 50_000):
             i, j, m = a[at : at + 50_000], b[at : at + 50_000], lead[at : at + 50_000]
@@ -212,10 +206,8 @@ def _meet(k: int, percent: int):
     return work
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b, lead) with the exact sizes of intersection (``both``) and union (``any``) of their sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-
+def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, h): the whole sorted set of each of some documents, as bytes."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
@@ -223,7 +215,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 lists = pa.array([h[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "h"])
 
-    full = with_ids(_body(docs), ids).mapInArrow(sets, "doc_id long, h binary")
+    return with_ids(_body(docs), ids).mapInArrow(sets, "doc_id long, h binary")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Pairs (a, b, lead) with the exact sizes of intersection (``both``) and union (``any``) of their sets."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    full = full_sets(docs, ids, width)
     left, right = full.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), full.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,10 +251,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int = PER
         "v", F.element_at("kept", (F.col("p") + 1) % F.size("kept") + 1).alias("w"), "n", "id", "brief"
     )
     met = lists.repartition("v", "w").sortWithinPartitions("v", "w", "id").mapInArrow(_meet(k, percent), "a long, b long, lead boolean")
-    all_met = checkpoint(met.groupBy("a", "b").agg(F.max("lead").alias("lead"), F.count("*").alias("lists")))
-    pairs = all_met.where("a <> b").drop("lists")
-    crowded = all_met.where("a = b").select("a", "lists").join(sets.select(F.col("id").alias("a"), F.size("kept").alias("n_lists")), "a")
-    crowded = crowded.where(F.col("n_lists") - F.col("lists") < ENOUGH).select(F.col("a").alias("b"))
+    pairs = checkpoint(met.groupBy("a", "b").agg(F.max("lead").alias("lead")))
     linked = F.col("both") * 100 >= F.col("any") * percent
 
     # Ids of a pair are in order, so a set's pair with the least id is the minimum of its ``a``.
@@ -269,7 +264,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int = PER
 
     # Sets near a leader and not in its group, against the sets about as near to it.
     around = F.col("both") * 100 >= F.col("any") * (2 * percent - 100)
-    fringe = known.where("lead").where(around & ~linked).join(crowded, "b", "left_semi").select(*known.columns)
+    fringe = known.where("lead").where(around & ~linked)
     fringe = checkpoint(fringe.join(_apart(fringe.select("a", "b", "lead"), edges).select("a", "b"), ["a", "b"], "left_semi"))
     if fringe.isEmpty():
         return edges
@@ -278,11 +273,50 @@ def linked_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int = PER
     scored = known.where("lead").join(leaders, "a", "left_semi").unionAll(confirm(checkpoint(unknown), docs, width)).where(around)
     likeness = F.col("both") / F.col("any")
     near, others = fringe.select("a", F.col("b").alias("x"), likeness.alias("jx")), scored.select("a", F.col("b").alias("y"), likeness.alias("jy"))
+    return edges.unionAll(_in_blocks(near, others, docs, width, percent))
+
+
+def _in_blocks(near: DataFrame, others: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) links of the sets x near a leader with the leader's other sets y; similarities to the leader come along."""
+    parts = near.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    held = near.join(parts, "a").select("a", F.pmod(F.xxhash64("x"), "parts").cast("int").alias("part"), F.lit(0).alias("flag"), F.col("x").alias("id"), F.col("jx").alias("j"))
+    passing = others.join(parts, "a").select(
+        "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("flag"), F.col("y").alias("id"), F.col("jy").alias("j")
+    )
+    rows = checkpoint(held.unionAll(passing))
+    full = full_sets(docs, rows.select(F.col("id").alias("doc_id")).distinct(), width).withColumnRenamed("doc_id", "id")
     gap = 1 - percent / 100 + 1e-9
-    rest = near.join(others, "a").where((F.col("x") != F.col("y")) & (F.abs(F.col("jx") - F.col("jy")) <= gap))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().withColumn("lead", F.lit(False))
-    rest = checkpoint(_apart(rest, edges))
-    return edges.unionAll(confirm(rest, docs, width).where(linked).select("a", "b"))
+
+    def values(batch: pa.RecordBatch) -> list[np.ndarray]:
+        raw, edge = utf8_rows(batch.column(5))
+        return [raw[a:b].view(np.uint64) for a, b in zip(edge[:-1], edge[1:])]
+
+    def meet(key: tuple, block: list[pa.RecordBatch], stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not block:
+            return
+        own = [v.copy() for batch in block for v in values(batch)]
+        ids, like = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in block]) for i in (3, 4))
+        size = np.array([len(v) for v in own])
+        flat = np.concatenate(own)
+        order = np.argsort(flat, kind="stable")
+        owner = np.repeat(np.arange(len(own)), size)[order]
+        known, first = np.unique(flat[order], return_index=True)
+        count = np.diff(np.append(first, len(flat)))
+        for batch in stream:
+            found = []
+            for y, j, v in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), values(batch)):
+                at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+                at = at[known[at] == v]
+                n = count[at]
+                spots = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(owner[spots], minlength=len(own))
+                good = (both * 100 >= percent * (size + len(v) - both)) & (np.abs(like - j) <= gap) & (ids != y)
+                found += [(min(x, y), max(x, y)) for x in ids[good].tolist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+    joined = rows.join(full, "id").select("a", "part", "flag", "id", "j", "h").repartition("a", "part").sortWithinPartitions("a", "part", "flag")
+    return joined.mapInArrow(blocks_and_streams(2, meet), "a long, b long").distinct()
 
 
 def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
