@@ -4,8 +4,9 @@ Unit vectors are put into the cell of their halves' nearest codewords.  From a v
 growing distance bound (the multi-sequence order): in each half the distance to a codeword's region is at least the
 distance to the plane between that codeword and the vector's own, so cells whose two bounds together exceed the search
 radius hold no partner.  With ``recall`` 1 the traversal ends at the full radius and misses nothing; a smaller target
-ends it at the radius within which that share of a bounded sample's close pairs have their cells.  Every pair met is verified in double
-precision.  Cells are split into blocks of bounded size; a pair meets once, in the cell that comes later.
+ends it at the radius within which that share of a bounded sample's close pairs have their cells.  Every pair met is
+verified in double precision.  Neighbouring cells are gathered into shards, so a vector travels once to all the cells it
+visits there, and shards of a label are split into blocks of bounded size; a pair meets once, in the later shard.
 
 Exact copies (same label and components) are one vector with a weight, so copies are never expanded into pairs.  Of a
 block only sums of links and one edge per vector to its local group's least id leave the task.
@@ -30,8 +31,8 @@ from docsluice.llm.vectors import blocks_and_streams, distances, kmeans, matrix,
 
 LEAST = 0.93  # cosine from which two vectors are linked
 SAMPLE = 20_000  # vectors that codebooks are fitted on
-CELL_ROWS, MAX_WORDS = 64, 256  # wanted vectors in a cell; codewords of a half
-BLOCK = 1024  # vectors of a cell that are held together
+CELL_ROWS, MAX_WORDS = 64, 256  # wanted vectors of a label in a cell; codewords of a half
+BLOCK = 1024  # vectors of a shard that are held together
 SLACK = 1e-7  # rounding of distances to planes
 
 
@@ -92,13 +93,18 @@ def links(vectors: DataFrame, least: float = LEAST, recall: float = 1.0, block:
     spark = vectors.sparkSession
     radius2 = max(0.0, 2 - 2 * least)
     books = {}
-    for row in vectors.groupBy(F.size("v").alias("dim")).count().collect():  # one row per vector length
-        dim, n = row["dim"], row["count"]
+    largest = vectors.groupBy(F.size("v").alias("dim"), "label").count().groupBy("dim").agg(F.max("count").alias("n"))
+    for row in largest.collect():  # one row per vector length
+        dim, n = row["dim"], row["n"]
         words = min(MAX_WORDS, max(1, math.isqrt(n // CELL_ROWS)))
         taken = sample(vectors.where(F.size("v") == dim), "v", "id", SAMPLE)
         taken = taken / np.linalg.norm(taken, axis=1, keepdims=True)
         pair = tuple(kmeans(h, words) for h in _half(taken))
-        books[dim] = (pair, _reach(pair, taken, radius2, recall))
+        # Shards are runs of cells that hold about equal shares of the sample.
+        (ha, _), (hb, _) = (plane_bounds(h, w) for h, w in zip(_half(taken), pair))
+        size = np.bincount(ha * len(pair[1]) + hb, minlength=len(pair[0]) * len(pair[1]))
+        shard_of = (np.cumsum(size) - size) * -(-n // block) // max(1, size.sum())
+        books[dim] = (pair, _reach(pair, taken, radius2, recall), shard_of)
     shared = spark.sparkContext.broadcast(books)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,26 +114,26 @@ def links(vectors: DataFrame, least: float = LEAST, recall: float = 1.0, block:
                 part = batch.filter(pa.array(sizes == dim))
                 for at in range(0, part.num_rows, 1024):
                     some = part.slice(at, 1024)
-                    (wa, wb), reach = shared.value[int(dim)]
+                    (wa, wb), reach, shard_of = shared.value[int(dim)]
                     a, b = _half(matrix(some.column(3)))
                     (ha, la), (hb, lb) = plane_bounds(a, wa), plane_bounds(b, wb)
-                    home = ha * len(wb) + hb
-                    # A pair meets in the later of its two cells.
-                    cells = [c[c >= h] for c, h in zip((traversal(x, y, reach) for x, y in zip(la, lb)), home)]
-                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(home), pa.array(cells, pa.list_(pa.int64()))], ["id", "label", "w", "v", "home", "cells"])
+                    home = shard_of[ha * len(wb) + hb]
+                    visited = (np.unique(shard_of[traversal(x, y, reach)]) for x, y in zip(la, lb))
+                    later = [c[c >= h] for c, h in zip(visited, home)]
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(home), pa.array(later, pa.list_(pa.int64()))], ["id", "label", "w", "v", "home", "shards"])
 
     kind = vectors.select("id", "label", F.col("weight").alias("w"), "v")
-    placed = checkpoint(kind.mapInArrow(place, f"id long, label long, w long, v array<{vectors.schema['v'].dataType.elementType.simpleString()}>, home long, cells array<long>"))
+    placed = checkpoint(kind.mapInArrow(place, f"id long, label long, w long, v array<{vectors.schema['v'].dataType.elementType.simpleString()}>, home long, shards array<long>"))
     placed = placed.withColumn("dim", F.size("v"))
-    sizes = placed.groupBy("label", "dim", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    keys = ["label", "dim", "cell"]
-    homes = placed.drop("cells").withColumnRenamed("home", "cell").join(sizes, keys)
+    sizes = placed.groupBy("label", "dim", F.col("home").alias("shard")).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    keys = ["label", "dim", "shard"]
+    homes = placed.drop("shards").withColumnRenamed("home", "shard").join(sizes, keys)
     homes = homes.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    visits = placed.select("id", "w", "v", "label", "dim", "home", F.explode("cells").alias("cell")).join(sizes, keys)
+    visits = placed.select("id", "w", "v", "label", "dim", "home", F.explode("shards").alias("shard")).join(sizes, keys)
     visits = visits.withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    # In its own cell a vector visits the later blocks; its own block is compared within.
-    visits = visits.where("cell <> home or part > own")
-    columns = ["label", "dim", "cell", "part"]
+    # In its own shard a vector visits the later blocks; its own block is compared within.
+    visits = visits.where("shard <> home or part > own")
+    columns = ["label", "dim", "shard", "part"]
     rows = homes.select(*columns, F.lit(0).alias("flag"), "id", "w", "v").unionAll(visits.select(*columns, F.lit(1).alias("flag"), "id", "w", "v"))
 
     def unit(batch: pa.RecordBatch) -> np.ndarray:
