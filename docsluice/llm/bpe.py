@@ -30,30 +30,41 @@ from docsluice.llm.common import texts
 # The splitting pattern and the special tokens of the vocabulary file's own format.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-MEMO_CHUNKS = 1_000_000  # remembered chunks of a worker process
+MEMO_CHUNKS = 200_000  # remembered chunks in each of a worker's two generations
 _LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 # Letters that every Unicode version since 6 classes alike; other chunks are split by the library's own splitter.
 _KNOWN = regex.compile(r"[\x00-\u0233\u0386-\u03ce\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
 
 
 class Memo(dict):
-    """What a key leads to, computed on first sight.  Bounded: a full table drops the half it has known longest."""
+    """What a key leads to, computed on first sight.  Bounded: a full table becomes the old generation and the old one
+    goes, so what is in use stays."""
 
     def __init__(self, make, limit: int = MEMO_CHUNKS):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key: str):
-        value = self.make(key)
-        if len(key) <= 64:
-            self.put(key, value)
+        value = self.look(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) <= 64:
+                self.put(key, value)
+        return value
+
+    def look(self, key: str):
+        """A remembered value or None; one of the old generation is kept."""
+        value = self.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
         return value
 
     def put(self, key: str, value) -> None:
         if len(self) >= self.limit:
-            kept = list(self.items())[self.limit // 2 :]
+            self.old = dict(self)
             self.clear()
-            self.update(kept)
         self[key] = value
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docsluice.llm.bpe import MEMO_CHUNKS, WORD_END, Memo, plain_words
-from docsluice.llm.common import PIECE_BYTES, checkpoint, slices, texts
+from docsluice.llm.common import checkpoint, slices, texts
 
 SIZE = 4096  # tokens in a sequence
 CLOSE_ID = 1  # closes every document
@@ -70,7 +70,7 @@ class LibraryIds:
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks seen for the first time; their new words go to the library together."""
         words_of = {c: None if "<|" in c else plain_words(c) for c in chunks}
-        todo = list({w for words in words_of.values() if words for w in words if w not in self.words})
+        todo = list({w for words in words_of.values() if words for w in words if self.words.look(w) is None})
         for i in range(0, len(todo), 4096):
             for word, ids in zip(todo[i : i + 4096], self._ids(todo[i : i + 4096])):
                 self.words.put(word, ids)
@@ -92,7 +92,8 @@ class LibraryIds:
         chunks = pc.ascii_split_whitespace(column)
         coded = chunks.flatten().dictionary_encode()
         distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        known = list(map(self.memo.get, distinct))
+        get, look = self.memo.get, self.memo.look
+        known = [get(c) or look(c) for c in distinct]
         new = {c for c, ids in zip(distinct, known) if ids is None}
         if new:
             learned = self._learn(new)
@@ -101,7 +102,9 @@ class LibraryIds:
         pool, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
         n = sizes[which]
         ends = np.cumsum(n)
-        ids = pool[np.repeat(start[which] - (ends - n), n) + np.arange(n.sum())]
+        spots = np.repeat(start[which] - (ends - n), n)
+        spots += np.arange(len(spots))
+        ids = pool[spots]
         edges = np.asarray(chunks.offsets) - (chunks.offsets[0].as_py() if len(chunks.offsets) else 0)
         return ids, np.concatenate([[0], ends])[edges]
 
@@ -123,7 +126,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, size: int = SIZE, with_ids: bo
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seen = library_ids(vocabulary_path), TaskContext.get().partitionId(), defaultdict(int)
-        for batch in (some for whole in batches for some in slices(whole, limit=8 * PIECE_BYTES)):
+        for batch in (some for whole in batches for some in slices(whole)):
             ids, edges = coder.encode(batch.column(1))
             rows = []
             for doc_id, a, b in zip(batch.column(0).to_pylist(), edges[:-1].tolist(), edges[1:].tolist()):

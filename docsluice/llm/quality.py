@@ -220,18 +220,12 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of documents whose score is at least ``least``, with all their columns."""
+    """The rows of documents whose score is at least ``least``, with all their columns; only texts visit Python."""
     shared = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels))
-    at = docs.columns.index("text")
-    wide = docs.schema
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            body = batch.column(at)
-            if body.null_count:
-                body = body.fill_null("")
-            yield batch.filter(pa.array(_scores(shared.value, body) >= least))
-
-    return docs.mapInArrow(work, wide)
 
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(_scores(shared.value, text))
 
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return docs.withColumn("__llm_score", score(body)).where(F.col("__llm_score") >= least).drop("__llm_score")

@@ -75,7 +75,7 @@ class Unigram:
         """(pre-tokens, tokens) of each text."""
         rows = [[MARK + w for w in t.split()] for t in batch]
         known = self.counts
-        fresh = self.count_all({w for w in set().union(*rows) if w not in known})
+        fresh = self.count_all({w for w in set().union(*rows) if known.look(w) is None})
         for word, n in fresh.items():
             if len(word) <= 64:
                 known.put(word, n)
