@@ -30,7 +30,7 @@ from docsluice.llm.common import texts
 # The splitting pattern and the special tokens of the vocabulary file's own format.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-MEMO_CHUNKS = 200_000  # remembered chunks in each of a worker's two generations
+MEMO_CHUNKS = 300_000  # remembered chunks in each of a worker's two generations
 _LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 # Letters that every Unicode version since 6 classes alike; other chunks are split by the library's own splitter.
 _KNOWN = regex.compile(r"[\x00-\u0233\u0386-\u03ce\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")

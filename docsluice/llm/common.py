@@ -49,10 +49,11 @@ def groups_of_rows(bounds: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tup
 
 
 def slices(batch: pa.RecordBatch, column: int = 1, limit: int = 4 * PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with a few megabytes of text each."""
+    """Parts of a batch with a few megabytes of text each; what Arrow keeps after one goes back to the system."""
     _, bounds = utf8_rows(batch.column(column))
     for a, b in groups_of_rows(bounds, limit):
         yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
