@@ -32,7 +32,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in training sequences."""
-    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), keep_tables=False)
 
 
 STAGES = [

@@ -116,10 +116,11 @@ def library_ids(path: str) -> LibraryIds:
     return LibraryIds(path)
 
 
-def pieces(docs: DataFrame, vocabulary_path: str, size: int = SIZE, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary_path: str, size: int = SIZE, with_ids: bool = False, keep_tables: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, nth[, ids]): pieces of tokenized documents.
 
-    ``nth`` counts the pieces of one length within one part (a task's rows) of the input.
+    ``nth`` counts the pieces of one length within one part (a task's rows) of the input.  Known chunks are kept for the
+    worker's next task unless ``keep_tables`` is off, which leaves its memory to whatever runs after.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", *(["ids"] if with_ids else [])]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
@@ -139,6 +140,8 @@ def pieces(docs: DataFrame, vocabulary_path: str, size: int = SIZE, with_ids: bo
                     seen[n] += 1
             columns = zip(*rows) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names)
+        if not keep_tables:
+            library_ids.cache_clear()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
     return texts(docs).mapInArrow(work, schema + (", ids array<int>" if with_ids else ""))
@@ -279,10 +282,10 @@ def plan(histogram: dict[int, int], size: int = SIZE, grid: int = GRID) -> list[
     return runs
 
 
-def pack(docs: DataFrame, vocabulary_path: str, size: int = SIZE, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_path: str, size: int = SIZE, with_ids: bool = False, keep_tables: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]): every piece with its place."""
     spark = docs.sparkSession
-    cut = checkpoint(pieces(docs, vocabulary_path, size, with_ids))
+    cut = checkpoint(pieces(docs, vocabulary_path, size, with_ids, keep_tables))
     counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     runs = plan(totals, size)

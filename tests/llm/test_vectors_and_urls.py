@@ -20,7 +20,7 @@ def vectors():
     x[200:330] = x[7]  # a hot vector
     x[330:350] = 3 * x[8]
     rows = [(i, [float(np.float32(c)) for c in v], int(i % 3 == 0)) for i, v in enumerate(x)]
-    odd = [None, [], [0.0] * 16, [NAN] + [1.0] * 15, [INF] * 16, [None] + [1.0] * 15, [1.0, 2.0, 3.0], [1.0, 2.0, 3.1], rows[7][1]]
+    odd = [None, [], [0.0] * 16, [NAN] + [1.0] * 15, [INF] * 16, [None] + [1.0] * 15, [1.0, 2.0, 3.0], [1.0, 2.0, 3.5], rows[7][1]]
     rows += [(600 + 20 * i, v, 1) for i, v in enumerate(odd)]
     return [*rows, (5000, rows[7][1], None), (None, rows[7][1], 1), rows[7], rows[0]]
 
