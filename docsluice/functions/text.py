@@ -176,9 +176,6 @@ def shorten_error(c: Column, limit: int = 380) -> Column:
     )
 
 
-def distinct_urls(c: Column, limit: int = 4) -> Column:
-    return F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(r"https?://[^\s\)\]>\"']+"), F.lit(0))), 1, limit)
-
 
 def header_multiline(c: Column) -> Column:
     """Put the country of a customer's address on its own line."""

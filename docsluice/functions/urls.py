@@ -105,3 +105,13 @@ def drive_id(c: Column) -> Column:
         .when(h == "drive.google.com", in_drive)
         .when(h.isin("docs.google.com", "spreadsheets.google.com", "presentation.google.com"), in_docs)
     )
+
+
+def distinct_ids(c: Column, pattern: str = r"\d+") -> Column:
+    """Every id a text names, in order of first sight."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
+
+
+def alternate_ids(c: Column, pattern: str = r"\d+") -> Column:
+    """The ids besides the first one, in order of first sight."""
+    return tx.let(distinct_ids(c, pattern), lambda ids: F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0))))

@@ -5,7 +5,7 @@ Everything about a page comes from that page, so the job is one narrow stage wit
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -243,9 +243,19 @@ def _override(both: Column) -> Column:
 
 def pick_field(fields: Column, *parts: str) -> Column:
     """Value of the first field whose key holds all parts; NULL if it is blank."""
-    # One look-ahead per part: a single match per key, compiled once.
-    holds = "(?iu)^" + "".join(f"(?=.*{re.escape(p)})" for p in parts)
-    found = F.try_element_at(F.filter(fields, lambda f: f["key"].rlike(holds)), F.lit(1))
+    return _pick(_lowered(fields), *parts)
+
+
+def _lowered(fields: Column) -> Column:
+    return F.transform(fields, lambda f: F.struct(F.lower(f["key"]).alias("key"), f["value"].alias("value")))
+
+
+def _pick(lowered: Column, *parts: str) -> Column:
+    """``pick_field`` of fields whose keys are in lower case already."""
+    def holds(f: Column) -> Column:
+        return reduce(lambda a, b: a & b, [f["key"].contains(p.lower()) for p in parts])
+
+    found = F.try_element_at(F.filter(lowered, holds), F.lit(1))
     return F.nullif(tx.js_trim(found["value"]), F.lit(""))
 
 
@@ -283,7 +293,7 @@ def customer_priority(key: Column) -> Column:
     )
 
 
-def ranked_pick(fields: Column, priority=customer_priority, limit: int = 480) -> Column:
+def ranked_pick(fields: Column, priority=customer_priority) -> Column:
     """Value with the best label, then the longest, then the first; references to the documentation do not count."""
     ranked = F.transform(
         fields,
@@ -293,25 +303,28 @@ def ranked_pick(fields: Column, priority=customer_priority, limit: int = 480) ->
         ),
     )
     fit = F.filter(ranked, lambda r: (r["p"] < 999) & ~is_doc_reference(r["v"]))
-    return F.substring(F.array_min(fit)["v"], 1, limit)
+    return F.array_min(fit)["v"]
 
 
 def structured_card(fields: Column) -> Column:
-    """Canonical struct of the card's fields."""
+    """Canonical struct of the card's fields; keys are put in lower case once for all labels."""
+    return tx.let(_lowered(fields), _structured)
+
 
+def _structured(fields: Column) -> Column:
     def first(options: list[tuple[str, ...]]) -> Column:
-        return F.coalesce(*[pick_field(fields, *parts) for parts in options])
+        return F.coalesce(*[_pick(fields, *parts) for parts in options])
 
     groups = {
         group: F.struct(*[first(options).alias(leaf) for leaf, options in leaves.items()])
         for group, leaves in CARD_FIELDS.items()
     }
-    conducted = pick_field(fields, "закупка проводится")
-    full = pick_field(fields, "полное наименование заказчика")
+    conducted = _pick(fields, "закупка проводится")
+    full = _pick(fields, "полное наименование заказчика")
     groups["customer"] = F.struct(
         F.when(~is_doc_reference(conducted), conducted).alias("conducted_by"),
         F.coalesce(ranked_pick(fields), F.when(~is_doc_reference(full), full)).alias("name_address"),
-        pick_field(fields, "фамилии", "телефон").alias("contacts"),
+        _pick(fields, "фамилии", "телефон").alias("contacts"),
     )
     order = ("general", "customer", "procedure", "competitive_documents", "bids", "lot_details")
     return F.struct(*[groups[g].alias(g) for g in order])
@@ -428,7 +441,7 @@ def document_links(html: Column, base: Column) -> Column:
 
     def link(a: Column) -> Column:
         last = F.nullif(F.regexp_extract(a["href"], r"([^/]*)$", 1), F.lit(""))
-        name = F.substring(F.coalesce(F.nullif(a["inner"], F.lit("")), last, a["href"]), 1, 240)
+        name = F.coalesce(F.nullif(a["inner"], F.lit("")), last, a["href"])
         return F.struct(name.alias("name"), F.coalesce(urls.resolve_url(base, a["href"]), a["href"]).alias("href"))
 
     return tx.let(F.transform(F.filter(texts, fits), link), _first_per_href)
@@ -462,12 +475,13 @@ def first_h1(html: Column, site: Site) -> Column:
 
 def procurement_title(fields: Column, site: Site) -> Column:
     """Name of the procurement from its labelled fields, NULL if none is usable."""
-    candidates = F.array(*[pick_field(fields, *parts) for parts in TITLE_FIELDS])
+    lowered = _lowered(fields)
+    candidates = F.array(*[_pick(lowered, *parts) for parts in TITLE_FIELDS])
     fit = F.filter(
         candidates,
         lambda c: c.isNotNull() & (F.length(c) >= 4) & ~is_ui_title(c, site) & ~matches(c, FOOTER_NOISE, ignore_case=False),
     )
-    return F.substring(F.try_element_at(fit, F.lit(1)), 1, 600)
+    return F.try_element_at(fit, F.lit(1))
 
 
 def page_title(from_fields: Column, og: Column, tag: Column, ld: Column, h1: Column, heads: Column, site: Site) -> Column:
@@ -571,25 +585,25 @@ def budget_hint(structured: Column, hints: Column, fields: Column) -> Column:
     """Budget: structured card, else the first price hint, else a matching label."""
     first = _filled(F.try_element_at(hints, F.lit(1)))
     value = F.coalesce(_filled(structured["procedure"]["estimated_total_value"]), first, _labelled(fields, BUDGET_LABELS))
-    return F.substring(value, 1, 400)
+    return value
 
 
 def deadline_hint(structured: Column, fields: Column) -> Column:
     value = F.coalesce(_filled(structured["procedure"]["bids_deadline_at"]), _labelled(fields, DEADLINE_LABELS))
-    return F.substring(value, 1, 400)
+    return value
 
 
 def title_hint(title: Column, structured: Column) -> Column:
     """The title if it has six characters, else other information of twelve."""
     t = tx.js_trim(title)
-    other = F.substring(tx.js_trim(structured["procedure"]["other_info"]), 1, 300)
-    return F.when(F.length(t) >= 6, F.substring(t, 1, 500)).when(F.length(other) >= 12, other)
+    other = tx.js_trim(structured["procedure"]["other_info"])
+    return F.when(F.length(t) >= 6, t).when(F.length(other) >= 12, other)
 
 
 def customer_line(corpus: Column) -> Column:
     """First line of a corpus that names the customer and does not only point to the documentation."""
     found = [tx.js_trim(extract(corpus, p)) for p in CUSTOMER_LINES]
-    return F.substring(F.coalesce(*[F.when(~is_doc_reference(f), f) for f in found]), 1, 480)
+    return F.coalesce(*[F.when(~is_doc_reference(f), f) for f in found])
 
 
 def customer_name(structured: Column, fields: Column, corpus: Column) -> Column:
@@ -603,4 +617,4 @@ def customer_name(structured: Column, fields: Column, corpus: Column) -> Column:
         customer_line(corpus),
         F.lit(NO_CUSTOMER),
     )
-    return F.substring(value, 1, 480)
+    return value

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,8 +13,6 @@ from docsluice.functions.ranking import distributed_rank, ordered_bucket
 # Thresholds and reasons.
 REPLACE_PDF_BELOW = 98_304
 MIN_ATTACHMENT_BYTES = 16
-MAX_ATTACHMENT_BYTES = 45 * 1024 * 1024
-MAX_ATTACHMENTS = 30
 DUPLICATE_VARIANT = "duplicate_local_variant"
 FILE_EXT = r"\.(pdf|docx?|zip|rar|7z|xlsx?|csv|txt|pptx?)$"
 
@@ -83,7 +80,6 @@ def union_candidates(from_page: DataFrame, from_network: DataFrame, help_link, k
     return rows.withColumn("kept", ~help_link(F.col("url"), F.col("link_text"), F.col(key)))
 
 
-_NUMBERED = re.compile(r"^(.*?)(?: \((\d+)\))+(\.[^.]*)?$", re.S)
 
 
 def _resolve_collisions(rows: pd.DataFrame) -> pd.DataFrame:

@@ -22,7 +22,6 @@ CATEGORY_TITLES = {
     "ambiguous": "### Неоднозначный путь (есть маркеры и заказчика, и участия)",
 }
 NATIVE_DOC, NATIVE_SHEET = NATIVE_MIME_PREFIX + "document", NATIVE_MIME_PREFIX + "spreadsheet"
-CELL_CHARS = 480
 
 
 def folder_paths(nodes: DataFrame, root: str, max_depth: int | None = None) -> DataFrame:
@@ -222,10 +221,10 @@ def agent_bundle(tenders: DataFrame, lists: dict[str, DataFrame], key: str = "te
     return out
 
 
-def markdown_cell(c: Column, limit: int = CELL_CHARS) -> Column:
-    """Text for a table cell: bars escaped, one line, cut."""
+def markdown_cell(c: Column) -> Column:
+    """Text for a table cell: bars escaped, one line."""
     flat = F.regexp_replace(F.replace(c, F.lit("|"), F.lit("\\|")), r"\r?\n", " ")
-    return F.substring(tx.js_trim(flat), 1, limit)
+    return tx.js_trim(flat)
 
 
 def render_rows(rows: DataFrame, key: str, header: list[str], cells: list[str], order: list[str]) -> DataFrame:

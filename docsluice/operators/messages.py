@@ -20,10 +20,6 @@ def allowed_chats(updates: DataFrame, chats: DataFrame, key: str = "chat_id") ->
     return updates if chats.isEmpty() else updates.join(chats.select(key).distinct(), key, "left_semi")
 
 
-def message_of(update: Column) -> Column:
-    """The message of an update: new, edited or from a business account."""
-    return F.coalesce(update["message"], update["edited_message"], update["business_message"])
-
 
 def route_updates(messages: DataFrame, bot: str, bot_id: int, view_url: str, nfc: bool = True) -> DataFrame:
     """Add ``body`` and ``route``.
@@ -87,9 +83,19 @@ def consume_once(events: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 
 def pending_sessions(events: DataFrame, key: str, ts: str = "ts", minutes: int = PENDING_MINUTES) -> DataFrame:
-    """Lifetimes of pending flows: touches no more than the lifetime apart.  Sessions merge before the shuffle."""
-    gap = F.session_window(ts, f"{minutes * 60} seconds 1 milliseconds")
-    return events.groupBy(key, gap.alias("w")).agg(F.count("*").alias("n_touches"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+    """Lifetimes of pending flows: touches no more than the lifetime apart.
+
+    Touches within one stretch of the lifetime's length always belong together, so a busy key is first combined per
+    stretch, before the shuffle, and only its stretches are put in order.
+    """
+    stretch = F.floor(F.unix_micros(ts) / F.lit(minutes * 60_000_000)).alias("stretch")
+    spans = events.groupBy(key, stretch).agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+    w = Window.partitionBy(key).orderBy("stretch")
+    apart = F.unix_micros("first") - F.lag(F.unix_micros("last")).over(w) > minutes * 60_000_000
+    runs = spans.withColumn("fresh", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("session", F.sum("fresh").over(w))
+    return runs.groupBy(key, "session").agg(
+        F.sum("n").alias("n_touches"), F.min("first").alias("first"), F.max("last").alias("last")
+    ).drop("session")
 
 
 def reply_to_anchor(replies: DataFrame, anchors: DataFrame, phase: str) -> DataFrame:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsluice.functions import json as js
 from docsluice.functions import text as tx
+from docsluice.functions.ranking import distributed_rank, ordered_bucket
 from docsluice.operators import assembly, inventory, policy, search
 
 # Headings, separators, limits and default texts.
 HIT_SEPARATOR, CONTEXT_SEPARATOR = "\n\n---\n\n", "\n---\n"
-CONTEXT_HITS, CONTEXT_CHARS = 6, 6500
-CARD_TEXT_CHARS, REQUISITES_CHARS, BUNDLE_CHARS = 18_000, 14_000, 14_000
+CONTEXT_HITS, BUNDLE_CHARS = 6, 14_000
 QUESTION = "Вопрос пользователя: "
 NO_VALUE = "—"
 NO_TEXT, NO_CARD = "_(пусто)_", "_(нет)_"
@@ -48,12 +48,11 @@ def rag_prompt(hits: DataFrame, questions: DataFrame, lead: str = "") -> DataFra
 
 
 def archive_context(hits: DataFrame, key: str = "query_id") -> DataFrame:
-    """(key, archive): texts of the first hits, bounded."""
+    """(key, archive): whole texts of the first hits."""
     rows = hits.where(F.col("hit_rank") <= CONTEXT_HITS).select(key, "hit_rank", tx.js_trim(F.col("text")).alias("text"))
-    joined = rows.where(F.col("text") != "").groupBy(key).agg(
+    return rows.where(F.col("text") != "").groupBy(key).agg(
         assembly.joined_in_order("text", "hit_rank", CONTEXT_SEPARATOR).alias("archive")
     )
-    return joined.withColumn("archive", F.substring("archive", 1, CONTEXT_CHARS))
 
 
 def _sections(*parts: Column) -> Column:
@@ -80,7 +79,7 @@ def analysis_prompt(corpora: DataFrame, archive: DataFrame | None = None) -> Dat
 
 def card_prompt(corpora: DataFrame, cards: DataFrame) -> DataFrame:
     """(tender_id, prompt) from a corpus and the beginning of the card's text, either of which may be missing."""
-    joined = corpora.join(cards.select("tender_id", F.substring("card_text", 1, CARD_TEXT_CHARS).alias("card")), "tender_id", "left")
+    joined = corpora.join(cards.select("tender_id", F.col("card_text").alias("card")), "tender_id", "left")
     filled = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
     text = F.concat_ws(
         "\n", F.concat(F.lit("tender_id / view: "), "tender_id"), F.lit(""), F.lit(CORPUS_HEADING), filled("corpus", NO_TEXT), F.lit(""),
@@ -110,16 +109,17 @@ def price_quote_merge(preparations: DataFrame, quotes: DataFrame, key: str = "te
 def matrix_numbering(claims: DataFrame, self_role: str) -> DataFrame:
     """Rows of both claim lists of a tender under one running number: the own list first.
 
-    claims: tender_id, list, ord, name, basis, criteria — the bounded reply of one model call per tender.
+    claims: tender_id, list, ord, name, basis, criteria.  Rows are counted per stretch of ``ord`` and then over stretches,
+    so a tender that holds most claims is not sorted in one task.
     """
-    w = Window.partitionBy("tender_id").orderBy(F.when(F.col("list") == "self", 0).otherwise(1), "ord")
-    number = F.row_number().over(w)
+    later = F.when(F.col("list") == "self", 0).otherwise(1)
     cell = inventory.markdown_cell
     criteria = F.when(F.col("list") == "self", "").when(F.coalesce(F.col("criteria"), F.lit("")).isin("", NO_VALUE), "").otherwise(
         F.concat(F.lit(" "), cell(F.col("criteria")))
     )
     role = F.when(F.col("list") == "self", self_role).otherwise(MANAGER_ROLE)
-    numbered = claims.withColumn("n", number)
+    split = claims.withColumn("_list", later)
+    numbered = distributed_rank(split, ["tender_id"], ["_list", "ord"], [F.col("_list"), ordered_bucket(F.col("ord"), claims)], out="n")
     line = F.concat(
         F.lit("| "), F.col("n").cast("string"), F.lit(" | "), cell(F.col("name")), F.lit(" | "), role, F.lit(" | "), cell(F.col("basis")),
         criteria, F.lit(" |"),
@@ -173,7 +173,7 @@ def commercial_pack(analysed: DataFrame, label: str = "tender_id") -> DataFrame:
 
 def proposal_prompt(rows: DataFrame) -> DataFrame:
     """(tender_id, prompt) from the columns preparation, organisation, requisites, policy, warnings and corpus; blanks go."""
-    requisites = F.substring(tx.js_trim(F.col("requisites")), 1, REQUISITES_CHARS)
+    requisites = tx.js_trim(F.col("requisites"))
     warned = F.when(F.size("warnings") > 0, F.concat(F.lit("**Предупреждения:** "), F.array_join("warnings", " | ")))
     text = _sections(
         F.concat(F.lit("Тендер: **"), F.col("tender_id").cast("string"), F.lit("**")), F.col("preparation"), F.col("organisation"), requisites,
@@ -214,7 +214,7 @@ def import_summary(snapshots: DataFrame) -> DataFrame:
     """
     shown = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit(NO_VALUE))
     title = tx.js_trim(F.col("title"))
-    heading = F.when(F.length(title) >= 8, F.substring(title, 1, 500)).otherwise(F.concat(F.lit("Закупка "), F.col("view_id").cast("string")))
+    heading = F.when(F.length(title) >= 8, title).otherwise(F.concat(F.lit("Закупка "), F.col("view_id").cast("string")))
     first = F.try_element_at("document_links", F.lit(1))["href"]
     where = (
         F.when(F.col("folder_link") != "", F.concat(F.lit("Документация: "), "folder_link"))
@@ -237,7 +237,7 @@ def read_replies(replies: DataFrame, key: str = "tender_id", reply: str = "reply
 
 
 def rejected_replies(parsed: DataFrame, key: str = "tender_id", reply: str = "reply") -> DataFrame:
-    return parsed.where(F.col("doc").isNull()).select(key, F.substring(reply, 1, 2000).alias("reply"))
+    return parsed.where(F.col("doc").isNull()).select(key, F.col(reply).alias("reply"))
 
 
 def reply_claims(parsed: DataFrame, lists: dict[str, str], key: str = "tender_id") -> DataFrame:

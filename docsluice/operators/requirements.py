@@ -33,7 +33,6 @@ OPEN_STATUS = "open"
 NO_EVIDENCE = "—"
 REVIEW_NOTE = "needs_review: проверить вручную"
 
-_SOURCE_TYPE = "struct<file:string,fragment:string,page:double>"
 
 
 def parse_documents(docs: DataFrame, json: str = "json") -> DataFrame:

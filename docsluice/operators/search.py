@@ -23,6 +23,7 @@ TOP_K_SEARCH, TOP_K_ASK, TOP_K_CHAT, TOP_K_CHAT_MAX = 12, 10, 8, 24
 
 MAX_SHIPPED_FLOATS = 4_000_000  # a query batch up to this size (32 MB) travels to the chunk scan
 SCORE_DIGITS = 9  # scores are compared after rounding, so ties fall to the id and not to summation order
+TILE_SCORES = 1_000_000  # scores computed at once (8 MB), whatever the number of queries and rows
 SLACK = 1e-4  # margin of the distance bounds: covers scores that are equal only after rounding
 
 
@@ -35,15 +36,51 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores, ties by id."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= floor)
-    else:
-        near = np.arange(len(scores))
-    order = np.lexsort((ids[near], -scores[near]))
-    return near[order[:k]]
+def _tiles(n_queries: int, n_rows: int) -> Iterator[tuple[slice, slice]]:
+    """Query and row ranges whose scores fit TILE_SCORES."""
+    wide = min(n_rows, max(1024, TILE_SCORES // max(1, n_queries)))
+    tall = max(1, TILE_SCORES // max(1, wide))
+    for r in range(0, n_rows, max(1, wide)):
+        for q in range(0, n_queries, tall):
+            yield slice(q, min(n_queries, q + tall)), slice(r, min(n_rows, r + wide))
+
+
+class _Nearest:
+    """The k best (score, id) of every query over rows that come in parts; ties go to the smaller id."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.q, self.k = queries, k
+        self.floor = np.full(len(queries), -np.inf)  # the k-th best score so far
+        self.row = np.zeros(0, np.int64)
+        self.score = np.zeros(0)
+        self.ids: np.ndarray | None = None
+
+    def add(self, unit_rows: np.ndarray, ids: np.ndarray) -> None:
+        for qs, rs in _tiles(len(self.q), len(ids)):
+            scores = np.round(self.q[qs] @ unit_rows[rs].T, SCORE_DIGITS) + 0.0
+            floor = self.floor[qs]
+            if scores.shape[1] > self.k:
+                at = scores.shape[1] - self.k
+                floor = np.maximum(floor, np.partition(scores, at, axis=1)[:, at])
+            row, col = np.nonzero(scores >= floor[:, None])
+            self._merge(row + qs.start, scores[row, col], ids[rs][col])
+
+    def _merge(self, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        if self.ids is not None:
+            row, score, ids = np.concatenate([self.row, row]), np.concatenate([self.score, score]), np.concatenate([self.ids, ids])
+        order = np.lexsort((pd.factorize(ids, sort=True)[0], -score, row))
+        row, score, ids = row[order], score[order], ids[order]
+        heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(heads, len(row)))
+        rank = np.arange(len(row)) - np.repeat(heads, sizes)
+        full = row[rank == self.k - 1]
+        self.floor[full] = score[rank == self.k - 1]
+        kept = rank < self.k
+        self.row, self.score, self.ids = row[kept], score[kept], ids[kept]
+
+    def frame(self, query_ids: np.ndarray) -> pd.DataFrame:
+        ids = self.ids if self.ids is not None else np.zeros(0, np.int64)
+        return pd.DataFrame({"query_id": query_ids[self.row], "chunk_id": ids, "score": self.score})
 
 
 def top_k(
@@ -90,22 +127,17 @@ def _scan_with_queries(chunks: DataFrame, queries: DataFrame, k: int) -> DataFra
     shipped = chunks.sparkSession.sparkContext.broadcast(by_dim)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict = {}
+        best: dict[int, _Nearest] = {}
         for frame in frames:
             for dim, part in frame.groupby(frame["v"].map(len)):
-                if int(dim) not in shipped.value:
+                dim = int(dim)
+                if dim not in shipped.value:
                     continue
-                qids, q = shipped.value[int(dim)]
-                ids = part["chunk_id"].to_numpy()
-                scores = np.round(q @ _unit(_matrix(part["v"])).T, SCORE_DIGITS) + 0.0
-                for row, qid in enumerate(qids):
-                    old_ids, old_scores = best.get(qid, (ids[:0], scores[row][:0]))
-                    all_ids = np.concatenate([old_ids, ids])
-                    all_scores = np.concatenate([old_scores, scores[row]])
-                    pick = _best(all_scores, all_ids, k)
-                    best[qid] = (all_ids[pick], all_scores[pick])
-        for qid, (ids, scores) in best.items():
-            yield pd.DataFrame({"query_id": [qid] * len(ids), "chunk_id": ids, "score": scores})
+                if dim not in best:
+                    best[dim] = _Nearest(shipped.value[dim][1], k)
+                best[dim].add(_unit(_matrix(part["v"])), part["chunk_id"].to_numpy())
+        for dim, nearest in best.items():
+            yield nearest.frame(shipped.value[dim][0])
 
     return chunks.mapInPandas(scan, _result_schema(chunks, queries))
 
@@ -232,15 +264,10 @@ def _match_cells(chunks: DataFrame, queries: DataFrame, k: int, n_pivots: int, b
     keys = ["home", "slice", "cell", "block"]
 
     def score(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        nearest = _Nearest(_unit(_matrix(right_rows["v"])) if len(right_rows) else np.zeros((0, 0)), k)
         if len(left_rows) and len(right_rows):
-            ids = left_rows["chunk_id"].to_numpy()
-            q, m = _unit(_matrix(right_rows["v"])), _unit(_matrix(left_rows["v"]))
-            scores = np.round(q @ m.T, SCORE_DIGITS) + 0.0
-            for row, qid in enumerate(right_rows["query_id"]):
-                pick = _best(scores[row], ids, k)
-                out.append(pd.DataFrame({"query_id": [qid] * len(pick), "chunk_id": ids[pick], "score": scores[row][pick]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+            nearest.add(_unit(_matrix(left_rows["v"])), left_rows["chunk_id"].to_numpy())
+        return nearest.frame(right_rows["query_id"].to_numpy())
 
     left_keys = [f"chunk_{key}" for key in keys]
     left = left.select(*keys, "chunk_id", "v").toDF(*left_keys, "chunk_id", "v")
@@ -252,10 +279,6 @@ def _match_cells(chunks: DataFrame, queries: DataFrame, k: int, n_pivots: int, b
     )
 
 
-def hits_with_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Give the few hits their text and metadata; the embedding column is pruned from the scan."""
-    return hits.join(chunks.select("chunk_id", "text", "metadata"), "chunk_id")
-
 
 def hit_block(rank: Column, score: Column, path: Column, text: Column) -> Column:
     return F.format_string(
@@ -274,7 +297,3 @@ def chat_hit_line(rank: Column, score: Column, path: Column, text: Column, snipp
 def fixed(c: Column, digits: int) -> Column:
     """A number with a fixed count of decimals and no grouping."""
     return F.regexp_replace(F.format_number(c, digits), ",", "")
-
-
-def clamp_k(k: Column, limit: int = TOP_K_CHAT_MAX) -> Column:
-    return F.least(F.lit(limit), F.greatest(F.lit(1), k))

@@ -501,26 +501,31 @@ def _file_urls(t: Tables) -> DataFrame:
 
 @query(
     "distinct_ids",
-    "SELECT page_id, array_to_string(list_distinct(regexp_extract_all(url, '\\d+')), ',') AS ids FROM pages".replace(
-        "array_to_string(list_distinct(", "array_to_string(list_sort(list_distinct("
-    ).replace("')), ',')", "'))), ',')"),
+    """
+SELECT page_id, array_to_string(list_filter(ids, lambda x, i: list_position(ids, x) = i), ',') AS ids FROM (
+  SELECT page_id, regexp_extract_all(url, '\\d+') AS ids FROM pages)
+""",
 )
 def _ids(t: Tables) -> DataFrame:
-    ids = F.array_distinct(F.regexp_extract_all("url", F.lit(r"\d+"), F.lit(0)))
-    return t.pages.select("page_id", F.array_join(F.array_sort(ids), ",").alias("ids"))
+    return t.pages.select("page_id", F.array_join(urls.distinct_ids(F.col("url")), ",").alias("ids"))
 
 
 @query(
     "alternate_ids",
     """
-SELECT page_id, array_to_string(list_sort(list_filter(list_distinct(ids), lambda x: x <> ids[1])), ',') AS others FROM (
+SELECT page_id, array_to_string(list_filter(ids, lambda x, i: list_position(ids, x) = i AND i > 1), ',') AS others FROM (
   SELECT page_id, regexp_extract_all(url, '\\d+') AS ids FROM pages)
 """,
 )
 def _alternates(t: Tables) -> DataFrame:
-    ids = F.regexp_extract_all("url", F.lit(r"\d+"), F.lit(0))
-    others = F.array_except(ids, F.array(F.try_element_at(ids, F.lit(1))))
-    return t.pages.select("page_id", F.array_join(F.array_sort(others), ",").alias("others"))
+    return t.pages.select("page_id", F.array_join(urls.alternate_ids(F.col("url")), ",").alias("others"))
+
+
+@query("ranked_pick_fields", f"SELECT page_id, coalesce(name, lower(segment)) AS picked FROM ({_SQL_ORDERS})")
+def _ranked_fields(t: Tables) -> DataFrame:
+    """The customer among the labelled fields of a card: best label, longest value, no reference to the documents."""
+    fields = cards.labelled_fields(F.col("html"), hx.strip_html(F.col("html")))
+    return order_cards(t).select("page_id", cards.ranked_pick(fields).alias("picked"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from docsluice.functions import messages as mx
 from docsluice.functions import text as tx
 from docsluice.functions import urls
 from docsluice.operators import messages as ms
+from docsluice.session import shared_folder
 from docsluice.plans.registry import Tables, query, sql_collapse, sql_trim
 
 VIEW_URL = "portal.example.com/tenders/all/view/"
@@ -239,8 +242,17 @@ def _ttl(t: Tables) -> DataFrame:
     "SELECT event_type, count(*) AS n, max(event_id) + 1 AS next_offset FROM events GROUP BY 1",
 )
 def _updates(t: Tables) -> DataFrame:
-    """What a drained stream leaves behind: counts, and the offset after the last update."""
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), (F.max("event_id") + 1).alias("next_offset"))
+    """The table as a stream of files, drained: each batch leaves its counts and last update, as one that polls would."""
+    out = f"{shared_folder(t.spark)}/updates-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        counts = batch.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+        counts.write.mode("overwrite").parquet(f"{out}/counts/epoch={epoch}")
+
+    stream = t.stream("events").select("event_type", "event_id").writeStream.foreachBatch(keep)
+    stream.option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start().awaitTermination()
+    batches = t.spark.read.parquet(f"{out}/counts")
+    return batches.groupBy("event_type").agg(F.sum("n").alias("n"), (F.max("last") + 1).alias("next_offset"))
 
 
 @query(

@@ -31,7 +31,7 @@ def _rag(t: Tables) -> DataFrame:
 @query(
     "archive_context",
     f"""
-SELECT query_id, substring(string_agg({sql_trim('text')}, chr(10) || '---' || chr(10) ORDER BY hit_rank), 1, 6500) AS archive
+SELECT query_id, string_agg({sql_trim('text')}, chr(10) || '---' || chr(10) ORDER BY hit_rank) AS archive
 FROM ({_sql_hits(6)}) JOIN documents ON doc_id = chunk_id WHERE {sql_trim('text')} <> '' GROUP BY query_id
 """,
 )
@@ -57,7 +57,7 @@ def _analysis(t: Tables) -> DataFrame:
     "card_prompt",
     f"""
 SELECT CAST(doc_id AS VARCHAR) AS tender_id, 'tender_id / view: ' || doc_id || chr(10) || chr(10) || '{prompts.CORPUS_HEADING}' || chr(10) || CASE WHEN lang = 'de' THEN '{prompts.NO_TEXT}' ELSE text END
-  || chr(10) || chr(10) || '{prompts.CARD_HEADING}' || chr(10) || coalesce(substring(html, 1, 18000), '{prompts.NO_CARD}') AS prompt FROM documents LEFT JOIN pages ON page_id = doc_id
+  || chr(10) || chr(10) || '{prompts.CARD_HEADING}' || chr(10) || coalesce(html, '{prompts.NO_CARD}') AS prompt FROM documents LEFT JOIN pages ON page_id = doc_id
 """,
 )
 def _card(t: Tables) -> DataFrame:
@@ -142,7 +142,7 @@ def _pack(t: Tables) -> DataFrame:
 @query(
     "proposal_prompt",
     f"""
-SELECT tender_id, 'Тендер: **' || tender_id || '**' || chr(10) || 'org ' || tender_id || chr(10) || substring({sql_trim('corpus')}, 1, 14000) || chr(10) || '**Предупреждения:** a | b' || chr(10)
+SELECT tender_id, 'Тендер: **' || tender_id || '**' || chr(10) || 'org ' || tender_id || chr(10) || {sql_trim('corpus')} || chr(10) || '**Предупреждения:** a | b' || chr(10)
   || '## Корпус (документация заказчика)' || chr(10) || corpus AS prompt FROM ({_SQL_BUDGET})
 """,
 )

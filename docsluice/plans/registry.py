@@ -27,6 +27,11 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """The same table as a stream of its files."""
+        path = f"{self._folder}/{name}.parquet"
+        return self.spark.readStream.schema(getattr(self, name).schema).parquet(path)
+
     def spread(self, name: str, *columns: str) -> DataFrame:
         """Columns of a table, over all cores."""
         return spread(getattr(self, name).select(*columns))

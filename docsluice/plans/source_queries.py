@@ -79,11 +79,11 @@ def _extract(t: Tables) -> DataFrame:
     return out.select("doc_id", "kind", "extractor", "text", "truncated")
 
 
-@query("complete", "SELECT doc_id, text AS reply FROM documents")
+@query("complete", "SELECT doc_id, length(text) || ' characters, ' || (length(text) - length(replace(text, ' ', ''))) || ' blanks' AS reply FROM documents")
 def _complete(t: Tables) -> DataFrame:
-    """The provider of the tests returns the prompt."""
+    """A provider that answers each prompt with what it counts in it."""
     rows = t.documents.select("doc_id", F.col("text").alias("prompt"))
-    return providers.complete(rows).select("doc_id", "reply")
+    return providers.complete(rows, lambda prompts: [f"{len(p)} characters, {p.count(' ')} blanks" for p in prompts]).select("doc_id", "reply")
 
 
 @query(

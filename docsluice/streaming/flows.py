@@ -33,6 +33,8 @@ def advance(state: dict | None, event: dict) -> tuple[dict | None, str]:
         return {"chat_id": event["chat_id"], "step": 0, "selected": None, "touched": now, "consumed": False, **dict.fromkeys(WIZARD_STEPS)}, "started"
     if state is None or state["chat_id"] != event["chat_id"]:
         return state, "unknown"
+    if now - state["touched"] > _TTL_MS:
+        return None, "expired"
     waiting = state["step"] < len(WIZARD_STEPS)
     if action in ("reply", "starter"):
         text = (event.get("text") or "").strip()
@@ -45,8 +47,6 @@ def advance(state: dict | None, event: dict) -> tuple[dict | None, str]:
             return state, "ignored"
         done = {**state, slot: text, "step": state["step"] + 1, "touched": now}
         return done, "ready" if done["step"] == len(WIZARD_STEPS) else "accepted"
-    if now - state["touched"] > _TTL_MS:
-        return None, "expired"
     if waiting:
         return state, "gate_not_ready"
     if action == "select":
@@ -106,23 +106,26 @@ def terms_flow(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 def rolling_history(turns: DataFrame, limit: int = HISTORY_MESSAGES) -> DataFrame:
     """After each batch, the last messages of every chat in it.
 
-    turns: chat_id, turn, role, text, is_reset.  The state is at most ``limit`` messages per chat.
+    turns: chat_id, turn, role, text, is_reset.  The state is at most ``limit`` messages per chat and the latest reset:
+    a reset that comes late removes only what is older, and what comes late from before a reset stays out.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept: list[tuple] = list(zip(*state.get)) if state.exists else []
+        turns, roles, texts, reset = state.get if state.exists else ([], [], [], None)
+        kept: list[tuple] = list(zip(turns, roles, texts))
         for frame in frames:
-            for row in frame.sort_values("turn").itertuples(index=False):
-                kept = [] if row.is_reset else [*kept, (row.turn, row.role, row.text)]
-            kept = sorted(kept)[-limit:]
+            rows = list(frame.itertuples(index=False))
+            reset = max([r.turn for r in rows if r.is_reset] + ([] if reset is None else [reset]), default=None)
+            kept += [(r.turn, r.role, r.text) for r in rows if not r.is_reset]
+            kept = sorted(k for k in kept if reset is None or k[0] > reset)[-limit:]
         columns = [list(c) for c in zip(*kept)] if kept else [[], [], []]
-        state.update(tuple(columns))
+        state.update((*columns, None if reset is None else int(reset)))
         yield pd.DataFrame({"chat_id": [key[0]] * len(kept), "turn": columns[0], "role": columns[1], "text": columns[2]})
 
     return turns.groupBy("chat_id").applyInPandasWithState(
         run,
         "chat_id bigint, turn bigint, role string, text string",
-        "turns array<bigint>, roles array<string>, texts array<string>",
+        "turns array<bigint>, roles array<string>, texts array<string>, reset bigint",
         "update",
         GroupStateTimeout.NoTimeout,
     )

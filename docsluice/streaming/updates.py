@@ -27,7 +27,10 @@ def consume_once(events: DataFrame, keys: list[str], ts: str = "ts", lifetime: s
 
 
 def pending_sessions(events: DataFrame, key: str, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
-    return ms.pending_sessions(events.withWatermark(ts, late), key, ts)
+    """Lifetimes of pending flows as session windows, which is how streams keep them."""
+    gap = F.session_window(ts, f"{ms.PENDING_MINUTES * 60} seconds 1 milliseconds")
+    open_ = events.withWatermark(ts, late).groupBy(key, gap.alias("w"))
+    return open_.agg(F.count("*").alias("n_touches"), F.min(ts).alias("first"), F.max(ts).alias("last"))
 
 
 def fan_out(sinks: dict[str, str], name: str = "route") -> Callable[[DataFrame, int], None]:

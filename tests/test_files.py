@@ -1,9 +1,12 @@
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
 from docsluice.functions.ranking import distributed_rank, ordered_bucket
 from docsluice.operators import assembly, corpus, extraction, ingest, inventory
-from docsluice.sources import providers, readers, sinks
+from docsluice.session import spread
+from docsluice.sources import indexing, providers, readers, sinks
 
 
 @pytest.fixture
@@ -35,6 +38,48 @@ def test_scan_index_and_resume(spark, folder):
         sinks.write_index_manifest(corpus.manifest(indexed.limit(0), scan, {}), str(folder / "manifest2"))
 
 
+def test_index_job_goes_on_where_it_stopped(spark, folder):
+    root, index = str(folder / "in"), str(folder / "job")
+    asked = spark.sparkContext.accumulator(0)
+    plain = corpus.hashing_embedder(8)
+
+    def embed(texts):
+        asked.add(len(texts))
+        return plain(texts)
+
+    row = indexing.build(spark, root, index, embed, "h", max_chars=500)
+    assert row["files_scanned"] == 3 and asked.value == row["chunk_count"] >= 5
+    shutil.rmtree(folder / "job" / "manifest")
+    with pytest.raises(corpus.IncompatibleResume):
+        indexing.build(spark, root, index, embed, "other", max_chars=500)
+    (folder / "in" / "a" / "new.txt").write_text("новый файл")
+    again = indexing.build(spark, root, index, embed, "h", max_chars=500)
+    assert again["chunk_count"] == row["chunk_count"] + 1 == asked.value
+    (folder / "empty").mkdir()
+    with pytest.raises(corpus.EmptyIndex):
+        indexing.build(spark, str(folder / "empty"), str(folder / "job2"), embed, "h")
+    assert not (folder / "job2" / "manifest").exists()
+
+
+def test_ranks_put_nulls_first_and_survive_outliers(spark):
+    values = [None, 1, 2, 3, 10**12, None] + [7] * 90
+    rows = spark.createDataFrame([("k", v, i) for i, v in enumerate(values)], "k string, o bigint, i int")
+    ranked = distributed_rank(rows, ["k"], ["o", "i"], [ordered_bucket(F.col("o"), rows, 16)])
+    got = [r["i"] for r in ranked.orderBy("rank").collect()]
+    assert got == sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] or 0, i))
+    words = spark.createDataFrame([("k", w, 0) for w in ["b", "a", None, "zz", "c"]], "k string, o string, i int")
+    ranked = distributed_rank(words, ["k"], ["o"], [ordered_bucket(F.col("o"), words, 4)])
+    assert [r["o"] for r in ranked.orderBy("rank").collect()] == [None, "a", "b", "c", "zz"]
+
+
+def test_building_a_spread_scan_runs_no_job(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey")
+    spark.sparkContext.setJobGroup("spread", "none")
+    spread(table)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("spread")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_resume_rules():
     assert corpus.resume_allowed(True, False) and not corpus.resume_allowed(True, True, True)
     corpus.check_build_state(None, {})
@@ -104,8 +149,10 @@ def test_deep_and_cyclic_trees(spark):
     nodes = [(f"d{i}", f"d{i - 1}" if i else "root", f"d{i}", mime) for i in range(40)]
     nodes += [("c1", "c2", "c1", mime), ("c2", "c1", "c2", mime), ("f", "d4", "f.txt", "text/plain"), ("g", "d35", "g.txt", "text/plain"), ("h", "c1", "h", "x")]
     df = spark.createDataFrame(nodes, "id string, parent_id string, name string, mime string")
-    got = {r["id"]: r["path"] for r in inventory.tree_paths(df, "root").collect()}
+    got = {r["id"]: r["path"] for r in inventory.tree_paths(df, "root", max_depth=30).collect()}
     assert got == {"f": "d0/d1/d2/d3/d4/f.txt"}
+    whole = {r["id"]: r["path"] for r in inventory.tree_paths(df, "root").collect()}
+    assert whole == {**got, "g": "/".join(f"d{i}" for i in range(36)) + "/g.txt"}
 
 
 def test_rendered_sink(spark, tmp_path):

@@ -80,7 +80,9 @@ def test_grounding(spark):
     ]
     rows = spark.createDataFrame(claims, "tender_id string, claim_id string, list string, name string, basis string, criteria string, evidence string")
     got = {r["claim_id"]: (r["grounded"], r["kept_criteria"]) for r in grounding.ground_claims(rows, corpora).collect()}
-    assert got == {"1": (True, None), "2": (False, None), "3": (True, "—"), "4": (False, None)}
+    assert got == {"1": (True, None), "2": (False, None), "3": (False, "—"), "4": (False, None)}
+    heads = {r["claim_id"]: r["head_grounded"] for r in grounding.ground_claims(rows, corpora).collect()}
+    assert heads == {"1": True, "2": False, "3": True, "4": False}
 
 
 def test_lenient_replies(spark):

@@ -31,3 +31,15 @@ def test_other_dimensions_do_not_meet(spark):
     hits = search.top_k(rows.withColumnRenamed("id", "chunk_id"), rows.withColumnRenamed("id", "query_id"), 5)
     assert {(r["query_id"], r["chunk_id"]) for r in hits.select("query_id", "chunk_id").collect()} == {(1, 1), (2, 2)}
     assert hits.select(F.max("hit_rank")).first()[0] == 1
+
+
+def test_scores_are_computed_in_bounded_tiles():
+    for n_queries, n_rows in ((1, 10), (62_500, 10_000), (10, 5_000_000), (3_000_000, 5), (0, 7)):
+        seen = 0
+        for q, r in search._tiles(n_queries, n_rows):
+            assert (q.stop - q.start) * (r.stop - r.start) <= max(search.TILE_SCORES, 1024)
+            seen += (q.stop - q.start) * (r.stop - r.start)
+            if seen > 20 * search.TILE_SCORES:
+                break
+        else:
+            assert seen == n_queries * n_rows

@@ -98,3 +98,19 @@ def test_routes_and_sessions_stream(spark, turns, tmp_path):
     batch = ms.route_updates(known, "bot", 1, url)
     pick = lambda df: {(r["conv_id"], r["message_id"], r["route"]) for r in df.collect()}
     assert pick(out) == pick(batch)
+
+
+def test_lifetime_holds_for_replies():
+    base = {"chat_id": 1, "at_ms": 0}
+    state, _ = flows.advance(None, {**base, "action": "start"})
+    late = {**base, "action": "reply", "text": "x", "at_ms": 11 * 86_400_000}
+    assert flows.advance(state, late) == (None, "expired")
+
+
+def test_busy_key_has_the_same_sessions_in_both_ways(spark):
+    at = [0, 10, 3600, 3601, 7201, 10802, 20000, 23600, 27201]
+    rows = spark.createDataFrame([(u, s) for u in ("a", "b") for s in at], "u string, s long").select("u", F.timestamp_seconds("s").alias("ts"))
+    got = {(r["u"], r["n_touches"], r["first"], r["last"]) for r in ms.pending_sessions(rows, "u").collect()}
+    gap = F.session_window("ts", "3600 seconds 1 milliseconds")
+    want = rows.groupBy("u", gap).agg(F.count("*").alias("n"), F.min("ts").alias("f"), F.max("ts").alias("l"))
+    assert got == {(r["u"], r["n"], r["f"], r["l"]) for r in want.collect()}
