@@ -28,8 +28,8 @@ class Tables:
         return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
     def stream(self, name: str) -> DataFrame:
-        """The same table as a stream of its files."""
-        path = f"{self._folder}/{name}.parquet"
+        """The same table as a stream of its files; a pattern, as a plain path would have to be a folder."""
+        path = f"{self._folder}/{name}.parque[t]"
         return self.spark.readStream.schema(getattr(self, name).schema).parquet(path)
 
     def spread(self, name: str, *columns: str) -> DataFrame:
