@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docsluice.llm.bpe import MEMO_CHUNKS, WORD_END, Memo, plain_words
+from docsluice.llm.bpe import WORD_END, Memo, plain_words
 from docsluice.llm.common import PIECE_BYTES, checkpoint, slices, texts
 
 SIZE = 4096  # tokens in a sequence
 CLOSE_ID = 1  # closes every document
+KNOWN_CHUNKS = 700_000  # remembered chunks in each of a worker's two generations
 GRID = 64  # lengths of patterns are fitted on this many steps; rounding down of counts keeps them feasible
 
 
@@ -52,8 +53,8 @@ class LibraryIds:
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that end a word
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self.words = Memo(lambda word: self._ids([word])[0], MEMO_CHUNKS // 2)
-        self.memo = Memo(lambda chunk: self._learn({chunk})[chunk])
+        self.words = Memo(lambda word: self._ids([word])[0], KNOWN_CHUNKS // 2)
+        self.memo = Memo(lambda chunk: self._learn({chunk})[chunk], KNOWN_CHUNKS)
 
     def _one(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
