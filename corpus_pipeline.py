@@ -15,23 +15,35 @@ from docsluice.llm.queries import tokenizer_file
 from docsluice.session import shared_folder
 
 
+BATCH_ROWS = 1000  # rows of whole texts that tasks and their Python workers exchange at once
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Whole texts are long rows: the default of 10 000 of them in a batch is held by both sides of every task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality network does not reject."""
+    _small_batches(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    _small_batches(spark)
     return minhash.keep_first(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of 100 bytes that stand earlier."""
+    _small_batches(spark)
     return suffix_dedup.remove_repeats(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in training sequences."""
+    _small_batches(spark)
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), keep_tables=False)
 
 
