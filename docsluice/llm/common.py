@@ -10,7 +10,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 1 << 20  # texts are worked on in pieces of about this many bytes, so memory does not follow the batch
+PIECE_BYTES = 1 << 18  # texts are worked on in pieces of about this many bytes, so memory does not follow the batch
+SLICE_BYTES = 1 << 21  # and rows of a batch in slices of about this many
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def groups_of_rows(bounds: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tup
         first = last
 
 
-def slices(batch: pa.RecordBatch, column: int = 1, limit: int = 4 * PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a few megabytes of text each; what Arrow keeps after one goes back to the system."""
     _, bounds = utf8_rows(batch.column(column))
     for a, b in groups_of_rows(bounds, limit):

@@ -51,7 +51,9 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
         while at < stop:
             end = stop
             if last - first == 1 and stop - at > 2 * PIECE_BYTES:  # a long text goes in pieces that end in white space
-                gap = np.flatnonzero(_SPACE[raw[at + PIECE_BYTES : stop]])
+                gap = np.flatnonzero(_SPACE[raw[at + PIECE_BYTES : min(stop, at + 2 * PIECE_BYTES)]])
+                if not len(gap):  # a word that is longer than a piece
+                    gap = np.flatnonzero(_SPACE[raw[at + PIECE_BYTES : stop]])
                 end = at + PIECE_BYTES + int(gap[0]) if len(gap) else stop
             x = _LOWER[raw[at:end]]
             inside = np.concatenate([[False], ~_SPACE[x], [False]])

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docsluice.llm.bpe import WORD_END, Memo, plain_words
-from docsluice.llm.common import PIECE_BYTES, checkpoint, slices, texts
+from docsluice.llm.common import SLICE_BYTES, checkpoint, slices, texts
 
 SIZE = 4096  # tokens in a sequence
 CLOSE_ID = 1  # closes every document
@@ -129,7 +129,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, size: int = SIZE, with_ids: bo
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seen = library_ids(vocabulary_path), TaskContext.get().partitionId(), defaultdict(int)
-        for batch in (some for whole in batches for some in slices(whole, limit=8 * PIECE_BYTES)):
+        for batch in (some for whole in batches for some in slices(whole, limit=4 * SLICE_BYTES)):
             ids, edges = coder.encode(batch.column(1))
             rows = []
             for doc_id, a, b in zip(batch.column(0).to_pylist(), edges[:-1].tolist(), edges[1:].tolist()):
