@@ -10,7 +10,9 @@ A list of up to ``PAIRED`` sets compares all; in a longer one a set meets its ne
 set of least id.  The rest is settled exactly from the leaders: sets linked to one leader are in one group anyway; by
 the triangle inequality of the Jaccard distance a set that is not linked to the leader can only be linked to one that is
 if its own similarity to the leader is at least 2 * least - 1, and only to sets whose similarity to the leader differs
-from its own by at most 1 - least.  Those are compared in blocks of bounded size, of which only links come out.
+from its own by at most 1 - least.  Those are compared in blocks of bounded size, of which only links come out.  Sets
+near no leader are left: every long list that still holds sets of several groups is compared whole, by estimates in
+parts of bounded size and exactly in blocks, except within a group.  That takes time with the square of such a list.
 
 Hashes are 64-bit; equal sets are told by 128 bits.  Rows with a null doc_id link with nothing; null and empty texts,
 and texts of white space alone, have an empty set and link with nothing.  Repeated rows of a doc_id are copies of one
@@ -34,6 +36,7 @@ K = 20  # retained values
 PERCENT = 80  # similarity from which documents are linked
 PAIRED, NEXT = 9, 2  # sets of a fully compared list; neighbours met in longer lists
 BLOCK = 512  # sets near a leader that are held together while the leader's sets pass by
+LIST_PART, CELLS = 16_384, 1 << 22  # sets of a long list that are held together; counters used at a time
 FLOOR = 0.3  # least estimate that is verified: a 20-value estimate of 0.8 falls below it once in five million times
 _STEP = np.uint64(0xA0761D6478BD642F)
 
@@ -247,7 +250,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int = PER
     """(a, b) links between the representatives of distinct sets (id, n, kept, brief) that join every linked group.
 
     Links within a group that is already joined are not verified: first every set's pair with the least id, then the
-    pairs whose ends are still apart, then what the leaders leave open.
+    pairs whose ends are still apart, then what the leaders leave open, then long lists across groups.
     """
     lists = sets.select("id", "n", "kept", "brief", F.posexplode("kept").alias("p", "v")).select(
         "v", F.element_at("kept", (F.col("p") + 1) % F.size("kept") + 1).alias("w"), "n", "id", "brief"
@@ -268,14 +271,92 @@ def linked_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int = PER
     around = F.col("both") * 100 >= F.col("any") * (2 * percent - 100)
     fringe = known.where("lead").where(around & ~linked)
     fringe = checkpoint(fringe.join(_apart(fringe.select("a", "b", "lead"), edges).select("a", "b"), ["a", "b"], "left_semi"))
-    if fringe.isEmpty():
-        return edges
-    leaders = fringe.select("a").distinct()
-    unknown = pairs.where("lead").join(leaders, "a", "left_semi").join(known.select("a", "b"), ["a", "b"], "left_anti")
-    scored = known.where("lead").join(leaders, "a", "left_semi").unionAll(confirm(checkpoint(unknown), docs, width)).where(around)
-    likeness = F.col("both") / F.col("any")
-    near, others = fringe.select("a", F.col("b").alias("x"), likeness.alias("jx")), scored.select("a", F.col("b").alias("y"), likeness.alias("jy"))
-    return edges.unionAll(_in_blocks(near, others, docs, width, percent))
+    if not fringe.isEmpty():
+        leaders = fringe.select("a").distinct()
+        unknown = pairs.where("lead").join(leaders, "a", "left_semi").join(known.select("a", "b"), ["a", "b"], "left_anti")
+        scored = known.where("lead").join(leaders, "a", "left_semi").unionAll(confirm(checkpoint(unknown), docs, width)).where(around)
+        likeness = F.col("both") / F.col("any")
+        near, others = fringe.select("a", F.col("b").alias("x"), likeness.alias("jx")), scored.select("a", F.col("b").alias("y"), likeness.alias("jy"))
+        edges = checkpoint(edges.unionAll(_in_blocks(near, others, docs, width, percent)))
+    return edges.unionAll(_across(sets, first, edges, docs, width, percent, k))
+
+
+def _across(sets: DataFrame, first: DataFrame, edges: DataFrame, docs: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    """(a, b) links between sets of long lists that ``edges`` leave in different groups.
+
+    Such lists are compared whole, part by part inside the tasks; a pair whose estimate passes comes out as the block of
+    one set (the sets that share its least partner) and the other set that has to pass by, and is compared exactly there.
+    """
+    group = components(edges).withColumnRenamed("node", "id")
+    home = sets.join(group, "id", "left").join(first.select(F.col("b").alias("id"), "a"), "id", "left")
+    home = checkpoint(home.select("id", "n", "kept", "brief", F.coalesce("component", "id").alias("group"), F.coalesce("a", "id").alias("home")))
+    slim = home.select("id", "group", "kept", F.posexplode("kept").alias("p", "v")).select(
+        "v", F.element_at("kept", (F.col("p") + 1) % F.size("kept") + 1).alias("w"), "id", "group"
+    )
+    sizes = slim.groupBy("v", "w").agg(F.count("*").alias("m"), F.min("group").alias("lo"), F.max("group").alias("hi"))
+    open_ = checkpoint(sizes.where((F.col("m") > PAIRED) & (F.col("lo") != F.col("hi"))).select("v", "w", F.ceil(F.col("m") / LIST_PART).cast("int").alias("parts")))
+    if open_.isEmpty():
+        return edges.limit(0)
+    rows = slim.select("v", "w", "id").join(open_, ["v", "w"]).join(home.select("id", "n", "brief", "group", "home"), "id")
+    own = F.pmod(F.xxhash64("id"), "parts").cast("int")
+    body = ["id", "n", "group", "home", "brief"]
+    held = rows.select("v", "w", own.alias("part"), F.lit(0).alias("flag"), *body)
+    passing = rows.select("v", "w", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("flag"), *body)
+    dealt = held.unionAll(passing).repartition("v", "w", "part").sortWithinPartitions("v", "w", "part", "flag")
+    found = checkpoint(dealt.mapInArrow(blocks_and_streams(3, _list_pairs(k, percent)), "a long, flag int, id long").distinct())
+    none = F.lit(0.0)  # no likeness to a leader is known, so none rules a pair out
+    near, others = found.where("flag = 0").select("a", F.col("id").alias("x"), none.alias("jx")), found.where("flag = 1").select("a", F.col("id").alias("y"), none.alias("jy"))
+    return _in_blocks(near, others, docs, width, percent)
+
+
+def _list_pairs(k: int, percent: int):
+    """Rows (a, flag, id) of a part of a list: sets to be held at block ``a`` (flag 0) and to pass by there (flag 1)."""
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4, 8)]
+
+    def work(key: tuple, block: list[pa.RecordBatch], stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not block:
+            return
+        ids, n, group, home = map(np.concatenate, zip(*map(columns, block)))
+        right = np.concatenate([_padded(b.column(8), k, 2**64 - 2) for b in block])
+        m, real = len(ids), right < np.uint64(1 << 32)
+        kept = real.sum(1)
+        order = np.argsort(right[real], kind="stable")
+        owner = np.repeat(np.arange(m), kept)[order]
+        known, start = np.unique(right[real][order], return_index=True)
+        count = np.diff(np.append(start, len(order)))
+        step = max(1, CELLS // max(m, k * k))
+        for batch in stream:
+            fields, sketch = columns(batch), _padded(batch.column(8), k, 2**64 - 1)
+            for top in range(0, batch.num_rows, step):
+                xi, xn, xg, _ = (f[top : top + step] for f in fields)
+                left = sketch[top : top + step]
+                mine = left < np.uint64(1 << 32)
+                at = np.minimum(np.searchsorted(known, left[mine]), len(known) - 1)
+                row = np.repeat(np.arange(len(left)), mine.sum(1))
+                hit = known[at] == left[mine]
+                at, row = at[hit], row[hit]
+                c = count[at]
+                spots = np.repeat(start[at] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+                both = np.bincount(np.repeat(row, c) * m + owner[spots], minlength=len(left) * m)
+                # The union's sketch has at least as many values as the larger of the two.
+                i, j = np.divmod(np.flatnonzero(both), m)
+                low, high = np.minimum(xn[i], n[j]), np.maximum(xn[i], n[j])
+                least = FLOOR * np.maximum(mine.sum(1)[i], kept[j]) - 1e-9
+                good = (xi[i] < ids[j]) & (xg[i] != group[j]) & (low * 100 >= high * percent) & (both[i * m + j] >= least)
+                i, j = i[good], j[good]
+                out = []
+                for part in range(0, len(i), 50_000):
+                    x, y = i[part : part + 50_000], j[part : part + 50_000]
+                    good = union_estimate(left[x], right[y]) >= FLOOR
+                    x, y = x[good], y[good]
+                    zero = np.zeros(len(x), np.int64)
+                    out += [np.stack([home[y], zero, ids[y]], 1), np.stack([home[y], zero + 1, xi[x]], 1)]
+                if out:
+                    a, flag, who = np.unique(np.concatenate(out), axis=0).T
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(flag.astype(np.int32)), pa.array(who)], ["a", "flag", "id"])
+
+    return work
 
 
 def _in_blocks(near: DataFrame, others: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:

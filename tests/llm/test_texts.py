@@ -246,6 +246,23 @@ def test_hot_group_of_near_copies(frame):
     assert [r["doc_id"] for r in kept.collect()] == [0]
 
 
+def test_pairs_in_texts_of_frequent_lines(frame):
+    rng = random.Random(5)
+    pool = [[f"l{i}w{j}" for j in range(12)] for i in range(60)]
+    rows = []
+    for i in range(600):
+        rows.append((i, [w for line in rng.sample(pool, 20) for w in line]))
+    for i in range(100):  # a copy of some text with another line in it
+        text = list(rows[rng.randrange(600)][1])
+        at = 12 * rng.randrange(20)
+        rows.append((600 + i, text[:at] + rng.choice(pool) + text[at + 12 :]))
+    ids = rng.sample(range(10_000), 700)
+    rows = [(ids[i], " ".join(words)) for i, words in rows]
+    want = brute_groups(rows, 2)
+    assert sum(not kept for _, _, kept in want.values()) > 50
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(rows), 2).collect()} == {i: g for i, (_, g, _) in want.items()}
+
+
 def test_sets_do_not_depend_on_pieces(monkeypatch):
     text = ("alpha  Beta\tgamma " * 50 + "é" * 40).encode()
     raw = np.frombuffer(text, np.uint8)
