@@ -5,7 +5,8 @@ in two again and again until the parts are small, which gives balanced lists; ea
 is stored in its nearest list and, if it lies near a boundary, in further lists whose centres are about as near and do
 not lie behind a list it already is in.  Centres are searched over a neighbourhood graph held in memory by each task.
 A query reads the lists whose centres are within a ratio of its nearest centre; the ratio is what the sample needs for
-the wanted recall, and no cap stands beside it.
+the wanted recall, and no cap stands beside it.  Vectors longer than the sample's longest stand in one list that every
+query reads.
 
 Lists are gathered into shards of bounded size (a longer list is split), shards are met by the stream of queries that
 chose them, and scores are computed in double precision from the original vectors.
@@ -50,10 +51,15 @@ class Index:
 
 
 def lift(x: np.ndarray, top2: float) -> np.ndarray:
-    """Stored vectors, lifted to one norm; those longer than the sample's longest get no lift."""
+    """Stored vectors, lifted to one norm; those longer than the sample's longest have none (``longer``)."""
     return np.hstack([x, np.sqrt(np.maximum(0, top2 - (x * x).sum(1)))[:, None]])
 
 
+def longer(x: np.ndarray, top2: float) -> np.ndarray:
+    """Vectors longer than the sample's longest: no list is fit for them, so every query meets them."""
+    return (x * x).sum(1) > top2
+
+
 def lift_queries(q: np.ndarray, top2: float) -> np.ndarray:
     """Only a query's direction matters; it is given the common norm."""
     return np.hstack([q * (np.sqrt(top2) / np.linalg.norm(q, axis=1, keepdims=True)), np.zeros((len(q), 1))])
@@ -208,7 +214,12 @@ def _search_one(stored: DataFrame, wanted: DataFrame, total: int, k: int, sample
                 for at in range(0, batch.num_rows, 256):
                     some = batch.slice(at, 256)
                     x, idx = matrix(some.column(1)), shared.value
-                    lists = choose_lists(idx, lift_queries(x, idx.top2)) if query else store_in(idx, lift(x, idx.top2))
+                    if query:
+                        lists = [np.append(c, len(idx.centres)) for c in choose_lists(idx, lift_queries(x, idx.top2))]
+                    else:
+                        lists = store_in(idx, lift(x, idx.top2))
+                        for i in np.flatnonzero(longer(x, idx.top2)):
+                            lists[i] = np.array([len(idx.centres)], np.int64)
                     yield pa.RecordBatch.from_arrays([*some.columns, pa.array(lists, pa.list_(pa.int64()))], ["id", "v", "lists"])
 
         return work
@@ -216,15 +227,16 @@ def _search_one(stored: DataFrame, wanted: DataFrame, total: int, k: int, sample
     schema = f"id long, v array<{kind}>, lists array<long>"
     held = checkpoint(stored.select("id", "v").mapInArrow(spread(False), schema))
     asking = wanted.select("id", "v").mapInArrow(spread(True), schema)
-    # Shards: neighbouring lists together up to SHARD_ROWS, longer lists in parts.  At most MAX_LISTS counts come here.
+    # Shards: neighbouring lists together up to SHARD_ROWS, longer lists in parts.  At most MAX_LISTS + 1 counts come
+    # here; the last list holds the vectors that every query meets and has a shard of its own.
     sizes = {r["list"]: r["n"] for r in held.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}
     shard_of, parts, shard, rows = {}, {}, 0, 0
     for c in sorted(sizes):
-        if rows and rows + sizes[c] > SHARD_ROWS:
+        if rows and (rows + sizes[c] > SHARD_ROWS or c == len(index.centres)):
             shard, rows = shard + 1, 0
         shard_of[c], parts[shard] = shard, max(parts.get(shard, 1), -(-sizes[c] // SHARD_ROWS))
         rows += sizes[c]
-    table = F.array(*[F.lit(shard_of.get(c, -1)) for c in range(len(index.centres))])
+    table = F.array(*[F.lit(shard_of.get(c, -1)) for c in range(len(index.centres) + 1)])
     many = F.array(*[F.lit(parts.get(s, 1)) for s in range(shard + 1)])
     shards = F.array_distinct(F.filter(F.transform("lists", lambda c: F.element_at(table, (c + 1).cast("int"))), lambda s: s >= 0))
     keyed = held.select("id", "v", F.explode(shards).alias("shard"))

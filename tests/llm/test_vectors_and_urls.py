@@ -51,6 +51,25 @@ def test_nearest(vectors, table):
     assert set(got) == {i for i in rows if i % 20 == 0 and sum(len(v) == len(rows[i]) for v in rows.values()) > 1}
 
 
+def test_vectors_longer_than_the_samples_longest(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 64)
+    monkeypatch.setattr(ann, "SHARD_ROWS", 64)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 6000)] + rng.normal(scale=0.4, size=(6000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # The sample takes the least hashes of ids, so the greatest are outside it.
+    last = [r["id"] for r in spark.range(6000).orderBy(F.xxhash64("id").desc()).limit(30).collect()]
+    x[last] *= 3
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(rows, F.col("vec_id") % 20 == 0, recall_index=3000).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in range(0, 6000, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        assert set(np.argsort(-scores)[:20].tolist()) & set(last) <= got[q]
+
+
 def test_nearest_of_nothing(table):
     assert ann.search(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.search(table.where("vec_id = 20"), F.col("vec_id") % 20 == 0).count() == 0
