@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsluice.functions import text as tx
@@ -236,13 +236,11 @@ def render_rows(rows: DataFrame, key: str, header: list[str], cells: list[str],
     return rows.select(key, *order, bars([markdown_cell(F.col(c).cast("string")) for c in cells]).alias("line"))
 
 
-def render_text(lines: DataFrame, key: str, order: list[str], header: Column, limit: int) -> DataFrame:
-    """One text per key from its first ``limit`` lines, below a header."""
-    w = Window.partitionBy(key).orderBy(*order)
-    first = lines.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
-    parts = F.array_sort(F.collect_list(F.struct("n", "line")))
+def render_text(lines: DataFrame, key: str, order: list[str], header: Column) -> DataFrame:
+    """One text per key from all its lines, below a header; ``render_rows`` keeps the lines of large keys as rows."""
+    parts = F.array_sort(F.collect_list(F.struct(*order, "line")))
     body = F.array_join(F.transform(parts, lambda x: x["line"]), "\n")
-    return first.groupBy(key).agg(body.alias("_body")).select(key, F.concat_ws("\n", header, "_body").alias("text"))
+    return lines.groupBy(key).agg(body.alias("_body")).select(key, F.concat_ws("\n", header, "_body").alias("text"))
 
 
 def file_queue(files: DataFrame, default_url: str) -> DataFrame:

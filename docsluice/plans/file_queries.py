@@ -427,7 +427,7 @@ GROUP BY 1
 def _render(t: Tables) -> DataFrame:
     rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("note", F.concat(F.lit("a|b\n"), "n_name"))
     lines = inventory.render_rows(rows, "n_name", ["supplier", "note"], ["s_name", "note"], ["s_suppkey"])
-    return inventory.render_text(lines, "n_name", ["s_suppkey"], F.concat(F.lit("# "), "n_name"), 25)
+    return inventory.render_text(lines, "n_name", ["s_suppkey"], F.concat(F.lit("# "), "n_name"))
 
 
 # Ingest plans.

@@ -167,3 +167,13 @@ def test_replace_latest(spark, tmp_path):
     sinks.replace_latest(spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int"), path, ["k"])
     sinks.replace_latest(spark.createDataFrame([("a", 2)], "k string, v int"), path, ["k"])
     assert {(r["k"], r["v"]) for r in spark.read.parquet(path).collect()} == {("a", 2), ("b", 1)}
+
+
+def test_render_markdown_keeps_every_line(spark, tmp_path):
+    from docsluice.plans import QUERIES
+
+    spark.createDataFrame([(7, "PERU")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    suppliers = spark.range(300).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("s"), "id").alias("s_name"), F.lit(7).alias("s_nationkey"))
+    suppliers.repartition(4).write.parquet(str(tmp_path / "supplier.parquet"))
+    text = QUERIES["render_markdown"](spark, str(tmp_path)).first()["text"]
+    assert text.split("\n") == ["# PERU"] + [f"| s{i} | a\\|b PERU |" for i in range(300)]
