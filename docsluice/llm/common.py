@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by a compressed table in the session's shared folder, read again by column."""
+    from docsluice.session import shared_folder
+
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) and nothing else, so columns of other names cannot clash; a null text is empty."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
