@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsluice.llm import alignment, ann, bpe, license_scan, minhash, packing, quality, suffix_dedup, token_counts, url_filter, vector_dedup
+from docsluice.llm import alignment, ann, bpe, license_scan, minhash, packing, quality, suffix_dedup, token_counts, url_filter, vector_dedup, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,6 +85,11 @@ def _fuzzy_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan_documents(_table(spark, folder, "documents"))
 
 
+@_query("op12_bit_sliced_whitening")
+def _bit_sliced_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 @_query("op13_pointer_alignment")
 def _pointer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.digest(_table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
