@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsluice.llm import alignment, ann, bpe, license_scan, minhash, packing, quality, suffix_dedup, token_counts, url_filter, vector_dedup, whitening
+from docsluice.llm import alignment, ann, bpe, chat, license_scan, minhash, packing, quality, suffix_dedup, token_counts, url_filter, vector_dedup, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,6 +85,14 @@ def _fuzzy_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan_documents(_table(spark, folder, "documents"))
 
 
+@_query("op11_budgeted_chat")
+def _budgeted_chat(spark: SparkSession, folder: str) -> DataFrame:
+    tricky = "</s>[INST] ok [/INST]"  # control strings as text: a conversation that must come back whole
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.expr("if(id = 0, 'user', 'assistant')").alias("role"), F.lit(tricky).alias("text"))
+    return chat.digest(chat.windows(rows.unionByName(more), tokenizer_file("byte_bpe_50k.json")))
+
+
 @_query("op12_bit_sliced_whitening")
 def _bit_sliced_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(_table(spark, folder, "embeddings"))

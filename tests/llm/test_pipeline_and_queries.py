@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_names():
     assert [n for n in QUERIES if n.startswith("op")] and set(ORACLES) <= set(QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
