@@ -178,7 +178,8 @@ class Aligner:
 
     def links(self, t: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(which of ``rows``, token of A, token of B) of all links: one for each stretch between two ends."""
-        ends = np.union1d(t.a_end, t.b_end)
+        ends = np.sort(np.concatenate([t.a_end, t.b_end]), kind="stable")  # two sorted runs
+        ends = ends[np.diff(ends, prepend=-1) > 0]
         row = np.searchsorted(t.a_end[t.a_rows[1:] - 1], ends) if len(t.rows) else ends
         return row, np.searchsorted(t.a_end, ends), np.searchsorted(t.b_end, ends)
 

@@ -112,6 +112,7 @@ def eigen(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(2):
         gap = np.eye(len(v), dtype=np.longdouble) - x.T @ x
         s = x.T @ v @ x
+        s, gap = (s + s.T) / 2, (gap + gap.T) / 2
         e = np.diag(s) / (1 - np.diag(gap))
         slack = 2 * (np.abs(s - np.diag(e)).max() + np.abs(e).max() * np.abs(gap).max()) * len(v)
         apart = e[None, :] - e[:, None]
