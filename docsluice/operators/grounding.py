@@ -1,7 +1,7 @@
 """Keep only extracted claims whose quote occurs in the corpus of their tender.
 
-A tender has one corpus, bounded by its assembly, so claims meet exactly one text each.  A tender that holds a large
-share of all claims is split by the adaptive skew join; its corpus is copied to the parts.
+Quotes are looked up by ``quotes.locate``: texts in cells, many quotes at once, whatever share of the claims or of the
+text a tender holds.  A corpus is one text of a tender, or the numbered parts of one.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsluice.functions import text as tx
+from docsluice.operators import quotes
 
 # Shortest quote that counts, and the length of the head that is reported apart.
 MIN_QUOTE, HEAD_CHARS = 14, 96
@@ -17,20 +18,6 @@ NO_VALUE = "—"
 FIELDS = ("title", "budget", "method", "deadline")
 
 
-def quote_in(evidence: Column, corpus: Column) -> Column:
-    """The whole quote occurs; both sides normalised already."""
-    return F.coalesce((F.length(evidence) >= MIN_QUOTE) & corpus.contains(evidence), F.lit(False))
-
-
-def head_in(evidence: Column, corpus: Column) -> Column:
-    """At least the head of a quote occurs: its end may have been changed."""
-    return F.coalesce((F.length(evidence) >= MIN_QUOTE) & corpus.contains(F.substring(evidence, 1, HEAD_CHARS)), F.lit(False))
-
-
-def normalized_corpora(corpora: DataFrame, text: str = "corpus") -> DataFrame:
-    return corpora.select("tender_id", tx.normalize_evidence(F.col(text)).alias("norm_corpus"))
-
-
 def normalize_claims(claims: DataFrame) -> DataFrame:
     """Trim claim fields, drop unnamed claims, put a dash where the basis is empty."""
     named = claims.withColumn("name", tx.js_trim(F.col("name"))).where(F.col("name") != "")
@@ -46,41 +33,51 @@ def normalize_claims(claims: DataFrame) -> DataFrame:
 
 
 def ground_claims(claims: DataFrame, corpora: DataFrame) -> DataFrame:
-    """All claims with ``grounded``, ``head_grounded`` (only the quote's head must occur) and the criteria that survive.
+    """All claims with ``grounded``, ``head_grounded`` (only the quote's head must occur) and the criteria that survive,
+    and where in the normalised text the quote, its head and the criteria first stand (from 0, NULL if nowhere).
 
     A tender without text grounds nothing.  Criteria of 14 characters or more must occur themselves; shorter ones stay.
     """
-    joined = claims.join(normalized_corpora(corpora), "tender_id", "left")
-    text = F.coalesce("norm_corpus", F.lit(""))
     evidence = tx.normalize_evidence(F.col("evidence"))
-    criteria = tx.normalize_evidence(F.col("criteria"))
+    criteria = F.when(F.col("list") != "self", tx.normalize_evidence(F.col("criteria")))
+    head = F.when(F.length(evidence) >= MIN_QUOTE, F.substring(evidence, 1, HEAD_CHARS))
+    asked = claims.withColumn("quotes", _slotted(evidence, head, criteria))
+    found = quotes.locate(asked, corpora, 3)
+    joined = asked.withColumn("unit", quotes.unit_id(F.col("quotes"))).join(found, ["tender_id", "unit"], "left")
     long = F.length(tx.collapse_ws(F.col("criteria"))) >= MIN_QUOTE
-    kept = F.when((F.col("list") == "self") | (long & ~quote_in(criteria, text)), F.lit(None)).otherwise(F.col("criteria"))
+    kept = F.when((F.col("list") == "self") | (long & F.col("at_2").isNull()), F.lit(None)).otherwise(F.col("criteria"))
     return joined.select(
         *claims.columns,
-        quote_in(evidence, text).alias("grounded"),
-        head_in(evidence, text).alias("head_grounded"),
+        F.col("at_0").isNotNull().alias("grounded"),
+        F.col("at_1").isNotNull().alias("head_grounded"),
         F.when(F.col("list") == "manager", F.coalesce(F.nullif(kept, F.lit("")), F.lit(NO_VALUE))).alias("kept_criteria"),
+        F.col("at_0").alias("first_at"),
+        F.col("at_1").alias("head_at"),
+        F.col("at_2").alias("criteria_at"),
     )
 
 
+def _slotted(*texts: Column) -> Column:
+    return F.array(*[F.struct(F.lit(k).alias("slot"), t.alias("quote")) for k, t in enumerate(texts)])
+
+
 def ground_fields(fields: DataFrame, corpora: DataFrame) -> DataFrame:
     """Null every free field without a grounded quote; the overview needs any one of its quotes.
 
     fields: tender_id, title, title_evidence, …, overview, overview_quotes array<string>.
     """
-    joined = fields.join(normalized_corpora(corpora), "tender_id", "left")
-    text = F.coalesce("norm_corpus", F.lit(""))
-
-    def kept(name: str) -> Column:
-        value = F.nullif(tx.js_trim(F.col(name)), F.lit(""))
-        return F.when(quote_in(tx.normalize_evidence(F.col(f"{name}_evidence")), text), value).alias(name)
-
-    any_quote = F.exists(
-        F.coalesce("overview_quotes", F.array().cast("array<string>")), lambda q: quote_in(tx.normalize_evidence(q), text)
+    own = _slotted(*[tx.normalize_evidence(F.col(f"{name}_evidence")) for name in FIELDS])
+    of_overview = F.transform(
+        F.coalesce("overview_quotes", F.array().cast("array<string>")),
+        lambda q: F.struct(F.lit(len(FIELDS)).alias("slot"), tx.normalize_evidence(q).alias("quote")),
     )
-    overview = F.when(any_quote, F.nullif(tx.js_trim(F.col("overview")), F.lit(""))).alias("overview")
-    return joined.select("tender_id", *[kept(name) for name in FIELDS], overview)
+    asked = fields.withColumn("quotes", F.concat(own, of_overview))
+    found = quotes.locate(asked, corpora, len(FIELDS) + 1)
+    joined = asked.withColumn("unit", quotes.unit_id(F.col("quotes"))).join(found, ["tender_id", "unit"], "left")
+    kept = [
+        F.when(F.col(f"at_{k}").isNotNull(), F.nullif(tx.js_trim(F.col(name)), F.lit(""))).alias(name) for k, name in enumerate((*FIELDS, "overview"))
+    ]
+    return joined.select("tender_id", *kept)
 
 
 def snapshot_fallback(grounded: DataFrame, hints: DataFrame) -> DataFrame:

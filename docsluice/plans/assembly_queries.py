@@ -223,6 +223,11 @@ def _sql_quoted(quote: str, corpus: str) -> str:
     return f"(length({quote}) >= 14 AND contains({corpus}, {quote}))"
 
 
+def _sql_place(quote: str, corpus: str) -> str:
+    """First place from 0; NULL for a quote that is too short or stands nowhere."""
+    return f"CASE WHEN length({quote}) >= 14 THEN nullif(strpos({corpus}, {quote}), 0) - 1 END"
+
+
 @query(
     "ground_claims",
     f"""
@@ -231,7 +236,9 @@ WITH c AS ({_SQL_CLAIMS}), n AS (SELECT c.*, {_sql_norm('evidence')} AS e, {_sql
 SELECT tender_id, claim_id, list, name, CASE WHEN basis = '' THEN '—' ELSE basis END AS basis, {_sql_quoted('e', 'corpus')} AS grounded,
        length(e) >= 14 AND contains(corpus, substring(e, 1, 96)) AS head_grounded,
        CASE WHEN list = 'manager' THEN CASE WHEN cr = '' OR (length({sql_collapse('criteria')}) >= 14 AND NOT {_sql_quoted('cr', 'corpus')}) THEN '—'
-            ELSE {sql_trim('criteria')} END END AS kept_criteria
+            ELSE {sql_trim('criteria')} END END AS kept_criteria,
+       {_sql_place('e', 'corpus')} AS first_at, CASE WHEN length(e) >= 14 THEN {_sql_place('substring(e, 1, 96)', 'corpus')} END AS head_at,
+       CASE WHEN list = 'manager' THEN {_sql_place('cr', 'corpus')} END AS criteria_at
 FROM n
 """,
 )
