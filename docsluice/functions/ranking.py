@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def ordered_bucket(value: Column, df: DataFrame, buckets: int = 256) -> Column:
+def ordered_bucket(value: Column, df: DataFrame, buckets: int | None = None) -> Column:
     """Order-preserving bucket of a column: 0 for NULL, which sorts first, then quantiles.
 
-    Bounds are approximate percentiles of numbers, dates and times, and of any other type the quantiles of a bounded
+    By default there are as many as the session has shuffle partitions, between 8 and 512.  Bounds are approximate percentiles of numbers, dates and times, and of any other type the quantiles of a bounded
     sample of its distinct values; one job measures them.
     """
+    if buckets is None:
+        buckets = min(512, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     kind = df.select(value.alias("v")).schema["v"].dataType
     if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType)):
         v = F.unix_date(value) if isinstance(kind, T.DateType) else value.cast("double")
@@ -52,3 +54,22 @@ def distributed_rank(
     on = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*keys, *names]]
     joined = ranked.alias("r").join(starts.alias("s"), on)
     return joined.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("_start") + F.col("_local")).alias(out))
+
+
+def distributed_sum(
+    df: DataFrame, keys: list[str], order: list, buckets: list[Column], value: Column, out: str = "start", whole: str | None = None
+) -> DataFrame:
+    """Sums of ``value`` over the earlier rows of a key, and over all of them as ``whole``; as ``distributed_rank`` does,
+    a key's rows are not sorted in one task."""
+    names = [f"_b{i}" for i in range(len(buckets))]
+    split = df.select("*", *[b.alias(n) for b, n in zip(buckets, names)], value.alias("_v"))
+    before = (Window.unboundedPreceding, -1)
+    summed = split.withColumn("_local", F.coalesce(F.sum("_v").over(Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(*before)), F.lit(0)))
+    totals = split.groupBy(*keys, *names).agg(F.sum("_v").alias("_n"))
+    stretch = Window.partitionBy(*keys).orderBy(*names).rowsBetween(*before)
+    starts = totals.select(*keys, *names, F.coalesce(F.sum("_n").over(stretch), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_whole"))
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*keys, *names]]
+    more = [F.col("_whole").alias(whole)] if whole else []
+    return summed.alias("r").join(starts.alias("s"), on).select(
+        *[F.col(f"r.{c}") for c in df.columns], (F.col("_start") + F.col("_local")).alias(out), *more
+    )

@@ -1,7 +1,7 @@
-"""Corpus assembly: many file texts → one bounded text per tender.
+"""Corpus assembly: many file texts → one text per tender, whole, in numbered parts of bounded size.
 
-Every form has a budget in files or characters.  Which files it reaches is decided on narrow rows (names, lengths),
-and only those few are joined to their texts.
+Nothing is left out unless a caller sets a budget.  What a budget reaches is decided on narrow rows (names, lengths);
+``left_out`` has a row for every file that it cuts or does not reach.
 """
 
 from __future__ import annotations
@@ -10,16 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsluice.functions import text as tx
+from docsluice.functions.ranking import distributed_sum, ordered_bucket
+from docsluice.operators.parts import PART_CHARS, numbered_parts
 
-# Limits, headers and marks of the assembled texts.
-MAX_FILES, MAX_FILE_CHARS, MAX_CORPUS_CHARS = 40, 65_000, 120_000
-BUDGET_CHARS, FOLDER_BUDGET_CHARS, FOLDER_MIN_ROOM = 95_000, 12_000, 40
-SNIPPET_CHARS, SNIPPET_MIN_CHARS, SNIPPET_MAX_FILES, SNIPPET_CORPUS_CHARS = 14_000, 40, 35, 42_000
-CUT_FILE = "\n\n…[усечено]"
-CUT_CORPUS = "\n\n…[корпус усечён]"
+# Headers and marks of the assembled texts, and the shortest snippet.
+SNIPPET_MIN_CHARS = 40
 CUT_BUDGET = "\n…[файл усечён]"
-FOLDER_HEADER = ("\n### Реквизиты · файл: ", "\n")
-CUT_FOLDER = "\n…[усечено]"
+FILE_HEADER = ("=== ", " ===\n")
+FOLDER_HEADER = ("### Реквизиты · файл: ", "\n")
 PARSE_ERROR = ": ошибка парсинга"
 NO_FILE_FOR = ": не найден файл для "
 MIN_ANALYSIS_CHARS, MIN_CARD_CHARS = 120, 400
@@ -32,7 +30,7 @@ def collapsed_length(c: Column) -> Column:
 def canonical_path(c: Column) -> Column:
     """Path below the inputs folder; NULL for a path elsewhere."""
     trimmed = tx.js_trim(c)
-    return F.when(trimmed.startswith("inputs/"), F.regexp_replace(F.substring(trimmed, 8, 1_000_000), "^/+", ""))
+    return F.when(trimmed.startswith("inputs/"), F.regexp_replace(trimmed, "^inputs//*", ""))
 
 
 def _usable(status: Column, path: Column) -> Column:
@@ -69,33 +67,26 @@ def joined_in_order(part: str, order: str, separator: str) -> Column:
     return F.array_join(F.transform(sorted_parts, lambda x: x["p"]), separator)
 
 
-def first_items(items: DataFrame, max_files: int) -> DataFrame:
-    """The first usable items per tender, ranked without their texts."""
-    w = Window.partitionBy("tender_id").orderBy("ord")
-    usable = items.where(_usable(F.col("status"), F.col("path")))
-    return usable.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max_files)
+def corpus_pieces(items: DataFrame, files: DataFrame) -> DataFrame:
+    """(tender_id, ord, text): the texts of a manifest's usable items, each below its name and path."""
+    texts = items_to_text(items, files).where(F.col("text").isNotNull())
+    header = F.concat(F.lit("### Документ: "), "name", F.lit("\n_Путь: "), "path", F.lit("_\n\n"))
+    return texts.select("tender_id", "ord", F.concat(header, "text").alias("text"))
 
 
-def assemble_corpus(
-    items: DataFrame,
-    files: DataFrame,
-    max_files: int = MAX_FILES,
-    max_per_file: int = MAX_FILE_CHARS,
-    max_total: int = MAX_CORPUS_CHARS,
-) -> DataFrame:
-    """(tender_id, corpus, input_chars): the first ``max_files`` usable items in order, each and all cut to size."""
-    texts = items_to_text(first_items(items, max_files), files).where(F.col("text").isNotNull())
-    part = F.concat(
-        F.lit("### Документ: "), "name", F.lit("\n_Путь: "), "path", F.lit("_\n\n"),
-        tx.truncate_marked(F.col("text"), max_per_file, CUT_FILE),
-    )
-    corpus = tx.js_trim(joined_in_order("part", "n", "\n\n"))
-    joined = (
-        texts.select("tender_id", "n", part.alias("part"))
-        .groupBy("tender_id")
-        .agg(tx.truncate_marked(corpus, max_total, CUT_CORPUS).alias("corpus"))
-    )
-    return joined.withColumn("input_chars", collapsed_length(F.col("corpus")))
+def assemble_corpus(items: DataFrame, files: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """(tender_id, part, start, text): the corpus of all usable items in order, in numbered parts."""
+    pieces = corpus_pieces(items, files)
+    return numbered_parts(pieces, "tender_id", ["ord"], [ordered_bucket(F.col("ord"), items)], "\n\n", part_chars)
+
+
+def corpus_sizes(items: DataFrame, files: DataFrame) -> DataFrame:
+    """(tender_id, n_files, input_chars): how long the corpus is with white space collapsed, without making it.
+
+    Pieces begin and end with other characters, so one blank stands between two.
+    """
+    sizes = corpus_pieces(items, files).groupBy("tender_id").agg(F.count("*").alias("n_files"), F.sum(collapsed_length(F.col("text")).cast("bigint")).alias("n"))
+    return sizes.select("tender_id", "n_files", (F.col("n") + F.col("n_files") - 1).alias("input_chars"))
 
 
 def within_budget(sizes: DataFrame, budget: int, min_room: int, key: str, salts: int) -> DataFrame:
@@ -119,23 +110,58 @@ def within_budget(sizes: DataFrame, budget: int, min_room: int, key: str, salts:
     return ranked.where(F.col("room") > min_room)
 
 
+def _by_name(files: DataFrame) -> tuple[list[Column], list[Column]]:
+    """The order of names, and the stretches it is cut into."""
+    name = F.collate("name", "ru")
+    return [name, F.col("name"), F.col("file_id")], [ordered_bucket(name, files)]
+
+
+def _headed(header: tuple[str, str], text: Column) -> Column:
+    return F.concat(F.lit(header[0]), F.col("name"), F.lit(header[1]), text)
+
+
+def assemble_files(
+    files: DataFrame, header: tuple[str, str] = FILE_HEADER, between: str = "\n\n", part_chars: int = PART_CHARS, trim: bool = False, key: str = "tender_id"
+) -> DataFrame:
+    """(key, part, start, text): all files by name, each below a header, in numbered parts.
+
+    files: key, file_id, name, text.
+    """
+    text = tx.js_trim(F.col("text")) if trim else F.col("text")
+    pieces = files.select(key, "file_id", "name", _headed(header, text).alias("text"))
+    return numbered_parts(pieces, key, *_by_name(files), between, part_chars, trim_end=True)
+
+
+def left_out(
+    files: DataFrame, budget: int, header: tuple[str, str] = FILE_HEADER, between: str = "\n\n", min_room: int = 0, trim: bool = False, key: str = "tender_id"
+) -> DataFrame:
+    """(key, file_id, name, kept_chars, left_chars): a row for each file that a budget cuts or does not reach."""
+    text = tx.js_trim(F.col("text")) if trim else F.col("text")
+    head = F.length("name") + len(between) + len(header[0]) + len(header[1])
+    sizes = files.select(key, "file_id", "name", head.cast("bigint").alias("head"), F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("size"))
+    placed = distributed_sum(sizes, [key], *_by_name(files), F.col("head") + F.col("size"), out="start")
+    room = F.lit(budget) - F.col("start") - F.col("head")
+    kept = F.when(room > min_room, F.least(room, F.col("size"))).otherwise(0).cast("bigint")
+    return placed.select(key, "file_id", "name", kept.alias("kept_chars"), (F.col("size") - kept).alias("left_chars")).where("left_chars > 0")
+
+
 def assemble_by_budget(
     files: DataFrame,
-    budget: int = BUDGET_CHARS,
-    header: tuple[str, str] = ("\n\n=== ", " ===\n"),
+    budget: int,
+    header: tuple[str, str] = FILE_HEADER,
     cut_mark: str = CUT_BUDGET,
-    separator: str = "",
+    between: str = "\n\n",
     min_room: int = 0,
     trim: bool = False,
     key: str = "tender_id",
     salts: int = 64,
 ) -> DataFrame:
-    """(key, corpus, n_files): files by name, each header and text consuming the budget, the last one cut.
+    """(key, corpus, n_files): the caller's budget of characters, spent on files by name, the last one cut and marked.
 
-    files: key, file_id, name, text.  What fits is decided on lengths alone; only the chosen files meet their texts.
+    What fits is decided on lengths alone; only the chosen files meet their texts.  ``left_out`` lists the rest.
     """
     text = tx.js_trim(F.col("text")) if trim else F.col("text")
-    head = F.concat(F.lit(header[0]), F.col("name"), F.lit(header[1]))
+    head = F.concat(F.lit(between + header[0]), F.col("name"), F.lit(header[1]))
     sizes = files.select(key, "file_id", "name", F.length(head).alias("head"), F.length(text).alias("size"))
     chosen = within_budget(sizes, budget, min_room, key, salts).select(key, "file_id", "n", "room", "size")
     whole = files.select(key, "file_id", head.alias("header"), text.alias("text"))
@@ -143,47 +169,37 @@ def assemble_by_budget(
     body = F.when(F.col("size") > F.col("room"), cut).otherwise(F.col("text"))
     parts = chosen.join(whole, [key, "file_id"]).select(key, "n", F.concat("header", body).alias("part"))
     return parts.groupBy(key).agg(
-        tx.js_trim(joined_in_order("part", "n", separator)).alias("corpus"), F.count("*").alias("n_files")
+        tx.js_trim(joined_in_order("part", "n", "")).alias("corpus"), F.count("*").alias("n_files")
     )
 
 
-def folder_texts(files: DataFrame, max_chars: int = FOLDER_BUDGET_CHARS, key: str = "folder") -> DataFrame:
-    """Plain texts of a folder by name, bounded.
-
-    A file that is not of a text kind and shows control characters at its beginning is binary and left out.
-    """
+def plain_files(files: DataFrame) -> DataFrame:
+    """Files that hold text: one not of a text kind that shows control characters at its beginning is binary."""
     start = F.substring(tx.js_trim(F.col("text")), 1, 400)
     binary = ~F.col("name").rlike(r"(?i)\.(txt|md|json)$") & start.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
-    plain = files.where(~binary & tx.non_blank(F.col("text")))
-    return assemble_by_budget(
-        plain, max_chars, FOLDER_HEADER, CUT_FOLDER, separator="\n", min_room=FOLDER_MIN_ROOM, trim=True, key=key
-    )
+    return files.where(~binary & tx.non_blank(F.col("text")))
 
 
-def snippet_corpus(files: DataFrame, key: str = "tender_id") -> DataFrame:
-    """The fallback when nothing was parsed: the beginnings of the first text files, those too short left out."""
-    w = Window.partitionBy(key).orderBy("ord")
-    first = files.withColumn("n", F.row_number().over(w)).where(F.col("n") <= SNIPPET_MAX_FILES)
-    snippet = tx.js_trim(F.substring("text", 1, SNIPPET_CHARS))
-    rows = first.withColumn("snippet", snippet).where(F.length("snippet") > SNIPPET_MIN_CHARS)
-    part = F.concat(F.lit("### Файл: "), "name", F.lit("\n"), "snippet")
-    corpus = tx.js_trim(joined_in_order("part", "n", "\n\n"))
-    return rows.select(key, "n", part.alias("part")).groupBy(key).agg(
-        tx.truncate_marked(corpus, SNIPPET_CORPUS_CHARS, CUT_FILE).alias("corpus")
-    )
+def folder_texts(files: DataFrame, part_chars: int = PART_CHARS, key: str = "folder") -> DataFrame:
+    """(key, part, start, text): the plain texts of a folder by name, in numbered parts."""
+    return assemble_files(plain_files(files), FOLDER_HEADER, "\n\n", part_chars, trim=True, key=key)
+
+
+def snippet_corpus(files: DataFrame, part_chars: int = PART_CHARS, key: str = "tender_id") -> DataFrame:
+    """The fallback when nothing was parsed: all text files in order, those too short left out, in numbered parts."""
+    rows = files.withColumn("text", tx.js_trim(F.col("text"))).where(F.length("text") > SNIPPET_MIN_CHARS)
+    pieces = rows.select(key, "ord", _headed(("### Файл: ", "\n"), F.col("text")).alias("text"))
+    return numbered_parts(pieces, key, ["ord"], [ordered_bucket(F.col("ord"), files)], "\n\n", part_chars)
 
 
 def corpus_source(extracted: DataFrame, native: DataFrame, key: str = "tender_id") -> DataFrame:
-    """The extracted text where there is any, else the native one."""
-    joined = extracted.select(key, F.col("corpus").alias("e")).join(
-        native.select(key, F.col("corpus").alias("n")), key, "full"
-    )
-    has = F.coalesce(F.length("e") > 0, F.lit(False))
-    return joined.select(
-        key,
-        F.when(has, "extracted").otherwise("inputs_native").alias("source"),
-        F.when(has, F.col("e")).otherwise(F.coalesce("n", F.lit(""))).alias("corpus"),
-    )
+    """Parts of the extracted text where a tender has any, else of the native one, with their ``source``.
+
+    extracted, native: key, part, start, text.
+    """
+    has = extracted.where(F.length("text") > 0).select(key).distinct()
+    own = extracted.withColumn("source", F.lit("extracted"))
+    return own.unionByName(native.join(has, key, "left_anti").withColumn("source", F.lit("inputs_native")))
 
 
 def enough_text(corpora: DataFrame, text: str = "corpus") -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsluice.functions import text as tx
+from docsluice.functions.ranking import distributed_rank, ordered_bucket
 from docsluice.operators.extraction import FOLDER_MIME, NATIVE_MIME_PREFIX
+from docsluice.operators.parts import PART_CHARS, numbered_parts, with_ends
 from docsluice.session import cut_lineage
 
 # Folder names, markers, headings and limits.
@@ -211,13 +213,15 @@ def union_context(primary: DataFrame, extra: DataFrame, label: str = "context")
     return tagged.unionByName(others, allowMissingColumns=True)
 
 
-def agent_bundle(tenders: DataFrame, lists: dict[str, DataFrame], key: str = "tender_id") -> DataFrame:
-    """One row per tender with nested arrays; each list holds the few files of a tender's folders."""
-    out = tenders
+def agent_bundle(lists: dict[str, DataFrame], order: dict[str, str], key: str = "tender_id") -> DataFrame:
+    """(key, list, nth, …): the files of every list of a tender as numbered rows, each list in its own order.
+
+    Lists share what columns they share; a tender's list of any length is numbered stretch by stretch.
+    """
+    out = None
     for name, files in lists.items():
-        others = [c for c in files.columns if c != key]
-        grouped = files.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*others))).alias(name))
-        out = out.join(grouped, key, "left").withColumn(name, F.coalesce(name, F.array().cast(grouped.schema[name].dataType)))
+        rows = distributed_rank(files, [key], [order[name]], [ordered_bucket(F.col(order[name]), files)], out="nth").withColumn("list", F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out
 
 
@@ -236,11 +240,10 @@ def render_rows(rows: DataFrame, key: str, header: list[str], cells: list[str],
     return rows.select(key, *order, bars([markdown_cell(F.col(c).cast("string")) for c in cells]).alias("line"))
 
 
-def render_text(lines: DataFrame, key: str, order: list[str], header: Column) -> DataFrame:
-    """One text per key from all its lines, below a header; ``render_rows`` keeps the lines of large keys as rows."""
-    parts = F.array_sort(F.collect_list(F.struct(*order, "line")))
-    body = F.array_join(F.transform(parts, lambda x: x["line"]), "\n")
-    return lines.groupBy(key).agg(body.alias("_body")).select(key, F.concat_ws("\n", header, "_body").alias("text"))
+def render_parts(lines: DataFrame, key: str, order: str, header: Column, part_chars: int = PART_CHARS) -> DataFrame:
+    """(key, part, start, text): a header and all lines of a key, in numbered parts."""
+    pieces = with_ends(lines.select(key, order, F.col("line").alias("text")), key, lines.select(key).distinct().select(key, header.alias("text")))
+    return numbered_parts(pieces, key, ["_rank", order], [F.col("_rank"), ordered_bucket(F.col(order), lines)], "\n", part_chars)
 
 
 def file_queue(files: DataFrame, default_url: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Prompt assembly and reading replies: one bounded text per key from ranked hits, corpora and flags."""
+"""Prompt assembly and reading replies: texts per key from ranked hits, corpora and flags.
+
+Prompts that hold all files or all lines of a tender come in numbered parts, so no tender is held as one value.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +12,11 @@ from docsluice.functions import json as js
 from docsluice.functions import text as tx
 from docsluice.functions.ranking import distributed_rank, ordered_bucket
 from docsluice.operators import assembly, inventory, policy, search
+from docsluice.operators.parts import PART_CHARS, numbered_parts, with_ends
 
 # Headings, separators, limits and default texts.
 HIT_SEPARATOR, CONTEXT_SEPARATOR = "\n\n---\n\n", "\n---\n"
-CONTEXT_HITS, BUNDLE_CHARS = 6, 14_000
+CONTEXT_HITS = 6
 QUESTION = "Вопрос пользователя: "
 NO_VALUE = "—"
 NO_TEXT, NO_CARD = "_(пусто)_", "_(нет)_"
@@ -20,11 +24,11 @@ CORPUS_HEADING = "### Текст документов заказчика"
 SNIPPETS_HEADING = "### Фрагменты из inputs"
 CARD_HEADING = "### Фрагмент карточки (только текст)"
 ARCHIVE_HEADING = "### Фрагменты архива"
-BUNDLE_CUT = "\n…[усечено]"
 MATRIX_HEADER = "| № | Требование / документ | Роль | Суть (по документам) |\n|---|---|---|---|"
 EMPTY_MATRIX = "_(В распарсенном тексте нет строк матрицы с дословной цитатой.)_"
 MANAGER_ROLE = "Менеджер"
 QUOTE_HEADING = "### Согласованная цена и условия"
+POLICY_HEADING = "## Политика цены"
 PREPARATION_MISSING = "нет подготовленного входа и согласованной цены"
 MODE_STARTING = "стартовое предложение допустимо"
 MODE_MANAGER = "цену согласовать с менеджером"
@@ -133,20 +137,21 @@ def matrix_bullet(claim_list: Column, name: Column, basis: Column, criteria: Col
     return F.when(more, F.concat(row, F.lit(" _("), criteria, F.lit(")_"))).otherwise(row)
 
 
-def preparation_prompt(fields: DataFrame, matrix: DataFrame, flags: DataFrame) -> DataFrame:
-    """(tender_id, preparation): front matter, summary, price rules by the flags, the matrix."""
-    lines = matrix.groupBy("tender_id").agg(assembly.joined_in_order("line", "n", "\n").alias("_lines"))
-    rows = fields.join(lines, "tender_id", "left").join(flags.select("tender_id", "has_reduction", "absurd"), "tender_id", "left")
+def preparation_prompt(fields: DataFrame, matrix: DataFrame, flags: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """(tender_id, part, start, text): front matter, summary, price rules by the flags, then every line of the matrix."""
+    rows = fields.join(flags.select("tender_id", "has_reduction", "absurd"), "tender_id", "left")
+    rows = rows.join(matrix.select("tender_id").distinct().withColumn("_lines", F.lit(True)), "tender_id", "left")
     price = F.when(F.col("absurd"), PRICE_ABSURD).when(F.col("has_reduction"), PRICE_REDUCTION).otherwise(PRICE_NONE)
     shown = lambda label, c: F.concat(F.lit(f"- **{label}:** "), F.coalesce(F.nullif(c, F.lit("")), F.lit(NO_VALUE)))
-    text = _sections(
+    opening = _sections(
         F.lit("---"), F.concat(F.lit("tender_id: "), F.col("tender_id").cast("string")), F.lit("---"),
         shown("Наименование / предмет", "title"), shown("Сумма / бюджет в тексте", "budget"), shown("Способ подачи", "method"),
         shown("Дедлайн приёма", "deadline"), F.concat(F.lit("- **Перечень / подача (кратко):** "), F.col("overview")),
-        F.lit("## Политика цены в КП"), price, F.lit("## Матрица требований"),
-        F.coalesce(F.concat(F.lit(MATRIX_HEADER + "\n"), "_lines"), F.lit(EMPTY_MATRIX)),
+        F.lit("## Политика цены в КП"), price, F.lit("## Матрица требований"), F.when(F.col("_lines"), MATRIX_HEADER).otherwise(EMPTY_MATRIX),
     )
-    return rows.select("tender_id", text.alias("preparation"))
+    lines = matrix.join(fields.select("tender_id"), "tender_id", "left_semi").select("tender_id", "n", F.col("line").alias("text"))
+    pieces = with_ends(lines, "tender_id", rows.select("tender_id", opening.alias("text")))
+    return numbered_parts(pieces, "tender_id", ["_rank", "n"], [F.col("_rank"), ordered_bucket(F.col("n"), matrix)], "\n", part_chars)
 
 
 def commercial_pack(analysed: DataFrame, label: str = "tender_id") -> DataFrame:
@@ -171,40 +176,55 @@ def commercial_pack(analysed: DataFrame, label: str = "tender_id") -> DataFrame:
     )
 
 
-def proposal_prompt(rows: DataFrame) -> DataFrame:
-    """(tender_id, prompt) from the columns preparation, organisation, requisites, policy, warnings and corpus; blanks go."""
+def price_policy(analysed: DataFrame, key: str = "tender_id") -> DataFrame:
+    """(key, policy): the price section of a proposal as rules that a completion provider words.
+
+    analysed: key, has_quote (the manager has set a price), absurd, below_threshold, has_reduction.  A quote rules out
+    placeholders; without one a price is agreed first where it is absurd, below the threshold or may not be improved
+    later, and is an opening price where it may.
+    """
+    reasons = F.array(F.when(F.col("absurd"), "absurd_price"), F.when(F.col("below_threshold"), "below_threshold"), F.when(~F.col("has_reduction"), "no_reduction"))
+    reasons = F.filter(reasons, lambda r: r.isNotNull())
+    rules = (
+        F.when(F.col("has_quote"), F.array(F.lit("use_agreed_price"), F.lit("no_placeholders"), F.when(F.col("has_reduction"), "opening_price")))
+        .when(F.size(reasons) > 0, F.array(F.concat(F.lit("agree_price: "), F.array_join(reasons, ", ")), F.lit("no_own_total")))
+        .otherwise(F.array(F.lit("opening_price"), F.lit("no_further_reduction"), F.lit("vat_as_in_documents")))
+    )
+    rules = F.when(F.col("has_quote"), rules).otherwise(F.concat(rules, F.array(F.lit("figures_with_source"), F.lit("no_invented_terms"))))
+    lines = F.transform(F.filter(rules, lambda r: r.isNotNull()), lambda r: F.concat(F.lit("- "), r))
+    return analysed.select(key, F.concat(F.lit(POLICY_HEADING + "\n"), F.array_join(lines, "\n")).alias("policy"))
+
+
+def proposal_prompt(rows: DataFrame, corpora: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """(tender_id, part, start, text) from the columns preparation, organisation, requisites, policy and warnings of
+    ``rows``, blanks left out, and then the whole corpus.
+
+    corpora: tender_id, part, text.
+    """
     requisites = tx.js_trim(F.col("requisites"))
     warned = F.when(F.size("warnings") > 0, F.concat(F.lit("**Предупреждения:** "), F.array_join("warnings", " | ")))
-    text = _sections(
+    opening = _sections(
         F.concat(F.lit("Тендер: **"), F.col("tender_id").cast("string"), F.lit("**")), F.col("preparation"), F.col("organisation"), requisites,
-        F.col("policy"), warned, F.lit("## Корпус (документация заказчика)"), F.col("corpus"),
+        F.col("policy"), warned, F.lit("## Корпус (документация заказчика)\n"),
     )
-    return rows.select("tender_id", text.alias("prompt"))
-
+    known = corpora.join(rows.select("tender_id"), "tender_id", "left_semi").select("tender_id", "part", "text")
+    pieces = with_ends(known, "tender_id", rows.select("tender_id", opening.alias("text")))
+    return numbered_parts(pieces, "tender_id", ["_rank", "part"], [F.col("_rank"), F.floor(F.col("part") / 1024)], "", part_chars)
 
-def bundle_rows(lists: dict[str, DataFrame]) -> DataFrame:
-    """Files of all lists of the tenders as rows tagged with their list."""
-    out = None
-    for name, files in lists.items():
-        tagged = files.withColumn("list", F.lit(name))
-        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
-    return out
 
+def bundle_prompt(bundle: DataFrame, questions: DataFrame, key: str = "tender_id", part_chars: int = PART_CHARS) -> DataFrame:
+    """(key, part, start, text): the whole bundle as JSON in order of name, then the question.
 
-def bundle_prompt(bundle: DataFrame, questions: DataFrame, key: str = "tender_id", limit: int = BUNDLE_CHARS) -> DataFrame:
-    """(key, prompt): the bundle as JSON, cut, with the question.
-
-    bundle: key, file_id, name, json.  Only the entries the cut can reach are joined, so a tender of any size costs little.
+    bundle: key, file_id, name, json; questions: key, question.
     """
-    sizes = bundle.select(key, "file_id", "name", F.lit(1).alias("head"), F.length("json").alias("size"))
-    chosen = assembly.within_budget(sizes, limit, -1, key, 16).select(key, "file_id", "n")
-    parts = chosen.join(bundle.select(key, "file_id", "json"), [key, "file_id"])
-    joined = parts.groupBy(key).agg(assembly.joined_in_order("json", "n", ",").alias("_json"))
-    text = F.concat_ws(
-        "\n", tx.truncate_marked(F.concat(F.lit("["), "_json", F.lit("]")), limit, BUNDLE_CUT), F.lit(""),
-        F.concat(F.lit(QUESTION), tx.js_trim(F.col("question"))),
-    )
-    return joined.join(questions, key).select(key, text.alias("prompt"))
+    asked = questions.join(bundle.select(key).distinct(), key, "left_semi")
+    entries = bundle.join(asked.select(key), key, "left_semi")
+    first = entries.groupBy(key).agg(F.min(F.struct("name", "file_id")).alias("_first"))
+    comma = F.when(F.struct("name", "file_id") == F.col("_first"), "").otherwise(",")
+    pieces = entries.join(first, key).select(key, "name", "file_id", F.concat(comma, "json").alias("text"))
+    closing = F.concat(F.lit("]\n\n" + QUESTION), tx.js_trim(F.col("question")))
+    ended = with_ends(pieces, key, asked.select(key, F.lit("[").alias("text")), asked.select(key, closing.alias("text")))
+    return numbered_parts(ended, key, ["_rank", "name", "file_id"], [F.col("_rank"), ordered_bucket(F.col("name"), bundle)], "", part_chars)
 
 
 def import_summary(snapshots: DataFrame) -> DataFrame:

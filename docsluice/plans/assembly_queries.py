@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docsluice.functions import text as tx
 from docsluice.operators import assembly, grounding
-from docsluice.plans.registry import Tables, query, sql_collapse, sql_trim
+from docsluice.plans.registry import SQL_WS, Tables, query, sql_collapse, sql_trim
 
 
 def _name() -> Column:
@@ -64,51 +64,74 @@ def _items_to_text(t: Tables) -> DataFrame:
 
 
 _SQL_CORPUS = f"""
-SELECT tender_id, CASE WHEN length(c) > 20000 THEN substring(c, 1, 20000) || chr(10) || chr(10) || '…[корпус усечён]' ELSE c END AS corpus
-FROM (SELECT tender_id, string_agg('### Документ: ' || name || chr(10) || '_Путь: ' || path || '_' || chr(10) || chr(10) ||
-        CASE WHEN length(text) > 3000 THEN substring(text, 1, 3000) || chr(10) || chr(10) || '…[усечено]' ELSE text END,
-        chr(10) || chr(10) ORDER BY n) AS c
-  FROM (SELECT *, row_number() OVER (PARTITION BY tender_id ORDER BY ord) AS n FROM ({_SQL_ITEMS}) WHERE status = 'ok' AND path <> '')
-  WHERE n <= 12 AND present AND text <> '' GROUP BY 1)"""
+SELECT tender_id, string_agg('### Документ: ' || name || chr(10) || '_Путь: ' || path || '_' || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY ord) AS corpus, count(*) AS n_files
+FROM ({_SQL_ITEMS}) WHERE status = 'ok' AND path <> '' AND present AND text <> '' GROUP BY 1"""
 
 
-@query(
-    "assemble_corpus",
-    f"SELECT tender_id, corpus, CAST(length({sql_collapse('corpus')}) AS BIGINT) AS input_chars FROM ({_SQL_CORPUS})",
-)
+def sql_parts(whole: str, chars: int, column: str = "corpus", more: str = "") -> str:
+    """Numbered parts of the whole texts of a query."""
+    return f"""
+SELECT tender_id, i AS part, i * {chars} AS start, substring({column}, CAST(i * {chars} + 1 AS BIGINT), {chars}) AS text{more}
+FROM (SELECT *, unnest(range(0, (length({column}) - 1) // {chars} + 1)) AS i FROM ({whole}) WHERE length({column}) > 0)"""
+
+
+@query("assemble_corpus", sql_parts(_SQL_CORPUS, 20_000))
 def _assemble(t: Tables) -> DataFrame:
-    """Limits smaller than the defaults, so that all three of them bind."""
-    out = assembly.assemble_corpus(manifest_items(t), manifest_files(t), max_files=12, max_per_file=3000, max_total=20_000)
-    return out.withColumn("input_chars", F.col("input_chars").cast("bigint"))
+    return assembly.assemble_corpus(manifest_items(t), manifest_files(t))
+
 
+@query("corpus_sizes", f"SELECT tender_id, n_files, CAST(length({sql_collapse('corpus')}) AS BIGINT) AS input_chars FROM ({_SQL_CORPUS})")
+def _sizes(t: Tables) -> DataFrame:
+    return assembly.corpus_sizes(manifest_items(t), manifest_files(t))
 
-def _sql_budget(budget: int, head: str, tail: str, mark: str, separator: str, min_room: int, text: str, where: str) -> str:
-    header = f"({head} || name || {tail})"
+
+def _sql_files(head: str, tail: str, text: str, where: str = "") -> str:
+    """Whole texts of all files by name, below their headers."""
     return f"""
-SELECT tender_id, {sql_trim(f"string_agg(part, {separator} ORDER BY name, file_id)")} AS corpus, count(*) AS n_files FROM (
-  SELECT tender_id, name, file_id, {header} || CASE WHEN length(text) > room THEN substring(text, 1, CAST(room AS BIGINT)) || {mark} ELSE text END AS part
-  FROM (SELECT *, {budget} - coalesce(sum(length({header}) + length(text)) OVER (
-          PARTITION BY tender_id ORDER BY name, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - length({header}) AS room
-        FROM (SELECT source AS tender_id, doc_id AS file_id, {_SQL_NAME} AS name, {text} AS text FROM documents {where}))
-  WHERE room > {min_room}) GROUP BY 1"""
+SELECT tender_id, regexp_replace(string_agg({head} || name || {tail} || text, chr(10) || chr(10) ORDER BY name, file_id), '{SQL_WS}+$', '') AS corpus
+FROM (SELECT source AS tender_id, doc_id AS file_id, {_SQL_NAME} AS name, {text} AS text FROM documents {where}) GROUP BY 1"""
 
 
-_NL = "chr(10)"
-_SQL_BUDGET = _sql_budget(95_000, f"{_NL} || {_NL} || '=== '", f"' ===' || {_NL}", f"{_NL} || '…[файл усечён]'", "''", 0, "text", "")
+_SQL_NATIVE = _sql_files("'=== '", "' ===' || chr(10)", "text")
 
 
-@query("assemble_corpus_budget", _SQL_BUDGET)
+@query("assemble_corpus_budget", sql_parts(_SQL_NATIVE, 95_000))
 def _budget(t: Tables) -> DataFrame:
-    return assembly.assemble_by_budget(source_files(t))
+    """All files in parts of the size of a budget: the first part is what the budget reaches, the others what it leaves."""
+    return assembly.assemble_files(source_files(t), part_chars=95_000)
 
 
 @query(
-    "read_text_folder",
-    _sql_budget(
-        12_000, f"{_NL} || '### Реквизиты · файл: '", _NL, f"{_NL} || '…[усечено]'", _NL, 40, sql_trim("text"),
-        "WHERE trim(text) <> ''",
-    ),
+    "corpus_left_out",
+    f"""
+SELECT tender_id, file_id, name, CAST(kept AS BIGINT) AS kept_chars, CAST(size - kept AS BIGINT) AS left_chars FROM (
+  SELECT *, CASE WHEN room > 0 THEN least(room, size) ELSE 0 END AS kept FROM (
+    SELECT *, 95000 - coalesce(sum(head + size) OVER (PARTITION BY tender_id ORDER BY name, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - head AS room
+    FROM (SELECT source AS tender_id, doc_id AS file_id, {_SQL_NAME} AS name, length({_SQL_NAME}) + 11 AS head, length(text) AS size FROM documents)))
+WHERE size > kept
+""",
 )
+def _left_out(t: Tables) -> DataFrame:
+    return assembly.left_out(source_files(t), 95_000)
+
+
+@query(
+    "corpus_within_budget",
+    f"""
+SELECT tender_id, {sql_trim("string_agg(part, '' ORDER BY name, file_id)")} AS corpus, count(*) AS n_files FROM (
+  SELECT tender_id, name, file_id, header || CASE WHEN length(text) > room THEN substring(text, 1, CAST(room AS BIGINT)) || chr(10) || '…[файл усечён]' ELSE text END AS part
+  FROM (SELECT *, 95000 - coalesce(sum(length(header) + length(text)) OVER (PARTITION BY tender_id ORDER BY name, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+          - length(header) AS room
+        FROM (SELECT source AS tender_id, doc_id AS file_id, {_SQL_NAME} AS name, chr(10) || chr(10) || '=== ' || {_SQL_NAME} || ' ===' || chr(10) AS header, text FROM documents))
+  WHERE room > 0) GROUP BY 1
+""",
+)
+def _within(t: Tables) -> DataFrame:
+    """What a budget reaches, as one text; ``corpus_left_out`` lists what it does not."""
+    return assembly.assemble_by_budget(source_files(t), 95_000)
+
+
+@query("read_text_folder", sql_parts(_sql_files("'### Реквизиты · файл: '", "chr(10)", sql_trim("text"), f"WHERE {sql_trim('text')} <> ''"), 20_000))
 def _folder(t: Tables) -> DataFrame:
     return assembly.folder_texts(source_files(t), key="tender_id")
 
@@ -132,32 +155,35 @@ def _running(t: Tables) -> DataFrame:
 
 @query(
     "snippet_corpus",
-    f"""
-SELECT tender_id, CASE WHEN length(c) > 42000 THEN substring(c, 1, 42000) || chr(10) || chr(10) || '…[усечено]' ELSE c END AS corpus
-FROM (SELECT tender_id, string_agg('### Файл: ' || name || chr(10) || s, chr(10) || chr(10) ORDER BY n) AS c FROM (
-    SELECT source AS tender_id, {_SQL_NAME} AS name, {sql_trim('substring(text, 1, 14000)')} AS s,
-           row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 35 AND length(s) > 40 GROUP BY 1)
-""",
+    sql_parts(
+        f"""
+SELECT tender_id, string_agg('### Файл: ' || name || chr(10) || s, chr(10) || chr(10) ORDER BY doc_id) AS corpus FROM (
+  SELECT source AS tender_id, doc_id, {_SQL_NAME} AS name, {sql_trim('text')} AS s FROM documents) WHERE length(s) > 40 GROUP BY 1""",
+        20_000,
+    ),
 )
 def _snippets(t: Tables) -> DataFrame:
     files = t.documents.select(F.col("source").alias("tender_id"), F.col("doc_id").alias("ord"), _name().alias("name"), "text")
     return assembly.snippet_corpus(files)
 
 
+_SQL_BY_LANGUAGE = "SELECT * REPLACE (source || '/' || lang AS source) FROM documents"
+
+
 @query(
     "corpus_source",
     f"""
-SELECT coalesce(e.tender_id, n.tender_id) AS tender_id, CASE WHEN length(e.corpus) > 0 THEN 'extracted' ELSE 'inputs_native' END AS source,
-       CASE WHEN length(e.corpus) > 0 THEN e.corpus ELSE coalesce(n.corpus, '') END AS corpus
-FROM (SELECT tender_id, corpus FROM ({_SQL_CORPUS}) WHERE length(corpus) > 19000) e
-FULL JOIN (SELECT tender_id, corpus FROM ({_SQL_BUDGET})) n USING (tender_id)
+WITH d AS ({_SQL_BY_LANGUAGE}), e AS ({sql_parts(_SQL_CORPUS.replace("FROM documents", "FROM d"), 20_000)}),
+     n AS ({sql_parts(_SQL_NATIVE.replace("FROM documents", "FROM d"), 20_000)})
+SELECT *, 'extracted' AS source FROM e UNION ALL SELECT *, 'inputs_native' FROM n WHERE tender_id NOT IN (SELECT tender_id FROM e)
 """,
 )
 def _source(t: Tables) -> DataFrame:
-    extracted = assembly.assemble_corpus(
-        manifest_items(t), manifest_files(t), max_files=12, max_per_file=3000, max_total=20_000
-    ).where(F.length("corpus") > 19_000)
-    return assembly.corpus_source(extracted, assembly.assemble_by_budget(source_files(t)))
+    """A tender is a source and a language here: the Spanish ones have no parsed texts."""
+    by_language = lambda rows: rows.withColumn("tender_id", F.concat("tender_id", F.lit("/"), F.substring("name", 1, 2)))
+    items = by_language(manifest_items(t))
+    files = manifest_files(t).withColumn("tender_id", F.concat("tender_id", F.lit("/"), F.substring("path", 1, 2)))
+    return assembly.corpus_source(assembly.assemble_corpus(items, files), assembly.assemble_files(by_language(source_files(t))))
 
 
 @query(

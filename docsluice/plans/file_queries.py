@@ -417,17 +417,18 @@ def _context(t: Tables) -> DataFrame:
 @query(
     "render_markdown",
     """
-SELECT n_name, string_agg(line, chr(10) ORDER BY s_suppkey) AS text FROM (
+WITH lines AS (
   SELECT n_name, -1 AS s_suppkey, '# ' || n_name AS line FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)
-  UNION ALL SELECT n_name, s_suppkey, '| ' || s_name || ' | ' || replace(replace(replace('a|b' || chr(10) || n_name, '|', '\\|'), chr(10), ' '), 'x', 'x') || ' |' FROM (
-    SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE n <= 25)
-GROUP BY 1
+  UNION ALL SELECT n_name, s_suppkey, '| ' || s_name || ' | a\\|b ' || n_name || ' |' FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+whole AS (SELECT n_name, string_agg(line, chr(10) ORDER BY s_suppkey) AS w FROM lines GROUP BY 1)
+SELECT n_name, i AS part, i * 200 AS start, substring(w, CAST(i * 200 + 1 AS BIGINT), 200) AS text FROM (SELECT *, unnest(range(0, (length(w) - 1) // 200 + 1)) AS i FROM whole)
 """,
 )
 def _render(t: Tables) -> DataFrame:
+    """Small parts, so that tables of a few lines have several."""
     rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("note", F.concat(F.lit("a|b\n"), "n_name"))
     lines = inventory.render_rows(rows, "n_name", ["supplier", "note"], ["s_name", "note"], ["s_suppkey"])
-    return inventory.render_text(lines, "n_name", ["s_suppkey"], F.concat(F.lit("# "), "n_name"))
+    return inventory.render_parts(lines, "n_name", "s_suppkey", F.concat(F.lit("# "), "n_name"), part_chars=200)
 
 
 # Ingest plans.

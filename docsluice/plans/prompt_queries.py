@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsluice.functions import text as tx
-from docsluice.operators import assembly, policy, prompts
+from docsluice.operators import assembly, inventory, policy, prompts
 from docsluice.plans import policy_queries as pq
-from docsluice.plans.assembly_queries import _SQL_BUDGET, _SQL_NAME, source_files
+from docsluice.plans.assembly_queries import _SQL_NAME, _SQL_NATIVE, source_files, sql_parts
 from docsluice.plans.registry import Tables, query, sql_collapse, sql_trim
 from docsluice.plans.search_queries import _BLOCK, _sql_hits, hits_with_documents
 from docsluice.session import spread
@@ -104,16 +104,15 @@ def _numbering(t: Tables) -> DataFrame:
     return prompts.matrix_numbering(_claims(t), "Автор").withColumn("n", F.col("n").cast("bigint"))
 
 
-@query(
-    "preparation_prompt",
-    f"""
+_SQL_PREPARATION = f"""
 SELECT n_nationkey AS tender_id, '---' || chr(10) || 'tender_id: ' || n_nationkey || chr(10) || '---' || chr(10) || '- **Наименование / предмет:** ' || n_name || chr(10) || '- **Сумма / бюджет в тексте:** —' || chr(10)
   || '- **Способ подачи:** —' || chr(10) || '- **Дедлайн приёма:** ' || n_regionkey || chr(10) || '## Политика цены в КП' || chr(10)
   || CASE WHEN n_regionkey = 0 THEN '{prompts.PRICE_ABSURD}' WHEN n_regionkey = 1 THEN '{prompts.PRICE_REDUCTION}' ELSE '{prompts.PRICE_NONE}' END || chr(10) || '## Матрица требований' || chr(10)
   || coalesce('| № | Требование / документ | Роль | Суть (по документам) |' || chr(10) || '|---|---|---|---|' || chr(10) || lines, '{prompts.EMPTY_MATRIX}') AS preparation
-FROM nation LEFT JOIN (SELECT tender_id, string_agg(line, chr(10) ORDER BY n) AS lines FROM ({_SQL_MATRIX}) GROUP BY 1) m ON m.tender_id = n_nationkey
-""",
-)
+FROM nation LEFT JOIN (SELECT tender_id, string_agg(line, chr(10) ORDER BY n) AS lines FROM ({_SQL_MATRIX}) GROUP BY 1) m ON m.tender_id = n_nationkey"""
+
+
+@query("preparation_prompt", sql_parts(_SQL_PREPARATION, 20_000, "preparation"))
 def _preparation(t: Tables) -> DataFrame:
     none = F.lit(None).cast("string")
     fields = t.nation.select(
@@ -139,27 +138,56 @@ def _pack(t: Tables) -> DataFrame:
     return prompts.commercial_pack(analysed, "o_orderkey").select("o_orderkey", "label", "mode_line", "flags_line", "reasons")
 
 
+_SQL_FACTS = "SELECT tender_id, bool_or(text LIKE '%the%') AS has_quote, min(length(text)) < 20 AS absurd, min(doc_id) % 2 = 0 AS below, count(*) % 3 <> 0 AS reduction FROM (SELECT source AS tender_id, * FROM documents) GROUP BY 1"
+_SQL_POLICY = f"""
+SELECT tender_id, '## Политика цены' || chr(10) || CASE WHEN has_quote THEN '- use_agreed_price' || chr(10) || '- no_placeholders' || CASE WHEN reduction THEN chr(10) || '- opening_price' ELSE '' END
+  ELSE CASE WHEN absurd OR below OR NOT reduction THEN '- agree_price: ' || concat_ws(', ', CASE WHEN absurd THEN 'absurd_price' END, CASE WHEN below THEN 'below_threshold' END, CASE WHEN NOT reduction THEN 'no_reduction' END)
+         || chr(10) || '- no_own_total' ELSE '- opening_price' || chr(10) || '- no_further_reduction' || chr(10) || '- vat_as_in_documents' END || chr(10) || '- figures_with_source' || chr(10) || '- no_invented_terms' END AS policy
+FROM ({_SQL_FACTS})"""
+
+
+def _price_facts(t: Tables, key: str = "source") -> DataFrame:
+    """Flags per source, or per source and language, as a price analysis gives them."""
+    rows = t.documents.groupBy(F.col(key).alias("tender_id"))
+    return rows.agg(
+        F.bool_or(F.col("text").contains("the")).alias("has_quote"), (F.min(F.length("text")) < 20).alias("absurd"), (F.min("doc_id") % 2 == 0).alias("below_threshold"),
+        (F.count("*") % 3 != 0).alias("has_reduction"),
+    )
+
+
+@query("price_policy", _SQL_POLICY.replace("source AS tender_id", "lang || n_chars % 7 AS tender_id").replace("'%the%'", "'%wh%'"))
+def _policy(t: Tables) -> DataFrame:
+    rows = t.documents.groupBy(F.concat("lang", (F.col("n_chars") % 7).cast("string")).alias("tender_id"))
+    return prompts.price_policy(
+        rows.agg(
+            F.bool_or(F.col("text").contains("wh")).alias("has_quote"), (F.min(F.length("text")) < 20).alias("absurd"), (F.min("doc_id") % 2 == 0).alias("below_threshold"),
+            (F.count("*") % 3 != 0).alias("has_reduction"),
+        )
+    )
+
+
 @query(
     "proposal_prompt",
-    f"""
-SELECT tender_id, 'Тендер: **' || tender_id || '**' || chr(10) || 'org ' || tender_id || chr(10) || {sql_trim('corpus')} || chr(10) || '**Предупреждения:** a | b' || chr(10)
-  || '## Корпус (документация заказчика)' || chr(10) || corpus AS prompt FROM ({_SQL_BUDGET})
-""",
+    sql_parts(
+        f"""
+SELECT tender_id, 'Тендер: **' || tender_id || '**' || chr(10) || 'org ' || tender_id || chr(10) || 'requisites' || chr(10) || policy || chr(10) || '**Предупреждения:** a | b' || chr(10)
+  || '## Корпус (документация заказчика)' || chr(10) || corpus AS corpus FROM ({_SQL_NATIVE}) JOIN ({_SQL_POLICY}) USING (tender_id)""",
+        20_000,
+    ),
 )
 def _proposal(t: Tables) -> DataFrame:
-    corpora = assembly.assemble_by_budget(source_files(t))
-    rows = corpora.select(
-        "tender_id", F.lit("").alias("preparation"), F.concat(F.lit("org "), "tender_id").alias("organisation"), F.col("corpus").alias("requisites"),
-        F.lit(None).cast("string").alias("policy"), F.array(F.lit("a"), F.lit("b")).alias("warnings"), "corpus",
+    rows = prompts.price_policy(_price_facts(t)).select(
+        "tender_id", F.lit("").alias("preparation"), F.concat(F.lit("org "), "tender_id").alias("organisation"), F.lit(" requisites ").alias("requisites"),
+        "policy", F.array(F.lit("a"), F.lit("b")).alias("warnings"),
     )
-    return prompts.proposal_prompt(rows)
+    return prompts.proposal_prompt(rows, assembly.assemble_files(source_files(t)))
 
 
 @query(
     "agent_bundle",
     """
-SELECT r_regionkey AS tender_id, 'nations' AS list, n_name AS name, NULL::DOUBLE AS balance FROM region JOIN nation ON n_regionkey = r_regionkey
-UNION ALL SELECT n_regionkey, 'suppliers', s_name, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey
+SELECT r_regionkey AS tender_id, 'nations' AS list, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_name) AS nth, n_name AS name, NULL::DOUBLE AS balance FROM region JOIN nation ON n_regionkey = r_regionkey
+UNION ALL SELECT n_regionkey, 'suppliers', row_number() OVER (PARTITION BY n_regionkey ORDER BY s_name), s_name, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """,
 )
 def _bundle(t: Tables) -> DataFrame:
@@ -167,15 +195,18 @@ def _bundle(t: Tables) -> DataFrame:
     suppliers = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("n_regionkey").alias("tender_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")
     )
-    return prompts.bundle_rows({"nations": nations, "suppliers": suppliers})
+    return inventory.agent_bundle({"nations": nations, "suppliers": suppliers}, {"nations": "name", "suppliers": "name"})
 
 
 @query(
     "bundle_prompt",
-    """
-SELECT tender_id, CASE WHEN length(j) > 14000 THEN substring(j, 1, 14000) || chr(10) || '…[усечено]' ELSE j END || chr(10) || chr(10) || 'Вопрос пользователя: что в папке?' AS prompt FROM (
-  SELECT source AS tender_id, '[' || string_agg('{"id":' || doc_id || ',"lang":"' || lang || '","name":"' || %s || '"}', ',' ORDER BY %s, doc_id) || ']' AS j FROM documents GROUP BY 1)
-""" % (_SQL_NAME, _SQL_NAME),
+    sql_parts(
+        """
+SELECT source AS tender_id, '[' || string_agg('{"id":' || doc_id || ',"lang":"' || lang || '","name":"' || %s || '"}', ',' ORDER BY %s, doc_id) || ']' || chr(10) || chr(10) || 'Вопрос пользователя: что в папке?' AS corpus
+FROM documents GROUP BY 1"""
+        % (_SQL_NAME, _SQL_NAME),
+        20_000,
+    ),
 )
 def _bundle_prompt(t: Tables) -> DataFrame:
     json = F.concat(F.lit('{"id":'), F.col("file_id").cast("string"), F.lit(',"lang":"'), F.substring_index("name", "-", 1), F.lit('","name":"'), "name", F.lit('"}'))
