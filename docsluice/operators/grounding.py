@@ -38,10 +38,9 @@ def ground_claims(claims: DataFrame, corpora: DataFrame) -> DataFrame:
 
     A tender without text grounds nothing.  Criteria of 14 characters or more must occur themselves; shorter ones stay.
     """
-    evidence = tx.normalize_evidence(F.col("evidence"))
-    criteria = F.when(F.col("list") != "self", tx.normalize_evidence(F.col("criteria")))
-    head = F.when(F.length(evidence) >= MIN_QUOTE, F.substring(evidence, 1, HEAD_CHARS))
-    asked = claims.withColumn("quotes", _slotted(evidence, head, criteria))
+    own = claims.withColumns({"_evidence": tx.normalize_evidence(F.col("evidence")), "_criteria": F.when(F.col("list") != "self", tx.normalize_evidence(F.col("criteria")))})
+    head = F.when(F.length("_evidence") >= MIN_QUOTE, F.substring("_evidence", 1, HEAD_CHARS))
+    asked = own.withColumn("quotes", _slotted(F.col("_evidence"), head, F.col("_criteria")))
     found = quotes.locate(asked, corpora, 3)
     joined = asked.withColumn("unit", quotes.unit_id(F.col("quotes"))).join(found, ["tender_id", "unit"], "left")
     long = F.length(tx.collapse_ws(F.col("criteria"))) >= MIN_QUOTE

@@ -48,23 +48,26 @@ def normalized_chunks(corpora: DataFrame, text: str = "corpus") -> DataFrame:
     """
     part = F.col("part") if "part" in corpora.columns else F.lit(0)
     raw = corpora.select("tender_id", part.cast("bigint").alias("part"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{CHUNK_CHARS}}}"), F.lit(0))).alias("sub", "raw"))
-    rows = raw.select("tender_id", "part", "sub", F.regexp_replace(uniform_quotes(F.col("raw")), f"{WS}+", " ").alias("chunk"))
-    facts = rows.select("tender_id", "part", "sub", F.length("chunk").alias("n"), F.startswith("chunk", F.lit(" ")).alias("opens"), F.endswith("chunk", F.lit(" ")).alias("closes"))
+    # Dealt by part before anything is derived, so that both uses below share one exchange.
+    rows = raw.select("tender_id", "part", "sub", F.regexp_replace(uniform_quotes(F.col("raw")), f"{WS}+", " ").alias("chunk")).repartition("tender_id", "part")
     inner = Window.partitionBy("tender_id", "part").orderBy("sub")
-    within = facts.withColumn("before", F.lag("closes").over(inner))
+    opens, closes = F.startswith("chunk", F.lit(" ")), F.endswith("chunk", F.lit(" "))
+    within = rows.withColumn("before", F.lag(closes).over(inner))
     # What a part adds up to: its first chunk's blank stays or goes with the part before.
     whole = within.groupBy("tender_id", "part").agg(
-        F.sum(F.col("n") - F.when(F.col("opens") & F.coalesce("before", F.lit(False)), 1).otherwise(0)).alias("size"),
-        F.min_by("opens", "sub").alias("first_opens"), F.max_by("closes", "sub").alias("last_closes"),
+        F.sum(F.length("chunk") - F.when(opens & F.coalesce("before", F.lit(False)), 1).otherwise(0)).alias("size"),
+        F.min_by(opens, "sub").alias("first_opens"), F.max_by(closes, "sub").alias("last_closes"),
     )
     outer = Window.partitionBy("tender_id").orderBy("part")
     led = whole.withColumn("led", F.coalesce(F.lag("last_closes").over(outer), F.lit(True)))  # a text begins as if behind a blank
     net = F.col("size") - F.when(F.col("first_opens") & F.col("led"), 1).otherwise(0)
     starts = led.select("tender_id", "part", "led", F.coalesce(F.sum(net).over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    known = within.join(starts, ["tender_id", "part"]).withColumn("drop", F.col("opens") & F.coalesce("before", "led"))
-    kept = F.col("n") - F.col("drop").cast("int")
-    placed = known.select("tender_id", "part", "sub", "drop", (F.col("base") + F.coalesce(F.sum(kept).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("start"))
-    return rows.join(placed, ["tender_id", "part", "sub"]).select("tender_id", "start", F.when(F.col("drop"), F.substring("chunk", 2, CHUNK_CHARS)).otherwise(F.col("chunk")).alias("chunk"))
+    known = within.join(starts, ["tender_id", "part"])
+    kept = known.select(
+        "tender_id", "part", "sub", "base", F.when(opens & F.coalesce("before", "led"), F.substring("chunk", 2, CHUNK_CHARS)).otherwise(F.col("chunk")).alias("chunk")
+    )
+    earlier = F.sum(F.length("chunk")).over(inner.rowsBetween(Window.unboundedPreceding, -1))
+    return kept.select("tender_id", (F.col("base") + F.coalesce(earlier, F.lit(0))).alias("start"), "chunk")
 
 
 def _gram_hashes(codes: np.ndarray) -> np.ndarray:
@@ -125,15 +128,16 @@ def locate(units: DataFrame, corpora: DataFrame, slots: int, text: str = "corpus
     or numbered parts of one.
     """
     long = F.filter("quotes", lambda q: F.length(q["quote"]) >= GRAM)
-    asked = units.select("tender_id", "quotes").where(F.size(long) > 0).select("tender_id", unit_id(F.col("quotes")).alias("unit"), F.to_json(long).alias("body"), F.array_max(F.transform(long, lambda q: F.length(q["quote"]))).alias("n"))
-    asked = asked.groupBy("tender_id", "unit").agg(F.first("body").alias("body"), F.first("n").alias("n"))
-    sizes = asked.groupBy("tender_id").agg(F.ceil(F.sum(F.length("body")) / BLOCK_CHARS).alias("blocks"), F.max("n").alias("longest"))
+    longest = F.coalesce(F.array_max(F.transform(long, lambda q: F.length(q["quote"]))), F.lit(0))
+    # Equal units are one, and both uses below share one exchange: they keep the same columns.
+    asked = units.select("tender_id", unit_id(F.col("quotes")).alias("unit"), F.to_json(long).alias("body"), longest.alias("n")).distinct()
+    sizes = asked.groupBy("tender_id").agg(F.ceil(F.sum(F.length("body") + F.length("unit")) / BLOCK_CHARS).alias("blocks"), F.max("n").alias("longest")).where("longest > 0")
     raw = corpora.groupBy("tender_id").agg(F.sum(F.length(text).cast("bigint")).alias("total"))
     size = F.greatest(F.lit(CELL_CHARS), F.col("longest") * 2).cast("bigint")
     facts = sizes.join(raw.where("total > 0"), "tender_id").select("tender_id", "blocks", "longest", size.alias("size"), F.expr("total").alias("total"))
     spans = F.expr(f"sequence(0l, (total - 1) div (size * {SPAN_CELLS}))")
     quotes = (
-        asked.join(facts, "tender_id")
+        asked.join(facts, "tender_id").where("n <= longest")
         .select("tender_id", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("bigint").alias("block"), F.explode(spans).alias("span"),
                 F.lit(0).alias("flag"), F.lit(0).cast("bigint").alias("cell"), F.lit(0).cast("bigint").alias("at"), "unit", "body")
     )

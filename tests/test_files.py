@@ -175,5 +175,7 @@ def test_render_markdown_keeps_every_line(spark, tmp_path):
     spark.createDataFrame([(7, "PERU")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
     suppliers = spark.range(300).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("s"), "id").alias("s_name"), F.lit(7).alias("s_nationkey"))
     suppliers.repartition(4).write.parquet(str(tmp_path / "supplier.parquet"))
-    text = QUERIES["render_markdown"](spark, str(tmp_path)).first()["text"]
+    parts = QUERIES["render_markdown"](spark, str(tmp_path)).orderBy("part").collect()
+    text = "".join(r["text"] for r in parts)
+    assert len(parts) > 1 and [r["start"] for r in parts] == [sum(len(q["text"]) for q in parts[:i]) for i in range(len(parts))]
     assert text.split("\n") == ["# PERU"] + [f"| s{i} | a\\|b PERU |" for i in range(300)]
