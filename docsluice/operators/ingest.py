@@ -150,14 +150,15 @@ def attachment_kind(content: Column) -> Column:
     )
 
 
-def attachment_ok(content: Column, name: Column, content_type: Column) -> Column:
-    """Struct (ok, reason) for a downloaded attachment."""
+def attachment_ok(content: Column, name: Column, content_type: Column, size: Column | None = None) -> Column:
+    """Struct (ok, reason) for a downloaded attachment, from its content or from its beginning and its size."""
+    size = F.length(content) if size is None else size
     low, kind = F.lower(name), attachment_kind(content)
     fits = (low.rlike(r"\.(docx|xlsx|pptx|zip)$") & (kind == "zip")) | (low.endswith(".doc") & kind.isin("doc", "zip"))
     pdf = low.endswith(".pdf")
     reason = (
         F.when(kind == "html", "html")
-        .when(F.coalesce(F.length(content) < MIN_ATTACHMENT_BYTES, F.lit(True)), "too_short")
+        .when(F.coalesce(size < MIN_ATTACHMENT_BYTES, F.lit(True)), "too_short")
         .when(fits, None)
         .when(pdf & (kind != "pdf"), "not_pdf")
         .when(pdf & F.lower(F.coalesce(content_type, F.lit(""))).contains("text/html"), "content_type_html")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from docsluice.functions.ranking import ordered_bucket
 from docsluice.operators import extraction as ex
 from docsluice.operators import ingest, inventory, picks
 from docsluice.plans.registry import Tables, query, sql_collapse
+from docsluice.session import shared_folder
+from docsluice.sources import readers, sinks
 
 # Files named after documents: length picks the extension, language and source the MIME type.
 _SQL_NAME = """doc_id || CASE WHEN n_chars < 300 THEN '.pdf' WHEN n_chars < 600 THEN '.docx' WHEN n_chars < 900 THEN '.DOC'
@@ -183,15 +187,38 @@ FULL JOIN (SELECT o_orderkey AS k, nullif(o_orderpriority, '5-LOW') AS status, s
 """,
 )
 def _upsert(t: Tables) -> DataFrame:
+    """Two versions of a state table in the shared folder; a third is interrupted, and the second is sent once more."""
+    path = f"{shared_folder(t.spark)}/states-{uuid.uuid4().hex}"
+    none = lambda kind: F.lit(None).cast(kind)
     old = t.orders.where("o_totalprice < 300000").select(
-        F.col("o_orderkey").alias("tender_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price")
+        F.col("o_orderkey").alias("tender_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), none("string").alias("day")
     )
     patch = t.orders.where("o_totalprice > 200000").select(
-        F.col("o_orderkey").alias("tender_id"),
-        F.nullif("o_orderpriority", F.lit("5-LOW")).alias("status"),
+        F.col("o_orderkey").alias("tender_id"), F.nullif("o_orderpriority", F.lit("5-LOW")).alias("status"), none("double").alias("price"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
     )
-    return ex.merge_state(old, patch)
+    sinks.upsert_state(old, path, token="first")
+    sinks.upsert_state(patch, path, token="second")
+    sinks.upsert_state(old.withColumn("status", F.lit("lost")), path, publish=False)
+    sinks.upsert_state(patch.withColumn("status", F.lit("twice")), path, token="second")
+    return readers.read_latest(t.spark, path, old.schema)
+
+
+_SQL_FIRST_AND_LAST = """
+SELECT o_custkey, CASE WHEN o_custkey % 2 = 0 THEN max(o_orderkey) ELSE min(o_orderkey) END AS o_orderkey, count(*) AS n_orders FROM orders GROUP BY 1"""
+
+
+@query("replace_latest", _SQL_FIRST_AND_LAST)
+def _replace(t: Tables) -> DataFrame:
+    """Every customer's first order as a version, then the last one of even customers; a third change is interrupted."""
+    path = f"{shared_folder(t.spark)}/latest-{uuid.uuid4().hex}"
+    rows = t.orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), F.count("*").alias("n_orders"))
+    firsts = rows.select("o_custkey", F.col("first").alias("o_orderkey"), "n_orders")
+    lasts = rows.where("o_custkey % 2 = 0").select("o_custkey", F.col("last").alias("o_orderkey"), "n_orders")
+    sinks.publish_latest(firsts, path, ["o_custkey"])
+    sinks.publish_latest(lasts, path, ["o_custkey"])
+    sinks.publish_latest(firsts.withColumn("n_orders", F.lit(0).cast("bigint")), path, ["o_custkey"], publish=False)
+    return readers.read_latest(t.spark, path, firsts.schema)
 
 
 @query(

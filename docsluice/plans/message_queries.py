@@ -6,13 +6,16 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsluice.functions import messages as mx
 from docsluice.functions import text as tx
 from docsluice.functions import urls
 from docsluice.operators import messages as ms
-from docsluice.session import shared_folder
 from docsluice.plans.registry import Tables, query, sql_collapse, sql_trim
+from docsluice.session import rocksdb_state, shared_folder
+from docsluice.sources import readers, sinks
+from docsluice.streaming import flows
 
 VIEW_URL = "portal.example.com/tenders/all/view/"
 
@@ -255,6 +258,27 @@ def _updates(t: Tables) -> DataFrame:
     return batches.groupBy("event_type").agg(F.sum("n").alias("n"), (F.max("last") + 1).alias("next_offset"))
 
 
+@query(
+    "read_updates",
+    "SELECT event_type AS text, count(*) AS n, count(DISTINCT event_id) AS n_distinct, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1",
+)
+def _read_updates(t: Tables) -> DataFrame:
+    """The table as a log that is polled twice: up to the middle, and by a restart that goes on from there."""
+    out = f"{shared_folder(t.spark)}/update-log-{uuid.uuid4().hex}"
+    known = {"update_id": F.col("event_id"), "chat_id": F.col("user_id"), "text": F.col("event_type"), "ts": F.col("ts").cast("timestamp")}
+    fields = T.StructType.fromDDL(readers.UPDATE_SCHEMA).fields
+    sinks.write_update_log(t.events.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]), f"{out}/log")
+    middle = t.events.agg(F.expr("(min(event_id) + max(event_id)) div 2")).first()[0]
+    for until in (middle, None):
+        updates = readers.read_updates(t.spark, f"{out}/log", until=until)
+        sink = updates.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/offsets")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    rows = t.spark.read.schema(readers.UPDATE_SCHEMA).parquet(f"{out}/rows")
+    return rows.groupBy("text").agg(
+        F.count("*").alias("n"), F.countDistinct("update_id").alias("n_distinct"), F.min("update_id").alias("first_id"), F.max("update_id").alias("last_id")
+    )
+
+
 @query(
     "reply_to_anchor",
     """
@@ -300,6 +324,80 @@ def _callback(t: Tables) -> DataFrame:
     return ms.callback_outcomes(events.where("action IS NOT NULL"), "user_id", "event_id", "action", "option")
 
 
+# Flows: a user's events are the presses and replies of one token; every seventeenth event starts it anew.
+_HINTS = {
+    "price": ("e % 2 = 0", "цена лота 100 BYN", "short"), "payment": ("e % 3 = 0", "Предоплата 30 % в течение 10 дней", "оплата как обычно у нас"),
+    "delivery": ("e % 4 <> 0", "срок 20 календарных дней", ""), "warranty": ("e % 5 < 2", "Гарантийный срок 24 месяца", "гарантия у нас хорошая"),
+}
+_SQL_FLOW = f"""
+WITH RECURSIVE ev AS (
+  SELECT *, row_number() OVER (PARTITION BY u ORDER BY e) AS n FROM (
+    SELECT event_id AS e, user_id AS u, event_id * 8 AS sec, CASE WHEN event_id % 23 = 0 THEN user_id + 1000 ELSE user_id END AS chat,
+      CASE WHEN event_id % 17 = 0 THEN 'start' WHEN event_type = 'click' OR (event_type = 'signup' AND event_id % 5 <> 0) THEN 'reply' WHEN event_type = 'signup' THEN 'own'
+           WHEN event_type = 'view' THEN 'starter' WHEN event_type = 'purchase' THEN 'go' ELSE 'select' END AS action,
+      CASE WHEN event_id % 13 = 0 THEN '/cmd' WHEN event_id % 19 = 0 THEN '' ELSE event_type || ' ' || event_id END AS body,
+      event_id % 4 AS slot, CASE WHEN event_id % 29 <> 0 THEN event_id % 4 END AS opt,
+      [{", ".join(f"CASE WHEN {sql.replace('e %', 'event_id %')} THEN '{good}' END" for sql, good, _ in _HINTS.values())}] AS hints FROM events)),
+s AS (
+  SELECT u, 0::BIGINT AS n, NULL::BIGINT AS e, NULL::VARCHAR AS outcome, false AS live, NULL::BIGINT AS chat, 0 AS step, 0::BIGINT AS touched, NULL::INTEGER AS selected, false AS consumed,
+    []::VARCHAR[] AS hints, []::VARCHAR[] AS slots, []::VARCHAR[] AS origins FROM (SELECT DISTINCT u FROM ev)
+  UNION ALL
+  SELECT u, n, e, o, CASE o WHEN 'started' THEN true WHEN 'expired' THEN false ELSE live END, CASE WHEN o = 'started' THEN new_chat ELSE chat END,
+    CASE WHEN o IN ('started', 'expired') THEN 0 WHEN o IN ('accepted', 'ready') THEN step + 1 ELSE step END,
+    CASE WHEN o IN ('started', 'accepted', 'ready', 'own_wanted', 'selected') THEN sec ELSE touched END,
+    CASE WHEN o IN ('started', 'expired') THEN NULL WHEN o = 'selected' THEN opt ELSE selected END::INTEGER,
+    CASE WHEN o = 'started' THEN false WHEN o = 'go' THEN true ELSE consumed END,
+    CASE WHEN o = 'started' THEN new_hints ELSE hints END,
+    CASE WHEN o IN ('started', 'expired') THEN [] WHEN o IN ('accepted', 'ready') THEN list_append(slots, CASE WHEN action = 'reply' THEN body ELSE hint END) ELSE slots END,
+    CASE WHEN o IN ('started', 'expired') THEN [] WHEN o IN ('accepted', 'ready') THEN list_append(origins, CASE WHEN action = 'reply' THEN 'manager' ELSE 'documents' END) ELSE origins END
+  FROM (SELECT *, CASE WHEN action = 'start' THEN 'started' WHEN NOT live THEN 'expired' WHEN chat <> new_chat THEN 'unknown' WHEN sec - touched > 3600 THEN 'expired'
+      WHEN action IN ('reply', 'starter', 'own') THEN CASE WHEN step >= 4 THEN 'not_waiting' WHEN action <> 'reply' AND slot <> step THEN 'stale_step' WHEN action = 'own' THEN 'own_wanted'
+        WHEN action = 'starter' AND hint IS NULL THEN 'no_hint' WHEN action = 'reply' AND (body = '' OR body LIKE '/%') THEN 'ignored' WHEN step = 3 THEN 'ready' ELSE 'accepted' END
+      WHEN step < 4 THEN 'gate_not_ready' WHEN action = 'select' THEN CASE WHEN opt IS NULL OR opt > 1 THEN 'ignored' ELSE 'selected' END
+      WHEN consumed THEN 'already_consumed' WHEN selected IS NULL THEN 'nothing_selected' ELSE 'go' END AS o
+    FROM (SELECT s.*, ev.n AS new_n, ev.e AS new_e, ev.sec, ev.chat AS new_chat, ev.action, ev.body, ev.slot, ev.opt, ev.hints AS new_hints, s.hints[s.step + 1] AS hint
+          FROM s JOIN ev ON ev.u = s.u AND ev.n = s.n + 1) AS j) AS k)
+SELECT 'k' || u AS token, e AS update_id, outcome, CASE WHEN live THEN ['price', 'payment', 'delivery', 'warranty'][step + 1] END AS step, selected, slots[1] AS price, slots[2] AS payment,
+  slots[3] AS delivery, slots[4] AS warranty, array_to_string(origins, ',') AS origins FROM s WHERE n > 0""".replace("SELECT u, n, e, o,", "SELECT u, new_n, new_e, o,")
+
+
+def wizard_events(events: DataFrame) -> DataFrame:
+    e, kind = F.col("event_id"), F.col("event_type")
+    action = (
+        F.when(e % 17 == 0, "start").when((kind == "click") | ((kind == "signup") & (e % 5 != 0)), "reply").when(kind == "signup", "own")
+        .when(kind == "view", "starter").when(kind == "purchase", "go").otherwise("select")
+    )
+    body = F.when(e % 13 == 0, "/cmd").when(e % 19 == 0, "  ").otherwise(F.concat(F.lit(" "), kind, F.lit(" "), e.cast("string")))
+    hints = {slot: F.when(F.expr(sql.replace("e %", "event_id %")), good).otherwise(bad) for slot, (sql, good, bad) in _HINTS.items()}
+    return events.select(
+        F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("token"), e.alias("update_id"), F.when(e % 23 == 0, F.col("user_id") + 1000).otherwise(F.col("user_id")).alias("chat_id"),
+        action.alias("action"), F.when(action == "reply", body).alias("text"), F.element_at(F.array(*map(F.lit, ms.WIZARD_STEPS)), (e % 4 + 1).cast("int")).alias("step"),
+        F.when(e % 29 != 0, e % 4).cast("int").alias("option"), F.when(action == "start", flows.qualified_hints(hints)).alias("hints"), F.timestamp_seconds(e * 8 + 1_700_000_000).alias("ts"),
+    )
+
+
+def _flow_rows(outcomes: DataFrame) -> DataFrame:
+    origins = F.concat_ws(",", *[F.col("origins")[s] for s in ms.WIZARD_STEPS])
+    return outcomes.select("token", "update_id", "outcome", "step", "selected", *ms.WIZARD_STEPS, origins.alias("origins"))
+
+
+@query("terms_flow", _SQL_FLOW)
+def _terms_flow(t: Tables) -> DataFrame:
+    """The wizard's stream over the events, drained: typed state and a timer for every token."""
+    out = f"{shared_folder(t.spark)}/terms-{uuid.uuid4().hex}"
+    with rocksdb_state(t.spark):
+        outcomes = flows.terms_flow(wizard_events(t.stream("events")))
+        sink = outcomes.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return _flow_rows(t.spark.read.schema(outcomes.schema).parquet(f"{out}/rows"))
+
+
+@query("terms_flow_replay", _SQL_FLOW)
+def _terms_replay(t: Tables) -> DataFrame:
+    """The same outcomes from the table."""
+    return _flow_rows(flows.replay_terms(wizard_events(t.events)))
+
+
 @query(
     "message_parts",
     """

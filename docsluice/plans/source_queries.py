@@ -15,7 +15,7 @@ from docsluice.plans.card_queries import _SQL_ORDERS, order_cards
 from docsluice.plans.corpus_queries import SQL_PATH, document_texts, sql_chunks
 from docsluice.plans.message_queries import VIEW_URL
 from docsluice.plans.registry import Tables, query, sql_collapse, sql_trim
-from docsluice.session import ensure_checkpoint_dir, spread
+from docsluice.session import ensure_checkpoint_dir, shared_folder, spread
 from docsluice.sources import providers, readers, sinks
 
 
@@ -47,6 +47,14 @@ SELECT doc_id, kind, kind = 'pdf' OR kind = 'zip' AS ok, CASE WHEN kind = 'html'
 """,
 )
 def _attachment(t: Tables) -> DataFrame:
+    checked = _files(t).select(
+        "doc_id", ingest.attachment_kind(F.col("content")).alias("kind"),
+        ingest.attachment_ok(F.col("content"), F.col("name"), F.lit("")).alias("r"),
+    )
+    return checked.select("doc_id", "kind", "r.ok", "r.reason")
+
+
+def _files(t: Tables) -> DataFrame:
     """Texts behind the signature of a file kind, named as PDF or as DOCX."""
     lang = F.col("lang")
     mark = F.when(lang == "en", "%PDF-1.4 0123456789 ").when(lang == "fr", "PK\x03\x04 0123456789abcdef ").when(
@@ -54,12 +62,27 @@ def _attachment(t: Tables) -> DataFrame:
     ).otherwise("0123456789abcdef ")
     content = F.encode(F.concat(mark, "text"), "UTF-8")
     name = F.when(lang == "fr", "a.docx").otherwise("a.PDF")
-    rows = t.documents.select("doc_id", content.alias("content"), name.alias("name"))
-    checked = rows.select(
-        "doc_id", ingest.attachment_kind(F.col("content")).alias("kind"),
-        ingest.attachment_ok(F.col("content"), F.col("name"), F.lit("")).alias("r"),
+    return t.spread("documents", "doc_id", "lang", "text").select("doc_id", content.alias("content"), name.alias("name"))
+
+
+@query(
+    "read_attachments",
+    """
+SELECT doc_id, kind, kind = 'pdf' OR kind = 'zip' AS ok, CASE WHEN kind = 'html' THEN 'html' WHEN kind = 'unknown' THEN 'not_pdf' END AS reason, size, least(size, 500) AS bytes_read FROM (
+  SELECT doc_id, CASE lang WHEN 'en' THEN 'pdf' WHEN 'fr' THEN 'zip' WHEN 'de' THEN 'html' ELSE 'unknown' END AS kind,
+         strlen(text) + CASE lang WHEN 'en' THEN 20 WHEN 'fr' THEN 22 WHEN 'de' THEN 23 ELSE 17 END AS size FROM documents)
+""",
+)
+def _read_attachments(t: Tables) -> DataFrame:
+    """The same files written below the shared folder, and judged by their sizes and first bytes."""
+    root = f"{shared_folder(t.spark)}/attachments-{uuid.uuid4().hex}"
+    sinks.write_attachments(_files(t).withColumn("name", F.concat(F.col("doc_id").cast("string"), F.lit("-"), "name")), root)
+    read = readers.read_attachments(t.spark, root)
+    checked = read.select(
+        F.substring_index("name", "-", 1).cast("bigint").alias("doc_id"), ingest.attachment_kind(F.col("head")).alias("kind"),
+        ingest.attachment_ok(F.col("head"), F.col("name"), F.lit(""), F.col("size")).alias("r"), "size", "bytes_read",
     )
-    return checked.select("doc_id", "kind", "r.ok", "r.reason")
+    return checked.select("doc_id", "kind", "r.ok", "r.reason", "size", "bytes_read")
 
 
 @query(

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def local_session(
     cores: int | str = "*", shuffle_partitions: int = 8, name: str = "docsluice", progress: bool = False
@@ -19,6 +24,7 @@ def local_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(STATE_STORE, ROCKSDB)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", str(progress).lower())
@@ -60,3 +66,15 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     wanted = scan.sparkSession.sparkContext.defaultParallelism
     return scan if len(scan.inputFiles()) >= wanted else scan.repartition(wanted)
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started here keep their state in RocksDB, which typed state and timers need; the session's own setting
+    comes back afterwards."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)

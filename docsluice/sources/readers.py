@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docsluice.functions import text as tx
 from docsluice.operators import corpus
+from docsluice.sources import datasources, versions
 
 UPDATE_SCHEMA = """
 update_id bigint, chat_id bigint, chat_type string, message_id bigint, text string, caption string, reply_to bigint,
@@ -80,13 +81,10 @@ def read_text_folder(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_attachments(spark: SparkSession, root: str) -> DataFrame:
-    """(name, size, modified, content) of downloaded attachments."""
-    files = _binary(spark, root)
-    return files.select(
-        F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"), "content",
-    )
+def read_attachments(spark: SparkSession, root: str, head: int = 500) -> DataFrame:
+    """(name, size, modified, head, bytes_read) of downloaded attachments: of a file of any size only the beginning is read."""
+    spark.dataSource.register(datasources.Attachments)
+    return spark.read.format("attachments").option("path", root).option("head", head).load()
 
 
 def read_file_tree(nodes: DataFrame) -> DataFrame:
@@ -95,6 +93,16 @@ def read_file_tree(nodes: DataFrame) -> DataFrame:
     return kept.withColumn("size", F.col("size").try_cast("bigint"))
 
 
-def read_updates(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """Update stream from a folder of JSON files; the checkpoint takes the place of the polling offset."""
-    return spark.readStream.schema(UPDATE_SCHEMA).option("maxFilesPerTrigger", max_files).json(path)
+def read_updates(spark: SparkSession, path: str, offset: int = 0, until: int | None = None) -> DataFrame:
+    """Updates of a log as a stream that polls from an offset; the checkpoint keeps how far it came.
+
+    A batch that is replayed reads the same updates.  ``until`` ends the poll before an id.
+    """
+    spark.dataSource.register(datasources.UpdateLog)
+    stream = spark.readStream.format("update_log").option("path", path).option("offset", offset)
+    return (stream if until is None else stream.option("until", until)).load()
+
+
+def read_latest(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The current version of a table that ``sinks.publish_latest`` or ``sinks.upsert_state`` writes."""
+    return versions.read_current(spark, path, schema)

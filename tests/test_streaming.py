@@ -114,3 +114,72 @@ def test_busy_key_has_the_same_sessions_in_both_ways(spark):
     gap = F.session_window("ts", "3600 seconds 1 milliseconds")
     want = rows.groupBy("u", gap).agg(F.count("*").alias("n"), F.min("ts").alias("f"), F.max("ts").alias("l"))
     assert got == {(r["u"], r["n"], r["f"], r["l"]) for r in want.collect()}
+
+
+def wizard_rows(spark):
+    from docsluice.plans.message_queries import wizard_events
+
+    return wizard_events(spark.read.parquet(f"{TABLES}/events.parquet")).orderBy("ts")
+
+
+def outcomes(df):
+    return sorted((r["token"], r["update_id"], r["outcome"], r["step"], r["selected"], r["price"], r["warranty"], tuple(sorted((r["origins"] or {}).items()))) for r in df.collect())
+
+
+def test_wizard_over_many_batches_equals_the_replay(spark, tmp_path):
+    rows = wizard_rows(spark).collect()
+    schema, path = wizard_rows(spark).schema, tmp_path / "in-many"
+    for k in range(4):  # a batch for each file, in order of time
+        part = rows[len(rows) * k // 4 : len(rows) * (k + 1) // 4]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(path))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+    got = outcomes(drain(flows.terms_flow(stream), tmp_path, "wizard_many"))
+    want = outcomes(flows.replay_terms(spark.createDataFrame(rows, schema)))
+    assert got == want
+    assert {r[2] for r in want} == {
+        "started", "accepted", "ready", "expired", "unknown", "not_waiting", "stale_step", "own_wanted", "no_hint", "ignored", "gate_not_ready", "selected", "go",
+        "already_consumed", "nothing_selected",
+    }
+
+
+def test_hints_that_may_fill_a_slot(spark):
+    cases = {"price": "цена лота 100 BYN", "payment": "Предоплата 30 % в течение 10 дней", "delivery": "коротко", "warranty": "гарантия у нас хорошая"}
+    got = spark.range(1).select(flows.qualified_hints({s: F.lit(h) for s, h in cases.items()}).alias("h"), flows.qualified_hints({"price": F.lit(None).cast("string")}).alias("n")).first()
+    assert got["h"] == {"price": cases["price"], "payment": cases["payment"]} and got["n"] == {}
+
+
+def test_log_is_polled_from_where_it_was_left(spark, tmp_path):
+    from docsluice.sources import readers, sinks
+
+    def updates(first, stop):
+        rows = spark.range(first, stop).withColumnRenamed("id", "update_id")
+        return rows.select(*[F.col(f.name) if f.name == "update_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], readers.UPDATE_SCHEMA).schema])
+
+    def poll(until=None, name="rows"):
+        q = readers.read_updates(spark, str(tmp_path / "log"), 5, until).writeStream.format("parquet").option("path", str(tmp_path / name))
+        q.option("checkpointLocation", str(tmp_path / f"{name}-offsets")).trigger(availableNow=True).start().awaitTermination(120)
+        return sorted(r["update_id"] for r in spark.read.schema(readers.UPDATE_SCHEMA).parquet(str(tmp_path / name)).collect())
+
+    sinks.write_update_log(updates(0, 25_000), str(tmp_path / "log"))
+    assert poll(until=12_000) == list(range(5, 12_000))
+    assert poll(until=12_000) == list(range(5, 12_000))
+    assert poll() == list(range(5, 25_000))
+    sinks.write_update_log(updates(25_000, 25_300), str(tmp_path / "log"))
+    assert poll() == list(range(5, 25_300))
+    reader = __import__("docsluice.sources.datasources", fromlist=["x"]).UpdateLogReader({"path": str(tmp_path / "log")}, updates(0, 1).schema)
+    ids = lambda: sorted(i for p in reader.partitions({"next": 9_990}, {"next": 20_010}) for b in reader.read(p) for i in b["update_id"].to_pylist())
+    assert ids() == ids() == list(range(9_990, 20_010)) and len(reader.partitions({"next": 9_990}, {"next": 20_010})) == 3
+    assert reader.partitions({"next": 20_010}, {"next": 20_010}) == []
+
+
+def test_state_store_setting_comes_back(spark):
+    from docsluice.session import STATE_STORE, rocksdb_state
+
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "other")
+    try:
+        with rocksdb_state(spark):
+            assert "RocksDB" in spark.conf.get(STATE_STORE)
+        assert spark.conf.get(STATE_STORE) == "other"
+    finally:
+        spark.conf.set(STATE_STORE, before)
