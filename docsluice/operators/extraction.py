@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,7 @@ QUALITY = {
     "lines": 36, "short_line": 3, "short_line_share": 0.33, "many_lines": 60, "mean_line": 5.5,
 }
 MIN_PAGE_CHARS = 50
+PAGE_MARK = "\f"  # fixed value: the form feed between pages of a text layer
 
 
 def input_kind(mime: Column, name: Column) -> Column:
@@ -167,11 +168,39 @@ def score_layers(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("*", F.inline(F.array(text_quality(F.col(text)))))
 
 
-def page_accepted(c: Column) -> Column:
-    """A page's own text layer is good enough."""
-    quality = text_quality(c)
-    bad = quality["low_cyrillic"] | quality["mojibake"] | quality["fragmented"]
-    return (F.length(tx.collapse_ws(c)) >= MIN_PAGE_CHARS) & ~bad
+def split_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = PAGE_MARK) -> DataFrame:
+    """(key, page, start, page_text): the pages of a text layer from 1, with where they begin in it."""
+    pages = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), mark)).alias("_n", "page_text"))
+    before = Window.partitionBy(key).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum((F.length("page_text") + len(mark)).cast("bigint")).over(before), F.lit(0))
+    return pages.select(key, (F.col("_n") + 1).cast("bigint").alias("page"), start.alias("start"), "page_text")
+
+
+def page_verdicts(pages: DataFrame, text: str = "page_text") -> DataFrame:
+    """Pages with ``accepted`` (their own text layer will do) and, where not, the ``defects`` of it."""
+    judged = pages.withColumn("_q", text_quality(F.col(text)))
+    q = F.col("_q")
+    short = F.length(tx.collapse_ws(F.col(text))) < MIN_PAGE_CHARS
+    names = F.array(F.when(short, "short"), *[F.when(q[d], d) for d in ("low_cyrillic", "mojibake", "fragmented")])
+    defects = F.array_join(F.filter(names, lambda d: d.isNotNull()), ",")
+    return judged.select(*pages.columns, (defects == "").alias("accepted"), F.nullif(defects, F.lit("")).alias("defects"))
+
+
+def document_verdicts(judged: DataFrame, key: str = "doc_id", text: str = "page_text") -> DataFrame:
+    """What pages come to: counts, the stretches of pages to be read visually, and the verdict on the document.
+
+    ``text`` takes the layer as it is, ``visual`` reads all pages anew, ``mixed`` only the stretches that were rejected.
+    """
+    w = Window.partitionBy(key).orderBy("page")
+    opens = ~F.col("accepted") & F.coalesce(F.lag("accepted").over(w), F.lit(True))
+    rows = judged.withColumn("_opens", opens)
+    folded = rows.groupBy(key).agg(
+        F.count("*").alias("pages"), F.count_if("accepted").alias("accepted_pages"), F.count_if("_opens").alias("stretches"),
+        F.min(F.when(~F.col("accepted"), F.col("page"))).alias("first_rejected"), F.max(F.when(~F.col("accepted"), F.col("page"))).alias("last_rejected"),
+        F.coalesce(F.sum(F.when(F.col("accepted"), F.length(text).cast("bigint"))), F.lit(0)).alias("kept_chars"),
+    )
+    verdict = F.when(F.col("accepted_pages") == F.col("pages"), "text").when(F.col("accepted_pages") == 0, "visual").otherwise("mixed")
+    return folded.withColumn("verdict", verdict)
 
 
 def extraction_counts(items: DataFrame) -> DataFrame:

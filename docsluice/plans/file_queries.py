@@ -165,6 +165,49 @@ def _quality(t: Tables) -> DataFrame:
     return ex.score_layers(rows.select("doc_id", text_layer().alias("layer")), "layer").drop("layer")
 
 
+_SQL_PAGES = f"""
+SELECT doc_id, page, start, t, accepted, CASE WHEN NOT accepted THEN concat_ws(',', CASE WHEN short THEN 'short' END, CASE WHEN low THEN 'low_cyrillic' END, CASE WHEN moji THEN 'mojibake' END, CASE WHEN frag THEN 'fragmented' END) END AS defects
+FROM (SELECT *, NOT (short OR low OR moji OR frag) AS accepted FROM (
+  SELECT doc_id, page, start, t, flat < 50 AS short, compact >= 200 AND cyr + lat >= 150 AND cyr / (cyr + lat) < 0.38 AS low,
+    compact >= 120 AND cyr + lat + cjk >= 100 AND (cjk / (cyr + lat + cjk) > 0.018 OR (repl >= 4 AND repl > n / 400)) AS moji,
+    len(sizes) >= 36 AND (len(list_filter(sizes, lambda x: x <= 3)) / len(sizes) > 0.33 OR (len(sizes) >= 60 AND list_sum(sizes) / len(sizes) < 5.5)) AS frag
+  FROM ({_SQL_SCRIPTS.replace("SELECT doc_id, t,", "SELECT doc_id, page, start, t,").rsplit("FROM (", 1)[0]} FROM (
+    SELECT doc_id, page, p AS t, coalesce(sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (
+      SELECT doc_id, unnest(string_split(l, chr(12))) AS p, unnest(range(1, len(string_split(l, chr(12))) + 1)) AS page
+      FROM (SELECT doc_id, CASE WHEN lang = 'de' THEN replace(replace(t, '. ', chr(12)), ' ', chr(10)) ELSE replace(t, chr(10), chr(12)) END AS l FROM (
+        SELECT doc_id, lang, CASE WHEN lang = 'es' THEN replace(text, 'c', chr(22909)) WHEN lang = 'fr' AND n_chars < 1500 THEN replace(text, 'e', chr(65533))
+          WHEN lang = 'fr' THEN translate(text, 'aeiou', 'аеиоу') WHEN lang = 'en' THEN translate(text, 'aeionrst', 'аеионрст') ELSE text END AS t FROM documents)))))))"""
+
+
+def page_layers(t: Tables) -> DataFrame:
+    """Layers of several pages: a line is a page, German ones have a sentence on a page and a word on a line."""
+    lang, text = F.col("lang"), F.col("text")
+    layer = (
+        F.when(lang == "es", F.replace(text, F.lit("c"), F.lit(chr(22909)))).when((lang == "fr") & (F.col("n_chars") < 1500), F.replace(text, F.lit("e"), F.lit(chr(65533))))
+        .when(lang == "fr", F.translate(text, "aeiou", "аеиоу")).when(lang == "en", F.translate(text, "aeionrst", "аеионрст")).otherwise(text)
+    )
+    pages = F.when(lang == "de", F.translate(F.replace(layer, F.lit(". "), F.lit("\f")), " ", "\n")).otherwise(F.translate(layer, "\n", "\f"))
+    return t.spread("documents", "doc_id", "lang", "n_chars", "text").select("doc_id", pages.alias("text"))
+
+
+@query("page_quality", f"SELECT doc_id, page, start, accepted, defects FROM ({_SQL_PAGES})")
+def _page_quality(t: Tables) -> DataFrame:
+    return ex.page_verdicts(ex.split_pages(page_layers(t))).drop("page_text")
+
+
+@query(
+    "document_quality",
+    f"""
+SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE accepted) AS accepted_pages, count(*) FILTER (WHERE NOT accepted AND coalesce(before, true)) AS stretches,
+  min(page) FILTER (WHERE NOT accepted) AS first_rejected, max(page) FILTER (WHERE NOT accepted) AS last_rejected, CAST(coalesce(sum(length(t)) FILTER (WHERE accepted), 0) AS BIGINT) AS kept_chars,
+  CASE WHEN bool_and(accepted) THEN 'text' WHEN NOT bool_or(accepted) THEN 'visual' ELSE 'mixed' END AS verdict
+FROM (SELECT *, lag(accepted) OVER (PARTITION BY doc_id ORDER BY page) AS before FROM ({_SQL_PAGES})) GROUP BY 1
+""",
+)
+def _document_quality(t: Tables) -> DataFrame:
+    return ex.document_verdicts(ex.page_verdicts(ex.split_pages(page_layers(t))))
+
+
 @query(
     "script_class_counts",
     f"""
