@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsluice.functions import text as tx
-from docsluice.functions.ranking import distributed_rank, ordered_bucket
+from docsluice.functions.ranking import distributed_rank, distributed_sum, ordered_bucket
+from docsluice.session import cut_lineage
 
 # Thresholds and reasons.
 REPLACE_PDF_BELOW = 98_304
 MIN_ATTACHMENT_BYTES = 16
 DUPLICATE_VARIANT = "duplicate_local_variant"
+_NUMBERED = r"(?s)^(.*) \(([1-9]\d{0,17})\)$"
 FILE_EXT = r"\.(pdf|docx?|zip|rar|7z|xlsx?|csv|txt|pptx?)$"
 
 
@@ -82,52 +86,113 @@ def union_candidates(from_page: DataFrame, from_network: DataFrame, help_link, k
 
 
 
-def _resolve_collisions(rows: pd.DataFrame) -> pd.DataFrame:
-    """Give names in order; a taken one gets the next free number."""
-    used: set[str] = set()
-    out = []
-    for name in rows.sort_values("ord")["name"]:
-        dot = name.rfind(".")
-        base, ext = (name[:dot], name[dot:]) if dot > 0 else (name, "")
-        candidate, i = name, 2
-        while candidate in used:
-            candidate, i = f"{base} ({i}){ext}", i + 1
-        used.add(candidate)
-        out.append(candidate)
-    return rows.sort_values("ord").assign(dest_name=out)
+def _parsed(files: DataFrame, folder: str) -> DataFrame:
+    """Names with base, extension, the name they are a numbered form of (``a (2).x`` of ``a.x``) and that number."""
+    name, base, root = F.col("name"), F.col("base"), F.col("root")
+    ext = F.regexp_extract(name, r"(?s)^.+(\.[^.]*)$", 1)
+    rows = files.select(folder, "ord", "name").withColumn("ext", ext).withColumn("base", F.expr("substr(name, 1, length(name) - length(ext))"))
+    number = F.nullif(F.regexp_extract(base, _NUMBERED, 2), F.lit(""))
+    rows = rows.withColumn("n", number.cast("bigint")).withColumn("root", F.when(number.isNotNull(), F.regexp_extract(base, _NUMBERED, 1)))
+    # Only what the numbering can make counts: from 2 on, and not of an extension alone.
+    made = (F.col("n") >= 2) & ((root != "") | (F.col("ext") == ""))
+    family = F.concat(F.regexp_replace("base", r"( \(\d+\))+$", ""), "ext")
+    depth = F.size(F.split(F.regexp_extract("base", r"((?: \(\d+\))*)$", 1), r"\(")) - 1
+    return rows.withColumn("parent", F.when(made, F.concat(root, "ext"))).withColumn("family", family).withColumn("depth", depth.cast("int")).drop("root")
 
 
-def unique_names(files: DataFrame, folder: str = "folder") -> DataFrame:
-    """Add ``dest_name``: the second file of a name becomes ``base (2).ext`` and so on.
+def _blocked(literals: DataFrame, keys: list[str], rounds: int = 12) -> DataFrame:
+    """Which numbers that stand literally in the input are kept from the repeats, and how many blocked ones are below.
 
-    files: folder, ord (unique, numeric), name.  Where no input is itself called ``base (n).ext`` of a repeated name, the
-    number is the rank, computed without gathering a name.  Only families with such collisions are numbered in order.
+    literals: keys, n, limit.  In order of n, a literal is blocked iff fewer than ``limit`` smaller ones are (for the
+    repeat that would come to n then comes after it).  All are taken for blocked at first and judged anew by prefix sums
+    until nothing changes, which settles them from the smallest up; what a few rounds leave open is settled in one pass
+    in order that holds a count only.
     """
-    name = F.col("name")
-    ext = F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)
-    base = F.expr("substr(name, 1, length(name) - length(ext))")
-    root = F.regexp_replace("base", r"( \(\d+\))+$", "")
-    family = files.withColumn("ext", ext).withColumn("base", base).withColumn("family", F.concat(root, "ext"))
-    tangled = (
-        family.groupBy(folder, "family")
-        .agg(F.min("name").alias("a"), F.max("name").alias("b"), F.count("*").alias("n"))
-        .where((F.col("a") != F.col("b")) & (F.col("n") > 1))
-        .select(folder, "family")
-    )
-    clear = family.join(tangled, [folder, "family"], "left_anti")
-    ranked = distributed_rank(
-        clear, [folder, "name"], ["ord"], [ordered_bucket(F.col("ord"), files)], out="nth"
-    )
-    numbered = F.when(F.col("nth") == 1, name).otherwise(
-        F.concat("base", F.lit(" ("), F.col("nth").cast("string"), F.lit(")"), "ext")
-    )
-    plain = ranked.select(folder, "ord", "name", numbered.alias("dest_name"))
-    schema = files.select(folder, "ord", "name").schema.add("dest_name", "string")
-    rest = family.join(tangled, [folder, "family"], "left_semi").select(folder, "ord", "name", "family")
-    fixed = rest.groupBy(folder, "family").applyInPandas(
-        lambda g: _resolve_collisions(g)[[folder, "ord", "name", "dest_name"]], schema
+    rows = cut_lineage(literals.withColumn("blocked", F.lit(True)))
+    bucket = [ordered_bucket(F.col("n"), rows)]
+    for _ in range(rounds):
+        summed = distributed_sum(rows, keys, ["n"], bucket, F.col("blocked").cast("bigint"), out="below")
+        judged = cut_lineage(summed.withColumn("now", F.col("below") < F.col("limit")))
+        if judged.where("blocked <> now").isEmpty():
+            return judged.drop("now")
+        rows = judged.select(*literals.columns, F.col("now").alias("blocked"))
+
+    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, below = None, 0
+        for frame in frames:
+            out = []
+            for row in frame[[*keys, "limit"]].itertuples(index=False, name=None):
+                if row[:-1] != key:
+                    key, below = row[:-1], 0
+                blocked = below < row[-1]
+                out.append((blocked, below))
+                below += blocked
+            frame["blocked"], frame["below"] = [o[0] for o in out], [o[1] for o in out]
+            yield frame
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "n")
+    return dealt.mapInPandas(settle, T.StructType([*rows.schema.fields, T.StructField("below", T.LongType())]))
+
+
+def _number_level(rows: DataFrame, taken: DataFrame | None, literals: DataFrame, folder: str) -> DataFrame:
+    """(folder, ord, name, base, ext, number): names of one depth with the number each gets, NULL for the name itself.
+
+    taken: folder, name, at — names that a repeat of their parent got, and when.  literals: folder, name, n, at — numbered
+    forms of these names in the input, and when they first come.
+    """
+    keys = [folder, "name"]
+    first = rows.groupBy(*keys).agg(F.min("ord").alias("first"), F.count("*").alias("many"))
+    if taken is None:
+        first = first.withColumn("own", F.lit(True))
+    else:
+        first = first.join(taken.withColumnRenamed("at", "taken_at"), keys, "left").withColumn("own", F.col("taken_at").isNull() | (F.col("first") < F.col("taken_at"))).drop("taken_at")
+    marked = rows.join(first, keys).withColumn("again", ~(F.col("own") & (F.col("ord") == F.col("first"))))
+    repeated = first.where(F.col("many") > F.col("own").cast("int")).select(*keys)
+    none = F.lit(None)
+    events = marked.select(*keys, "ord", "base", "ext", F.col("again").cast("bigint").alias("v"), none.cast("bigint").alias("n")).unionByName(
+        literals.join(repeated, keys, "left_semi").select(*keys, F.col("at").alias("ord"), none.cast("string").alias("base"), none.cast("string").alias("ext"), F.lit(0).cast("bigint").alias("v"), "n")
     )
-    return plain.unionByName(fixed)
+    counted = cut_lineage(distributed_sum(events, keys, ["ord"], [ordered_bucket(F.col("ord"), rows)], F.col("v"), out="before"))
+    files = counted.where("n IS NULL").withColumn("k", F.when(F.col("v") == 1, F.col("before") + 1))
+    limits = counted.where("n IS NOT NULL").select(*keys, "n", (F.col("n") - 1 - F.col("before")).alias("limit"))
+    if limits.isEmpty():
+        return files.select(folder, "ord", "name", "base", "ext", (F.col("k") + 1).alias("number"))
+    # A repeat skips the blocked numbers below which fewer free ones lie than its rank.
+    kept = _blocked(limits, keys).where("blocked").select(*keys, ((F.col("n") - 2 - F.col("below")) * 2 + 1).alias("place"), F.lit(1).cast("bigint").alias("skip"))
+    repeats = files.where("k IS NOT NULL").select(*keys, "ord", "base", "ext", "k", (F.col("k") * 2).alias("place"), F.lit(0).cast("bigint").alias("skip"))
+    both = cut_lineage(repeats.unionByName(kept, allowMissingColumns=True))
+    skipped = distributed_sum(both, keys, ["place"], [ordered_bucket(F.col("place"), both)], F.col("skip"), out="skipped")
+    numbered = skipped.where("k IS NOT NULL").select(folder, "ord", "name", "base", "ext", (F.col("k") + 1 + F.col("skipped")).alias("number"))
+    return numbered.unionByName(files.where("k IS NULL").select(folder, "ord", "name", "base", "ext", F.lit(None).cast("bigint").alias("number")))
+
+
+def unique_names(files: DataFrame, folder: str = "folder") -> DataFrame:
+    """Add ``dest_name``: the second file of a name becomes ``base (2).ext`` and so on, in order.
+
+    files: folder, ord (unique, numeric), name.  A repeat gets the least number whose name no earlier file has or got.
+    Repeats are ranked; where the input itself holds numbered forms of a repeated name, ranks become numbers by counting
+    the literal numbers that are in their way, as prefix sums over stretches.  Names of one depth of numbering are done
+    together, then those that they may have taken the place of.  No family of names meets in one task.
+    """
+    rows = _parsed(files, folder)
+    mixed = rows.groupBy(folder, "family").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b").select(folder, "family")
+    clear = rows.join(mixed, [folder, "family"], "left_anti")
+    ranked = distributed_rank(clear, [folder, "name"], ["ord"], [ordered_bucket(F.col("ord"), files)], out="nth")
+    done = ranked.select(folder, "ord", "name", "base", "ext", F.when(F.col("nth") > 1, F.col("nth")).alias("number"))
+    tangled = cut_lineage(rows.join(mixed, [folder, "family"], "left_semi"))
+    deepest = tangled.agg(F.max("depth")).first()[0]
+    taken = None
+    for depth in range(0 if deepest is None else deepest + 1):
+        deeper = tangled.where((F.col("depth") == depth + 1) & F.col("parent").isNotNull())
+        literals = deeper.groupBy(folder, F.col("parent").alias("name"), "n").agg(F.min("ord").alias("at"))
+        level = cut_lineage(_number_level(tangled.where(F.col("depth") == depth), taken, literals, folder))
+        taken = level.where("number IS NOT NULL").select(folder, _with_number().alias("name"), F.col("ord").alias("at"))
+        done = done.unionByName(level)
+    return done.select(folder, "ord", "name", F.when(F.col("number").isNull(), F.col("name")).otherwise(_with_number()).alias("dest_name"))
+
+
+def _with_number() -> Column:
+    return F.concat("base", F.lit(" ("), F.col("number").cast("string"), F.lit(")"), "ext")
 
 
 def _starts_like_html(content: Column) -> Column:

@@ -586,6 +586,30 @@ def _unique(t: Tables) -> DataFrame:
     return ingest.unique_names(t.documents.select(F.col("source").alias("folder"), F.col("doc_id").alias("ord"), name.alias("name")))
 
 
+_SQL_NUMBERED = "lang || CASE WHEN doc_id % 3 = 0 THEN ' (' || (doc_id % 7 + 2) || ')' || CASE WHEN doc_id % 9 = 0 THEN ' (2)' ELSE '' END ELSE '' END"
+
+
+@query(
+    "unique_names_numbered",
+    f"""
+WITH RECURSIVE f AS (SELECT source AS folder, doc_id AS ord, {_SQL_NUMBERED} AS base, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+s AS (SELECT folder, 0::BIGINT AS n, NULL::BIGINT AS ord, NULL::VARCHAR AS base, NULL::VARCHAR AS dest, []::VARCHAR[] AS used FROM (SELECT DISTINCT folder FROM f)
+  UNION ALL
+  SELECT folder, n, ord, base, dest, list_append(used, dest) FROM (
+    SELECT s.folder, f.n, f.ord, f.base, s.used, CASE WHEN NOT list_contains(s.used, f.base) THEN f.base
+        ELSE f.base || ' (' || list_filter(range(2, len(s.used) + 3), lambda i: NOT list_contains(s.used, f.base || ' (' || i || ')'))[1] || ')' END AS dest
+    FROM s JOIN f ON f.folder = s.folder AND f.n = s.n + 1) AS j)
+SELECT folder, ord, base || '.txt' AS name, dest || '.txt' AS dest_name FROM s WHERE n > 0
+""",
+)
+def _unique_numbered(t: Tables) -> DataFrame:
+    """Names that come in numbered forms already, some of them twice."""
+    n = F.col("doc_id")
+    again = F.when(n % 9 == 0, " (2)").otherwise("")
+    name = F.concat("lang", F.when(n % 3 == 0, F.concat(F.lit(" ("), (n % 7 + 2).cast("string"), F.lit(")"), again)).otherwise(""), F.lit(".txt"))
+    return ingest.unique_names(t.documents.select(F.col("source").alias("folder"), n.alias("ord"), name.alias("name")))
+
+
 @query(
     "latest_version",
     """
