@@ -61,9 +61,9 @@ def _groups(segments: list) -> Iterator[list]:
         yield held
 
 
-def anchors(raw: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> Iterator[dict[str, np.ndarray]]:
+def anchors(raw: np.ndarray, bounds: np.ndarray, size: int, gram: int, windows: bool = False) -> Iterator[dict[str, np.ndarray]]:
     """Anchors of texts that lie one after the other: row, start in the text, reach to the left and right, q-gram and
-    context identifiers; with the windows' starts and anchors."""
+    context identifiers; with ``windows`` instead the windows' rows, starts, anchors and the anchors' q-grams."""
     wide = size - gram + 1
     for group in _groups(list(_segments(bounds, size))):
         rows = np.array([g[0] for g in group])
@@ -78,22 +78,24 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> Iterat
             m = np.minimum(m[:-span], m[span:])
             span *= 2
         least = np.minimum(m[: len(key) - wide + 1], m[wide - span : wide - span + len(key) - wide + 1])
+        del key, m
         starts = np.concatenate([np.arange(g[3] - g[1], g[4] - g[1]) + b for g, b in zip(group, begin)])
-        own = np.repeat(np.arange(len(group)), [g[4] - g[3] for g in group])
         at = (least[starts] & _MASK).astype(np.int64)
+        shift = np.array([g[1] - bounds[g[0]] for g in group]) - begin  # from place in the group to place in the text
+        if windows:
+            own = np.repeat(np.arange(len(group)), [g[4] - g[3] for g in group])
+            yield {"w_row": rows[own], "w_start": starts + shift[own], "w_anchor": at + shift[own], "w_gram": ids[at].view(np.int64)}
+            continue
         flag = np.zeros(len(ids), bool)
         flag[at] = True
+        del least, starts, at
         spot = np.flatnonzero(flag)
         seg = np.searchsorted(begin, spot, side="right") - 1
         # The text's own edges, where they are inside the piece, end the context.
         left = np.maximum(begin[seg], spot - wide + 1)
         right = np.minimum(begin[seg] + lengths[seg], spot + size)
         context = body.hash(left, right) ^ mix64((spot - left).astype(np.uint64) << np.uint64(32) | (right - spot).astype(np.uint64))
-        shift = np.array([g[1] - bounds[g[0]] for g in group]) - begin  # from place in the group to place in the text
-        yield {
-            "row": rows[seg], "at": spot + shift[seg], "left": spot - left, "right": right - spot, "gram": ids[spot].view(np.int64), "context": context.view(np.int64),
-            "w_row": rows[own], "w_start": starts + shift[own], "w_anchor": at + shift[own], "w_gram": ids[at].view(np.int64), "w_id": body.hash(starts, starts + size),
-        }
+        yield {"row": rows[seg], "at": spot + shift[seg], "left": spot - left, "right": right - spot, "gram": ids[spot].view(np.int64), "context": context.view(np.int64)}
 
 
 _ROWS = "h long, c long, doc_id long, at long"
@@ -164,7 +166,7 @@ def _spans(size: int, gram: int):
             spots, edges = batch.column(2).flatten().to_numpy(zero_copy_only=False), np.asarray(batch.column(2).offsets)
             wanted = np.repeat(np.arange(len(ids)), np.diff(edges)).astype(np.int64) << 40 | spots
             wanted.sort()
-            for a in anchors(raw, bounds, size, gram):
+            for a in anchors(raw, bounds, size, gram, windows=True):
                 key = a["w_row"].astype(np.int64) << 40 | a["w_anchor"]
                 at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
                 ours = np.flatnonzero(wanted[at] == key)
