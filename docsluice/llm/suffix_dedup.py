@@ -61,9 +61,9 @@ def _groups(segments: list) -> Iterator[list]:
         yield held
 
 
-def anchors(raw: np.ndarray, bounds: np.ndarray, size: int, gram: int, windows: bool = False) -> Iterator[dict[str, np.ndarray]]:
-    """Anchors of texts that lie one after the other: row, start in the text, reach to the left and right, q-gram and
-    context identifiers; with ``windows`` instead the windows' rows, starts, anchors and the anchors' q-grams."""
+def anchors(raw: np.ndarray, bounds: np.ndarray, size: int, gram: int, contexts: bool = True, windows: bool = True) -> Iterator[dict[str, np.ndarray]]:
+    """Anchors of texts that lie one after the other, with ``contexts``: row, start in the text, reach to the left and
+    right, q-gram and context identifiers; with ``windows``: the windows' rows, starts, anchors and the anchors' q-grams."""
     wide = size - gram + 1
     for group in _groups(list(_segments(bounds, size))):
         rows = np.array([g[0] for g in group])
@@ -82,9 +82,12 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, size: int, gram: int, windows:
         starts = np.concatenate([np.arange(g[3] - g[1], g[4] - g[1]) + b for g, b in zip(group, begin)])
         at = (least[starts] & _MASK).astype(np.int64)
         shift = np.array([g[1] - bounds[g[0]] for g in group]) - begin  # from place in the group to place in the text
+        out = {}
         if windows:
             own = np.repeat(np.arange(len(group)), [g[4] - g[3] for g in group])
-            yield {"w_row": rows[own], "w_start": starts + shift[own], "w_anchor": at + shift[own], "w_gram": ids[at].view(np.int64)}
+            out = {"w_row": rows[own], "w_start": starts + shift[own], "w_anchor": at + shift[own], "w_gram": ids[at].view(np.int64)}
+        if not contexts:
+            yield out
             continue
         flag = np.zeros(len(ids), bool)
         flag[at] = True
@@ -95,7 +98,7 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, size: int, gram: int, windows:
         left = np.maximum(begin[seg], spot - wide + 1)
         right = np.minimum(begin[seg] + lengths[seg], spot + size)
         context = body.hash(left, right) ^ mix64((spot - left).astype(np.uint64) << np.uint64(32) | (right - spot).astype(np.uint64))
-        yield {"row": rows[seg], "at": spot + shift[seg], "left": spot - left, "right": right - spot, "gram": ids[spot].view(np.int64), "context": context.view(np.int64)}
+        yield out | {"row": rows[seg], "at": spot + shift[seg], "left": spot - left, "right": right - spot, "gram": ids[spot].view(np.int64), "context": context.view(np.int64)}
 
 
 _ROWS = "h long, c long, doc_id long, at long"
@@ -147,7 +150,7 @@ def _suffixes(size: int, gram: int):
         for batch in (part for whole in batches for part in slices(whole)):
             raw, bounds = utf8_rows(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found = [(a["gram"], a["context"], ids[a["row"]], _pack(a["at"], a["left"], a["right"])) for a in anchors(raw, bounds, size, gram)]
+            found = [(a["gram"], a["context"], ids[a["row"]], _pack(a["at"], a["left"], a["right"])) for a in anchors(raw, bounds, size, gram, windows=False)]
             if found:
                 yield _settle(*(np.concatenate(x) for x in zip(*found)))
 
@@ -166,7 +169,7 @@ def _spans(size: int, gram: int):
             spots, edges = batch.column(2).flatten().to_numpy(zero_copy_only=False), np.asarray(batch.column(2).offsets)
             wanted = np.repeat(np.arange(len(ids)), np.diff(edges)).astype(np.int64) << 40 | spots
             wanted.sort()
-            for a in anchors(raw, bounds, size, gram, windows=True):
+            for a in anchors(raw, bounds, size, gram, contexts=False):
                 key = a["w_row"].astype(np.int64) << 40 | a["w_anchor"]
                 at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
                 ours = np.flatnonzero(wanted[at] == key)
