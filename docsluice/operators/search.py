@@ -2,12 +2,14 @@
 
 Pairs of rows are never shuffled.  A batch whose size is checked to be small travels to the chunk scan, where each task
 scores Arrow batches as one matrix product and keeps k rows per query.  A larger batch is matched cell by cell: both
-sides are assigned to the nearest of a bounded set of pivots, the triangle inequality rules out cells that cannot hold
-a nearer row, and hot cells are split into blocks of bounded size.  Both ways are exact.
+sides are assigned to the nearest of the pivots, whose number grows with the root of the rows; a first pass over the
+home cell bounds how far a hit can be, and the triangle inequality then leaves few cells, and rings of them, for the
+second.  Both ways are exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsluice.functions.patterns import WS
+from docsluice.session import cut_lineage
 
 # Default and largest hit counts of search, question and chat.
 TOP_K_SEARCH, TOP_K_ASK, TOP_K_CHAT, TOP_K_CHAT_MAX = 12, 10, 8, 24
@@ -24,6 +27,9 @@ TOP_K_SEARCH, TOP_K_ASK, TOP_K_CHAT, TOP_K_CHAT_MAX = 12, 10, 8, 24
 MAX_SHIPPED_FLOATS = 4_000_000  # a query batch up to this size (32 MB) travels to the chunk scan
 SCORE_DIGITS = 9  # scores are compared after rounding, so ties fall to the id and not to summation order
 TILE_SCORES = 1_000_000  # scores computed at once (8 MB), whatever the number of queries and rows
+MAX_PIVOTS = 4096
+NEAR_CELLS = 16  # cells around a query that give its first bound
+REACH_ROWS = 256  # queries whose first bounds are computed at once
 SLACK = 1e-4  # margin of the distance bounds: covers scores that are equal only after rounding
 
 
@@ -91,7 +97,7 @@ def top_k(
     query_id: str = "query_id",
     vector: str = "embedding",
     max_shipped_floats: int = MAX_SHIPPED_FLOATS,
-    n_pivots: int = 64,
+    n_pivots: int | None = None,
     block_rows: int = 4096,
 ) -> DataFrame:
     """(query_id, chunk_id, score, hit_rank): the k best chunks of each query among those of its dimension."""
@@ -142,143 +148,211 @@ def _scan_with_queries(chunks: DataFrame, queries: DataFrame, k: int) -> DataFra
     return chunks.mapInPandas(scan, _result_schema(chunks, queries))
 
 
-def _match_cells(chunks: DataFrame, queries: DataFrame, k: int, n_pivots: int, block_rows: int) -> DataFrame:
+def _runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Stretches of rows with equal keys; a key's rows may come in several."""
+    for frame in frames:
+        if not len(frame):
+            continue
+        change = np.ones(len(frame), bool)
+        change[1:] = (frame[keys].to_numpy()[1:] != frame[keys].to_numpy()[:-1]).any(axis=1)
+        edges = [*np.flatnonzero(change).tolist(), len(frame)]
+        for i, j in zip(edges[:-1], edges[1:]):
+            yield tuple(frame[keys].iloc[i]), frame.iloc[i:j]
+
+
+class Cells:
+    """Pivots of each vector length, and of every cell the number of its rows, their least and greatest distance from
+    the pivot and their ``k`` least distances."""
+
+    def __init__(self, pivots: dict[int, tuple[int, np.ndarray]]):
+        self.pivots = pivots
+
+    def know(self, rows: list) -> None:
+        found = {r["cell"]: r for r in rows}
+        self.n = {c: r["n"] for c, r in found.items()}
+        self.lo, self.hi, self.near = {}, {}, {}
+        for dim, (first, p) in self.pivots.items():
+            cells = range(first, first + len(p))
+            self.lo[dim] = np.array([found[c]["lo"] if c in found else np.inf for c in cells])
+            self.hi[dim] = np.array([found[c]["hi"] if c in found else -np.inf for c in cells])
+            width = max((len(found[c]["near"]) for c in cells if c in found), default=1)
+            self.near[dim] = np.full((len(p), width), np.inf)
+            for i, c in enumerate(cells):
+                if c in found:
+                    self.near[dim][i, : len(found[c]["near"])] = found[c]["near"]
+
+    def distances(self, unit: np.ndarray, dim: int) -> np.ndarray:
+        """Zero vectors score 0 against everything: distance sqrt(2), as for a right angle."""
+        return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (unit @ self.pivots[dim][1].T)))
+
+    def reach(self, d: np.ndarray, dim: int, k: int) -> np.ndarray:
+        """How far a hit can be at most, told by the least distances in the cells around a query."""
+        close = np.argsort(d, axis=1)[:, :NEAR_CELLS]
+        upper = (np.take_along_axis(d, close, axis=1)[:, :, None] + self.near[dim][close]).reshape(len(d), -1)
+        return np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(d), np.inf)
+
+    def wanted(self, unit: np.ndarray, dim: int, theta: np.ndarray) -> dict[int, tuple[float, float]]:
+        """Cells that may hold a hit of some of these queries, with the distances from the pivot where it would lie."""
+        first, p = self.pivots[dim]
+        low, high = np.full(len(p), np.inf), np.full(len(p), -np.inf)
+        step = max(1, TILE_SCORES // len(p))
+        for at in range(0, len(unit), step):
+            d, t = self.distances(unit[at : at + step], dim), theta[at : at + step, None] + SLACK
+            meets = (d - self.hi[dim] <= t) & (self.lo[dim] - d <= t)
+            low = np.minimum(low, np.where(meets, d - t, np.inf).min(axis=0))
+            high = np.maximum(high, np.where(meets, d + t, -np.inf).max(axis=0))
+        return {first + int(i): (float(low[i]), float(high[i])) for i in np.flatnonzero(low < np.inf)}
+
+
+def _zero_cell(dim: int) -> int:
+    """Bounds do not hold for zero vectors: theirs is a cell that is always visited."""
+    return -1 - dim
+
+
+def _meetings(chunks: DataFrame, queries: DataFrame, k: int, n_pivots: int | None, block_rows: int) -> DataFrame:
+    """Queries and rows that have to meet, dealt by (home, slice, part): those with flag 0 are a part's queries.
+
+    Both sides lie around pivots, and the rows are told in two passes.  First the queries of a cell, in slices of bounded size, meet a block of the same cell's rows; their k-th best there
+    bounds how far a hit can be.  Then a slice meets, of those cells that its bounds reach, the rows whose distance from
+    the pivot fits; a row goes to a slice at most once, and a query once to each part of its slice's rows.
+    """
     spark = chunks.sparkSession
-    per_dim = Window.partitionBy("dim").orderBy(F.xxhash64("chunk_id"), "chunk_id")
-    picked = (
-        chunks.withColumn("dim", F.size("v"))
-        .withColumn("n", F.row_number().over(per_dim))
-        .where(F.col("n") <= n_pivots)
-        .select("dim", "v")
-        .toPandas()  # bounded: n_pivots vectors per dimension
-    )
     pivots, first = {}, 0
-    for dim, group in picked.groupby("dim"):
-        pivots[int(dim)] = (first, _unit(_matrix(group["v"])))
-        first += len(group)
-    shared = spark.sparkContext.broadcast(pivots)
-
-    def distances(part: pd.Series, dim: int) -> tuple[int, np.ndarray]:
-        start, p = shared.value[dim]
-        # Zero vectors score 0 against everything: distance sqrt(2), as for a right angle.
-        return start, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (_unit(_matrix(part)) @ p.T)))
+    for r in sorted(chunks.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()):  # a row for each vector length
+        size = n_pivots or min(MAX_PIVOTS, max(8, math.isqrt(r["n"])))
+        taken = chunks.where(F.size("v") == r["dim"]).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(size).select("v").toPandas()
+        pivots[r["dim"]] = (first, _unit(_matrix(taken["v"])))
+        first += len(taken)
+    geometry = Cells(pivots)
+
+    def around(part: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit vectors, home cells and distances from their pivots."""
+        unit = _unit(_matrix(part["v"]))
+        home, dist = np.empty(len(part), np.int64), np.empty(len(part))
+        step = max(1, TILE_SCORES // len(geometry.pivots[dim][1]))
+        for at in range(0, len(part), step):
+            d = geometry.distances(unit[at : at + step], dim)
+            home[at : at + step], dist[at : at + step] = geometry.pivots[dim][0] + d.argmin(axis=1), d.min(axis=1)
+        home[~unit.any(axis=1)] = _zero_cell(dim)
+        return unit, home, dist
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dim, part in frame.groupby(frame["v"].map(len)):
-                start, d = distances(part["v"], int(dim))
-                home = d.argmin(axis=1)
-                zero = np.linalg.norm(_matrix(part["v"]), axis=1) == 0
-                yield pd.DataFrame(
-                    {
-                        "chunk_id": part["chunk_id"].to_numpy(),
-                        "v": part["v"].to_numpy(),
-                        # Bounds do not hold for zero vectors, so they get cells that are always visited.
-                        "cell": np.where(zero, -1 - int(dim), start + home),
-                        "dist": d[np.arange(len(home)), home],
-                    }
-                )
-
-    cell_schema = T.StructType(
-        [*chunks.schema.fields, T.StructField("cell", T.LongType()), T.StructField("dist", T.DoubleType())]
-    )
-    placed = chunks.mapInPandas(assign, cell_schema)
-    near = Window.partitionBy("cell").orderBy("dist")
-    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
-    nearest = (
-        placed.select("cell", "dist")
-        .withColumn("r", F.row_number().over(near))
-        .where(F.col("r") <= k)
-        .groupBy("cell")
-        .agg(F.collect_list("dist").alias("near"))  # at most k numbers per cell
+                _, home, dist = around(part, int(dim))
+                yield pd.DataFrame({"chunk_id": part["chunk_id"].to_numpy(), "v": part["v"].to_numpy(), "cell": home, "dist": dist})
+
+    cell_schema = T.StructType([*chunks.schema.fields, T.StructField("cell", T.LongType()), T.StructField("dist", T.DoubleType())])
+    placed = cut_lineage(chunks.mapInPandas(assign, cell_schema))
+
+    def summarize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        for frame in frames:
+            for cell, dist in frame.groupby("cell")["dist"]:
+                n, lo, hi, near = held.get(cell, (0, np.inf, -np.inf, np.zeros(0)))
+                near = np.sort(np.concatenate([near, dist.to_numpy()]))[:k]
+                held[cell] = (n + len(dist), min(lo, dist.min()), max(hi, dist.max()), near)
+        yield pd.DataFrame([(c, *v) for c, v in held.items()], columns=["cell", "n", "lo", "hi", "near"])
+
+    partial = placed.select("cell", "dist").mapInPandas(summarize, "cell long, n long, lo double, hi double, near array<double>")
+    merged = partial.groupBy("cell").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near")
     )
-    cells = {r["cell"]: r for r in stats.join(nearest, "cell").collect()}  # bounded: one row per pivot
-    known = spark.sparkContext.broadcast({c: (r["lo"], r["hi"], np.array(r["near"])) for c, r in cells.items()})
-    blocks = {c: max(1, -(-r["n"] // block_rows)) for c, r in cells.items()}
+    geometry.know(merged.collect())  # a row for each pivot, and one for zero vectors of each length
+    shared = spark.sparkContext.broadcast(geometry)
+    cells = spark.createDataFrame([(c, n, -(-n // block_rows)) for c, n in geometry.n.items()], "cell long, n long, blocks long")
 
-    def candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dim, part in frame.groupby(frame["v"].map(len)):
-                if int(dim) not in shared.value:
-                    continue
-                start, d = distances(part["v"], int(dim))
-                zero = np.linalg.norm(_matrix(part["v"]), axis=1) == 0
-                ids = [c for c in range(start, start + d.shape[1]) if c in known.value]
-                loose = [c for c in [-1 - int(dim)] if c in known.value]
-                if not ids:
-                    yield pd.DataFrame(
-                        {"query_id": part["query_id"].to_numpy(), "v": part["v"].to_numpy(),
-                         "home": start + d.argmin(axis=1), "cells": [loose] * len(part)}
-                    )
-                    continue
-                # The k-th smallest upper bound over all cells limits how far a hit can be.
-                upper = np.hstack([d[:, [c - start]] + known.value[c][2] for c in ids])
-                enough = upper.shape[1] >= k
-                theta = np.partition(upper, k - 1, axis=1)[:, k - 1] if enough else np.full(len(part), np.inf)
-                low = np.stack(
-                    [
-                        np.maximum.reduce(
-                            [d[:, c - start] - known.value[c][1], known.value[c][0] - d[:, c - start], np.zeros(len(part))]
-                        )
-                        for c in ids
-                    ],
-                    axis=1,
-                )
-                keep = low <= theta[:, None] + SLACK
-                keep[zero] = True
-                ids_array = np.array(ids)
-                yield pd.DataFrame(
-                    {
-                        "query_id": part["query_id"].to_numpy(),
-                        "v": part["v"].to_numpy(),
-                        "home": start + d.argmin(axis=1),
-                        "cells": [ids_array[row].tolist() + loose for row in keep],
-                    }
-                )
-
-    query_schema = T.StructType(
-        [
-            *queries.schema.fields,
-            T.StructField("home", T.LongType()),
-            T.StructField("cells", T.ArrayType(T.LongType())),
-        ]
-    )
-    asked = queries.mapInPandas(candidates, query_schema)
-    homes = {r["home"]: r["n"] for r in asked.groupBy("home").agg(F.count("*").alias("n")).collect()}
-    slices = {h: max(1, -(-n // block_rows)) for h, n in homes.items()}
-
-    def lookup(key: Column, values: dict[int, int]) -> Column:
-        pairs = [F.lit(x) for kv in values.items() for x in kv]
-        return F.try_element_at(F.create_map(*pairs), key)
-
-    def salt(id_column: str, parts: Column) -> Column:
-        return F.pmod(F.xxhash64(id_column), parts).cast("int")
-
-    asked = asked.withColumn("slice", salt("query_id", lookup(F.col("home"), slices)))
-    wanted = asked.select("home", "slice", F.explode("cells").alias("cell")).distinct()
-    # Only (slice, cell) pairs that some query needs copy a chunk; wanted has at most one row per slice and pivot.
-    left = placed.withColumn("block", salt("chunk_id", lookup(F.col("cell"), blocks))).join(wanted, "cell")
-    right = asked.withColumn("cell", F.explode("cells")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), lookup(F.col("cell"), blocks) - 1))
-    )
-    keys = ["home", "slice", "cell", "block"]
-
-    def score(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
-        nearest = _Nearest(_unit(_matrix(right_rows["v"])) if len(right_rows) else np.zeros((0, 0)), k)
-        if len(left_rows) and len(right_rows):
-            nearest.add(_unit(_matrix(left_rows["v"])), left_rows["chunk_id"].to_numpy())
-        return nearest.frame(right_rows["query_id"].to_numpy())
-
-    left_keys = [f"chunk_{key}" for key in keys]
-    left = left.select(*keys, "chunk_id", "v").toDF(*left_keys, "chunk_id", "v")
-    return (
-        right.select(*keys, "query_id", "v")
-        .groupBy(*keys)
-        .cogroup(left.groupBy(*left_keys))
-        .applyInPandas(lambda r, l: score(l, r), _result_schema(chunks, queries))
+                if int(dim) in shared.value.pivots:
+                    _, home, _ = around(part, int(dim))
+                    yield pd.DataFrame({"query_id": part["query_id"].to_numpy(), "v": part["v"].to_numpy(), "home": home})
+
+    asked = cut_lineage(queries.mapInPandas(ask, T.StructType([*queries.schema.fields, T.StructField("home", T.LongType())])))
+    slices = asked.groupBy("home").agg(F.ceil(F.count("*") / block_rows).alias("slices"))  # a row for each pivot at most
+    sliced = asked.join(F.broadcast(slices), "home").withColumn("slice", F.pmod(F.xxhash64("query_id"), F.col("slices")))
+
+    # First pass: one block of the home cell.
+    block = placed.join(F.broadcast(cells), "cell").where(F.pmod(F.xxhash64("chunk_id"), F.col("blocks")) == 0)
+    block = block.join(F.broadcast(slices), block["cell"] == slices["home"]).withColumn("slice", F.explode(F.expr("sequence(0l, slices - 1)")))
+    keys = ["home", "slice"]
+    met = sliced.select(*keys, F.lit(0).alias("flag"), "v").unionByName(block.select(*keys, F.lit(1).alias("flag"), "v"))
+    met = met.repartition(*keys).sortWithinPartitions(*keys, "flag")
+
+    def bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+
+        def close(key: tuple, held: list[np.ndarray], best: _Nearest | None) -> pd.DataFrame:
+            unit = np.concatenate(held)
+            dim = unit.shape[1]
+            if key[0] == _zero_cell(dim):
+                found = {c: (-np.inf, np.inf) for c in known.n if c == _zero_cell(dim) or 0 <= c - known.pivots[dim][0] < len(known.pivots[dim][1])}
+            else:
+                theta = np.concatenate([
+                    known.reach(known.distances(unit[at : at + REACH_ROWS], dim), dim, k) for at in range(0, len(unit), REACH_ROWS)
+                ])
+                if best is not None:
+                    theta = np.minimum(theta, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * best.floor)))
+                found = known.wanted(unit, dim, theta)
+                if _zero_cell(dim) in known.n:
+                    found[_zero_cell(dim)] = (-np.inf, np.inf)
+            rows = [(*key, c, lo, hi, known.n[c]) for c, (lo, hi) in found.items() if c in known.n]
+            return pd.DataFrame(rows, columns=["home", "slice", "cell", "lo", "hi", "n"])
+
+        now, held, best = None, [], None
+        for (*key, flag), part in _runs(frames, [*keys, "flag"]):
+            if tuple(key) != now:
+                if held:
+                    yield close(now, held, best)
+                now, held, best = tuple(key), [], None
+            unit = _unit(_matrix(part["v"]))
+            if flag == 0:
+                held.append(unit)
+            elif held:
+                best = best or _Nearest(np.concatenate(held), k)
+                best.add(unit, np.arange(len(unit)))
+        if held:
+            yield close(now, held, best)
+
+    wanted = cut_lineage(met.mapInPandas(bound, "home long, slice long, cell long, lo double, hi double, n long"))
+
+    # Second pass: the rows that the bounds reach, in parts of bounded size.
+    parts = wanted.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / (16 * block_rows))).alias("parts"))
+    right = sliced.join(parts, keys).withColumn("part", F.explode(F.expr("sequence(0l, parts - 1)")))
+    left = placed.join(wanted.drop("n"), "cell").where("dist between lo and hi").join(parts, keys).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")))
+    keys.append("part")
+    def blank(rows: DataFrame, name: str) -> Column:
+        kind = rows.schema[name].dataType
+        return F.lit(0 if isinstance(kind, T.NumericType) else "").cast(kind)  # not NULL: ids stay whole numbers
+
+    return right.select(*keys, F.lit(0).alias("flag"), "query_id", blank(chunks, "chunk_id").alias("chunk_id"), "v").unionByName(
+        left.select(*keys, F.lit(1).alias("flag"), blank(queries, "query_id").alias("query_id"), "chunk_id", "v")
     )
 
 
+def _match_cells(chunks: DataFrame, queries: DataFrame, k: int, n_pivots: int | None, block_rows: int) -> DataFrame:
+    both, keys = _meetings(chunks, queries, k, n_pivots, block_rows), ["home", "slice", "part"]
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, ids, best = None, [], [], None
+        for (*key, flag), part in _runs(frames, [*keys, "flag"]):
+            if tuple(key) != now:
+                if best is not None:
+                    yield best.frame(np.concatenate(ids))
+                now, held, ids, best = tuple(key), [], [], None
+            unit = _unit(_matrix(part["v"]))
+            if flag == 0:
+                held.append(unit)
+                ids.append(part["query_id"].to_numpy())
+            elif held:
+                best = best or _Nearest(np.concatenate(held), k)
+                best.add(unit, part["chunk_id"].to_numpy())
+        if best is not None:
+            yield best.frame(np.concatenate(ids))
+
+    return both.repartition(*keys).sortWithinPartitions(*keys, "flag").mapInPandas(score, _result_schema(chunks, queries))
+
 
 def hit_block(rank: Column, score: Column, path: Column, text: Column) -> Column:
     return F.format_string(

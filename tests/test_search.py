@@ -43,3 +43,42 @@ def test_scores_are_computed_in_bounded_tiles():
                 break
         else:
             assert seen == n_queries * n_rows
+
+
+def frames(spark, vectors, every=1):
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id bigint, embedding array<double>")
+    return rows.withColumnRenamed("id", "chunk_id"), rows.where(F.col("id") % every == 0).withColumnRenamed("id", "query_id")
+
+
+def test_rows_shipped_in_two_passes_are_bounded(spark):
+    """Clusters well apart: a slice of queries needs little more than its own cluster, whatever the table holds."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 12))
+    shipped = {}
+    for n in (2000, 4000):
+        vectors = centres[rng.integers(0, 40, n)] + rng.normal(scale=0.02, size=(n, 12))
+        vectors[5:n // 3] = vectors[5]  # a third of all rows are the same
+        chunks, queries = (f.withColumnRenamed("embedding", "v") for f in frames(spark, vectors))
+        met = search._meetings(chunks, queries, 5, None, 256).groupBy("flag").count().collect()
+        shipped[n] = {r["flag"]: r["count"] for r in met}
+        assert shipped[n][0] <= 2 * n
+        got = search.top_k(*frames(spark, vectors, 50), 5, max_shipped_floats=0, block_rows=256)
+        u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        scores = np.round(u[::50] @ u.T, 9) + 0.0
+        want = {(q * 50, c) for q, row in enumerate(scores) for c in sorted(range(n), key=lambda c: (-row[c], c))[:5]}
+        assert {(r["query_id"], r["chunk_id"]) for r in got.collect()} == want
+    # The hot third meets itself: its rows go to each slice of its queries.
+    assert shipped[2000][1] < 2000 * 8 and shipped[4000][1] < 4000 * 12
+
+
+def test_more_neighbours_than_rows_and_long_ids(spark):
+    big = 2**60
+    rows = [(big + i, [1.0, float(i)]) for i in range(6)] + [(big + 100, [0.0, 0.0]), (big + 101, [1.0])]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    hits = search.top_k(df.withColumnRenamed("id", "chunk_id"), df.withColumnRenamed("id", "query_id"), 50, max_shipped_floats=0, n_pivots=3, block_rows=2).collect()
+    assert {(r["query_id"], r["chunk_id"]) for r in hits} == {(a, b) for a, v in rows for b, w in rows if len(v) == len(w)}
+    names = df.select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("chunk_id"), "embedding")
+    mixed = search.top_k(names, df.withColumnRenamed("id", "query_id"), 2, max_shipped_floats=0, block_rows=2).collect()
+    assert len(mixed) == 7 * 2 + 1 and all(r["chunk_id"].startswith("n") for r in mixed)
+    none = search.top_k(names.where("false"), df.withColumnRenamed("id", "query_id"), 2, max_shipped_floats=0)
+    assert none.count() == 0
