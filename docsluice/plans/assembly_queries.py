@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsluice.functions import text as tx
 from docsluice.operators import assembly, grounding
 from docsluice.plans.registry import SQL_WS, Tables, query, sql_collapse, sql_trim
+from docsluice.session import shared_folder
+from docsluice.sources import readers, sinks
 
 
 def _name() -> Column:
@@ -133,7 +137,11 @@ def _within(t: Tables) -> DataFrame:
 
 @query("read_text_folder", sql_parts(_sql_files("'### Реквизиты · файл: '", "chr(10)", sql_trim("text"), f"WHERE {sql_trim('text')} <> ''"), 20_000))
 def _folder(t: Tables) -> DataFrame:
-    return assembly.folder_texts(source_files(t), key="tender_id")
+    """The documents as files, a folder for each source, read back and put together."""
+    root = f"{shared_folder(t.spark)}/folders-{uuid.uuid4().hex}"
+    path = F.concat("tender_id", F.lit("/"), "name")
+    sinks.write_files(source_files(t).select(path.alias("path"), F.encode("text", "UTF-8").alias("content")), root)
+    return assembly.folder_texts(readers.read_text_folder(t.spark, root)).withColumnRenamed("folder", "tender_id")
 
 
 @query(

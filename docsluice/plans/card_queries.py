@@ -260,6 +260,31 @@ def _customer(t: Tables) -> DataFrame:
     return rows.select("o_orderkey", cards.customer_name(empty, none, corpus).alias("customer"))
 
 
+@query(
+    "customer_waterfall_steps",
+    """
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'Ранг ' || c_name WHEN 1 THEN 'Карта ' || c_name WHEN 2 THEN 'Проводит ' || c_name WHEN 3 THEN 'Поле ' || c_name WHEN 4 THEN 'Строка ' || c_name
+  ELSE '[уточнить полное наименование заказчика по извещению]' END AS customer
+FROM orders JOIN customer ON o_custkey = c_custkey
+""",
+)
+def _customer_steps(t: Tables) -> DataFrame:
+    """Orders whose customer stands where each of the six steps looks, behind a reference to the documentation for the step before."""
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    step = F.col("o_orderkey") % 6
+    field = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
+    named = lambda word: F.concat(F.lit(f"{word} "), "c_name")
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    away = field("Полное наименование заказчика", F.lit("согласно документации"))
+    fields = F.when(step == 0, F.array(field("Наименование заказчика", named("Ранг")), away)).when(
+        step == 3, F.array(away, field("Сообщить заказчику", named("Поле")))
+    ).otherwise(none)
+    card = F.when(step == 1, F.array(away, field("Наименование заказчика", named("Карта")))).when(step == 2, F.array(field("Закупка проводится", named("Проводит")), away)).otherwise(none)
+    corpus = F.when(step == 4, F.concat(F.lit("Заказчик: согласно документации\nОрганизатор закупки: "), named("Строка"))).otherwise("Заказчик: см. прилож. 1")
+    filled = rows.withColumns({"fields": fields, "card": card, "corpus": corpus})
+    return filled.select("o_orderkey", cards.customer_name(cards.structured_card(F.col("card")), F.col("fields"), F.col("corpus")).alias("customer"))
+
+
 @query(
     "is_doc_reference",
     """

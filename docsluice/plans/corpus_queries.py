@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsluice.operators import corpus
 from docsluice.plans.registry import Tables, query, sql_trim
+from docsluice.session import shared_folder
+from docsluice.sources import indexing, readers, sinks
 
 # Names of the document files: the language picks the extension, a share lies in folders that are never entered.
 EXTENSIONS = {"en": ".txt", "fr": ".MD", "de": ".pdf", "es": ".csv"}
@@ -34,15 +38,27 @@ def document_texts(t: Tables, paragraphs: bool = False) -> DataFrame:
     return rows.select(document_path().alias("path"), text.alias("text"))
 
 
+def text_tree(t: Tables) -> str:
+    """The documents as files in their folders below the shared folder; gives the root."""
+    root = f"{shared_folder(t.spark)}/tree-{uuid.uuid4().hex}"
+    sinks.write_files(document_texts(t).select("path", F.encode("text", "UTF-8").alias("content")), root)
+    return root
+
+
+_SQL_INDEXED = "regexp_extract(lower(path), '(\\.[^./]*)$', 1) IN ('.txt', '.md', '.markdown', '.csv', '.log') AND NOT list_has_any(string_split(path, '/'), ['.git', 'node_modules'])"
+
+
+@query("scan_text_corpus", f"SELECT path, strlen(text) AS length, md5(text) AS digest FROM (SELECT {SQL_PATH} AS path, text FROM documents) WHERE {_SQL_INDEXED}")
+def _scan(t: Tables) -> DataFrame:
+    """The documents as files of a tree, scanned."""
+    return readers.scan_text_corpus(t.spark, text_tree(t)).select("path", "length", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
 @query(
-    "scan_text_corpus",
-    f"""
-SELECT path, length FROM (SELECT {SQL_PATH} AS path, n_chars AS length FROM documents)
-WHERE regexp_extract(lower(path), '(\\.[^./]*)$', 1) IN ('.txt', '.md', '.markdown', '.csv', '.log')
-  AND NOT list_has_any(string_split(path, '/'), ['.git', 'node_modules'])
-""",
+    "select_text_files",
+    f"SELECT path, length FROM (SELECT {SQL_PATH} AS path, n_chars AS length FROM documents) WHERE {_SQL_INDEXED}",
 )
-def _scan(t: Tables) -> DataFrame:
+def _select(t: Tables) -> DataFrame:
     return corpus.select_text_files(document_files(t)).select("path", "length")
 
 
@@ -255,3 +271,21 @@ def _embed(t: Tables) -> DataFrame:
     """Every component of a provider whose vectors are counts of letter classes."""
     index = corpus.build_index(document_texts(t), corpus.letter_class_embedder())
     return index.select("chunk_id", *[F.element_at("embedding", i + 1).alias(f"v{i}") for i in range(len(_LETTERS))])
+
+
+@query(
+    "index_build",
+    f"""
+SELECT path || '#' || chunk_index AS chunk_id, chunk_index, chunk_count, length(text)::DOUBLE AS first, 2::BIGINT AS dims, count(*) OVER () AS manifest_chunks
+FROM ({sql_chunks('text', 3500, 420)}) WHERE {_SQL_INDEXED}
+""",
+)
+def _index_build(t: Tables) -> DataFrame:
+    """Files, chunks, vectors, index and manifest: the whole job over a tree of files, with vectors that tell the chunk's length."""
+    out = f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}"
+    manifest = indexing.build(t.spark, text_tree(t), out, lambda texts: [[float(len(x)), 1.0] for x in texts], "lengths", 3500, 420)
+    index = readers.read_chunk_index(t.spark, f"{out}/chunks")
+    return index.select(
+        "chunk_id", F.col("metadata.chunk_index").cast("bigint").alias("chunk_index"), F.col("metadata.chunk_count").cast("bigint").alias("chunk_count"),
+        F.element_at("embedding", 1).alias("first"), F.size("embedding").cast("bigint").alias("dims"), F.lit(manifest["chunk_count"]).cast("bigint").alias("manifest_chunks"),
+    )

@@ -442,7 +442,10 @@ SELECT page_id AS id, CASE WHEN url LIKE 'https:%' THEN url END AS link,
 )
 def _queue(t: Tables) -> DataFrame:
     files = archive_files(t).withColumn("link", F.when(F.col("link").startswith("https:"), F.col("link")))
-    return inventory.file_queue(files, "https://files.example.org/d/{id}/view").select("id", "link", "document_url")
+    queue = inventory.file_queue(files, "https://files.example.org/d/{id}/view")
+    path = f"{shared_folder(t.spark)}/queue-{uuid.uuid4().hex}"
+    sinks.write_file_queue(queue, path)
+    return t.spark.read.schema(queue.schema).json(path).select("id", "link", "document_url")
 
 
 _SQL_PULL = f"""
@@ -469,6 +472,18 @@ def _pull_summary(t: Tables) -> DataFrame:
     return inventory.pull_summary(_pull(t), ["tender_id"])
 
 
+_SQL_CONTEXT = f"""
+SELECT doc_id, tender_id, CASE WHEN mime LIKE '%apps.document' THEN b || '.txt' WHEN mime LIKE '%.spreadsheet' THEN b || '.csv' WHEN mime LIKE 'application/vnd.google-apps.%' THEN NULL ELSE b END AS target
+FROM (SELECT *, tender_id || '/' || name AS b FROM ({_SQL_FILES}))"""
+
+
+@query("context_pull", f"SELECT tender_id, count(target) AS written, count(*) - count(target) AS skipped, count(DISTINCT target) AS targets FROM ({_SQL_CONTEXT}) GROUP BY 1")
+def _context_pull(t: Tables) -> DataFrame:
+    """Context files by their source's folder, those of a kind without an export left out."""
+    files = named_files(t).withColumn("target", inventory.context_target(F.col("tender_id"), F.col("name"), F.col("mime")))
+    return files.groupBy("tender_id").agg(F.count("target").alias("written"), F.count_if(F.col("target").isNull()).alias("skipped"), F.countDistinct("target").alias("targets"))
+
+
 @query(
     "union_context",
     """

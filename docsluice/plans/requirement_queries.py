@@ -99,6 +99,38 @@ def _sql_result_issues() -> str:
     return f"WITH j AS ({_SQL_JSON}) " + " UNION ALL ".join(parts)
 
 
+_SQL_DEADLINES = """
+SELECT doc_id, '{"tender_id":"t","requirements":[],"deadlines":[' || CASE WHEN n_chars < 400 THEN '7' WHEN lang = 'fr' THEN '{"id":"D","label":5,"source":{"page":1}}'
+  WHEN lang = 'de' THEN '{"id":"D","label":"l","source":{"page":"1"}}' WHEN lang = 'es' THEN '{"id":" ","label":"l"}' ELSE '{"id":"D","label":"l","source":{"fragment":"f"}}' END
+  || '],"meta":{"warnings":[]}}' AS json FROM documents"""
+_DEADLINE = "$.deadlines[0]"
+
+
+@query(
+    "validate_deadlines",
+    f"WITH j AS ({_SQL_DEADLINES}) "
+    + " UNION ALL ".join(
+        _sql_rule(f"deadlines[0]{path}", message, condition)
+        for path, message, condition in (
+            ("", rq.NEED_OBJECT, f"json_type(json, '{_DEADLINE}') <> 'OBJECT'"),
+            (".id", rq.NEED_STRING, f"json_type(json, '{_DEADLINE}') = 'OBJECT' AND {_sql_blank(_DEADLINE + '.id')}"),
+            (".label", rq.NEED_STRING, f"json_type(json, '{_DEADLINE}') = 'OBJECT' AND {_sql_blank(_DEADLINE + '.label')}"),
+            (".source", rq.NEED_SOURCE, f"json_type(json, '{_DEADLINE}') = 'OBJECT' AND {_sql_no_source(_DEADLINE + '.source')}"),
+        )
+    ),
+)
+def _validate_deadlines(t: Tables) -> DataFrame:
+    """Results whose deadline breaks one rule or another."""
+    lang = F.col("lang")
+    deadline = (
+        F.when(F.col("n_chars") < 400, "7").when(lang == "fr", '{"id":"D","label":5,"source":{"page":1}}').when(lang == "de", '{"id":"D","label":"l","source":{"page":"1"}}')
+        .when(lang == "es", '{"id":" ","label":"l"}').otherwise('{"id":"D","label":"l","source":{"fragment":"f"}}')
+    )
+    json = F.concat(F.lit('{"tender_id":"t","requirements":[],"deadlines":['), deadline, F.lit('],"meta":{"warnings":[]}}'))
+    parsed = rq.parse_documents(t.spread("documents", "doc_id", "lang", "n_chars").select("doc_id", json.alias("json")))
+    return rq.validate(parsed, rq.result_issues).select("doc_id", "path", "message")
+
+
 @query("validate_results", _sql_result_issues())
 def _validate_results(t: Tables) -> DataFrame:
     return rq.validate(result_documents(t), rq.result_issues).select("doc_id", "path", "message")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docsluice.functions import html as hx
 from docsluice.functions import messages as mx
 from docsluice.functions import text as tx
-from docsluice.operators import cards, corpus, extraction, ingest, picks
+from docsluice.operators import cards, corpus, extraction, ingest, picks, requirements
 from docsluice.plans.card_queries import _SQL_ORDERS, order_cards
 from docsluice.plans.corpus_queries import SQL_PATH, document_texts, sql_chunks
 from docsluice.plans.message_queries import VIEW_URL
@@ -165,16 +165,14 @@ def _context(t: Tables) -> DataFrame:
 
 @query(
     "read_parser_results",
-    f"SELECT {SQL_PATH} AS doc, CASE WHEN lang = 'de' THEN 'Ожидался объект JSON' END AS message FROM documents",
+    "SELECT doc_id || '.json' AS doc, CASE WHEN lang = 'de' THEN 'Ожидался объект JSON' END AS message FROM documents",
 )
 def _parser_results(t: Tables) -> DataFrame:
-    """Documents that are no JSON become an issue and do not stop the batch."""
-    from docsluice.operators import requirements as rq
-    from docsluice.plans.corpus_queries import document_path
-
-    json = F.when(F.col("lang") == "de", F.col("text")).otherwise(
-        '{"tender_id":"t","requirements":[],"deadlines":[],"meta":{"warnings":[]}}'
-    )
-    parsed = rq.parse_documents(t.documents.select(document_path().alias("doc_id"), json.alias("json")))
-    issues = rq.validate(parsed, rq.result_issues)
+    """Files below the shared folder, a document in each; those that are no JSON become an issue and do not stop the batch."""
+    root = f"{shared_folder(t.spark)}/results-{uuid.uuid4().hex}"
+    json = F.when(F.col("lang") == "de", F.col("text")).otherwise('{"tender_id":"t","requirements":[],"deadlines":[],"meta":{"warnings":[]}}')
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".json"))
+    sinks.write_files(t.documents.select(path.alias("path"), F.encode(json, "UTF-8").alias("content")), root)
+    parsed = requirements.parse_documents(readers.read_json_documents(t.spark, root))
+    issues = requirements.validate(parsed, requirements.result_issues)
     return parsed.select(F.col("doc_id").alias("doc")).join(issues.select(F.col("doc_id").alias("doc"), "message"), "doc", "left")

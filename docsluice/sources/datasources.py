@@ -78,20 +78,22 @@ class Written(WriterCommitMessage):
 
 
 class AttachmentsWriter(DataSourceWriter):
-    """Rows (name, content) as files; a repeated task writes the same files again."""
+    """Rows (name, content) as files in folders dealt by name, or rows (path, content) as files at their paths; a
+    repeated task writes the same files again."""
 
-    def __init__(self, options: dict):
-        self.root = options["path"].rstrip("/")
+    def __init__(self, options: dict, by_path: bool):
+        self.root, self.by_path = options["path"].rstrip("/"), by_path
 
     def write(self, rows: Iterator) -> Written:
         system, root = file_system(self.root)
         made, n = set(), 0
         for row in rows:
-            folder = f"{root}/{zlib.crc32(row.name.encode()) % SHARDS:02x}"
+            path = row.path if self.by_path else f"{zlib.crc32(row.name.encode()) % SHARDS:02x}/{row.name}"
+            folder = f"{root}/{path}".rpartition("/")[0]
             if folder not in made:
                 system.create_dir(folder, recursive=True)
                 made.add(folder)
-            with system.open_output_stream(f"{folder}/{row.name}") as out:
+            with system.open_output_stream(f"{root}/{path}") as out:
                 out.write(bytes(row.content))
             n += 1
         return Written(n)
@@ -104,7 +106,7 @@ class AttachmentsWriter(DataSourceWriter):
 
 
 class Attachments(DataSource):
-    """``spark.read.format("attachments")``: name, size, first bytes; ``write`` takes name and content."""
+    """``spark.read.format("attachments")``: name, size, first bytes; ``write`` takes name (or path) and content."""
 
     @classmethod
     def name(cls) -> str:
@@ -117,7 +119,7 @@ class Attachments(DataSource):
         return AttachmentsReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> AttachmentsWriter:
-        return AttachmentsWriter(self.options)
+        return AttachmentsWriter(self.options, "path" in schema.names)
 
 
 @dataclass

@@ -65,7 +65,8 @@ def read_chunk_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, json): one document per file; text that is not JSON is left to the validators."""
-    return spark.read.text(path, wholetext=True).select(
+    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return rows.select(
         F.element_at(F.split("_metadata.file_path", "/"), -1).alias("doc_id"), F.col("value").alias("json")
     )
 

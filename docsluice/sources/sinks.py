@@ -57,6 +57,12 @@ def write_attachments(files: DataFrame, root: str) -> None:
     files.select("name", "content").write.format("attachments").option("path", root).mode("append").save()
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """(path, content) as files at their paths below a root."""
+    files.sparkSession.dataSource.register(datasources.Attachments)
+    files.select("path", "content").write.format("attachments").option("path", root).mode("append").save()
+
+
 def write_update_log(updates: DataFrame, path: str) -> None:
     """Append updates to a log that ``readers.read_updates`` polls, in segments of their ids."""
     segment = F.floor(F.col("update_id") / datasources.SEGMENT).alias("segment")
