@@ -37,6 +37,7 @@ REPLICAS, BOUNDARY = 3, 1.1  # lists of a boundary vector; how much farther than
 NEIGHBOURS, POOL = 16, 64  # edges of a centre; least candidates of a graph search
 CALIBRATION, RECALL = 400, 0.97  # sample queries that set the ratio, and the recall they must reach
 SHARD_ROWS = 8192  # vectors held together when a shard is scored
+PAIRS = 100_000  # exact products computed at once
 
 
 @dataclass
@@ -202,6 +203,24 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec
     return ranked.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("h.vec_id").alias("vec_id"), F.col("h.score").alias("score"))
 
 
+def best_rows(q: np.ndarray, x: np.ndarray, ids: np.ndarray, take: int, length: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the ``take`` rows of largest inner product of each query, ties to the smaller id.
+
+    The matrix product, whose sums are rounded in an order of its own, only tells which rows may be among them: those at
+    or above the last of them less a margin.  These are summed in one order, so a vector scores the same wherever it is
+    stored, and ranked by that.  ``length`` is that of the longest row.
+    """
+    rough = q @ x.T
+    least = np.partition(rough, len(ids) - take, axis=1)[:, len(ids) - take]
+    margin = 1e-13 * x.shape[1] * length * np.sqrt((q * q).sum(1))
+    row, hit = np.nonzero(rough >= (least - margin)[:, None])
+    exact = np.concatenate([(q[row[i : i + PAIRS]] * x[hit[i : i + PAIRS]]).sum(-1) for i in range(0, len(row), PAIRS)])
+    order = np.lexsort((ids[hit], -exact, row))
+    row, hit, exact = row[order], hit[order], exact[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < take], hit[rank < take], exact[rank < take]
+
+
 def _search_one(stored: DataFrame, wanted: DataFrame, total: int, k: int, sample_size: int) -> DataFrame:
     spark = stored.sparkSession
     index = build_index(sample(stored, "v", "id", sample_size), total, k)
@@ -249,14 +268,12 @@ def _search_one(stored: DataFrame, wanted: DataFrame, total: int, k: int, sample
         if not block:
             return
         x, ids = np.concatenate([matrix(b.column(4)) for b in block]), np.concatenate([b.column(3).to_numpy() for b in block])
-        take = min(k + 1, len(ids))
+        take, length = min(k + 1, len(ids)), np.sqrt((x * x).sum(1)).max()
         for passing in stream:
             for at in range(0, passing.num_rows, 256):
                 some = passing.slice(at, 256)
                 q = matrix(some.column(4))
-                pick = np.argpartition(-(q @ x.T), take - 1, axis=1)[:, :take]
-                # Summed in one order, so a vector scores the same wherever it is stored.
-                exact = (q[:, None, :] * x[pick]).sum(-1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column(3).to_numpy(), take)), pa.array(ids[pick].ravel()), pa.array(exact.ravel())], ["q", "id", "score"])
+                row, hit, exact = best_rows(q, x, ids, take, length)
+                yield pa.RecordBatch.from_arrays([some.column(3).take(pa.array(row)), pa.array(ids[hit]), pa.array(exact)], ["q", "id", "score"])
 
     return both.repartition("shard", "part").sortWithinPartitions("shard", "part", "flag").mapInArrow(blocks_and_streams(2, score), "q long, id long, score double")

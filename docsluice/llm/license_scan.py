@@ -99,8 +99,7 @@ class Scanner:
                 while at < len(spans) and spans[at][0] <= hi:
                     hi = max(hi, spans[at][1])
                     at += 1
-                for m in pattern.finditer(body, lo, hi):
-                    out.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+                out += [(m.start(), m.end(), label, sum(m.fuzzy_counts)) for m in best_matches(pattern, body, lo, hi)]
         return out
 
     def scan(self, text: str) -> tuple:
@@ -119,6 +118,18 @@ class Scanner:
         return n_words, len(exact), min(places, default=None), max(places, default=None), ",".join(base), ",".join(labels), score, spans
 
 
+def best_matches(pattern: regex.Pattern, body: str, lo: int, hi: int) -> list[regex.Match]:
+    """The best match of a stretch, then those of what is left in front of it and behind it, until none is left."""
+    out, left = [], [(lo, hi)]
+    while left:
+        lo, hi = left.pop()
+        m = pattern.search(body, lo, hi) if lo < hi else None
+        if m is not None:
+            out.append(m)
+            left += [(lo, m.start()), (m.end(), hi)]
+    return out
+
+
 @lru_cache(maxsize=4)
 def scanner(phrases: tuple, notices: tuple) -> Scanner:
     return Scanner(phrases, notices)

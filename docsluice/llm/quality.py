@@ -6,7 +6,8 @@ grouped into overlapping chunks that cover the whole text; responses are max-poo
 a chunk's logit, and the mean of the logits gives the probability.  Nothing but the text is an input.
 
 The network is fitted on the driver on a bounded sample (``SAMPLE_PER_CLASS`` labelled rows of each class, ordered by a
-hash of doc_id, texts of at most ``SAMPLE_BYTES``, ``TRAIN_CHUNKS`` chunks each); scoring reads every byte of every row.
+hash of doc_id, ``TRAIN_CHUNKS`` chunks each; of texts over ``SAMPLE_BYTES`` that many bytes from evenly spaced places);
+scoring reads every byte of every row.
 
 A null text is empty; an empty text is one window of zero bytes and gets a score too.  Rows with a null doc_id are
 scored and never used for fitting.  Repeated rows get repeated scores; a doc_id with contradicting labels counts as 0.
@@ -187,7 +188,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS
         labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
     )
-    body = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    # Of a long text, slices from evenly spaced places, the beginning and the end among them.
+    size, slices = SAMPLE_BYTES // TRAIN_CHUNKS, range(TRAIN_CHUNKS)
+    place = lambda i: (F.floor((F.octet_length(text) - size) * i / (TRAIN_CHUNKS - 1)) + 1).cast("int")
+    spaced = F.concat(*[F.substring(text, place(i), F.lit(size)) for i in slices])
+    body = docs.select("doc_id", F.when(F.octet_length(text) <= SAMPLE_BYTES, text).otherwise(spaced).alias("text"))
     rows = []
     for value in (0, 1):
         # A bounded sample: the smallest hashes of each class.  The few chosen ids then meet the texts.
