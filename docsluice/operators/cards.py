@@ -307,24 +307,33 @@ def ranked_pick(fields: Column, priority=customer_priority) -> Column:
 
 
 def structured_card(fields: Column) -> Column:
-    """Canonical struct of the card's fields; keys are put in lower case once for all labels."""
-    return tx.let(_lowered(fields), _structured)
+    """Canonical struct of the card's fields.
 
+    Keys are put in lower case once for all labels, and once into one text: a label is looked for in the fields only if
+    that text holds it, which most cards do for few labels.
+    """
+    return tx.let(_lowered(fields), lambda low: tx.let(F.struct(low.alias("f"), F.array_join(F.transform(low, lambda f: f["key"]), "\n").alias("k")), _structured))
+
+
+def _structured(both: Column) -> Column:
+    fields, keys = both["f"], both["k"]
+
+    def pick(*parts: str) -> Column:
+        return F.when(reduce(lambda a, b: a & b, [keys.contains(p.lower()) for p in parts]), _pick(fields, *parts))
 
-def _structured(fields: Column) -> Column:
     def first(options: list[tuple[str, ...]]) -> Column:
-        return F.coalesce(*[_pick(fields, *parts) for parts in options])
+        return F.coalesce(*[pick(*parts) for parts in options])
 
     groups = {
         group: F.struct(*[first(options).alias(leaf) for leaf, options in leaves.items()])
         for group, leaves in CARD_FIELDS.items()
     }
-    conducted = _pick(fields, "закупка проводится")
-    full = _pick(fields, "полное наименование заказчика")
+    conducted = pick("закупка проводится")
+    full = pick("полное наименование заказчика")
     groups["customer"] = F.struct(
         F.when(~is_doc_reference(conducted), conducted).alias("conducted_by"),
         F.coalesce(ranked_pick(fields), F.when(~is_doc_reference(full), full)).alias("name_address"),
-        _pick(fields, "фамилии", "телефон").alias("contacts"),
+        pick("фамилии", "телефон").alias("contacts"),
     )
     order = ("general", "customer", "procedure", "competitive_documents", "bids", "lot_details")
     return F.struct(*[groups[g].alias(g) for g in order])
