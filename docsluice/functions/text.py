@@ -154,10 +154,12 @@ def _nfc(s: pd.Series) -> pd.Series:
 def clean_message(c: Column, nfc: bool = True) -> Column:
     """Strip zero-width characters, compose (NFC), trim.
 
-    Composition exists only in Python; ``nfc=False`` keeps text known to be composed in the JVM.
+    Composition exists only in Python, and only texts with characters from U+0300 on can need it: the others are sent as
+    NULL.  ``nfc=False`` keeps text known to be composed in the JVM.
     """
     out = F.regexp_replace(c, r"[\u200B-\u200D\uFEFF]", "")
-    return js_trim(_nfc(out) if nfc else out)
+    open_ = out.rlike(r"[^\x{0}-\x{2FF}]")
+    return js_trim(F.when(open_, _nfc(F.when(open_, out))).otherwise(out) if nfc else out)
 
 
 def strip_mentions(c: Column) -> Column:

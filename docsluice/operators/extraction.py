@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -225,29 +225,21 @@ def extract_texts(
     One pass over the contents: UTF-8 files are decoded in the JVM, only the bytes of the others go to the provider
     ``fn(bytes, name, mime)``.  A text is cut, and marked as cut, only if the caller sets a size.
     """
+    @F.pandas_udf("text string, error string, extractor string")
+    def ask(content: pd.Series, name: pd.Series, mime: pd.Series) -> pd.DataFrame:
+        replies = [(None, None, None) if c is None else fn(c, n, m) for c, n, m in zip(content, name, mime)]
+        return pd.DataFrame(replies, columns=["text", "error", "extractor"], dtype=object)
+
     kinds = blobs.withColumn("kind", input_kind(F.col("mime"), F.col("name")))
     utf8, asked = F.col("kind") == "native_utf8", needs_workspace(F.col("kind"))
-    decoded = kinds.select(
+    # One call for each content, however often its reply is used; what the JVM decodes stays there.
+    replied = kinds.withColumn("_reply", ask.asNondeterministic()(F.when(asked, F.col("content")), F.col("name"), F.col("mime")))
+    both = replied.select(
         *[c for c in kinds.columns if c != "content"],
-        F.when(utf8, tx.js_trim(tx.decode_utf8(F.col("content")))).alias("text"),
-        F.lit(None).cast("string").alias("error"),
-        F.when(utf8, "utf8").alias("extractor"),
-        F.when(asked, F.col("content")).alias("content"),
+        F.when(utf8, tx.js_trim(tx.decode_utf8(F.col("content")))).otherwise(F.col("_reply.text")).alias("text"),
+        F.col("_reply.error").alias("error"),
+        F.when(utf8, "utf8").otherwise(F.col("_reply.extractor")).alias("extractor"),
     )
-    out = T.StructType([f for f in decoded.schema.fields if f.name != "content"])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            done = frame.drop(columns="content")
-            replies = [
-                fn(c, n, m) if c is not None else known
-                for c, n, m, known in zip(frame["content"], frame["name"], frame["mime"], zip(frame["text"], frame["error"], frame["extractor"]))
-            ]
-            for i, column in enumerate(("text", "error", "extractor")):
-                done[column] = pd.Series([r[i] for r in replies], index=done.index, dtype=object)
-            yield done
-
-    both = decoded.mapInPandas(run, out)
     empty = F.coalesce(F.col("text") == "", F.lit(True))
     text, truncated = F.col("text"), F.lit(False)
     if max_chars is not None:
