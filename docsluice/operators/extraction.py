@@ -7,7 +7,6 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docsluice.functions import text as tx
 from docsluice.functions.patterns import WS_CHARS
