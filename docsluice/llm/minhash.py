@@ -1,18 +1,18 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
 A document's set holds the hashes of its distinct word shingles; its sketch is the k least of them.  Equal sets are one
-set that stands for its documents.  The inverted lists of retained values are kept per value and its successor in the
-sketch: sets of similarity 0.8 share most values, so among k = 20 they miss a common neighbouring pair less than once in
-100 000 times, and sets of at most k shingles never do (the order is circular).  Within a list the sets that meet are
-compared by the estimate from the sketch of their union, and what passes is verified on the full sets.
+set that stands for its documents.  Two sets that are similar enough share at least t retained values (``least_shared``:
+7 of 20 at 80 percent, missed about twice in a million times; never for sets of at most k shingles).  A set's values are
+put in order of how many sets retain them, rarest first.  Of two sets that share t, the j-th value that they share is
+among the first k - t + j of both, so an inverted list per value holds a set under its k - t + 1 rarest values only, and
+values of frequent lines and passages make no list as long as a set has rarer ones.  Within a list the sets that meet
+are compared by the estimate from the sketch of their union, and what passes is verified on the full sets.
 
 A list of up to ``PAIRED`` sets compares all; in a longer one a set meets its next neighbours and the list's leader, the
-set of least id.  The rest is settled exactly from the leaders: sets linked to one leader are in one group anyway; by
-the triangle inequality of the Jaccard distance a set that is not linked to the leader can only be linked to one that is
-if its own similarity to the leader is at least 2 * least - 1, and only to sets whose similarity to the leader differs
-from its own by at most 1 - least.  Those are compared in blocks of bounded size, of which only links come out.  Sets
-near no leader are left: every long list that still holds sets of several groups is compared whole, by estimates in
-parts of bounded size and exactly in blocks, except within a group.  That takes time with the square of such a list.
+set of least id, which joins copies of one text to one group.  Long lists that still hold several groups are then
+compared whole, except within a group: the sets outside a list's largest group pass by all of its sets.  Where that is
+more than ``WIDE`` comparisons, the list is split by the next values that its sets share, level by level, if the lists
+of the next level take fewer comparisons.
 
 Hashes are 64-bit; equal sets are told by 128 bits.  Rows with a null doc_id link with nothing; null and empty texts,
 and texts of white space alone, have an empty set and link with nothing.  Repeated rows of a doc_id are copies of one
@@ -22,6 +22,7 @@ document and get equal rows.  An empty table gives an empty result.  Columns of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,11 @@ from docsluice.llm.vectors import blocks_and_streams
 
 K = 20  # retained values
 PERCENT = 80  # similarity from which documents are linked
+RISK = 2e-6  # most that a pair at the least similarity may be missed by its sketches
 PAIRED, NEXT = 9, 2  # sets of a fully compared list; neighbours met in longer lists
-BLOCK = 512  # sets near a leader that are held together while the leader's sets pass by
+BLOCK = 512  # sets that are held together for exact comparison while others pass by
 LIST_PART, CELLS = 16_384, 1 << 22  # sets of a long list that are held together; counters used at a time
-FLOOR = 0.3  # least estimate that is verified: a 20-value estimate of 0.8 falls below it once in five million times
+WIDE = 1 << 24  # comparisons of a list from which it is split further
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -154,6 +156,14 @@ def union_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return hits / np.maximum(1, union)
 
 
+def least_shared(percent: int, k: int = K) -> int:
+    """How many of k values two sets of that similarity share, but for ``RISK``."""
+    p, below, t = percent / 100, 0.0, 0
+    while t < k and (below := below + comb(k, t) * p**t * (1 - p) ** (k - t)) <= RISK:
+        t += 1
+    return max(1, t)
+
+
 def _padded(column: pa.Array, k: int, pad: int) -> np.ndarray:
     raw, bounds = utf8_rows(column)
     flat, size = raw[bounds[0] : bounds[-1]].copy().view("<u4"), np.diff(bounds) // 4
@@ -163,7 +173,9 @@ def _padded(column: pa.Array, k: int, pad: int) -> np.ndarray:
 
 
 def _meet(k: int, percent: int):
-    """Pairs (a, b, lead) of the sets in lists that come sorted by (v, w, id); ``lead`` if a leads b's list."""
+    """Pairs (a, b) of the sets in lists that come sorted by (path, part, id)."""
+    floor = least_shared(percent, k) / k - 1e-9
+
     def pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         v, w, n, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         new = np.ones(len(v), bool)
@@ -172,22 +184,20 @@ def _meet(k: int, percent: int):
         sizes = np.diff(np.append(heads, len(v)))
         place = np.arange(len(v)) - np.repeat(heads, sizes)
         size = np.repeat(sizes, sizes)
-        a, b, lead = [], [], []
+        a, b = [], []
         for step in range(1, PAIRED):
             x = np.flatnonzero((place + step < size) & ((size <= PAIRED) | (step <= NEXT)))
-            a.append(x), b.append(x + step), lead.append(np.zeros(len(x), bool))
-        x = np.flatnonzero((size > PAIRED) & (place > 0))
-        a.append(x - place[x]), b.append(x), lead.append(np.ones(len(x), bool))
-        a, b, lead = map(np.concatenate, (a, b, lead))
-        low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        fits = np.where(lead, low * 100 >= high * (2 * percent - 100), low * 100 >= high * percent)
-        a, b, lead = a[fits], b[fits], lead[fits]
+            a.append(x), b.append(x + step)
+        x = np.flatnonzero((size > PAIRED) & (place > NEXT))
+        a.append(x - place[x]), b.append(x)
+        a, b = map(np.concatenate, (a, b))
+        fits = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent
+        a, b = a[fits], b[fits]
         left, right = _padded(batch.column(4), k, 2**64 - 1), _padded(batch.column(4), k, 2**64 - 2)
         for at in range(0, len(a), 50_000):
-            i, j, m = a[at : at + 50_000], b[at : at + 50_000], lead[at : at + 50_000]
-            good = union_estimate(left[i], right[j]) >= FLOOR
-            i, j, m = i[good], j[good], m[good]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(m)], ["a", "b", "lead"])
+            i, j = a[at : at + 50_000], b[at : at + 50_000]
+            good = union_estimate(left[i], right[j]) >= floor
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i[good]]), pa.array(ids[j[good]])], ["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -224,14 +234,14 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b, lead) with the exact sizes of intersection (``both``) and union (``any``) of their sets."""
+    """Pairs (a, b) with the exact sizes of intersection (``both``) and union (``any``) of their sets."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
     full = full_sets(docs, ids, width)
     left, right = full.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), full.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (ra, ea), (rb, eb) = utf8_rows(batch.column(3)), utf8_rows(batch.column(4))
+            (ra, ea), (rb, eb) = utf8_rows(batch.column(2)), utf8_rows(batch.column(3))
             both, any_ = [], []
             for i in range(batch.num_rows):
                 x, y = ra[ea[i] : ea[i + 1]].view(np.uint64), rb[eb[i] : eb[i + 1]].view(np.uint64)
@@ -240,85 +250,123 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 n = int((y[at] == x).sum())
                 both.append(n), any_.append(len(x) + len(y) - n)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(both, pa.int64()), pa.array(any_, pa.int64())], ["a", "b", "lead", "both", "any"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(both, pa.int64()), pa.array(any_, pa.int64())], ["a", "b", "both", "any"])
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb")
+    return joined.mapInArrow(count, "a long, b long, both long, any long")
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "lead", "ha", "hb")
-    return joined.mapInArrow(count, "a long, b long, lead boolean, both long, any long")
+
+def by_rarity(sets: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:
+    """(id, n, brief, vals, reach) of the sets that may have a partner: the retained values that other sets retain too,
+    rarest first.  Level j of the lists takes the first ``reach`` + j of them."""
+    values = sets.select("id", F.size("kept").alias("size"), F.explode("kept").alias("v"))
+    shared = values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+    ordered = values.join(shared, "v").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("s"))
+    least = F.least(F.lit(least_shared(percent, k)), F.ceil(F.col("size") * percent / 100)).cast("int")
+    ordered = ordered.where(F.size("s") >= least).select("id", F.col("s.v").alias("vals"), (F.size("s") - least).alias("reach"))
+    return sets.select("id", "n", "brief").join(ordered, "id")
+
+
+def first_lists(ordered: DataFrame) -> DataFrame:
+    """(path, pos, id): each set under its rarest values."""
+    return ordered.select("id", F.posexplode(F.slice("vals", F.lit(1), F.col("reach") + 1)).alias("pos", "path")).select("path", "pos", "id")
 
 
 def linked_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int = PERCENT, k: int = K) -> DataFrame:
     """(a, b) links between the representatives of distinct sets (id, n, kept, brief) that join every linked group.
 
     Links within a group that is already joined are not verified: first every set's pair with the least id, then the
-    pairs whose ends are still apart, then what the leaders leave open, then long lists across groups.
+    pairs whose ends are still apart, then long lists across groups.
     """
-    lists = sets.select("id", "n", "kept", "brief", F.posexplode("kept").alias("p", "v")).select(
-        "v", F.element_at("kept", (F.col("p") + 1) % F.size("kept") + 1).alias("w"), "n", "id", "brief"
-    )
-    met = lists.repartition("v", "w").sortWithinPartitions("v", "w", "id").mapInArrow(_meet(k, percent), "a long, b long, lead boolean")
-    pairs = checkpoint(met.groupBy("a", "b").agg(F.max("lead").alias("lead")))
+    ordered = checkpoint(by_rarity(sets, percent, k))
+    lists = first_lists(ordered)
+    sizes = checkpoint(lists.groupBy("path").agg(F.count("*").alias("m"), F.min("id").alias("lo")).where("m > 1"))
+    # A long list is dealt to several tasks; its leader is in each.
+    parts = F.ceil(F.col("m") / LIST_PART)
+    own = F.when(F.col("id") == F.col("lo"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), parts)))
+    rows = lists.join(sizes, "path").select("path", "id", F.explode(own).alias("part")).join(ordered.select("id", "n", "brief"), "id")
+    dealt = rows.select("path", "part", "n", "id", "brief").repartition("path", "part").sortWithinPartitions("path", "part", "id")
+    pairs = checkpoint(dealt.mapInArrow(_meet(k, percent), "a long, b long").distinct())
     linked = F.col("both") * 100 >= F.col("any") * percent
 
     # Ids of a pair are in order, so a set's pair with the least id is the minimum of its ``a``.
-    first = pairs.groupBy("b").agg(F.min(F.struct("a", "lead")).alias("x")).select("x.a", "b", "x.lead")
-    tried = checkpoint(confirm(first, docs, width))
-    edges = tried.where(linked).select("a", "b")
-    apart = checkpoint(_apart(pairs, edges).join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    known = checkpoint(confirm(apart, docs, width).unionAll(tried))
-    edges = known.where(linked).select("a", "b")
-
-    # Sets near a leader and not in its group, against the sets about as near to it.
-    around = F.col("both") * 100 >= F.col("any") * (2 * percent - 100)
-    fringe = known.where("lead").where(around & ~linked)
-    fringe = checkpoint(fringe.join(_apart(fringe.select("a", "b", "lead"), edges).select("a", "b"), ["a", "b"], "left_semi"))
-    if not fringe.isEmpty():
-        leaders = fringe.select("a").distinct()
-        unknown = pairs.where("lead").join(leaders, "a", "left_semi").join(known.select("a", "b"), ["a", "b"], "left_anti")
-        scored = known.where("lead").join(leaders, "a", "left_semi").unionAll(confirm(checkpoint(unknown), docs, width)).where(around)
-        likeness = F.col("both") / F.col("any")
-        near, others = fringe.select("a", F.col("b").alias("x"), likeness.alias("jx")), scored.select("a", F.col("b").alias("y"), likeness.alias("jy"))
-        edges = checkpoint(edges.unionAll(_in_blocks(near, others, docs, width, percent)))
-    return edges.unionAll(_across(sets, first, edges, docs, width, percent, k))
-
-
-def _across(sets: DataFrame, first: DataFrame, edges: DataFrame, docs: DataFrame, width: int, percent: int, k: int) -> DataFrame:
-    """(a, b) links between sets of long lists that ``edges`` leave in different groups.
-
-    Such lists are compared whole, part by part inside the tasks; a pair whose estimate passes comes out as the block of
-    one set (the sets that share its least partner) and the other set that has to pass by, and is compared exactly there.
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    edges = checkpoint(confirm(first, docs, width).where(linked).select("a", "b"))
+    apart = checkpoint(_apart(pairs, edges).join(first, ["a", "b"], "left_anti"))
+    edges = checkpoint(confirm(apart, docs, width).where(linked).select("a", "b").unionAll(edges))
+
+    home = ordered.join(components(edges).withColumnRenamed("node", "id"), "id", "left").join(first.withColumnsRenamed({"b": "id", "a": "home"}), "id", "left")
+    home = checkpoint(home.withColumn("group", F.coalesce("component", "id")).withColumn("home", F.coalesce("home", "id")).drop("component"))
+    long = lists.join(sizes.where(F.col("m") > PAIRED).select("path"), "path").join(home.select("id", "group"), "id")
+    found = None
+    for rows, tallies in open_lists(long, home, least_shared(percent, k)):
+        part = list_pairs(rows, tallies, home, percent, k)
+        found = part if found is None else found.unionAll(part)
+    return edges if found is None else edges.unionAll(_in_blocks(checkpoint(found.distinct()), docs, width, percent))
+
+
+def _tally(rows: DataFrame, *keys: str) -> DataFrame:
+    """Per list that holds several groups: its sets, its largest group, and the comparisons that it takes."""
+    of_group = rows.groupBy(*keys, "group").agg(F.count("*").alias("c"))
+    lists = of_group.groupBy(*keys).agg(F.sum("c").alias("m"), F.max(F.struct("c", "group")).alias("top"))
+    cost = (F.col("m") - F.col("top.c")).cast("double") * F.col("m")
+    return lists.where("m > top.c").select(*keys, "m", F.col("top.group").alias("top"), cost.alias("cost"))
+
+
+def open_lists(rows: DataFrame, home: DataFrame, levels: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Rows (path, pos, id, group) and tallies of the lists to be compared whole, level by level.
+
+    The lists of a level are compared but for those that are wide and whose split takes fewer comparisons.
     """
-    group = components(edges).withColumnRenamed("node", "id")
-    home = sets.join(group, "id", "left").join(first.select(F.col("b").alias("id"), "a"), "id", "left")
-    home = checkpoint(home.select("id", "n", "kept", "brief", F.coalesce("component", "id").alias("group"), F.coalesce("a", "id").alias("home")))
-    slim = home.select("id", "group", "kept", F.posexplode("kept").alias("p", "v")).select(
-        "v", F.element_at("kept", (F.col("p") + 1) % F.size("kept") + 1).alias("w"), "id", "group"
-    )
-    sizes = slim.groupBy("v", "w").agg(F.count("*").alias("m"), F.min("group").alias("lo"), F.max("group").alias("hi"))
-    open_ = checkpoint(sizes.where((F.col("m") > PAIRED) & (F.col("lo") != F.col("hi"))).select("v", "w", F.ceil(F.col("m") / LIST_PART).cast("int").alias("parts")))
-    if open_.isEmpty():
-        return edges.limit(0)
-    rows = slim.select("v", "w", "id").join(open_, ["v", "w"]).join(home.select("id", "n", "brief", "group", "home"), "id")
-    own = F.pmod(F.xxhash64("id"), "parts").cast("int")
-    body = ["id", "n", "group", "home", "brief"]
-    held = rows.select("v", "w", own.alias("part"), F.lit(0).alias("flag"), *body)
-    passing = rows.select("v", "w", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("flag"), *body)
-    dealt = held.unionAll(passing).repartition("v", "w", "part").sortWithinPartitions("v", "w", "part", "flag")
-    found = checkpoint(dealt.mapInArrow(blocks_and_streams(3, _list_pairs(k, percent)), "a long, flag int, id long").distinct())
-    none = F.lit(0.0)  # no likeness to a leader is known, so none rules a pair out
-    near, others = found.where("flag = 0").select("a", F.col("id").alias("x"), none.alias("jx")), found.where("flag = 1").select("a", F.col("id").alias("y"), none.alias("jy"))
-    return _in_blocks(near, others, docs, width, percent)
+    tallies = checkpoint(_tally(rows, "path"))
+    for level in range(1, levels + 1):
+        if tallies.isEmpty():
+            return
+        wide = tallies.where(F.col("cost") > WIDE)
+        if level == levels or wide.isEmpty():
+            yield rows, tallies
+            return
+        parents = wide.select(F.col("path").alias("parent"), F.col("cost").alias("before"))
+        behind = F.expr(f"filter(transform(vals, (v, i) -> struct(v, i)), x -> x.i > pos and x.i <= reach + {level})")
+        below = (
+            rows.withColumnRenamed("path", "parent").join(parents.select("parent"), "parent").join(home.select("id", "vals", "reach"), "id")
+            .select("parent", "id", "group", F.explode(behind).alias("x"))
+            .select("parent", F.xxhash64("parent", "x.v").alias("path"), F.col("x.i").alias("pos"), "id", "group")
+        )
+        below = checkpoint(below)
+        inner = checkpoint(_tally(below, "parent", "path"))
+        after = inner.groupBy("parent").agg(F.sum("cost").alias("after"))
+        split = checkpoint(parents.join(after, "parent", "left").where("coalesce(after, 0) < before").select("parent"))
+        yield rows, tallies.join(split.withColumnRenamed("parent", "path"), "path", "left_anti")
+        rows = below.join(split, "parent", "left_semi").select("path", "pos", "id", "group")
+        tallies = inner.join(split, "parent", "left_semi").drop("parent")
+
+
+def list_pairs(rows: DataFrame, tallies: DataFrame, home: DataFrame, percent: int, k: int) -> DataFrame:
+    """(a, flag, id): candidates across the groups of lists, as sets to be held at block ``a`` (flag 0), the sets that
+    share their least partner, and sets that pass by there (flag 1)."""
+    body = rows.select("path", "id").join(tallies.select("path", "top", F.ceil(F.col("m") / LIST_PART).alias("parts")), "path")
+    body = body.join(home.select("id", "n", "brief", "group", "home"), "id")
+    columns = ["id", "n", "group", "home", "brief", "top"]
+    held = body.select("path", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.lit(0).alias("flag"), *columns)
+    passing = body.where(F.col("group") != F.col("top"))
+    passing = passing.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("flag"), *columns)
+    dealt = held.unionAll(passing).repartition("path", "part").sortWithinPartitions("path", "part", "flag")
+    return dealt.mapInArrow(blocks_and_streams(2, _list_pairs(k, percent)), "a long, flag int, id long")
 
 
 def _list_pairs(k: int, percent: int):
-    """Rows (a, flag, id) of a part of a list: sets to be held at block ``a`` (flag 0) and to pass by there (flag 1)."""
+    """The candidates of a part of a list."""
+    floor = least_shared(percent, k) / k - 1e-9
+
     def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-        return [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4, 8)]
+        return [batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6, 8)]
 
     def work(key: tuple, block: list[pa.RecordBatch], stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not block:
             return
-        ids, n, group, home = map(np.concatenate, zip(*map(columns, block)))
-        right = np.concatenate([_padded(b.column(8), k, 2**64 - 2) for b in block])
+        ids, n, group, home, largest = map(np.concatenate, zip(*map(columns, block)))
+        right = np.concatenate([_padded(b.column(7), k, 2**64 - 2) for b in block])
         m, real = len(ids), right < np.uint64(1 << 32)
         kept = real.sum(1)
         order = np.argsort(right[real], kind="stable")
@@ -327,9 +375,9 @@ def _list_pairs(k: int, percent: int):
         count = np.diff(np.append(start, len(order)))
         step = max(1, CELLS // max(m, k * k))
         for batch in stream:
-            fields, sketch = columns(batch), _padded(batch.column(8), k, 2**64 - 1)
+            fields, sketch = columns(batch), _padded(batch.column(7), k, 2**64 - 1)
             for top in range(0, batch.num_rows, step):
-                xi, xn, xg, _ = (f[top : top + step] for f in fields)
+                xi, xn, xg, _, _ = (f[top : top + step] for f in fields)
                 left = sketch[top : top + step]
                 mine = left < np.uint64(1 << 32)
                 at = np.minimum(np.searchsorted(known, left[mine]), len(known) - 1)
@@ -342,13 +390,14 @@ def _list_pairs(k: int, percent: int):
                 # The union's sketch has at least as many values as the larger of the two.
                 i, j = np.divmod(np.flatnonzero(both), m)
                 low, high = np.minimum(xn[i], n[j]), np.maximum(xn[i], n[j])
-                least = FLOOR * np.maximum(mine.sum(1)[i], kept[j]) - 1e-9
-                good = (xi[i] < ids[j]) & (xg[i] != group[j]) & (low * 100 >= high * percent) & (both[i * m + j] >= least)
+                least = floor * np.maximum(mine.sum(1)[i], kept[j]) - 1e-9
+                once = (xi[i] < ids[j]) | (group[j] == largest[j])  # the largest group does not pass by
+                good = once & (xg[i] != group[j]) & (low * 100 >= high * percent) & (both[i * m + j] >= least)
                 i, j = i[good], j[good]
                 out = []
                 for part in range(0, len(i), 50_000):
                     x, y = i[part : part + 50_000], j[part : part + 50_000]
-                    good = union_estimate(left[x], right[y]) >= FLOOR
+                    good = union_estimate(left[x], right[y]) >= floor
                     x, y = x[good], y[good]
                     zero = np.zeros(len(x), np.int64)
                     out += [np.stack([home[y], zero, ids[y]], 1), np.stack([home[y], zero + 1, xi[x]], 1)]
@@ -359,26 +408,22 @@ def _list_pairs(k: int, percent: int):
     return work
 
 
-def _in_blocks(near: DataFrame, others: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) links of the sets x near a leader with the leader's other sets y; similarities to the leader come along."""
-    parts = near.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    held = near.join(parts, "a").select("a", F.pmod(F.xxhash64("x"), "parts").cast("int").alias("part"), F.lit(0).alias("flag"), F.col("x").alias("id"), F.col("jx").alias("j"))
-    passing = others.join(parts, "a").select(
-        "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("flag"), F.col("y").alias("id"), F.col("jy").alias("j")
-    )
-    rows = checkpoint(held.unionAll(passing))
+def _in_blocks(found: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) links of the sets held at a block with the sets that pass by there."""
+    parts = found.where("flag = 0").groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    own = F.when(F.col("flag") == 0, F.array(F.pmod(F.xxhash64("id"), "parts").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = checkpoint(found.join(parts, "a").select("a", F.explode(own).alias("part"), "flag", "id"))
     full = full_sets(docs, rows.select(F.col("id").alias("doc_id")).distinct(), width).withColumnRenamed("doc_id", "id")
-    gap = 1 - percent / 100 + 1e-9
 
     def values(batch: pa.RecordBatch) -> list[np.ndarray]:
-        raw, edge = utf8_rows(batch.column(5))
+        raw, edge = utf8_rows(batch.column(4))
         return [raw[a:b].view(np.uint64) for a, b in zip(edge[:-1], edge[1:])]
 
     def meet(key: tuple, block: list[pa.RecordBatch], stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not block:
             return
         own = [v.copy() for batch in block for v in values(batch)]
-        ids, like = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in block]) for i in (3, 4))
+        ids = np.concatenate([b.column(3).to_numpy(zero_copy_only=False) for b in block])
         size = np.array([len(v) for v in own])
         flat = np.concatenate(own)
         order = np.argsort(flat, kind="stable")
@@ -387,18 +432,18 @@ def _in_blocks(near: DataFrame, others: DataFrame, docs: DataFrame, width: int,
         count = np.diff(np.append(first, len(flat)))
         for batch in stream:
             found = []
-            for y, j, v in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), values(batch)):
+            for y, v in zip(batch.column(3).to_pylist(), values(batch)):
                 at = np.minimum(np.searchsorted(known, v), len(known) - 1)
                 at = at[known[at] == v]
                 n = count[at]
                 spots = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 both = np.bincount(owner[spots], minlength=len(own))
-                good = (both * 100 >= percent * (size + len(v) - both)) & (np.abs(like - j) <= gap) & (ids != y)
+                good = (both * 100 >= percent * (size + len(v) - both)) & (ids != y)
                 found += [(min(x, y), max(x, y)) for x in ids[good].tolist()]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
-    joined = rows.join(full, "id").select("a", "part", "flag", "id", "j", "h").repartition("a", "part").sortWithinPartitions("a", "part", "flag")
+    joined = rows.join(full, "id").select("a", "part", "flag", "id", "h").repartition("a", "part").sortWithinPartitions("a", "part", "flag")
     return joined.mapInArrow(blocks_and_streams(2, meet), "a long, b long").distinct()
 
 
@@ -407,7 +452,7 @@ def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     group = components(edges)
     a, b = group.select(F.col("node").alias("a"), F.col("component").alias("ca")), group.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     sides = pairs.join(a, "a", "left").join(b, "b", "left")
-    return sides.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "lead")
+    return sides.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:

@@ -1,12 +1,14 @@
-"""Ties at the cut of a search, near repeats of a notice, long labelled texts, and the network's pass on its own."""
+"""Ties at the cut of a search, near repeats of a notice, long lists of sketches, long labelled texts, and the network's pass on its own."""
 
 import random
 
 import numpy as np
+import pytest
 import regex
 from pyspark.sql import functions as F
 
-from docsluice.llm import ann, license_scan, quality
+from docsluice.llm import ann, license_scan, minhash, quality
+from tests.llm.test_texts import brute_groups
 
 
 def test_ties_between_different_vectors_go_to_the_smaller_id(spark):
@@ -111,3 +113,44 @@ def test_the_networks_score_by_a_plain_pass():
     for size in (0, 1, quality.WIDTH, 300, 2500):
         raw = bytes(rng.integers(97, 107, size).astype(np.uint8))
         assert abs(quality.score_text(net, np.frombuffer(raw, np.uint8)) - plain_score(net, raw)) < 1e-4
+
+
+def frequent_lines(seed: int, texts: int, copies: int):
+    rng = random.Random(seed)
+    pool = [[f"l{i}w{j}" for j in range(12)] for i in range(60)]
+    rows = [[w for line in rng.sample(pool, 20) for w in line] for _ in range(texts)]
+    for _ in range(copies):
+        text = list(rows[rng.randrange(texts)])
+        at = 12 * rng.randrange(20)
+        rows.append(text[:at] + rng.choice(pool) + text[at + 12 :])
+    ids = rng.sample(range(10 * len(rows)), len(rows))
+    return [(i, " ".join(words)) for i, words in zip(ids, rows)]
+
+
+@pytest.mark.parametrize("wide", [50, 2000])
+def test_long_lists_are_split_without_loss(frame, monkeypatch, wide):
+    """Every list long: in several parts, in several blocks, and split level by level where that takes fewer comparisons."""
+    rows = frequent_lines(3, 240, 60)
+    rows += [(10_000 + i, f"u{i} " + rows[0][1]) for i in range(40)]
+    want = {i: g for i, (_, g, _) in brute_groups(rows, 2).items()}
+    for name, value in (("WIDE", wide), ("LIST_PART", 64), ("BLOCK", 16)):
+        monkeypatch.setattr(minhash, name, value)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(rows), 2).collect()} == want
+
+
+def test_a_frequent_line_makes_no_list(spark):
+    """A line that all texts hold fills fewer than 7 of 20 retained values of most, and those texts are in no list."""
+    rng = random.Random(8)
+    line = " ".join(f"c{i}" for i in range(25))
+    rows = [(i, " ".join(f"w{rng.randrange(10**7)}" for _ in range(150)) + " " + line) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = minhash.sketches(docs, 2).select(F.col("doc_id").alias("id"), "n", "kept", "brief")
+    lists = minhash.first_lists(minhash.by_rarity(sets))
+    assert lists.count() < 120
+    assert minhash.least_shared(80) == 7 and minhash.least_shared(50) == 1
+
+
+def test_near_duplicates_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert minhash.near_duplicates(docs).collect() == []
+    assert minhash.keep_first(docs).collect() == []
