@@ -209,14 +209,17 @@ def _validate_requests(t: Tables) -> DataFrame:
 
 
 def requirements_table(t: Tables) -> DataFrame:
-    """A flat requirement per labelled document; the id repeats where languages and lengths coincide."""
+    """A flat requirement per labelled document; the id repeats where languages and lengths coincide.
+
+    The confidence is rounded as a double, as the SQL does: a hundredfold first, so 0.145 (stored below that) is 0.14.
+    """
     joined = t.documents.join(t.labels, "doc_id")
     return joined.select(
         F.col("source").alias("tender_id"),
         F.col("doc_id").alias("pos"),
         F.concat("lang", F.lit("-"), F.floor(F.col("n_chars") / 500).cast("string")).alias("id"),
         tx.js_trim(F.col("text")).alias("text"),
-        F.round(F.least(F.lit(1.0), F.col("n_chars") / 5000), 2).alias("confidence"),
+        (F.round(F.least(F.lit(1.0), F.col("n_chars") / 5000) * 100) / 100).alias("confidence"),
         (F.col("toxic") == 1).alias("needs_review"),
     )
 
