@@ -41,17 +41,20 @@ def parse_documents(docs: DataFrame, json: str = "json") -> DataFrame:
 
 
 def _kind(v: Column) -> Column:
-    """JSON type of a variant: NULL when absent."""
-    name = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), F.lit(None))
-        .when(F.is_variant_null(v), "null")
-        .when(name.startswith("OBJECT"), "object")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name == "STRING", "string")
-        .when(name == "BOOLEAN", "boolean")
-        .otherwise("number")
-    )
+    """JSON type of a variant: NULL when absent.  The value is looked up once, however many types are told apart."""
+
+    def named(name: Column) -> Column:
+        return (
+            F.when(name.isNull(), F.lit(None))
+            .when(name == "VOID", "null")
+            .when(name.startswith("OBJECT"), "object")
+            .when(name.startswith("ARRAY"), "array")
+            .when(name == "STRING", "string")
+            .when(name == "BOOLEAN", "boolean")
+            .otherwise("number")
+        )
+
+    return tx.let(F.schema_of_variant(v), named)
 
 
 def _get(v: Column, path: str) -> Column:
@@ -193,8 +196,11 @@ def validate(docs: DataFrame, issues, key: str = "doc_id") -> DataFrame:
 
 
 def accept_valid(docs: DataFrame, issues, key: str = "doc_id") -> DataFrame:
-    """Documents without a single issue: a row filter, since all rules of a document look at that document alone."""
-    return docs.where(F.size(issues(F.col("doc"))) == 0)
+    """Documents without a single issue: a row filter, since all rules of a document look at that document alone.
+
+    The filter sinks below the column it reads, so every use of ``doc`` would parse the text anew; ``let`` parses it once.
+    """
+    return docs.where(F.size(tx.let(F.col("doc"), issues)) == 0)
 
 
 def _source(v: Column) -> Column:
