@@ -1,6 +1,7 @@
 """Rows on which queries once differed from their SQL, as small tables of their own."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from docsluice.plans import QUERIES
 from tests.oracle import compare, connect
@@ -33,3 +34,25 @@ def test_same_as_sql(spark, folder, name):
 def test_accept_valid_parses_once(spark, folder):
     plan = QUERIES["accept_valid"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Parse") + plan.count("parse") <= 2  # one call and its name; 97 names before
+
+
+def test_card_reads_its_page_once(spark):
+    """The page and its text are values of one struct; patterns do not compute them anew (6 times before)."""
+    from docsluice.functions import html as hx
+    from docsluice.operators import cards
+
+    page = "<p>Заказчик: ОАО Мир</p><!-- x --><tr><td>Ключ :</td><td>a  b</td><td></td><td>c &amp;&nbsp;d</td></tr><dt>Срок</dt> <dd><b>5</b> дней</dd>"
+    html = hx.strip_comments(F.col("html"))
+    rows = spark.createDataFrame([(page,)], "html string").select(cards.labelled_fields(html, hx.strip_html(html)).alias("f"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("<!--") == 2
+    found = {f["key"]: f["value"] for f in rows.first()["f"]}
+    assert found["Ключ"] == "a b c & d" and found["Срок"] == "5 дней"
+
+
+def test_footer_marks_in_any_case(spark):
+    from docsluice.operators import cards
+
+    body = "текст " * 20
+    rows = [(body + "РЕСПУБЛИКАНСКОЕ унитарное  предприятие x",), (body + "© y",), (body + "2013 - 2026",), (body + "no mark",)]
+    out = [r[0] for r in spark.createDataFrame(rows, "t string").select(cards.truncate_site_chrome(F.col("t"))).collect()]
+    assert out == [body.rstrip(), body.rstrip(), body.rstrip(), body + "no mark"]
