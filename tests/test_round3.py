@@ -37,7 +37,7 @@ def test_accept_valid_parses_once(spark, folder):
 
 
 def test_card_reads_its_page_once(spark):
-    """The page and its text are values of one struct; patterns do not compute them anew (6 times before)."""
+    """The page and its text are values of one struct; patterns do not compute them anew."""
     from docsluice.functions import html as hx
     from docsluice.operators import cards
 
