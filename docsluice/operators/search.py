@@ -2,9 +2,10 @@
 
 Pairs of rows are never shuffled.  A batch whose size is checked to be small travels to the chunk scan, where each task
 scores Arrow batches as one matrix product and keeps k rows per query.  A larger batch is matched cell by cell: both
-sides are assigned to the nearest of the pivots, whose number grows with the root of the rows; a first pass over the
-home cell bounds how far a hit can be, and the triangle inequality then leaves few cells, and rings of them, for the
-second.  Both ways are exact.
+sides are assigned to the nearest of the pivots, whose number grows with the root of the rows; queries of neighbouring
+cells form slices of bounded size; a first pass over a block of their cells' rows bounds how far a hit can be, and the
+triangle inequality then leaves few cells, and rings of them, for the second.  Where vectors lie so that it leaves all,
+a row is shipped once for each slice, and there are as few of these as their size allows.  Both ways are exact.
 """
 
 from __future__ import annotations
@@ -26,7 +27,11 @@ TOP_K_SEARCH, TOP_K_ASK, TOP_K_CHAT, TOP_K_CHAT_MAX = 12, 10, 8, 24
 
 MAX_SHIPPED_FLOATS = 4_000_000  # a query batch up to this size (32 MB) travels to the chunk scan
 SCORE_DIGITS = 9  # scores are compared after rounding, so ties fall to the id and not to summation order
-TILE_SCORES = 1_000_000  # scores computed at once (8 MB), whatever the number of queries and rows
+SLICE_FLOATS = 2_000_000  # queries in a slice (8 MB of 32-bit numbers): every row that they reach is shipped once for them
+PART_FLOATS = 4_000_000  # rows in a part of what a slice reaches: its queries are shipped once for each part
+SHORT_PART_ROWS = 8192  # parts may be shorter where there are fewer tasks than cores, but not than this
+MAX_BROADCAST_ROWS = 1_000_000  # rows (48 MB) of the table that says which slice needs which cell
+TILE_SCORES = 500_000  # scores computed at once (2 MB of 32-bit numbers), whatever the number of queries and rows
 MAX_PIVOTS = 4096
 NEAR_CELLS = 16  # cells around a query that give its first bound
 REACH_ROWS = 256  # queries whose first bounds are computed at once
@@ -44,7 +49,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 def _tiles(n_queries: int, n_rows: int) -> Iterator[tuple[slice, slice]]:
     """Query and row ranges whose scores fit TILE_SCORES."""
-    wide = min(n_rows, max(1024, TILE_SCORES // max(1, n_queries)))
+    wide = min(n_rows, max(4096, TILE_SCORES // max(1, n_queries)))
     tall = max(1, TILE_SCORES // max(1, wide))
     for r in range(0, n_rows, max(1, wide)):
         for q in range(0, n_queries, tall):
@@ -52,39 +57,81 @@ def _tiles(n_queries: int, n_rows: int) -> Iterator[tuple[slice, slice]]:
 
 
 class _Nearest:
-    """The k best (score, id) of every query over rows that come in parts; ties go to the smaller id."""
+    """The k best (score, id) of every query over rows that come in parts; ties go to the smaller id.
+
+    What may be a hit waits until there is as much of it as of hits, and is then merged with them at once.
+    """
 
     def __init__(self, queries: np.ndarray, k: int):
         self.q, self.k = queries, k
-        self.floor = np.full(len(queries), -np.inf)  # the k-th best score so far
-        self.row = np.zeros(0, np.int64)
-        self.score = np.zeros(0)
+        self.q32 = queries.astype(np.float32)
+        self.floor = np.full(len(queries), -np.inf)  # the k-th best score is this at least
+        self.last = np.full(len(queries), -1)  # where in ``ids`` the k-th best is, if the floor is its score
+        self.row, self.score = np.zeros(0, np.int64), np.zeros(0)
         self.ids: np.ndarray | None = None
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_waiting = 0
 
     def add(self, unit_rows: np.ndarray, ids: np.ndarray) -> None:
+        rows32 = unit_rows.astype(np.float32)
+        margin = 10**-SCORE_DIGITS + (unit_rows.shape[1] + 4) * 2.0 * np.finfo(np.float32).eps  # more than rounding can add
         for qs, rs in _tiles(len(self.q), len(ids)):
-            scores = np.round(self.q[qs] @ unit_rows[rs].T, SCORE_DIGITS) + 0.0
-            floor = self.floor[qs]
-            if scores.shape[1] > self.k:
+            scores = self.q32[qs] @ rows32[rs].T  # tells what may be a hit; that is then scored in double precision
+            near = None if np.isneginf(self.floor[qs]).any() else scores >= (self.floor[qs] - margin).astype(np.float32)[:, None]
+            if scores.shape[1] > self.k and (near is None or np.count_nonzero(near) > self.k * len(scores)):
                 at = scores.shape[1] - self.k
-                floor = np.maximum(floor, np.partition(scores, at, axis=1)[:, at])
-            row, col = np.nonzero(scores >= floor[:, None])
-            self._merge(row + qs.start, scores[row, col], ids[rs][col])
-
-    def _merge(self, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        if self.ids is not None:
-            row, score, ids = np.concatenate([self.row, row]), np.concatenate([self.score, score]), np.concatenate([self.ids, ids])
-        order = np.lexsort((pd.factorize(ids, sort=True)[0], -score, row))
+                least = np.partition(scores, at, axis=1)[:, at] - margin
+                higher = least > self.floor[qs]
+                self.floor[qs] = np.where(higher, least, self.floor[qs])
+                self.last[qs] = np.where(higher, -1, self.last[qs])
+                near = None
+            if near is None:
+                near = scores >= (self.floor[qs] - margin).astype(np.float32)[:, None]
+            row, col = np.divmod(np.flatnonzero(near), scores.shape[1])
+            exact = [
+                np.einsum("ij,ij->i", self.q[qs][row[i : i + 65_536]], unit_rows[rs][col[i : i + 65_536]]) for i in range(0, len(row), 65_536)
+            ]
+            score = np.round(np.concatenate([np.zeros(0), *exact]), SCORE_DIGITS) + 0.0
+            row, found = row + qs.start, ids[rs][col]
+            level = score == self.floor[row]
+            level[level] = self._before(row[level], found[level])
+            kept = level | (score > self.floor[row])
+            if kept.any():
+                self.waiting.append((row[kept], score[kept], found[kept]))
+                self.n_waiting += len(self.waiting[-1][0])
+                if self.n_waiting > max(1_000_000, len(self.q) * self.k):
+                    self._merge()
+
+    def _before(self, row: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether rows of the k-th best score come before the k-th best, or may do so."""
+        at, out = self.last[row], np.ones(len(row), bool)
+        if ids.dtype != object and (at >= 0).any():
+            out[at >= 0] = ~(ids[at >= 0] >= self.ids[at[at >= 0]])
+        return out
+
+    def _merge(self) -> None:
+        if not self.waiting:
+            return
+        held = [(self.row, self.score, self.ids)] if self.ids is not None else []
+        row, score, ids = (np.concatenate(x) for x in zip(*held, *self.waiting))
+        self.waiting, self.n_waiting = [], 0
+        order = np.lexsort((ids if ids.dtype.kind == "i" else pd.factorize(ids, sort=True)[0], -score, row))
         row, score, ids = row[order], score[order], ids[order]
-        heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(heads, len(row)))
-        rank = np.arange(len(row)) - np.repeat(heads, sizes)
-        full = row[rank == self.k - 1]
-        self.floor[full] = score[rank == self.k - 1]
+        heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        rank = np.arange(len(row)) - np.repeat(heads, np.diff(np.append(heads, len(row))))
         kept = rank < self.k
-        self.row, self.score, self.ids = row[kept], score[kept], ids[kept]
+        self.row, self.score, self.ids, rank = row[kept], score[kept], ids[kept], rank[kept]
+        full = np.flatnonzero(rank == self.k - 1)
+        self.floor[self.row[full]], self.last[:] = self.score[full], -1
+        self.last[self.row[full]] = full
+
+    def floors(self) -> np.ndarray:
+        """The k-th best score of every query so far."""
+        self._merge()
+        return self.floor
 
     def frame(self, query_ids: np.ndarray) -> pd.DataFrame:
+        self._merge()
         ids = self.ids if self.ids is not None else np.zeros(0, np.int64)
         return pd.DataFrame({"query_id": query_ids[self.row], "chunk_id": ids, "score": self.score})
 
@@ -102,8 +149,11 @@ def top_k(
 ) -> DataFrame:
     """(query_id, chunk_id, score, hit_rank): the k best chunks of each query among those of its dimension."""
     k = max(1, k)
-    left = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v"))
-    right = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
+    # Vectors of 32-bit numbers travel as they are; tasks compute in double precision.
+    floats = all(isinstance(getattr(df.schema[vector].dataType, "elementType", None), T.FloatType) for df in (chunks, queries))
+    v = F.col(vector) if floats else F.col(vector).cast("array<double>")
+    left = chunks.select(F.col(chunk_id).alias("chunk_id"), v.alias("v"))
+    right = queries.select(F.col(query_id).alias("query_id"), v.alias("v"))
     left, right = left.where(F.size("v") > 0), right.where(F.size("v") > 0)
     size = right.agg(F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("n")).first()["n"]
     if size <= max_shipped_floats:
@@ -167,6 +217,14 @@ class Cells:
     def __init__(self, pivots: dict[int, tuple[int, np.ndarray]]):
         self.pivots = pivots
 
+    def gather(self, n_queries: dict[int, int]) -> None:
+        """Put pivots around the first few of them: neighbouring cells, about as many groups as there are slices."""
+        self.home, self.groups = {}, 0
+        for dim, (first, p) in self.pivots.items():
+            few = min(len(p), max(1, round(n_queries.get(dim, 0) * dim / SLICE_FLOATS)))
+            self.home[dim] = first + np.argmax(p @ p[:few].T, axis=1)
+            self.groups += few + 1
+
     def know(self, rows: list) -> None:
         found = {r["cell"]: r for r in rows}
         self.n = {c: r["n"] for c, r in found.items()}
@@ -212,8 +270,8 @@ def _zero_cell(dim: int) -> int:
 def _meetings(chunks: DataFrame, queries: DataFrame, k: int, n_pivots: int | None, block_rows: int) -> DataFrame:
     """Queries and rows that have to meet, dealt by (home, slice, part): those with flag 0 are a part's queries.
 
-    Both sides lie around pivots, and the rows are told in two passes.  First the queries of a cell, in slices of bounded size, meet a block of the same cell's rows; their k-th best there
-    bounds how far a hit can be.  Then a slice meets, of those cells that its bounds reach, the rows whose distance from
+    Both sides lie around pivots, and the rows are told in two passes.  First the queries of a home (some neighbouring cells), in slices of
+    bounded size, meet a block of the same cells' rows; their k-th best there bounds how far a hit can be.  Then a slice meets, of those cells that its bounds reach, the rows whose distance from
     the pivot fits; a row goes to a slice at most once, and a query once to each part of its slice's rows.
     """
     spark = chunks.sparkSession
@@ -224,6 +282,7 @@ def _meetings(chunks: DataFrame, queries: DataFrame, k: int, n_pivots: int | Non
         pivots[r["dim"]] = (first, _unit(_matrix(taken["v"])))
         first += len(taken)
     geometry = Cells(pivots)
+    geometry.gather({r["dim"]: r["n"] for r in queries.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()})
 
     def around(part: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unit vectors, home cells and distances from their pivots."""
@@ -260,22 +319,31 @@ def _meetings(chunks: DataFrame, queries: DataFrame, k: int, n_pivots: int | Non
     )
     geometry.know(merged.collect())  # a row for each pivot, and one for zero vectors of each length
     shared = spark.sparkContext.broadcast(geometry)
-    cells = spark.createDataFrame([(c, n, -(-n // block_rows)) for c, n in geometry.n.items()], "cell long, n long, blocks long")
+    homes = {first + i: int(home) for dim, (first, _) in pivots.items() for i, home in enumerate(geometry.home[dim])}
+    around_home: dict[int, int] = {}
+    for c, n in geometry.n.items():
+        around_home[homes.get(c, c)] = around_home.get(homes.get(c, c), 0) + n
+    cells = spark.createDataFrame(
+        [(c, homes.get(c, c), -(-around_home[homes.get(c, c)] // block_rows)) for c in geometry.n], "cell long, home long, blocks long"
+    )
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dim, part in frame.groupby(frame["v"].map(len)):
                 if int(dim) in shared.value.pivots:
                     _, home, _ = around(part, int(dim))
+                    some = home >= 0
+                    home[some] = geometry.home[int(dim)][home[some] - geometry.pivots[int(dim)][0]]
                     yield pd.DataFrame({"query_id": part["query_id"].to_numpy(), "v": part["v"].to_numpy(), "home": home})
 
     asked = cut_lineage(queries.mapInPandas(ask, T.StructType([*queries.schema.fields, T.StructField("home", T.LongType())])))
-    slices = asked.groupBy("home").agg(F.ceil(F.count("*") / block_rows).alias("slices"))  # a row for each pivot at most
+    size = F.round(F.sum(F.size("v")) / SLICE_FLOATS).cast("long")
+    slices = asked.groupBy("home").agg(F.greatest(F.lit(1), size).alias("slices"))  # a row for each pivot at most
     sliced = asked.join(F.broadcast(slices), "home").withColumn("slice", F.pmod(F.xxhash64("query_id"), F.col("slices")))
 
-    # First pass: one block of the home cell.
+    # First pass: one block of the home's rows.
     block = placed.join(F.broadcast(cells), "cell").where(F.pmod(F.xxhash64("chunk_id"), F.col("blocks")) == 0)
-    block = block.join(F.broadcast(slices), block["cell"] == slices["home"]).withColumn("slice", F.explode(F.expr("sequence(0l, slices - 1)")))
+    block = block.join(F.broadcast(slices), "home").withColumn("slice", F.explode(F.expr("sequence(0l, slices - 1)")))
     keys = ["home", "slice"]
     met = sliced.select(*keys, F.lit(0).alias("flag"), "v").unionByName(block.select(*keys, F.lit(1).alias("flag"), "v"))
     met = met.repartition(*keys).sortWithinPartitions(*keys, "flag")
@@ -293,12 +361,12 @@ def _meetings(chunks: DataFrame, queries: DataFrame, k: int, n_pivots: int | Non
                     known.reach(known.distances(unit[at : at + REACH_ROWS], dim), dim, k) for at in range(0, len(unit), REACH_ROWS)
                 ])
                 if best is not None:
-                    theta = np.minimum(theta, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * best.floor)))
+                    theta = np.minimum(theta, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * best.floors())))
                 found = known.wanted(unit, dim, theta)
                 if _zero_cell(dim) in known.n:
                     found[_zero_cell(dim)] = (-np.inf, np.inf)
-            rows = [(*key, c, lo, hi, known.n[c]) for c, (lo, hi) in found.items() if c in known.n]
-            return pd.DataFrame(rows, columns=["home", "slice", "cell", "lo", "hi", "n"])
+            rows = [(*key, c, lo, hi, known.n[c], known.n[c] * dim) for c, (lo, hi) in found.items() if c in known.n]
+            return pd.DataFrame(rows, columns=["home", "slice", "cell", "lo", "hi", "n", "floats"])
 
         now, held, best = None, [], None
         for (*key, flag), part in _runs(frames, [*keys, "flag"]):
@@ -315,12 +383,18 @@ def _meetings(chunks: DataFrame, queries: DataFrame, k: int, n_pivots: int | Non
         if held:
             yield close(now, held, best)
 
-    wanted = cut_lineage(met.mapInPandas(bound, "home long, slice long, cell long, lo double, hi double, n long"))
+    wanted = cut_lineage(met.mapInPandas(bound, "home long, slice long, cell long, lo double, hi double, n long, floats long"))
 
     # Second pass: the rows that the bounds reach, in parts of bounded size.
-    parts = wanted.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / (16 * block_rows))).alias("parts"))
+    n_slices = wanted.select(*keys).distinct().count()
+    enough = -(-3 * spark.sparkContext.defaultParallelism // max(1, n_slices))  # parts that keep all cores busy
+    by_size, short = F.ceil(F.sum("floats") / PART_FLOATS), F.floor(F.sum("n") / SHORT_PART_ROWS)
+    parts = wanted.groupBy(*keys).agg(F.greatest(F.lit(1), by_size, F.least(F.lit(enough), short)).alias("parts"))
+    reached = wanted.drop("n", "floats").join(parts, keys)
+    if n_slices * len(geometry.n) <= MAX_BROADCAST_ROWS:
+        parts, reached = F.broadcast(parts), F.broadcast(reached)
     right = sliced.join(parts, keys).withColumn("part", F.explode(F.expr("sequence(0l, parts - 1)")))
-    left = placed.join(wanted.drop("n"), "cell").where("dist between lo and hi").join(parts, keys).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")))
+    left = placed.join(reached, "cell").where("dist between lo and hi").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")))
     keys.append("part")
     def blank(rows: DataFrame, name: str) -> Column:
         kind = rows.schema[name].dataType

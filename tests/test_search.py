@@ -82,3 +82,33 @@ def test_more_neighbours_than_rows_and_long_ids(spark):
     assert len(mixed) == 7 * 2 + 1 and all(r["chunk_id"].startswith("n") for r in mixed)
     none = search.top_k(names.where("false"), df.withColumnRenamed("id", "query_id"), 2, max_shipped_floats=0)
     assert none.count() == 0
+
+
+def test_vectors_without_clusters_ship_by_size(spark, monkeypatch):
+    """Bounds leave every cell: a row goes once to each slice, and slices are as few as their size allows."""
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(1500, 12))
+    vectors[700:900] = vectors[7]
+    chunks, queries = (f.withColumnRenamed("embedding", "v") for f in frames(spark, vectors))
+    met = {r["flag"]: r["count"] for r in search._meetings(chunks, queries, 5, None, 64).groupBy("flag").count().collect()}
+    assert met == {0: 1500, 1: 1500}
+    monkeypatch.setattr(search, "SLICE_FLOATS", 12 * 300)
+    monkeypatch.setattr(search, "PART_FLOATS", 12 * 400)
+    met = {r["flag"]: r["count"] for r in search._meetings(chunks, queries, 5, None, 64).groupBy("flag").count().collect()}
+    assert met[1] <= 10 * 1500 and met[0] <= 4 * 1500
+    got = search.top_k(*frames(spark, vectors), 5, max_shipped_floats=0, n_pivots=16, block_rows=64)
+    assert {(r["query_id"], r["chunk_id"]) for r in got.collect()} == brute(vectors, 5)
+
+
+def test_nearest_keeps_ties_of_smaller_ids():
+    rng = np.random.default_rng(5)
+    rows = search._unit(np.round(rng.normal(size=(9000, 3)), 1))  # many equal vectors
+    ids = rng.permutation(9000)
+    best = search._Nearest(rows[:40], 6)
+    for at in range(0, 9000, 1000):
+        best.add(rows[at : at + 1000], ids[at : at + 1000])
+        best.floors()
+    found = best.frame(np.arange(40))
+    scores = np.round(rows[:40] @ rows.T, 9) + 0.0
+    want = {(q, int(ids[c])) for q in range(40) for c in sorted(range(9000), key=lambda c: (-scores[q, c], ids[c]))[:6]}
+    assert set(zip(found["query_id"], found["chunk_id"])) == want
