@@ -15,38 +15,44 @@ _LENIENT = {
     "allowComments": "true",
     "mode": "PERMISSIVE",
 }
-_COMMA_PASSES = 8
+_COMMAS = 8  # at most, before one bracket
 
 
 def json_body(c: Column) -> Column:
     """The text between the outermost braces, fences removed."""
-    s = tx.strip_fences(c)
-    inner = F.regexp_extract(s, r"(\{[\s\S]*\})", 1)
-    return F.when(inner != "", inner).otherwise(s)
+
+    def between(s: Column) -> Column:
+        opened = F.instr(s, "{")
+        behind = F.length(F.substring_index(s, "}", -1))  # behind the last closing brace; the whole text if there is none
+        closed = F.length(s) - behind
+        return F.when((opened > 0) & (closed > opened), F.substring(s, opened, closed - opened + 1)).otherwise(s)
+
+    return tx.let(tx.strip_fences(c), between)
 
 
 def without_trailing_commas(c: Column) -> Column:
-    for _ in range(_COMMA_PASSES):
-        c = F.regexp_replace(c, r",\s*([}\]])", "$1")
-    return c
+    return F.regexp_replace(c, rf"(?:,\s*+){{1,{_COMMAS}}}([}}\]])", "$1")
 
 
 def lenient_json(c: Column) -> Column:
     """VARIANT of a model's reply: strict, without trailing commas, then with lenient syntax; NULL if nothing helps."""
 
     def parsed(body: Column) -> Column:
-        cleaned = without_trailing_commas(body)
-        loose = F.from_json(cleaned, "variant", _LENIENT)
-        return F.coalesce(F.try_parse_json(body), F.try_parse_json(cleaned), loose)
+        def repaired(cleaned: Column) -> Column:
+            return F.coalesce(F.try_parse_json(cleaned), F.from_json(cleaned, "variant", _LENIENT))
+
+        return F.coalesce(F.try_parse_json(body), tx.let(without_trailing_commas(body), repaired))
 
     return tx.let(json_body(c), parsed)
 
 
 def string_at(v: Column, path: str) -> Column:
     """A field that is a JSON string, trimmed; NULL for other types and for blanks."""
-    value = F.try_variant_get(v, f"$.{path}", "variant")
-    text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
-    return F.nullif(tx.js_trim(text), F.lit(""))
+
+    def text(value: Column) -> Column:
+        return tx.js_trim(F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")))
+
+    return tx.let(tx.let(F.try_variant_get(v, f"$.{path}", "variant"), text), lambda s: F.when(s != "", s))
 
 
 def items_at(v: Column, path: str) -> Column:

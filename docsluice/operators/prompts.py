@@ -264,7 +264,8 @@ def reply_claims(parsed: DataFrame, lists: dict[str, str], key: str = "tender_id
     """Claims of parsed replies as rows; ``lists`` maps a JSON array to the list it fills.  Unnamed items are dropped."""
     doc = F.col("doc")
     arrays = [_tagged(js.items_at(doc, path), name) for path, name in lists.items()]
-    rows = parsed.where(doc.isNotNull()).select(key, F.inline(F.concat(*arrays)))
+    # An unread reply has empty lists.  A filter on the reply would have it parsed twice, once below the scan's spread.
+    rows = parsed.select(key, F.inline(F.concat(*arrays)))
     return rows.where(F.col("name").isNotNull())
 
 

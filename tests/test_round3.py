@@ -56,3 +56,21 @@ def test_footer_marks_in_any_case(spark):
     rows = [(body + "РЕСПУБЛИКАНСКОЕ унитарное  предприятие x",), (body + "© y",), (body + "2013 - 2026",), (body + "no mark",)]
     out = [r[0] for r in spark.createDataFrame(rows, "t string").select(cards.truncate_site_chrome(F.col("t"))).collect()]
     assert out == [body.rstrip(), body.rstrip(), body.rstrip(), body + "no mark"]
+
+
+def test_replies_are_parsed_once(spark, folder):
+    """A filter on the parsed reply was pushed below the spread of the scan, with the whole parsing in it."""
+    plan = QUERIES["normalize_claims"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1  # two before
+    assert plan.count("regexp_replace") < 8  # 52 before
+
+
+def test_lenient_json_of_odd_replies(spark):
+    from docsluice.functions import json as js
+
+    rows = ['```json\n{"a":1}\n```', '}{"a":1,, ,}x', '{"a":[1,2 , ]}', "}{", "{x", "", None, "{'a':'b'}", "text {\"a\":2} ``` "]
+    frame = spark.createDataFrame([(r,) for r in rows], "r string")
+    out = [r[0] for r in frame.select(F.to_json(js.lenient_json(F.col("r")))).collect()]
+    assert out == ['{"a":1}', '{"a":1}', '{"a":[1,2]}', None, None, None, None, '{"a":"b"}', '{"a":2}']
+    commas = spark.createDataFrame([("a" + "," * 9 + "}",), (", , ]",), ("[,],}",)], "r string")
+    assert [r[0] for r in commas.select(js.without_trailing_commas(F.col("r"))).collect()] == ["a,}", "]", "[]}"]
