@@ -126,6 +126,10 @@ BANK_SECURITY = [
     (r"обеспечени\w*\s+(?:заявк|участник|исполнен|контракт)", r"банковск|гарант"),
     (r"возврат\s+авансов", r"банковск|гарант"),
 ]
+# What every match of these lists holds: a line without it meets none of their patterns.
+COMPOSITION_STEMS = r"содержать|подаче|состав|включать"
+ANNEX_STEMS = r"стоимости|включени|калькуляц|требован|пункт|перечн"
+BANK_STEMS = r"банковск|гарант"
 FROM_DOCUMENTS = "По документам закупки (автовыдержка из текста Analysis; проверьте по полному комплекту):"
 MODES = ("reduction_docs_ok", "reduction_fake_price", "no_reduction")
 
@@ -218,43 +222,50 @@ def clean_hint_line(c: Column) -> Column:
     return tx.collapse_ws(F.regexp_replace(c, r"^[\s\p{Z}>*\-•]+", ""))
 
 
-def _any_pair(line: Column, pairs: list[tuple[str, str]]) -> Column:
+def _any_pair(line: Column, pairs: list[tuple[str, str]], stems: str) -> Column:
     out = F.lit(False)
     for first, second in pairs:
         out = out | (matches(line, first) & (matches(line, second) if second else F.lit(True)))
-    return out
+    return matches(line, stems) & out
 
 
 def proposal_composition(line: Column) -> Column:
     """What a proposal must contain, not what the customer offers."""
-    return _any_pair(line, COMPOSITION)
+    return _any_pair(line, COMPOSITION, COMPOSITION_STEMS)
 
 
 def mandatory_contents(line: Column) -> Column:
-    both = matches(line, r"должн\w*\s+включать") & matches(line, r"коммерческ\w*\s+предложен") & matches(line, r"оплат|платеж")
-    return _any_pair(line, MANDATORY_CONTENTS) | both
+    both = matches(line, COMPOSITION_STEMS) & matches(line, r"должн\w*\s+включать") & matches(line, r"коммерческ\w*\s+предложен") & matches(line, r"оплат|платеж")
+    return _any_pair(line, MANDATORY_CONTENTS, COMPOSITION_STEMS) | both
 
 
 def pricing_annex(line: Column) -> Column:
-    return _any_pair(line, PRICING_ANNEX)
+    return _any_pair(line, PRICING_ANNEX, ANNEX_STEMS)
 
 
 def bank_security(line: Column) -> Column:
-    return _any_pair(line, BANK_SECURITY)
+    return _any_pair(line, BANK_SECURITY, BANK_STEMS)
 
 
 def concrete_payment(line: Column) -> Column:
     """The line states shares, dates or forms of payment."""
-    s = tx.js_trim(line)
-    out = proposal_composition(s) | mandatory_contents(s) | pricing_annex(s) | bank_security(s)
-    return (F.length(s) >= MIN_HINT) & matches_any(s, PAYMENT_CONCRETE) & ~out
+
+    def tested(s: Column) -> Column:
+        out = proposal_composition(s) | mandatory_contents(s) | pricing_annex(s) | bank_security(s)
+        held = matches(s, f"{COMPOSITION_STEMS}|{ANNEX_STEMS}|{BANK_STEMS}")
+        return (F.length(s) >= MIN_HINT) & matches_any(s, PAYMENT_CONCRETE) & ~(held & out)
+
+    return tx.let(tx.js_trim(line), tested)
 
 
 def concrete_warranty(line: Column) -> Column:
     """The line states how long or for what a warranty lasts."""
-    s = tx.js_trim(line)
-    term = matches_any(s, WARRANTY_CONCRETE) | (matches(s, WARRANTY_TERM) & s.rlike(r"\d"))
-    return (F.length(s) >= MIN_HINT) & matches(s, SLOT_WARRANTY) & term & ~(proposal_composition(s) | bank_security(s))
+
+    def tested(s: Column) -> Column:
+        term = matches_any(s, WARRANTY_CONCRETE) | (matches(s, WARRANTY_TERM) & s.rlike(r"\d"))
+        return (F.length(s) >= MIN_HINT) & matches(s, SLOT_WARRANTY) & term & ~(proposal_composition(s) | bank_security(s))
+
+    return tx.let(tx.js_trim(line), tested)
 
 
 def _line_slots(line: Column) -> Column:
@@ -262,7 +273,7 @@ def _line_slots(line: Column) -> Column:
     price = matches(line, SLOT_PRICE)
     return F.struct(
         line.alias("line"),
-        (price & line.rlike(r"\d")).alias("price"),
+        (line.rlike(r"\d") & price).alias("price"),
         (matches(line, SLOT_PAYMENT) & ~price & concrete_payment(line)).alias("payment"),
         matches(line, SLOT_DELIVERY).alias("delivery"),
         (matches(line, SLOT_WARRANTY) & concrete_warranty(line)).alias("warranty"),

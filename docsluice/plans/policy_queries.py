@@ -129,8 +129,8 @@ SELECT o_orderkey, p IN ('1-URGENT', '4-NOT SPECIFIED', '5-LOW') AS payment, p =
 """,
 )
 def _predicates(t: Tables) -> DataFrame:
-    lines = order_corpora(t).select("o_orderkey", F.explode(F.split("corpus", "\n")).alias("raw"))
-    line = policy.clean_hint_line(F.col("raw"))
+    raw = order_corpora(t).select("o_orderkey", F.explode(F.split("corpus", "\n")).alias("raw"))
+    lines, line = raw.select("o_orderkey", policy.clean_hint_line(F.col("raw")).alias("line")), F.col("line")
     flags = lines.select(
         "o_orderkey", (policy.concrete_payment(line) & line.startswith("Оплата")).alias("payment"),
         (policy.proposal_composition(line) & policy.mandatory_contents(line)).alias("composition"), policy.bank_security(line).alias("bank"),

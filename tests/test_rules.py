@@ -100,3 +100,26 @@ def test_import_intent(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "c string")
     got = {r["c"]: r["r"] for r in rows.select("c", mx.should_import(F.col("c"), url).alias("r")).collect()}
     assert got == cases
+
+
+def test_stems_are_held_by_every_match(spark):
+    """Lists of patterns are tried only where a stem stands, so each of their patterns needs one."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from docsluice.operators import policy
+
+    lists = [
+        (policy.COMPOSITION, policy.COMPOSITION_STEMS), (policy.MANDATORY_CONTENTS, policy.COMPOSITION_STEMS),
+        (policy.PRICING_ANNEX, policy.ANNEX_STEMS), (policy.BANK_SECURITY, policy.BANK_STEMS),
+    ]
+    for pairs, stems in lists:
+        for first, second in pairs:
+            assert re.search(stems, first) or (second and all(re.search(stems, x) for x in second.split("|"))), (first, second)
+    plan = spark.createDataFrame([("",)], "s string").select(policy.concrete_payment(F.col("s")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("btrim(") == 1  # the trimmed line is one value, not one for each pattern
+    lines = ["Предложение ДОЛЖНО содержать условия оплаты 30 %", "К подаче: суть, оплата 30 %", "ОБЕСПЕЧЕНИЕ заявки: банковская гарантия 30 %",
+             "Калькуляция услуг, аванс", "Оплата: аванс 30 %", " оплата: аванс "]
+    out = spark.createDataFrame([(x,) for x in lines], "s string").select(policy.concrete_payment(F.col("s"))).collect()
+    assert [r[0] for r in out] == [False, False, False, False, True, True]
