@@ -195,6 +195,15 @@ def validate(docs: DataFrame, issues, key: str = "doc_id") -> DataFrame:
     return found.select(key, "ord", "issue.path", "issue.message")
 
 
+def with_issues(docs: DataFrame, issues, key: str = "doc_id") -> DataFrame:
+    """(key, ord, path, message) as ``validate`` gives them, and one row of NULLs for a document without an issue.
+
+    Documents are read once; a join of all of them with their issues would read them twice.
+    """
+    found = docs.select(key, F.posexplode_outer(tx.let(F.col("doc"), issues)).alias("ord", "issue"))
+    return found.select(key, "ord", "issue.path", "issue.message")
+
+
 def accept_valid(docs: DataFrame, issues, key: str = "doc_id") -> DataFrame:
     """Documents without a single issue: a row filter, since all rules of a document look at that document alone.
 

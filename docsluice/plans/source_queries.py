@@ -174,5 +174,4 @@ def _parser_results(t: Tables) -> DataFrame:
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".json"))
     sinks.write_files(t.documents.select(path.alias("path"), F.encode(json, "UTF-8").alias("content")), root)
     parsed = requirements.parse_documents(readers.read_json_documents(t.spark, root))
-    issues = requirements.validate(parsed, requirements.result_issues)
-    return parsed.select(F.col("doc_id").alias("doc")).join(issues.select(F.col("doc_id").alias("doc"), "message"), "doc", "left")
+    return requirements.with_issues(parsed, requirements.result_issues).select(F.col("doc_id").alias("doc"), "message")

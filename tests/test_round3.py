@@ -74,3 +74,11 @@ def test_lenient_json_of_odd_replies(spark):
     assert out == ['{"a":1}', '{"a":1}', '{"a":[1,2]}', None, None, None, None, '{"a":"b"}', '{"a":2}']
     commas = spark.createDataFrame([("a" + "," * 9 + "}",), (", , ]",), ("[,],}",)], "r string")
     assert [r[0] for r in commas.select(js.without_trailing_commas(F.col("r"))).collect()] == ["a,}", "]", "[]}"]
+
+
+def test_parser_results_are_read_once(spark, folder):
+    rows = QUERIES["read_parser_results"](spark, folder)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") == 1  # two before, joined
+    same, note = compare(spark, connect(folder), "read_parser_results", folder)
+    assert same, note
