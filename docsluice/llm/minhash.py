@@ -26,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsluice.llm.common import PIECE_BYTES, Bytes, checkpoint, components, groups_of_rows, mix64, slices, utf8_rows
@@ -38,7 +38,8 @@ PERCENT = 80  # similarity from which documents are linked
 RISK = 2e-6  # most that a pair at the least similarity may be missed by its sketches
 PAIRED, NEXT = 9, 2  # sets of a fully compared list; neighbours met in longer lists
 BLOCK = 512  # sets that are held together for exact comparison while others pass by
-LIST_PART, CELLS = 16_384, 1 << 22  # sets of a long list that are held together; counters used at a time
+LIST_PART, CELLS = 16_384, 1 << 20  # sets of a long list that are held together; counters and counts at a time
+EARLIER = 16  # lists of a set that are looked through for pairs that have met before
 WIDE = 1 << 24  # comparisons of a list from which it is split further
 _STEP = np.uint64(0xA0761D6478BD642F)
 
@@ -344,10 +345,16 @@ def open_lists(rows: DataFrame, home: DataFrame, levels: int) -> Iterator[tuple[
 
 def list_pairs(rows: DataFrame, tallies: DataFrame, home: DataFrame, percent: int, k: int) -> DataFrame:
     """(a, flag, id): candidates across the groups of lists, as sets to be held at block ``a`` (flag 0), the sets that
-    share their least partner, and sets that pass by there (flag 1)."""
+    share their least partner, and sets that pass by there (flag 1).
+
+    Two sets that share several of these lists meet in the first of them alone: each row knows its set's earlier lists.
+    """
     body = rows.select("path", "id").join(tallies.select("path", "top", F.ceil(F.col("m") / LIST_PART).alias("parts")), "path")
+    own = F.sort_array(F.collect_list("path").over(Window.partitionBy("id")))
+    # Of many earlier lists some are enough: a pair that is not known from an earlier one is only compared once more.
+    body = body.withColumn("own", own).withColumn("earlier", F.slice(F.filter("own", lambda x: x < F.col("path")), 1, EARLIER)).drop("own")
     body = body.join(home.select("id", "n", "brief", "group", "home"), "id")
-    columns = ["id", "n", "group", "home", "brief", "top"]
+    columns = ["id", "n", "group", "home", "brief", "top", "earlier"]
     held = body.select("path", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.lit(0).alias("flag"), *columns)
     passing = body.where(F.col("group") != F.col("top"))
     passing = passing.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("flag"), *columns)
@@ -355,6 +362,36 @@ def list_pairs(rows: DataFrame, tallies: DataFrame, home: DataFrame, percent: in
     return dealt.mapInArrow(blocks_and_streams(2, _list_pairs(k, percent)), "a long, flag int, id long")
 
 
+class _Holders:
+    """Which rows of a block hold a value."""
+
+    def __init__(self, values: np.ndarray, row: np.ndarray):
+        order = np.argsort(values, kind="stable")
+        self.row = row[order]
+        self.known, self.start = np.unique(values[order], return_index=True)
+        self.count = np.diff(np.append(self.start, len(order)))
+
+    def known_of(self, values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the values that the block holds, and their rows."""
+        if not len(self.known):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.known, values), len(self.known) - 1)
+        hit = self.known[at] == values
+        return at[hit], row[hit]
+
+    def shared(self, at: np.ndarray, row: np.ndarray, rows: int, m: int) -> np.ndarray:
+        """How many values each of ``rows`` rows shares with each of the block's ``m``, row by row."""
+        c = self.count[at]
+        spots = np.repeat(self.start[at] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        return np.bincount(np.repeat(row, c) * m + self.row[spots], minlength=rows * m)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and the row of each."""
+    sizes = np.diff(np.asarray(column.offsets))
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+
+
 def _list_pairs(k: int, percent: int):
     """The candidates of a part of a list."""
     floor = least_shared(percent, k) / k - 1e-9
@@ -369,28 +406,30 @@ def _list_pairs(k: int, percent: int):
         right = np.concatenate([_padded(b.column(7), k, 2**64 - 2) for b in block])
         m, real = len(ids), right < np.uint64(1 << 32)
         kept = real.sum(1)
-        order = np.argsort(right[real], kind="stable")
-        owner = np.repeat(np.arange(m), kept)[order]
-        known, start = np.unique(right[real][order], return_index=True)
-        count = np.diff(np.append(start, len(order)))
-        step = max(1, CELLS // max(m, k * k))
+        values = _Holders(right[real], np.repeat(np.arange(m), kept))
+        met = _Holders(*_flat(pa.chunked_array([b.column(9) for b in block]).combine_chunks()))
+        told = np.zeros(m, bool)
         for batch in stream:
             fields, sketch = columns(batch), _padded(batch.column(7), k, 2**64 - 1)
-            for top in range(0, batch.num_rows, step):
-                xi, xn, xg, _, _ = (f[top : top + step] for f in fields)
-                left = sketch[top : top + step]
-                mine = left < np.uint64(1 << 32)
-                at = np.minimum(np.searchsorted(known, left[mine]), len(known) - 1)
-                row = np.repeat(np.arange(len(left)), mine.sum(1))
-                hit = known[at] == left[mine]
-                at, row = at[hit], row[hit]
-                c = count[at]
-                spots = np.repeat(start[at] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-                both = np.bincount(np.repeat(row, c) * m + owner[spots], minlength=len(left) * m)
+            mine = sketch < np.uint64(1 << 32)
+            size = mine.sum(1)
+            found = values.known_of(sketch[mine], np.repeat(np.arange(len(size)), size))
+            before = met.known_of(*_flat(batch.column(9)))
+            # Rows go in groups by their cells and by what is counted into them: sets that are alike share most values.
+            weight = np.full(len(size), max(m, k * k))
+            for index, (at, row) in ((values, found), (met, before)):
+                weight += np.bincount(row, weights=index.count[at], minlength=len(size)).astype(np.int64)
+            for top, stop in groups_of_rows(np.concatenate([[0], np.cumsum(weight)]), CELLS):
+                xi, xn, xg, _, _ = (f[top:stop] for f in fields)
+                left = sketch[top:stop]
+                both, again = (
+                    index.shared(at[a:b], row[a:b] - top, stop - top, m)
+                    for index, (at, row) in ((values, found), (met, before)) for a, b in [np.searchsorted(row, [top, stop])]
+                )
                 # The union's sketch has at least as many values as the larger of the two.
-                i, j = np.divmod(np.flatnonzero(both), m)
+                i, j = np.divmod(np.flatnonzero((both > 0) & (again == 0)), m)
                 low, high = np.minimum(xn[i], n[j]), np.maximum(xn[i], n[j])
-                least = floor * np.maximum(mine.sum(1)[i], kept[j]) - 1e-9
+                least = floor * np.maximum(size[top + i], kept[j]) - 1e-9
                 once = (xi[i] < ids[j]) | (group[j] == largest[j])  # the largest group does not pass by
                 good = once & (xg[i] != group[j]) & (low * 100 >= high * percent) & (both[i * m + j] >= least)
                 i, j = i[good], j[good]
@@ -399,8 +438,9 @@ def _list_pairs(k: int, percent: int):
                     x, y = i[part : part + 50_000], j[part : part + 50_000]
                     good = union_estimate(left[x], right[y]) >= floor
                     x, y = x[good], y[good]
-                    zero = np.zeros(len(x), np.int64)
-                    out += [np.stack([home[y], zero, ids[y]], 1), np.stack([home[y], zero + 1, xi[x]], 1)]
+                    new = np.unique(y[~told[y]])  # a set is held once, whoever passes by
+                    told[new] = True
+                    out += [np.stack([home[new], np.zeros(len(new), np.int64), ids[new]], 1), np.stack([home[y], np.ones(len(x), np.int64), xi[x]], 1)]
                 if out:
                     a, flag, who = np.unique(np.concatenate(out), axis=0).T
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(flag.astype(np.int32)), pa.array(who)], ["a", "flag", "id"])
