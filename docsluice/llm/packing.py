@@ -35,7 +35,7 @@ from docsluice.llm.common import SLICE_BYTES, checkpoint, slices, texts
 
 SIZE = 4096  # tokens in a sequence
 CLOSE_ID = 1  # closes every document
-KNOWN_CHUNKS = 700_000  # remembered chunks in each of a worker's two generations
+KNOWN_CHUNKS, FEW_CHUNKS = 700_000, 100_000  # remembered chunks in each of a worker's two generations, alone and among other jobs
 GRID = 64  # lengths of patterns are fitted on this many steps; rounding down of counts keeps them feasible
 
 
@@ -46,15 +46,15 @@ class LibraryIds:
     those of a chunk are those of its words.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: int = KNOWN_CHUNKS):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that end a word
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self.words = Memo(lambda word: self._ids([word])[0], KNOWN_CHUNKS // 2)
-        self.memo = Memo(lambda chunk: self._learn({chunk})[chunk], KNOWN_CHUNKS)
+        self.words = Memo(lambda word: self._ids([word])[0], known // 2)
+        self.memo = Memo(lambda chunk: self._learn({chunk})[chunk], known)
 
     def _one(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -112,24 +112,26 @@ class LibraryIds:
 
 
 @lru_cache(maxsize=2)
-def library_ids(path: str) -> LibraryIds:
+def library_ids(path: str, known: int = KNOWN_CHUNKS) -> LibraryIds:
     gc.set_threshold(100_000, 50, 100)  # else the collector keeps walking the tables, which hold nothing it could free
-    return LibraryIds(path)
+    return LibraryIds(path, known)
 
 
 def pieces(docs: DataFrame, vocabulary_path: str, size: int = SIZE, with_ids: bool = False, keep_tables: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, nth[, ids]): pieces of tokenized documents.
 
     ``nth`` counts the pieces of one length within one part (a task's rows) of the input.  Known chunks are kept for the
-    worker's next task unless ``keep_tables`` is off, which leaves its memory to whatever runs after.
+    worker's next task unless ``keep_tables`` is off: then a worker that other jobs have used, and will use, remembers
+    fewer, takes less text at a time, and leaves their memory to whatever runs after.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", *(["ids"] if with_ids else [])]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
     close = np.array([CLOSE_ID], "<u4")
+    known, limit = (KNOWN_CHUNKS, 4 * SLICE_BYTES) if keep_tables else (FEW_CHUNKS, SLICE_BYTES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, seen = library_ids(vocabulary_path), TaskContext.get().partitionId(), defaultdict(int)
-        for batch in (some for whole in batches for some in slices(whole, limit=4 * SLICE_BYTES)):
+        coder, part, seen = library_ids(vocabulary_path, known), TaskContext.get().partitionId(), defaultdict(int)
+        for batch in (some for whole in batches for some in slices(whole, limit=limit)):
             ids, edges = coder.encode(batch.column(1))
             rows = []
             for doc_id, a, b in zip(batch.column(0).to_pylist(), edges[:-1].tolist(), edges[1:].tolist()):
