@@ -49,13 +49,16 @@ def byn_amount(line: Column, dialect: str = "intended") -> Column:
 
 def parse_money(c: Column) -> Column:
     """A whole text as an amount: grouping blanks, decimal comma, thousand or million, currency; NULL otherwise."""
-    flat = tx.collapse_ws(replace_all(tx.js_trim(c), rf"\s*{MAJOR_CURRENCY}\s*$", ""))
     shape = r"^([\d ]+)(?:[.,](\d{1,2}))?\s*(тыс\.?|млн\.?)?$"
-    whole = F.replace(extract(flat, shape, 1), F.lit(" "), F.lit(""))
-    fraction, scale = extract(flat, shape, 2), extract(flat, shape, 3)
-    number = F.concat(whole, F.coalesce(F.concat(F.lit("."), fraction), F.lit(""))).try_cast("double")
-    factor = F.when(matches(scale, "млн"), 1_000_000).when(matches(scale, "тыс"), 1000).otherwise(1)
-    return number * factor
+
+    def parsed(flat: Column) -> Column:
+        whole = F.replace(extract(flat, shape, 1), F.lit(" "), F.lit(""))
+        fraction, scale = extract(flat, shape, 2), extract(flat, shape, 3)
+        number = F.concat(whole, F.coalesce(F.concat(F.lit("."), fraction), F.lit(""))).try_cast("double")
+        factor = tx.let(scale, lambda s: F.when(matches(s, "млн"), 1_000_000).when(matches(s, "тыс"), 1000).otherwise(1))
+        return number * factor
+
+    return tx.let(tx.collapse_ws(replace_all(tx.js_trim(c), rf"\s*{MAJOR_CURRENCY}\s*$", "")), parsed)
 
 
 def plural_ru(n: Column, forms: tuple[str, str, str]) -> Column:

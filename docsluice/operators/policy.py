@@ -194,6 +194,11 @@ def is_suspicious_price(price: Column) -> Column:
     return F.coalesce((price > 0) & (price < MIN_SANITY), F.lit(False))
 
 
+def _usable_price(raw: Column) -> Column:
+    """Struct of a text and its positive amount; NULL where it has none."""
+    return tx.let(raw, lambda r: tx.let(money.parse_money(r), lambda v: F.when(v > 0, F.struct(r.alias("raw"), v.alias("value")))))
+
+
 def price_analysis(rows: DataFrame, corpus: str = "corpus", estimate: str = "estimate", other_info: str | None = None) -> DataFrame:
     """Add the customer's reference price, whether it is suspicious, and the pricing mode.
 
@@ -201,21 +206,13 @@ def price_analysis(rows: DataFrame, corpus: str = "corpus", estimate: str = "est
     """
     blob = F.coalesce(corpus, F.lit(""))
     searched = F.concat_ws("\n", corpus, *([other_info] if other_info else []))
-    stated = rows.withColumns(
-        {
-            "_card": F.nullif(tx.js_trim(F.col(estimate)), F.lit("")),
-            "_first": tx.js_trim(extract(blob, FIRST_MONEY)),
-            "_stated": tx.js_trim(extract(blob, STATED_PRICE)),
-            "has_reduction": mentions_reduction_short(searched),
-        }
-    )
-    options = [(F.col(n), money.parse_money(F.col(n))) for n in ("_card", "_first", "_stated")]
-    usable = [F.when(v > 0, F.struct(raw.alias("raw"), v.alias("value"))) for raw, v in options]
-    priced = stated.withColumn("_price", F.coalesce(*usable))
+    # Each in its turn: a text is searched only where what stands before it gives no price, and parsed once.
+    options = F.nullif(tx.js_trim(F.col(estimate)), F.lit("")), tx.js_trim(extract(blob, FIRST_MONEY)), tx.js_trim(extract(blob, STATED_PRICE))
+    priced = rows.withColumns({"has_reduction": mentions_reduction_short(searched), "_price": F.coalesce(*map(_usable_price, options))})
     out = priced.withColumns({"reference_price": F.col("_price.value"), "reference_raw": F.col("_price.raw")})
     out = out.withColumn("suspicious", is_suspicious_price(F.col("reference_price")))
     mode = F.when(F.col("has_reduction") & ~F.col("suspicious"), "starting_offer_allowed").otherwise("manager_price_required")
-    return out.withColumn("pricing_mode", mode).drop("_card", "_first", "_stated", "_price")
+    return out.withColumn("pricing_mode", mode).drop("_price")
 
 
 def clean_hint_line(c: Column) -> Column:

@@ -11,7 +11,8 @@ from docsluice.plans.registry import Tables, query
 from docsluice.session import spread
 
 
-def order_corpora(t: Tables) -> DataFrame:
+def order_corpora(t: Tables, *more: str) -> DataFrame:
+    """Orders as texts, with more of their columns if asked for."""
     p, s, price = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_totalprice")
     amount = F.when(s == "F", F.format_string("%.2f", price)).when(s == "O", F.format_string("%.2f", F.floor(price / 100).cast("double"))).otherwise("1")
     procedure = F.when(p == "1-URGENT", "Процедура улучшения предложений участников").when(p == "2-HIGH", "Возможно добровольное снижение цены").otherwise(
@@ -28,7 +29,7 @@ def order_corpora(t: Tables) -> DataFrame:
         "\n", F.concat(F.lit("Поставка № "), F.col("o_orderkey").cast("string")), procedure,
         F.concat(F.lit("* Начальная цена лота: "), amount, F.lit(" BYN")), payment, F.lit("Срок поставки 30 календарных дней"), warranty,
     )
-    return spread(t.orders.select("o_orderkey", "o_totalprice", corpus.alias("corpus")))
+    return spread(t.orders.select("o_orderkey", "o_totalprice", corpus.alias("corpus"), *more))
 
 
 _SQL = """
@@ -101,9 +102,7 @@ FROM (SELECT *, CASE WHEN p = '5-LOW' THEN 2500.0 * 1000 WHEN amount = 0 THEN NU
 )
 def _analysis(t: Tables) -> DataFrame:
     """Low-priority orders bring an estimate from their card."""
-    rows = order_corpora(t).join(
-        t.orders.select("o_orderkey", F.when(F.col("o_orderpriority") == "5-LOW", " 2 500 тыс. BYN ").alias("estimate")), "o_orderkey"
-    )
+    rows = order_corpora(t, "o_orderpriority").withColumn("estimate", F.when(F.col("o_orderpriority") == "5-LOW", " 2 500 тыс. BYN "))
     return policy.price_analysis(rows).select(
         "o_orderkey", "has_reduction", "reference_price", "reference_raw", "suspicious", "pricing_mode"
     )
