@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsluice.llm.common import PIECE_BYTES, Bytes, checkpoint, components, groups_of_rows, mix64, slices, utf8_rows
+from docsluice.llm.common import PIECE_BYTES, SLICE_BYTES, Bytes, checkpoint, components, groups_of_rows, lean, mix64, slices, utf8_rows
 from docsluice.llm.suffix_dedup import with_ids
 from docsluice.llm.vectors import blocks_and_streams
 
@@ -121,7 +121,7 @@ def sketches(docs: DataFrame, width: int, k: int = K) -> DataFrame:
     the upper halves of those as bytes."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=SLICE_BYTES // 4):
                 h, edge = shingle_sets(*utf8_rows(batch.column(1)), width)
                 size = np.diff(edge)
                 some = np.flatnonzero(size)
@@ -138,7 +138,7 @@ def sketches(docs: DataFrame, width: int, k: int = K) -> DataFrame:
                 columns = [batch.column(0), pa.array(size), *(pa.array(x.view(np.int64)) for x in keys), lists, brief]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key_a", "key_b", "kept", "brief"])
 
-    return _body(docs).mapInArrow(work, "doc_id long, n long, key_a long, key_b long, kept array<long>, brief binary")
+    return _body(docs).mapInArrow(lean(work), "doc_id long, n long, key_a long, key_b long, kept array<long>, brief binary")
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:

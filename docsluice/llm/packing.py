@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docsluice.llm.bpe import WORD_END, Memo, plain_words
-from docsluice.llm.common import SLICE_BYTES, checkpoint, slices, texts
+from docsluice.llm.common import SLICE_BYTES, checkpoint, give_back, slices, texts
 
 SIZE = 4096  # tokens in a sequence
 CLOSE_ID = 1  # closes every document
@@ -122,14 +122,16 @@ def pieces(docs: DataFrame, vocabulary_path: str, size: int = SIZE, with_ids: bo
 
     ``nth`` counts the pieces of one length within one part (a task's rows) of the input.  Known chunks are kept for the
     worker's next task unless ``keep_tables`` is off: then a worker that other jobs have used, and will use, remembers
-    fewer, takes less text at a time, and leaves their memory to whatever runs after.
+    fewer, takes less text at a time, gives back what that leaves, and leaves their memory to whatever runs after.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", *(["ids"] if with_ids else [])]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
     close = np.array([CLOSE_ID], "<u4")
-    known, limit = (KNOWN_CHUNKS, 4 * SLICE_BYTES) if keep_tables else (FEW_CHUNKS, SLICE_BYTES)
+    known, limit = (KNOWN_CHUNKS, 4 * SLICE_BYTES) if keep_tables else (FEW_CHUNKS, SLICE_BYTES // 4)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep_tables:
+            give_back()  # what earlier stages left
         coder, part, seen = library_ids(vocabulary_path, known), TaskContext.get().partitionId(), defaultdict(int)
         for batch in (some for whole in batches for some in slices(whole, limit=limit)):
             ids, edges = coder.encode(batch.column(1))
@@ -143,8 +145,13 @@ def pieces(docs: DataFrame, vocabulary_path: str, size: int = SIZE, with_ids: bo
                     seen[n] += 1
             columns = zip(*rows) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names)
+            if not keep_tables:
+                give_back()
         if not keep_tables:
             library_ids.cache_clear()
+            del coder
+            gc.collect()  # its tables and their functions know each other
+            give_back()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
     return texts(docs).mapInArrow(work, schema + (", ids array<int>" if with_ids else ""))

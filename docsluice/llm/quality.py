@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsluice.llm.common import utf8_rows
+from docsluice.llm.common import give_back, utf8_rows
 
 WIDTH, STRIDE, EMBED, FILTERS = 12, 4, 6, 32
 CHUNK, HOP = 96, 80  # windows in a chunk, and from one chunk to the next
@@ -231,7 +231,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(_scores(shared.value, text))
+        scores = pa.array(_scores(shared.value, text))
+        give_back()
+        return scores
 
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return docs.withColumn("__llm_score", score(body)).where(F.col("__llm_score") >= least).drop("__llm_score")

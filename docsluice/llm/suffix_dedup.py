@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsluice.llm.common import PIECE_BYTES, Bytes, checkpoint, mix64, slices, utf8_rows
+from docsluice.llm.common import PIECE_BYTES, Bytes, checkpoint, lean, mix64, slices, utf8_rows
 
 SIZE = 100  # bytes of a repeated string
 GRAM = 36  # bytes of an anchor: longer ones are more often unique, shorter ones fewer
@@ -154,7 +154,7 @@ def _suffixes(size: int, gram: int):
             if found:
                 yield _settle(*(np.concatenate(x) for x in zip(*found)))
 
-    return work
+    return lean(work)
 
 
 _SPANS = "h long, doc_id long, first long, body binary"
@@ -184,7 +184,7 @@ def _spans(size: int, gram: int):
                 body = pa.array([raw[i:j].tobytes() for i, j in zip(start, stop)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(a["w_gram"][lead]), pa.array(ids[a["w_row"][lead]]), pa.array(a["w_start"][lead]), body], ["h", "doc_id", "first", "body"])
 
-    return work
+    return lean(work)
 
 
 def _windows(size: int):
@@ -203,7 +203,7 @@ def _windows(size: int):
                 start = start + shift
                 yield _settle(h, ids, doc, _pack(start, np.zeros_like(start), np.full_like(start, size)))
 
-    return work
+    return lean(work)
 
 
 def _refine(split: bool):
@@ -252,7 +252,7 @@ def _refine(split: bool):
             if len(columns[0]):
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lo", "hi"])
 
-    return work
+    return lean(work)
 
 
 def _body(docs: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """Packing among other jobs: small tables of known chunks, the same ids."""
 
+import re
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 
-from docsluice.llm import packing
+from docsluice.llm import common, packing
 from docsluice.llm.queries import tokenizer_file
 
 
@@ -33,3 +36,23 @@ def test_packing_without_kept_tables_remembers_less(frame, monkeypatch):
             assert f"known {known}" in str(error)
         else:
             raise AssertionError("the tables were not asked for")
+
+
+def _held() -> float:
+    """MB of this process that are not mapped files."""
+    return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+
+def test_a_task_leaves_its_worker_no_memory_that_it_freed():
+    def work(batches):
+        for n in batches:
+            held = [bytes(50_000) for _ in range(n)]  # from the heap, with a last piece that keeps its top in place
+            keep.append(bytes(50_000))
+            del held
+            yield n
+
+    keep = []
+    list(work([2_000]))
+    loose = _held()
+    list(common.lean(work)([2_000]))
+    assert _held() < loose - 50 and not common._powers
