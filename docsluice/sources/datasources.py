@@ -1,4 +1,4 @@
-"""Python data sources: attachments by their first bytes, and logs of updates that are polled from an offset.
+"""Python data sources: listings of file trees, attachments by their first bytes, and logs of updates that are polled from an offset.
 
 Tasks list and read files themselves; the driver sees names of folders only.  Paths are those of any file system that
 Arrow opens (local, ``file:``, ``hdfs:``, ``s3:`` and others).
@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 HEAD_BYTES = 500  # enough to tell a kind of file
 SHARDS = 32  # folders that attachments are dealt to
 ATTACHMENT_SCHEMA = "name string, size bigint, modified timestamp, head binary, bytes_read bigint"
+LISTING_SCHEMA = "path string, length bigint, modified timestamp"
 SEGMENT = 10_000  # update ids in a folder of a log
 
 
@@ -72,6 +73,57 @@ class AttachmentsReader(DataSourceReader):
             yield batch()
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's own file sources pass by."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+class ListingReader(DataSourceReader):
+    """One task for each folder in the root, which walks it, and one for the files in the root itself."""
+
+    def __init__(self, options: dict):
+        self.root = options["path"].rstrip("/")
+
+    def partitions(self) -> list[Folder]:
+        from pyarrow import fs
+
+        system, path = file_system(self.root)
+        if system.get_file_info(path).type != fs.FileType.Directory:
+            raise FileNotFoundError(f"there is no folder {self.root}")
+        return [Folder(""), *(Folder(f"/{name}") for name in _folders(self.root) if not _hidden(name))]
+
+    def read(self, partition: Folder) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, top = file_system(self.root)
+        schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC"))])
+        todo = [top + partition.path]
+        while todo:
+            found = [f for f in system.get_file_info(fs.FileSelector(todo.pop())) if not _hidden(f.base_name)]
+            if partition.path:
+                todo += [f.path for f in found if f.type == fs.FileType.Directory]
+            files = [f for f in found if f.type == fs.FileType.File]
+            for at in range(0, len(files), 10_000):
+                some = files[at : at + 10_000]
+                columns = [f.path.removeprefix(top).lstrip("/") for f in some], [f.size for f in some], [f.mtime for f in some]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+class Listing(DataSource):
+    """``spark.read.format("file_listing")``: path below the root, length and time of every file; contents are not read."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_listing"
+
+    def schema(self) -> str:
+        return LISTING_SCHEMA
+
+    def reader(self, schema) -> ListingReader:
+        return ListingReader(self.options)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: int

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,19 +19,41 @@ option int, ts timestamp
 """
 
 
-def _binary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files as rows.  A file that cannot be read fails the job; none is left out silently."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+CONTENT_BYTES = 1 << 22  # of contents that a task holds at once, and one file
 
 
-def _relative(df: DataFrame, root: str) -> DataFrame:
-    return df.withColumn("relative", F.substring_index("path", root.rstrip("/") + "/", -1))
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, modified, uri) of all files below a root; contents are not read.
 
+    Tasks walk the folders: the driver knows the names of the root's folders only, however many files there are.
+    """
+    spark.dataSource.register(datasources.Listing)
+    files = spark.read.format("file_listing").option("path", root).load()
+    return files.withColumn("uri", F.concat(F.lit(root.rstrip("/") + "/"), "path"))
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, modified) of all files below a root; contents are not read."""
-    files = _relative(_binary(spark, root), root)
-    return files.select(F.col("relative").alias("path"), "length", F.col("modificationTime").alias("modified"), F.col("path").alias("uri"))
+
+def with_contents(files: DataFrame, root: str) -> DataFrame:
+    """(path, length, content): the files of a listing with their bytes, dealt over all cores by path.
+
+    A file that cannot be read fails the job; none is left out silently.
+    """
+    columns = files.select("path", "length")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = datasources.file_system(root.rstrip("/"))
+        for batch in batches:
+            first, held, contents = 0, 0, []
+            for at, path in enumerate(batch.column(0).to_pylist(), 1):
+                with system.open_input_stream(f"{top}/{path}") as file:
+                    contents.append(file.read())
+                held += len(contents[-1])
+                if held >= CONTENT_BYTES or at == batch.num_rows:
+                    some = batch.slice(first, at - first)
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(contents, pa.binary())], ["path", "length", "content"])
+                    first, held, contents = at, 0, []
+
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    return columns.repartition(tasks, "path").mapInArrow(read, "path string, length bigint, content binary")
 
 
 def scan_text_corpus(
@@ -41,17 +66,10 @@ def scan_text_corpus(
 ) -> DataFrame:
     """(path, length, text) of the text files below a root.
 
-    A size, if the caller sets one, is pushed into the scan and decides before any content is read; a number of files
-    is decided on names.
+    Names and sizes decide before any content is read: kinds and folders, and what a caller's own limits leave out.
     """
-    files = _binary(spark, root)
-    files = _relative(files if max_bytes is None else files.where(F.col("length") <= max_bytes), root)
-    named = files.select(F.col("relative").alias("path"), "length", "content")
-    kept = corpus.select_text_files(named, extensions, skip_dirs, max_bytes)
-    if max_files is not None:
-        chosen = corpus.select_text_files(list_files(spark, root), extensions, skip_dirs, max_bytes, max_files)
-        kept = kept.join(chosen.select("path"), "path", "left_semi")
-    return kept.select("path", "length", tx.decode_utf8(F.col("content")).alias("text"))
+    kept = corpus.select_text_files(list_files(spark, root), extensions, skip_dirs, max_bytes, max_files)
+    return with_contents(kept, root).select("path", "length", tx.decode_utf8(F.col("content")).alias("text"))
 
 
 def read_chunk_index(spark: SparkSession, path: str) -> DataFrame:
@@ -73,11 +91,11 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_folder(spark: SparkSession, root: str) -> DataFrame:
     """(folder, file_id, name, text) of all files; which of them are plain text is decided where they are assembled."""
-    files = _relative(_binary(spark, root), root)
+    files = with_contents(list_files(spark, root), root)
     return files.select(
-        F.regexp_extract("relative", r"^(.*?)/?[^/]*$", 1).alias("folder"),
-        F.col("relative").alias("file_id"),
-        F.regexp_extract("relative", r"([^/]*)$", 1).alias("name"),
+        F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1).alias("folder"),
+        F.col("path").alias("file_id"),
+        F.regexp_extract("path", r"([^/]*)$", 1).alias("name"),
         tx.decode_utf8(F.col("content")).alias("text"),
     )
 

@@ -179,3 +179,23 @@ def test_render_markdown_keeps_every_line(spark, tmp_path):
     text = "".join(r["text"] for r in parts)
     assert len(parts) > 1 and [r["start"] for r in parts] == [sum(len(q["text"]) for q in parts[:i]) for i in range(len(parts))]
     assert text.split("\n") == ["# PERU"] + [f"| s{i} | a\\|b PERU |" for i in range(300)]
+
+
+def test_a_tree_is_listed_and_read_by_tasks(spark, tmp_path):
+    want = {}
+    for i in range(60):
+        path = tmp_path / f"f{i % 3}" / ("deep" if i % 2 else "") / f"{i}.txt"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"\xff" if i == 7 else f"text {i}".encode())
+        want[str(path.relative_to(tmp_path))] = "�" if i == 7 else f"text {i}"
+    (tmp_path / "top.txt").write_text("")
+    for name in ("_SUCCESS", ".hidden", "f0/_x", "f0/.y"):
+        (tmp_path / name).write_text("no")
+    want["top.txt"] = ""
+    listing, texts = readers.list_files(spark, str(tmp_path)), readers.read_text_folder(spark, str(tmp_path))
+    assert listing.inputFiles() == [] == texts.inputFiles()  # the driver holds no names of files
+    assert {r["path"]: r["length"] for r in listing.collect()} == {k: len(v.encode()) - 2 * (v == "�") for k, v in want.items()}
+    assert {r["file_id"]: r["text"] for r in texts.collect()} == want
+    assert {(r["folder"], r["name"]) for r in texts.collect()} >= {("", "top.txt"), ("f0", "0.txt"), ("f1/deep", "1.txt")}
+    with pytest.raises(Exception, match="no folder"):
+        readers.list_files(spark, str(tmp_path / "absent")).collect()
