@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docsluice.functions import text as tx
 from docsluice.functions.ranking import distributed_sum, ordered_bucket
 from docsluice.operators.parts import PART_CHARS, numbered_parts
+from docsluice.session import cut_to_table
 
 # Headers and marks of the assembled texts, and the shortest snippet.
 SNIPPET_MIN_CHARS = 40
@@ -181,8 +182,12 @@ def plain_files(files: DataFrame) -> DataFrame:
 
 
 def folder_texts(files: DataFrame, part_chars: int = PART_CHARS, key: str = "folder") -> DataFrame:
-    """(key, part, start, text): the plain texts of a folder by name, in numbered parts."""
-    return assemble_files(plain_files(files), FOLDER_HEADER, "\n\n", part_chars, trim=True, key=key)
+    """(key, part, start, text): the plain texts of a folder by name, in numbered parts.
+
+    Bounds, sums and parts each go over the texts; the files are read once.
+    """
+    texts = cut_to_table(plain_files(files).select(key, "file_id", "name", "text"), "folder-texts")
+    return assemble_files(texts, FOLDER_HEADER, "\n\n", part_chars, trim=True, key=key)
 
 
 def snippet_corpus(files: DataFrame, part_chars: int = PART_CHARS, key: str = "tender_id") -> DataFrame:

@@ -139,8 +139,9 @@ def _within(t: Tables) -> DataFrame:
 def _folder(t: Tables) -> DataFrame:
     """The documents as files, a folder for each source, read back and put together."""
     root = f"{shared_folder(t.spark)}/folders-{uuid.uuid4().hex}"
-    path = F.concat("tender_id", F.lit("/"), "name")
-    sinks.write_files(source_files(t).select(path.alias("path"), F.encode("text", "UTF-8").alias("content")), root)
+    path = F.concat("source", F.lit("/"), _name())
+    rows = t.spread("documents", "doc_id", "source", "lang", "text")
+    sinks.write_files(rows.select(path.alias("path"), F.encode("text", "UTF-8").alias("content")), root)
     return assembly.folder_texts(readers.read_text_folder(t.spark, root)).withColumnRenamed("folder", "tender_id")
 
 

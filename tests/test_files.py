@@ -199,3 +199,15 @@ def test_a_tree_is_listed_and_read_by_tasks(spark, tmp_path):
     assert {(r["folder"], r["name"]) for r in texts.collect()} >= {("", "top.txt"), ("f0", "0.txt"), ("f1/deep", "1.txt")}
     with pytest.raises(Exception, match="no folder"):
         readers.list_files(spark, str(tmp_path / "absent")).collect()
+
+
+def test_texts_of_a_folder_are_read_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        made.add(1)
+        return text
+
+    rows = spark.createDataFrame([("a", f"{i}", f"{i}.txt", f"text {i}") for i in range(40)], "folder string, file_id string, name string, text string")
+    out = assembly.folder_texts(rows.withColumn("text", F.udf(seen)("text"))).collect()
+    assert len(out) == 1 and made.value <= 80  # a row passes a filter and a column at most
