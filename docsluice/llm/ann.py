@@ -38,6 +38,7 @@ NEIGHBOURS, POOL = 16, 64  # edges of a centre; least candidates of a graph sear
 CALIBRATION, RECALL = 400, 0.97  # sample queries that set the ratio, and the recall they must reach
 SHARD_ROWS = 8192  # vectors held together when a shard is scored
 PAIRS = 100_000  # exact products computed at once
+BLOCK_ROWS = 128  # vectors that meet all centres, or queries that meet the whole sample, at once
 
 
 @dataclass
@@ -90,10 +91,10 @@ def neighbour_graph(centres: np.ndarray) -> np.ndarray:
     near = min(NEIGHBOURS, k - 1)
     out = np.zeros((k, max(1, near + 4)), np.int64)
     far = np.random.default_rng(1).integers(0, k, (k, 3)) if k else out
-    for i in range(0, k, 1024):
-        d = distances(centres[i : i + 1024], centres)
+    for i in range(0, k, BLOCK_ROWS):
+        d = distances(centres[i : i + BLOCK_ROWS], centres)
         d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-        out[i : i + 1024, :near] = np.argsort(d, axis=1, kind="stable")[:, :near]
+        out[i : i + BLOCK_ROWS, :near] = np.argsort(d, axis=1, kind="stable")[:, :near]
     if k:
         out[:, near : near + 3] = far[:, : out.shape[1] - near]
         out[:, -1] = (np.arange(k) + 1) % k  # a ring reaches every centre
@@ -104,7 +105,7 @@ def search_centres(index: Index, q: np.ndarray, ratio: float) -> tuple[np.ndarra
     """Squared distances of each row to the centres that a graph search met (others inf), and the nearest's.
 
     Best first over the graph: a row's nearest unread centre is read as long as it is within the ratio of the nearest
-    centre so far or among the POOL nearest met.
+    centre so far or among the POOL nearest met.  Holds a number for every row and centre: callers bound the rows.
     """
     n, k = len(q), len(index.centres)
     d = np.full((n, k), np.inf)
@@ -130,29 +131,33 @@ def search_centres(index: Index, q: np.ndarray, ratio: float) -> tuple[np.ndarra
 
 def store_in(index: Index, x: np.ndarray) -> list[np.ndarray]:
     """Lists of each stored vector: the nearest, and boundary lists that no chosen list stands in front of."""
-    d, nearest = search_centres(index, x, BOUNDARY)
     out = []
-    for row, low in zip(d, nearest):
-        near = np.flatnonzero(row <= low * BOUNDARY**2)
-        chosen: list[int] = []
-        for c in near[np.argsort(row[near], kind="stable")]:
-            if len(chosen) == REPLICAS:
-                break
-            gaps = distances(index.centres[c][None], index.centres[chosen])[0] if chosen else np.zeros(0)
-            if (gaps >= row[c]).all():
-                chosen.append(int(c))
-        out.append(np.array(chosen, np.int64))
+    for at in range(0, len(x), BLOCK_ROWS):
+        d, nearest = search_centres(index, x[at : at + BLOCK_ROWS], BOUNDARY)
+        for row, low in zip(d, nearest):
+            near = np.flatnonzero(row <= low * BOUNDARY**2)
+            chosen: list[int] = []
+            for c in near[np.argsort(row[near], kind="stable")]:
+                if len(chosen) == REPLICAS:
+                    break
+                gaps = distances(index.centres[c][None], index.centres[chosen])[0] if chosen else np.zeros(0)
+                if (gaps >= row[c]).all():
+                    chosen.append(int(c))
+            out.append(np.array(chosen, np.int64))
     return out
 
 
 def choose_lists(index: Index, q: np.ndarray) -> list[np.ndarray]:
     """Lists of each query: all within the ratio of the nearest."""
-    d, nearest = search_centres(index, q, index.ratio)
-    return [np.flatnonzero(row <= low * index.ratio**2) for row, low in zip(d, nearest)]
+    out = []
+    for at in range(0, len(q), BLOCK_ROWS):
+        d, nearest = search_centres(index, q[at : at + BLOCK_ROWS], index.ratio)
+        out += [np.flatnonzero(row <= low * index.ratio**2) for row, low in zip(d, nearest)]
+    return out
 
 
 def build_index(x: np.ndarray, total: int, k: int) -> Index:
-    """Fit on a sample of ``total`` vectors."""
+    """Fit on a sample of ``total`` vectors.  The driver holds the sample and centres, and blocks of rows beside them."""
     top2 = float((x * x).sum(1).max()) * (1 + 1e-9)
     lists = min(MAX_LISTS, max(1, total // LIST_ROWS))
     lifted = lift(x, top2)
@@ -161,15 +166,19 @@ def build_index(x: np.ndarray, total: int, k: int) -> Index:
     index = Index(centres, neighbour_graph(centres), entries, top2)
     # The ratio that reaches the wanted recall: for each true neighbour, how far the nearest of its lists is.
     asked = np.unique(np.linspace(0, len(x) - 1, CALIBRATION).astype(int))
-    stored = store_in(index, lifted)
-    d = np.sqrt(distances(lift_queries(x[asked], top2), centres))
-    low = np.maximum(d.min(1), 1e-12)
-    scores = x[asked] @ x.T
-    scores[np.arange(len(asked)), asked] = -np.inf
+    near: list[np.ndarray] = []
+    for at in range(0, len(asked), BLOCK_ROWS):
+        some = asked[at : at + BLOCK_ROWS]
+        scores = x[some] @ x.T
+        scores[np.arange(len(some)), some] = -np.inf
+        near += [np.argsort(-row)[: min(k, len(x) - 1)] for row in scores]
+    met = np.unique(np.concatenate(near))
+    stored = dict(zip(met.tolist(), store_in(index, lifted[met])))
     need = []
-    for i, row in enumerate(scores):
-        near = np.argsort(-row)[: min(k, len(x) - 1)]
-        need += [d[i, stored[j]].min() / low[i] for j in near]
+    for at in range(0, len(asked), BLOCK_ROWS):
+        d = np.sqrt(distances(lift_queries(x[asked[at : at + BLOCK_ROWS]], top2), centres))
+        low = np.maximum(d.min(1), 1e-12)
+        need += [row[stored[j]].min() / least for row, least, own in zip(d, low, near[at : at + BLOCK_ROWS]) for j in own.tolist()]
     index.ratio = float(np.quantile(need, RECALL)) * (1 + 1e-9) if need else 1.0
     return index
 
@@ -221,6 +230,11 @@ def best_rows(q: np.ndarray, x: np.ndarray, ids: np.ndarray, take: int, length:
     return row[rank < take], hit[rank < take], exact[rank < take]
 
 
+def _numbers(values: list[int]) -> Column:
+    """An array of constants that is one literal of the plan, however many there are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
 def _search_one(stored: DataFrame, wanted: DataFrame, total: int, k: int, sample_size: int) -> DataFrame:
     spark = stored.sparkSession
     index = build_index(sample(stored, "v", "id", sample_size), total, k)
@@ -255,8 +269,8 @@ def _search_one(stored: DataFrame, wanted: DataFrame, total: int, k: int, sample
             shard, rows = shard + 1, 0
         shard_of[c], parts[shard] = shard, max(parts.get(shard, 1), -(-sizes[c] // SHARD_ROWS))
         rows += sizes[c]
-    table = F.array(*[F.lit(shard_of.get(c, -1)) for c in range(len(index.centres) + 1)])
-    many = F.array(*[F.lit(parts.get(s, 1)) for s in range(shard + 1)])
+    table = _numbers([shard_of.get(c, -1) for c in range(len(index.centres) + 1)])
+    many = _numbers([parts.get(s, 1) for s in range(shard + 1)])
     shards = F.array_distinct(F.filter(F.transform("lists", lambda c: F.element_at(table, (c + 1).cast("int"))), lambda s: s >= 0))
     keyed = held.select("id", "v", F.explode(shards).alias("shard"))
     keyed = keyed.withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(many, F.col("shard") + 1)).cast("int"))

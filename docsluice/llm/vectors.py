@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,9 +18,18 @@ def usable(vector: Column) -> Column:
 
 
 def sample(rows: DataFrame, column: str, key: str, size: int) -> np.ndarray:
-    """A bounded sample: the vectors with the smallest hashes of their ids."""
-    taken = rows.orderBy(F.xxhash64(F.col(key)), key).limit(size).select(column).toPandas()
-    return np.array([np.asarray(v, dtype=np.float64) for v in taken[column]])
+    """A bounded sample: the vectors with the smallest hashes of their ids.
+
+    A table's ordered limit takes that many rows of every partition to the driver.  So only rows below a bound are
+    ordered that about ``size`` hashes keep, with a margin; all rows are where fewer are found, as with repeated ids.
+    """
+    hashed = F.xxhash64(F.col(key))
+    wanted = size + 10 * math.isqrt(size) + 100
+    total = rows.count()
+    if total > wanted:
+        some = rows.where(hashed < F.lit(-(1 << 63) + (1 << 64) * wanted // total))
+        rows = some if some.count() >= size else rows
+    return matrix(rows.orderBy(hashed, key).limit(size).select(column).toArrow().combine_chunks().column(0).combine_chunks())
 
 
 def matrix(column: pa.Array) -> np.ndarray:
