@@ -42,14 +42,18 @@ def ground_claims(claims: DataFrame, corpora: DataFrame) -> DataFrame:
     head = F.when(F.length("_evidence") >= MIN_QUOTE, F.substring("_evidence", 1, HEAD_CHARS))
     asked = own.withColumn("quotes", _slotted(F.col("_evidence"), head, F.col("_criteria")))
     found = quotes.locate(asked, corpora, 3)
-    joined = asked.withColumn("unit", quotes.unit_id(F.col("quotes"))).join(found, ["tender_id", "unit"], "left")
-    long = F.length(tx.collapse_ws(F.col("criteria"))) >= MIN_QUOTE
-    kept = F.when((F.col("list") == "self") | (long & F.col("at_2").isNull()), F.lit(None)).otherwise(F.col("criteria"))
+    # What the criteria become is settled before the claims travel, and only a manager's have any.
+    long = F.length("_criteria") >= MIN_QUOTE
+    manager = F.col("list") == "manager"
+    own = asked.withColumns(
+        {"unit": quotes.unit_id(F.col("quotes")), "_kept": F.when(manager, F.coalesce(F.nullif("criteria", F.lit("")), F.lit(NO_VALUE))), "_must": F.when(manager, long)}
+    )
+    joined = own.join(found, ["tender_id", "unit"], "left")
     return joined.select(
         *claims.columns,
         F.col("at_0").isNotNull().alias("grounded"),
         F.col("at_1").isNotNull().alias("head_grounded"),
-        F.when(F.col("list") == "manager", F.coalesce(F.nullif(kept, F.lit("")), F.lit(NO_VALUE))).alias("kept_criteria"),
+        F.when(F.col("_must") & F.col("at_2").isNull(), F.lit(NO_VALUE)).otherwise(F.col("_kept")).alias("kept_criteria"),
         F.col("at_0").alias("first_at"),
         F.col("at_1").alias("head_at"),
         F.col("at_2").alias("criteria_at"),
